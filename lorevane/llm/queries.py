@@ -6,14 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorevane.scratch import Scratch
 
-from . import embed_dedup, mixing, topk
+from . import embed_dedup, lm, minhash, mixing, packing, quality, topk
 from .common import table
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
 
@@ -24,7 +40,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op6_topk": op6_topk,
+    "op7_minhash": op7_minhash,
+    "op8_lm": op8_lm,
     "op9_embed_dedup": op9_embed_dedup,
     "op10_mixing": op10_mixing,
 }
