@@ -161,3 +161,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 3, per
     out = rows.select("doc_id", "n", "mark").join(named, "mark", "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def keep(spark: SparkSession, docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group. Rows that link with nothing, null ids and texts without words all
+    stay; of rows with one id, those with equal texts count as copies and one stays."""
+    scratch = Scratch(spark, "minhash")
+    found = near_duplicates(spark, docs, words=words, percent=percent)
+    gone = scratch.keep(found.where("doc_id is not null and n_shingles > 0 and not kept").select("doc_id").distinct())
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = scratch.keep(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

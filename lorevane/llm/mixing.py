@@ -96,3 +96,17 @@ def plan(
         (F.col("whole") * F.col("size") + F.col("more")).alias("taken"),
         (F.col("whole") + ((F.col("more") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
     )
+
+
+def repeat(docs: DataFrame, scratch: Scratch, *, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it. Texts stay whole."""
+    mark = F.xxhash64("text", "lang") if "lang" in docs.columns else F.xxhash64("text")
+    slim = docs.select("doc_id", mark.alias("mark"), "source", n_words(F.col("text")).alias("size"))
+    found = plan(slim, scratch, weights=weights, share=share, max_epochs=max_epochs, seed=seed, cut_last=False, extra=("mark",))
+    # Rows alike in all of these count as one here, with the copies of all of them dealt out evenly.
+    times = scratch.keep(found.groupBy("doc_id", "mark", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
+    d = docs.withColumn("_mark", mark)
+    same = d["doc_id"].eqNullSafe(times["doc_id"]) & (d["_mark"] == times["mark"]) & d["source"].eqNullSafe(times["source"])
+    n = F.ceil(F.col("copies") / F.col("rows")).cast("int")
+    out = d.join(times, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(F.col("copies") > 0)
+    return out.select(*[d[c] for c in docs.columns])

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
 
-from . import embed_dedup, lm, minhash, mixing, packing, quality, topk
+from . import chat, embed_dedup, line_dedup, lm, minhash, mixing, packing, pii, quality, topk
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of which documents go, by number."""
+    return line_dedup.report(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -18,6 +28,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered turns; the rendered text as its hash."""
+    t = table(spark, sf_dir, "conversations")
+    out = chat.parse(spark, t.drop("role"), t)
+    return out.select("conv_id", "chunk", "part", "first_turn", "opens", "role", "n_lines", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark, table(spark, sf_dir, "embeddings"))
 
@@ -40,8 +57,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_pii": op2_pii,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op6_topk": op6_topk,
     "op7_minhash": op7_minhash,
     "op8_lm": op8_lm,
@@ -50,6 +70,33 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_line_dedup": r"""
+WITH raw AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL
+), l AS (
+  SELECT doc_id, line, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\r\v\f]+', ' ', 'g')) AS c FROM raw
+), f AS (SELECT * FROM l WHERE c <> ''),
+d AS (SELECT c, min((doc_id, line)) AS at, length(c) AS n FROM f GROUP BY c),
+p AS (
+  SELECT a.c AS x, a.at AS ax, b.c AS y, b.at AS ay FROM d a JOIN d b
+    ON left(a.c, CAST(floor(a.n / 2) AS BIGINT)) = left(b.c, CAST(floor(a.n / 2) AS BIGINT)) AND a.c <> b.c
+    WHERE a.n >= 10 AND b.n >= 10 AND b.n BETWEEN a.n AND a.n + 1
+  UNION
+  SELECT a.c, a.at, b.c, b.at FROM d a JOIN d b
+    ON right(a.c, CAST(floor(a.n / 2) AS BIGINT)) = right(b.c, CAST(floor(a.n / 2) AS BIGINT)) AND a.c <> b.c
+    WHERE a.n >= 10 AND b.n >= 10 AND b.n BETWEEN a.n AND a.n + 1
+), e AS (SELECT * FROM p WHERE levenshtein(x, y) <= 1),
+near AS (SELECT x AS c FROM e WHERE ay < ax UNION SELECT y FROM e WHERE ax < ay),
+w AS (
+  SELECT f.doc_id, f.line, CASE WHEN near.c IS NOT NULL THEN 'near' WHEN (f.doc_id, f.line) > d.at THEN 'equal' END AS why
+  FROM f JOIN d ON d.c = f.c LEFT JOIN near ON near.c = f.c
+), s AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (why = 'equal') AS n_equal, count(*) FILTER (why = 'near') AS n_near,
+    string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) FILTER (why IS NOT NULL) AS removed FROM w GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed
+FROM documents t LEFT JOIN s ON s.doc_id = t.doc_id
+""",
     "op6_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
