@@ -86,38 +86,48 @@ class Index(dict):
         self.clear()
         self.word, self.logp, self.hash = np.zeros(1024, np.int64), np.zeros(1024), np.zeros(1024, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
-        state, core, logp = self.tables
-        i = len(self)
-        if i == len(self.word):
+    def learn(self, words: list[bytes]) -> None:
+        """Gives slots to the words that have none, all at once."""
+        new = [w for w in set(words) if w not in self]
+        if not new:
+            return
+        if len(self) > CACHE:
+            self.reset()
+            new = list(set(words))
+        i, n = len(self), len(self) + len(new)
+        while n > len(self.word):
             self.word, self.logp, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.logp, self.hash))
-        h = signed(word)
-        a, b = np.searchsorted(state, h), np.searchsorted(core, h)
-        self.word[i] = a if a < len(state) and state[a] == h else -1
-        self.logp[i] = logp[b] if b < len(core) and core[b] == h else np.nan
-        self.hash[i] = h
-        self[word] = i
-        return i
+        state, core, logp = self.tables
+        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
+        self.hash[i:n] = h
+        self.word[i:n], self.logp[i:n] = -1, np.nan
+        for table, slots, values in ((state, self.word, np.arange(len(state))), (core, self.logp, logp)):
+            if len(table):
+                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+                hit = table[at] == h
+                slots[i:n][hit] = values[at[hit]]
+        self.update(zip(new, range(i, n)))
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _chunks(batch_texts, index: Index):
-    """Lists of documents (row number, slots with the end) of about CHUNK tokens."""
-    held, n = [], 0
+    """(row numbers, their lengths, slots of all their tokens, each with its end) of about CHUNK tokens."""
+    rows, sizes, words = [], [], []
     for i, text in enumerate(batch_texts):
-        if len(index) > CACHE and not held:
-            index.reset()
-        words = split(text)
+        w = split(text)
+        words += w
         words.append(END)
-        held.append((i, index.of(words)))
-        n += len(words)
-        if n > CHUNK:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
+        rows.append(i)
+        sizes.append(len(w) + 1)
+        if len(words) > CHUNK:
+            index.learn(words)
+            yield rows, np.array(sizes), index.of(words)
+            rows, sizes, words = [], [], []
+    if rows:
+        index.learn(words)
+        yield rows, np.array(sizes), index.of(words)
 
 
 def _ngrams(tables, order: int):
@@ -126,10 +136,10 @@ def _ngrams(tables, order: int):
         k = len(tables.value[0])
         for b in batches:
             texts = raw(b.column(1).filter(b.column(0)))
-            for docs in _chunks(texts, index):
-                w = index.word[np.concatenate([d for _, d in docs])]
+            for _, sizes, slot in _chunks(texts, index):
+                w = index.word[slot]
                 edge = np.zeros(len(w), bool)
-                edge[np.cumsum([len(d) for _, d in docs]) - 1] = True  # the end closes a document
+                edge[np.cumsum(sizes) - 1] = True  # the end closes a document
                 code, ok = w.copy(), w >= 0
                 for n in range(2, order + 1):
                     ok = ok[:-1] & (w[n - 1 :] >= 0) & ~edge[n - 2 : -1][: len(ok) - 1]
@@ -248,9 +258,7 @@ def _score(tables, model):
         index, automaton = Index(*tables.value), model.value
         for b in batches:
             ids, held = b.column(0), b.column(1)
-            for docs in _chunks(raw(b.column(2)), index):
-                n = np.array([len(d) for _, d in docs])
-                slot = np.concatenate([d for _, d in docs])
+            for docs, n, slot in _chunks(raw(b.column(2)), index):
                 doc = np.repeat(np.arange(len(docs)), n)
                 w, p = index.word[slot], index.logp[slot]
                 core = ~np.isnan(p)
@@ -265,7 +273,7 @@ def _score(tables, model):
                     r, t = np.unique(index.hash[slot[s:e][~core[s:e]]], return_counts=True)
                     rest.append(r)
                     times.append(t.astype(np.int32))
-                rows = pa.array([i for i, _ in docs])
+                rows = pa.array(docs)
                 yield pa.record_batch([ids.take(rows), held.take(rows), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(rest, schema.field("rest").type), pa.array(times, schema.field("times").type)], schema=schema)
 
     return run
