@@ -12,8 +12,9 @@ its rows share a key. Out come link counts per vector and, for components, edges
 vector of its linked group in the tile. So neither a large bucket nor a large group makes a large task or row count.
 
 Nulls and edges: a null label, or a vector that is null, empty, zero or holds null or non-finite components, links
-with nothing (n_links 0, its own component); vectors of different lengths do not link; a null vec_id is returned
-with n_links of its vector, if any, and a null component; repeated ids count as separate vectors of one node.
+with nothing (n_links 0, its own component); vectors of different lengths do not link; a null vec_id counts as a vector
+but has a null component; repeated ids are separate vectors of one node; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -136,27 +137,32 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, threshold: float = TH
     v = e.cast("array<double>")
     mark = F.when(whole, F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform(v, lambda x: (x + F.lit(0.0)).cast("string"))), 256))
     rows = scratch.keep(df.select("vec_id", "label", F.when(mark.isNotNull(), v).alias("v"), mark.alias("mark")))
-    # Equal vectors become one; rep names it.
-    # A mark whose ids are all null has no node, but its rows still count as each other's links.
-    reps = rows.where("mark is not null").groupBy("mark").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"))
-    reps = scratch.keep(reps)
-    named = rows.where("mark is not null").join(reps, "mark").where("vec_id = rep").select("rep", "mult", "label", "v").dropDuplicates(["rep", "label", "v"])
-    named = scratch.keep(named)
-    sizes = named.groupBy("label").count().agg(F.max("count")).first()[0] or 1
+    # Equal vectors become one, with a number of its own.
+    reps = rows.where("mark is not null").groupBy("mark").agg(
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("v").alias("v"))
+    reps = scratch.keep(reps.withColumn("nid", F.monotonically_increasing_id()))
+    sizes = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     k, tables = shape(sizes, threshold)
-    keyed = named.select("rep", "v").mapInArrow(_keys(k, tables), "rep long, keys array<long>")
-    keyed = scratch.keep(keyed.join(named.select("rep", "label", "mult").dropDuplicates(["rep"]), "rep").select("rep", "label", "mult", F.posexplode("keys").alias("tab", "key")))
+    keyed = reps.select(F.col("nid").alias("rep"), "v").mapInArrow(_keys(k, tables), "rep long, keys array<long>")
+    own = reps.select(F.col("nid").alias("rep"), "label", "mult")
+    keyed = scratch.keep(keyed.join(own, "rep").select("rep", "label", "mult", F.posexplode("keys").alias("tab", "key")))
     full = scratch.keep(keyed.groupBy("label", "tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    part = keyed.join(full, ["label", "tab", "key"]).join(named.select("rep", "v"), "rep")
+    part = keyed.join(full, ["label", "tab", "key"]).join(reps.select(F.col("nid").alias("rep"), "v"), "rep")
     part = part.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / TILE).cast("long")))
     part = tiles(part, "key", F.col("n"), F.col("rep"), TILE).withColumn("dim", F.size("v"))
     out = part.groupBy("label", "tab", "key", "dim", "ci", "cj").applyInArrow(_tile(k, tables, threshold), "rep long, links long, root long")
     out = scratch.keep(out)
     links = scratch.keep(out.groupBy("rep").agg(F.sum("links").alias("links")))
-    comp = components(scratch, out.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    info = reps.join(links, "rep", "left").join(comp, reps["rep"] == comp["node"], "left").select(
-        "mark", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
-    info = scratch.keep(info)
+    # Rows that share an id are one node, whatever their vectors.
+    ids = rows.where("mark is not null and vec_id is not null").select("vec_id", "mark").distinct()
+    ids = ids.join(reps.select("mark", "nid"), "mark")
+    same = ids.groupBy("vec_id").agg(F.min("nid").alias("a"), F.max("nid").alias("b")).where("a < b")
+    same = ids.join(scratch.keep(same.select("vec_id", "a")), "vec_id").select("a", F.col("nid").alias("b"))
+    comp = components(scratch, out.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(same))
+    node = reps.select("mark", "nid", "rep", "mult").join(links.withColumnRenamed("rep", "nid"), "nid", "left").join(comp.withColumnRenamed("node", "nid"), "nid", "left")
+    node = scratch.keep(node.select("mark", "rep", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "nid").alias("c")))
+    least = scratch.keep(node.groupBy("c").agg(F.min("rep").alias("least")))
+    info = scratch.keep(node.join(least, "c").select("mark", "n", F.col("least").alias("c")))
     got = rows.select("vec_id", "mark").join(info, "mark", "left")
     c = F.coalesce("c", "vec_id")
     return got.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), c).alias("component_id"), (F.col("vec_id").isNotNull() & (c == F.col("vec_id"))).alias("kept"))

@@ -198,11 +198,10 @@ def clean(spark: SparkSession, docs: DataFrame, *, least: int = LEAST) -> DataFr
     lines = find(spark, docs, scratch, least=least)
     by = lines.groupBy("did", "t").agg(F.count(F.lit(1)).alias("_n"), F.collect_list(F.when(F.col("why").isNotNull(), F.col("line"))).alias("_gone"))
     by = scratch.keep(by.where(F.size("_gone") > 0))
-    d = docs.withColumn("_did", did).withColumn("_t", t).join(by, (F.col("_did") == by["did"]) & (F.col("_t") == by["t"]), "left")
+    # The columns of docs travel as one, so that none of their names can clash.
+    d = docs.select(F.struct("*").alias("row"), did.alias("did"), t.alias("t")).join(by, ["did", "t"], "left")
     d = d.where(F.col("_n").isNull() | (F.size("_gone") < F.col("_n")))
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = d.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    d = d.withColumn("new", F.when(F.col("_gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")))
+    own = {"text": F.col("new"), "n_chars": F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast("long"))}
+    return d.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])

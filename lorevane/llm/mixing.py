@@ -105,8 +105,9 @@ def repeat(docs: DataFrame, scratch: Scratch, *, weights=WEIGHTS, share: float =
     found = plan(slim, scratch, weights=weights, share=share, max_epochs=max_epochs, seed=seed, cut_last=False, extra=("mark",))
     # Rows alike in all of these count as one here, with the copies of all of them dealt out evenly.
     times = scratch.keep(found.groupBy("doc_id", "mark", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
-    d = docs.withColumn("_mark", mark)
-    same = d["doc_id"].eqNullSafe(times["doc_id"]) & (d["_mark"] == times["mark"]) & d["source"].eqNullSafe(times["source"])
+    # The columns of docs travel as one, so that none of their names can clash.
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("a"), mark.alias("b"), F.col("source").alias("c"))
+    same = d["a"].eqNullSafe(times["doc_id"]) & (d["b"] == times["mark"]) & d["c"].eqNullSafe(times["source"])
     n = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    out = d.join(times, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1))))).where(F.col("copies") > 0)
-    return out.select(*[d[c] for c in docs.columns])
+    out = d.join(times.where("copies > 0"), same).select("row", F.explode(F.sequence(F.lit(1), n)))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -1,0 +1,463 @@
+"""Every operator against a plain version of itself on awkward tables, and on empty ones."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import edge
+import numpy as np
+import pytest
+
+from lorevane.llm import chat, embed_dedup, line_dedup, lm, minhash, mixing, packing, pii, quality, topk
+from lorevane.llm.common import components
+from lorevane.scratch import Scratch
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return edge.documents(spark)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return edge.documents(spark, empty=True)
+
+
+def union(n, pairs):
+    at = {x: x for x in n}
+
+    def find(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        at[max(a, b)] = min(a, b)
+    return {x: find(x) for x in n}
+
+
+# 1: line dedup
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
+
+
+def plain_lines(rows, least=line_dedup.LEAST):
+    places = []
+    for doc, text, *_ in rows:
+        for no, line in enumerate((text or "").split("\n") if text is not None else []):
+            c = re.sub("[ \t\n\r\x0b\x0c]+", " ", "".join(x.lower() if x.isascii() else x for x in line)).strip(" ")
+            if c:
+                places.append(((doc if doc is not None else 1 << 62, no), c, text))
+    first = {}
+    for p, c, _ in places:
+        first[c] = min(first.get(c, p), p)
+    near = {c for c in first for o in first if o != c and min(len(c), len(o)) >= least and first[o] < first[c] and one_edit(c, o)}
+    return [(p, c, t, "near" if c in near else "equal" if p > first[c] else None) for p, c, t in places]
+
+
+def test_line_dedup(spark, empty):
+    rng = np.random.default_rng(1)
+    base = [edge.prose(i, 8) for i in range(12)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.integers(1, 6)):
+            s = base[rng.integers(len(base))]
+            p = int(rng.integers(len(s)))
+            s = [s, s[:p] + s[p + 1 :], s[:p] + "#" + s[p:], s[:p] + "é" + s[p + 1 :], s.upper(), "  " + s.replace(" ", "\t ")][rng.integers(6)]
+            lines.append(s)
+        rows.append((i, "\n".join(lines), "en", "s", 1))
+    rows += [(100, "short", "en", "s", 1), (101, "shorT", "en", "s", 1), (102, "shore", "en", "s", 1), (103, None, "en", "s", 1), (104, "\n \n", "en", "s", 1)]
+    d = spark.createDataFrame(rows, edge.SCHEMA)
+    want = defaultdict(lambda: [0, 0, 0, []])
+    for (doc, no), _, _, why in plain_lines(rows):
+        w = want[doc]
+        w[0] += 1
+        w[1] += why == "equal"
+        w[2] += why == "near"
+        w[3] += [str(no)] if why else []
+    got = line_dedup.report(spark, d).collect()
+    assert len(got) == len(rows) and any(r.n_near for r in got)
+    for r in got:
+        n, e, m, gone = want[r.doc_id]
+        assert (r.n_lines, r.n_equal, r.n_near, r.removed) == (n, e, m, ",".join(gone))
+    assert line_dedup.report(spark, empty).count() == 0
+
+
+def test_line_clean(spark, docs, empty):
+    out = line_dedup.clean(spark, docs)
+    assert out.columns == docs.columns and line_dedup.clean(spark, empty).count() == 0
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text is None and got[2].text == "" and got[3].text == "   \n\t " and 6 not in got and got[7].text == edge.prose(5) + " end"
+    assert got[10].text == edge.prose(10) + "\n" + edge.prose(11) + "\n" and got[10].n_chars == len(got[10].text)
+
+
+def test_one_edit_keys_meet():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        s = "".join(rng.choice(list("abé "), rng.integers(1, 12)))
+        p = int(rng.integers(len(s)))
+        t = [s[:p] + s[p + 1 :], s[:p] + "x" + s[p:], s[:p] + "y" + s[p + 1 :]][rng.integers(3)]
+        assert set(line_dedup.halves(s)) & set(line_dedup.halves(t))
+
+
+# 2: personal data
+
+SLOW = {k: re.compile(v) for k, v in {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}.items()}
+
+
+def slow_spans(text):
+    for k, p in SLOW.items():
+        for m in p.finditer(text):
+            d = re.sub("[^0-9]", "", m[0])
+            if not (k == "ip" and any(int(x) > 255 for x in m[0].split(".")) or k == "card" and not (16 <= len(d) <= 19 and pii.luhn(d)) or k == "phone" and not 8 <= len(d) <= 15):
+                yield k, m.start(), m.end()
+
+
+def test_base_spans():
+    rng = np.random.default_rng(2)
+    for alphabet in ("01239a@.+- ()b", "0123456789 -", "a@.b-%", "25.0"):
+        for _ in range(3000):
+            t = "".join(rng.choice(list(alphabet), rng.integers(0, 45)))
+            assert list(slow_spans(t)) == pii.base_spans(t), t
+
+
+def test_model_finds_held_out_examples():
+    crf, good, false, gold = pii.Crf(pii.learn()), 0, 0, 0
+    for text, spans in pii.examples(300, seed=77):
+        got = {(pii.KINDS[y], *r.span(i, j)) for r in pii.regions(text, []) for i, j, y in crf.decode(r)}
+        good, false, gold = good + len(got & set(spans)), false + len(got - set(spans)), gold + len(spans)
+    assert good / gold > 0.97 and false / gold < 0.03
+
+
+def test_pii(spark, docs, empty):
+    t = "call +1 (269) 555-3296 4524132264652876 or 1.2.3.4, é a.b@c.de; version 2.0.1 of 2019"
+    d = spark.createDataFrame([(1, t), (2, None), (None, "7" * 50_000 + " x" * 50_000), (3, "clean text, 12 of 400")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(spark, d).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].n_card, got[1].n_phone, got[1].n_added) == (1, 1, 0, 0, 2)
+    kinds = [x.split(":") for x in got[1].spans.split(",")]
+    assert [(k, t[int(a) : int(b)]) for k, a, b in kinds] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4524132264652876"), ("phone", "+1 (269) 555-3296")]
+    base = ",".join(":".join(map(str, s)) for s in slow_spans(t))
+    assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[2].spans == got[3].spans == got[None].spans == ""
+    assert pii.find(spark, docs).count() == docs.count() and pii.find(spark, empty).count() == 0
+
+
+# 3: packing
+
+
+def test_packing(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(packing._path(packing.TOKENIZER))
+    extra = spark.createDataFrame([(50, "x <|endoftext|> y", "en", "s", 1), (51, "word " * 5000, "en", "s", 1)], edge.SCHEMA)
+    d = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    for capacity in (64, 2048):
+        rows = packing.pack(spark, d, capacity=capacity).collect()
+        ids = Counter()
+        for doc, text in d.collect():
+            x = np.array([*full.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+            for i, (s, n) in enumerate(packing.cut(len(x), capacity)):
+                ids[doc, i, s, n, zlib.crc32(x[s : s + n].tobytes())] += 1
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == ids
+        by = defaultdict(list)
+        for r in rows:
+            by[r.sequence_id].append((r.offset, r.length))
+        for v in by.values():
+            at = 0
+            for o, n in sorted(v):
+                assert o == at
+                at += n
+            assert at <= capacity
+        assert len(by) <= -(-sum(r.length for r in rows) // capacity) + 1 + len(rows) // 20
+    assert packing.pack(spark, empty).count() == 0
+
+
+def test_rounds_are_best_fit():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = rng.integers(1, 65, rng.integers(1, 200)).tolist()
+        gaps = []
+        for s in sorted(sizes, reverse=True):
+            fit = min((g for g in gaps if g >= s), default=None)
+            if fit is None:
+                gaps.append(64 - s)
+            else:
+                gaps.remove(fit)
+                gaps.append(fit - s)
+        out = packing.rounds(Counter(sizes), 64)
+        used = {f + i for _, a, b, f, _ in out for i in range(b - a)}
+        assert len(used) == len(gaps)
+
+
+# 4: quality
+
+
+def test_quality(spark, docs, empty):
+    rng = np.random.default_rng(4)
+    junk = lambda i: " ".join(w + "%%%" if i % 2 else w.upper() for w in rng.choice(edge.WORDS, 40))
+    rows = [(i, edge.prose(i) if i % 3 else junk(i), "en", "s", 1) for i in range(600)]
+    d = spark.createDataFrame(rows, edge.SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(600)] + [(5, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score(spark, d, labels).toPandas()
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)).all()
+    h = got[got.held_out]
+    assert ((h.doc_id % 3 > 0) == (h.predicted == 1)).mean() > 0.97 and ((got.score >= 0.3) == (got.predicted == 1)).all()
+    assert [r.doc_id for r in quality.keep(spark, d, labels).where("doc_id < 6").orderBy("doc_id").collect()] == [1, 2, 4, 5]
+    e = quality.score(spark, docs, labels).toPandas()
+    assert len(e) == docs.count() and e.score.between(0, 1).all() and quality.score(spark, empty, labels).count() == 0
+    none = quality.score(spark, docs, labels.where("false")).toPandas()
+    assert (none.score == 0.5).all()
+
+
+# 5: chat
+
+
+def test_viterbi_in_chunks():
+    rng = np.random.default_rng(5)
+    n, table = chat.STATES, rng.standard_normal((2, chat.STATES, chat.STATES))
+    first, trans = table[0, 0], table[1]
+    e = rng.standard_normal((40, n))
+    best, _ = max((sum(e[i, s] for i, s in enumerate(p)) + first[p[0]] + sum(trans[a, b] for a, b in zip(p, p[1:])), p) for p in [tuple(chat.viterbi(e, first, trans))])
+    v = first + e[0]
+    for x in e[1:]:
+        v = (v[:, None] + trans).max(axis=0) + x
+    assert abs(best - v.max()) < 1e-9
+    m = chat.transfer(e[10:], trans)
+    assert np.allclose((chat.begin(e[:10], first, trans)[:, None] + m).max(axis=0), v)
+
+
+def test_chat(spark, monkeypatch):
+    labelled = spark.createDataFrame(
+        [(c, t, ["user", "assistant"][t % 2], ("why is it so?" if t % 2 == 0 else "Because of a long list of reasons " * 12 + "\nand more")) for c in range(60) for t in range(6)], "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "System: be kind"), (1, 1, "User: what?\nAnd how?"), (1, 2, "### Assistant: so\nUser: ok\nAI: fine"), (2, 0, "why is it so?"), (2, 1, "Because of a long list of reasons " * 12), (2, 2, None),
+            (None, None, "Q: x\nA: y"), (3, 5, ""), (1, 2, "### Assistant: so\nUser: ok\nAI: fine")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = defaultdict(list)
+    for r in chat.parse(spark, d, labelled).orderBy("conv_id", "chunk", "part").collect():
+        got[r.conv_id].append((r.role, r.body))
+        assert r.rendered == f"<|{r.role}|>\n{r.body}\n<|end|>\n"
+    assert got[1] == [("system", "be kind"), ("user", "what?\nAnd how?")] + 2 * [("assistant", "so"), ("user", "ok"), ("assistant", "fine")]
+    assert [r for r, _ in got[2][:2]] == ["user", "assistant"] and got[None] == [("user", "x"), ("assistant", "y")] and got[3][0][1] == ""
+    held = labelled.where("conv_id < 20")
+    good = chat.parse(spark, held.drop("role"), labelled).where("opens").selectExpr("avg(cast((role = if(first_turn % 2 = 0, 'user', 'assistant')) as int))").first()[0]
+    assert good > 0.95
+    assert chat.parse(spark, d.where("false"), labelled).count() == 0 and chat.parse(spark, d, labelled.where("false")).count() > 0
+    # A long transcript in many chunks reads like the same transcript in one.
+    long = spark.createDataFrame([(9, t, ["why?", "Because of it " * 9][t % 2]) for t in range(300)], "conv_id long, turn long, text string")
+    roles = lambda: [r.role for r in chat.parse(spark, long, labelled).orderBy("chunk", "part").collect()]
+    many = roles()
+    monkeypatch.setattr(chat, "CHUNK", 100_000)
+    assert roles() == many and len(many) == 300
+
+
+# 6: exact top-k
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(6)
+    v = np.round(rng.standard_normal((700, 8)) * 0.4, 1)
+    rows = [(i, [float(x) for x in v[i]], 1) for i in range(700)] + [(700, None, 1), (800, [1.0, None], 1), (900, [float("nan")] * 8, 1), (1000, [float("inf")] * 8, 1), (1100, [], 1), (None, [0.1] * 8, 1), (1200, [0.5, 0.5], 1), (3, [float(x) for x in v[3]], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    w = np.floor(1024 * v.astype(np.float32).astype(np.float64)).astype(np.int64)
+    every = [(i, w[i]) for i in range(700)] + [(3, w[3])]
+    want = {}
+    for q in range(0, 700, 100):
+        best = sorted((-int(w[q] @ x), i) for i, x in every if i != q)[:10]
+        want[q] = [(i, -s) for s, i in best]
+    got = defaultdict(list)
+    for r in topk.search(spark, d).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == want
+    assert topk.search(spark, d.where("false")).count() == 0
+    ids, top, scored = topk.best(w[:2].astype(float), np.array([0, 1]), w.astype(float), np.arange(700), 5)
+    assert scored <= 2 * 700 and (np.sort(-top, axis=1) == -top).all()
+
+
+# 7: MinHash
+
+
+def plain_sets(rows, size):
+    for doc, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        yield doc, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
+def test_minhash(spark, docs, empty, size, percent):
+    rng = np.random.default_rng(7)
+    rows = edge.rows()
+    for g in range(12):  # groups of changed copies
+        base = edge.prose(100 + g, 120).split()
+        for c in range(8):
+            w = list(base)
+            for p in rng.integers(0, len(w), rng.integers(0, 7)):
+                w[p] = f"new{rng.integers(1000)}"
+            rows.append((1000 + g * 10 + c, " ".join(w), "en", "s", 1))
+    sets = [(d, s) for d, s in plain_sets(rows, size)]
+    own = [(d, s) for d, s in sets if d is not None]
+    links = [(a, b) for i, (a, x) in enumerate(own) for b, y in own[:i] if x and y and 100 * len(x & y) >= percent * len(x | y)]
+    comp = union({d for d, _ in own}, links)
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, edge.SCHEMA), words=size, percent=percent).collect()
+    want = Counter((d, len(s), comp.get(d), d is not None and comp[d] == d) for d, s in sets)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert minhash.near_duplicates(spark, empty).count() == 0
+    kept = minhash.keep(spark, docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id or -1 for r in kept.where("doc_id < 10 or doc_id is null").collect()) == [-1, 1, 2, 3, 4, 5, 8, 9]
+
+
+def test_sketch_estimates():
+    rng = np.random.default_rng(8)
+    errors = []
+    for _ in range(60):
+        n, s = int(rng.integers(1, 400)), rng.random()
+        common, a, b = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (n, int(n * s), int(n * s)))
+        x, y = minhash.sketch(np.unique(np.concatenate([common, a]))), minhash.sketch(np.unique(np.concatenate([common, b])))
+        errors.append((x == y).mean() - n / (n + 2 * int(n * s)))
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
+    assert len(set(minhash.sketch(np.array([5], np.uint64)))) > 100  # every bin is filled, each in a round of its own
+
+
+def test_components(spark):
+    rng = np.random.default_rng(9)
+    pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(100)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (120, 2))]
+    pairs = [(int(a) * -1 if a % 2 else a, b) for a, b in pairs]
+    want = union({x for p in pairs for x in p}, pairs)
+    got = components(Scratch(spark, "t"), spark.createDataFrame([*pairs, (None, 1), (7, 7)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == want
+
+
+# 8: language model
+
+
+def test_lm(spark, docs, empty):
+    got = lm.score(spark, docs).collect()
+    token = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) + ["\n"]
+    c = Counter()
+    for doc, text, *_ in edge.rows():
+        if zlib.crc32(str("" if doc is None else doc).encode()) % 5 != 1:
+            c.update(token(text))
+    n, z = c.total(), c.total() + 0.5 * (len(c) + 1)
+    want = Counter()
+    for doc, text, *_ in edge.rows():
+        w = token(text)
+        want[doc, zlib.crc32(str("" if doc is None else doc).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.5) / z) for x in w), 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 for r in got) and sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert lm.score(spark, empty).count() == 0
+
+
+def test_automaton_sums_to_one_and_reads_in_runs():
+    rng = np.random.default_rng(10)
+    k = 6
+    text = rng.choice(k, 400, p=[0.3, 0.3, 0.2, 0.1, 0.05, 0.05])
+    counts = np.bincount(text, minlength=k).astype(float)
+    unigram = counts / counts.sum() * 0.9  # the rest is for other words
+    grams = {}
+    for n in (2, 3):
+        code = sum(text[i : len(text) - n + 1 + i] * k ** (n - 1 - i) for i in range(n))
+        key, c = np.unique(code, return_counts=True)
+        grams[n] = key[c > 1], c[c > 1].astype(float)
+    a = lm.Automaton(unigram, counts, grams)
+
+    def after(state, w):
+        total = 0.0
+        while True:
+            key = state * k + w
+            i = np.searchsorted(a.arc, key)
+            if state == 0:
+                return total + a.root[w], a.root_next[w]
+            if i < len(a.arc) and a.arc[i] == key:
+                return total + a.logp[i], a.next[i]
+            total, state = total + a.weight[state], a.fail[state]
+
+    for s in range(len(a.fail)):
+        known = sum(10 ** after(s, w)[0] for w in range(k))
+        assert abs(known + 10 ** a.out[s] * 0.1 - 1) < 1e-9
+    docs = [rng.integers(-1, k, rng.integers(1, 30)) for _ in range(50)]
+    got = a.read(np.concatenate(docs), np.repeat(np.arange(50), [len(d) for d in docs]), 50)
+    for d, g in zip(docs, got):
+        state, total = 0, 0.0
+        for w in d:
+            if w < 0:
+                total, state = total + a.out[state], 0
+            else:
+                p, state = after(state, w)
+                total += p
+        assert abs(total - g) < 1e-9
+
+
+# 9: embedding near-dedup
+
+
+def test_embed_dedup(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((40, 16))
+    v = [(i, centres[i % 40] + rng.standard_normal(16) * 0.18 * (i % 3), i % 2) for i in range(600)]
+    v += [(600 + i, centres[0] * (1 + i % 2), 0) for i in range(10)]
+    rows = [(i, [float(x) for x in e], label) for i, e, label in v]
+    rows += [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] * 16, 1), (703, [1.0, None], 0), (704, rows[0][1], None), (705, [1.0, 2.0], 0), (706, [], 0), (5, rows[5][1], 1), (None, rows[7][1], 1)]
+    got = embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    good = [(i, np.array(e, np.float32).astype(float), y) for i, e, y in rows if y is not None and e and None not in e and np.isfinite(e).all() and np.any(e)]
+    links, edges = Counter(), []
+    for p, (a, x, ya) in enumerate(good):
+        for q, (b, y, yb) in enumerate(good):
+            if p != q and ya == yb and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.93:
+                links[p] += 1
+                edges.append((a, b))
+    comp = union({i for i, *_ in rows if i is not None}, [(a, b) for a, b in edges if a is not None and b is not None])
+    found = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got)
+    at, want, sure = iter(range(len(good))), Counter(), {(i, tuple(e.tolist()), y) for i, e, y in good}
+    for i, e, y in rows:
+        ok = y is not None and e and None not in e and (i, tuple(np.array(e, np.float32).astype(float).tolist()), y) in sure
+        n = links[next(at)] if ok else 0
+        want[i, n, comp.get(i), i is not None and comp[i] == i] += 1
+    assert sum((found & want).values()) >= 0.99 * len(rows), (found - want, want - found)
+    assert sum(r.n_links for r in got) <= sum(links.values())
+    assert embed_dedup.near_duplicates(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# 10: mixing
+
+
+def plain_targets(sizes, share=1.5, cap=2.0):
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while True:
+        total = sum(w[s] for s in open_)
+        over = {s for s in open_ if left * w[s] / total > cap * sizes[s]}
+        if not over:
+            return out | {s: left * w[s] / total for s in open_}
+        for s in over:
+            out[s] = cap * sizes[s]
+            left -= out[s]
+        open_ -= over
+        if not open_:
+            return out
+
+
+def test_mixing(spark, docs, empty):
+    sizes = defaultdict(int)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for _, text, _, source, _ in edge.rows():
+        sizes[source] += size(text)
+    want = plain_targets(sizes)
+    once, again = (sorted((r.doc_id or -1, r.source or "", r["size"], r.source_size, r.target, r.taken) for r in mixing.mix(docs, Scratch(spark, "t")).collect()) for _ in range(2))
+    assert once == again and len(once) == docs.count()
+    taken = defaultdict(int)
+    for _, source, n, whole, target, t in once:
+        assert whole == sizes[source or None] and abs(target - want[source or None]) < 1e-6 and 0 <= t <= 2 * n
+        taken[source or None] += t
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    out = mixing.repeat(docs, Scratch(spark, "t"))
+    assert out.columns == docs.columns and mixing.repeat(empty, Scratch(spark, "t")).count() == 0 and mixing.mix(empty, Scratch(spark, "t")).count() == 0
+    assert set(out.select("text").distinct().collect()) <= set(docs.select("text").distinct().collect())
