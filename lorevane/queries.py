@@ -822,3 +822,175 @@ def k4_new_ids(spark, d):
 def f14_visibility_bits(spark, d):
     v = F.when(F.col("toxic") == 1, F.lit(C.PUBLIC | C.SECRET)).otherwise(F.lit(C.PUBLIC)).cast("long")
     return table(spark, d, "labels").select("doc_id", v.alias("visibility"), annotate.is_hidden(v).alias("hidden"), annotate.is_secret(v).alias("secret"))
+
+
+# ---------------------------------------------------------------- more of the inventory
+
+
+@query("SELECT o_orderkey AS id, o_custkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 100 = 0")
+def j1_load_rows(spark, d):
+    """Ids first, the rest of the columns only for them."""
+    hits = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_quantity")
+    return rows.join(hits, "id").select("id", "o_custkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+WITH g AS (SELECT p_partkey, p_size, p_name, unnest(range(1, length(replace(p_name, ' ', '')))) AS i, replace(p_name, ' ', '') AS t FROM part),
+b AS (SELECT p_partkey, p_size, substr(t, i, 2) AS g, count(*) AS c FROM g GROUP BY ALL), n AS (SELECT p_partkey, sum(c) AS n FROM b GROUP BY p_partkey),
+s AS (SELECT x.p_partkey AS nid, y.p_partkey AS idx, sum(least(x.c, y.c)) AS k FROM b x JOIN b y ON x.p_size = y.p_size AND x.g = y.g WHERE x.p_partkey % 20 = 0 AND y.p_partkey <> x.p_partkey GROUP BY ALL),
+d AS (SELECT nid, idx, 2.0 * k / (x.n + y.n) AS sim FROM s JOIN n x ON x.p_partkey = nid JOIN n y ON y.p_partkey = idx)
+SELECT nid, idx, round(sim, 9) AS sim FROM d WHERE sim >= 0.7 QUALIFY row_number() OVER (PARTITION BY nid ORDER BY sim DESC, idx) = 1
+""")
+def j13_best_segment(spark, d):
+    p = table(spark, d, "part")
+    needles = p.where("p_partkey % 20 = 0").select("p_size", F.col("p_partkey").alias("nid"), F.col("p_name").alias("needle"), F.lit(-1).alias("from"))
+    segs = p.select("p_size", F.col("p_partkey").alias("idx"), F.lit(0).alias("offset"), F.col("p_name").alias("text"))
+    own = needles.join(segs, "p_size").where("nid <> idx").select(F.concat_ws("-", "p_size", "nid").alias("k"), "idx", "offset", "text")
+    got = similarity.best_segment(needles.withColumn("k", F.concat_ws("-", "p_size", "nid")).drop("p_size"), own, "k")
+    return got.select("nid", "idx", F.round("sim", 9).alias("sim"))
+
+
+@query("SELECT round(min(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS worst FROM embeddings")
+def a18_worst_cosine(spark, d):
+    return table(spark, d, "embeddings").agg(F.round(F.min(vectors.dot(F.col("embedding"), vectors.l2_normalize(F.col("embedding")))), 6).alias("worst"))
+
+
+@query(f"""
+WITH d AS ({_DRAFTS}), c AS ({_CORR}),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stable_key ORDER BY ordinal) AS k FROM d), c1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, stable_key ORDER BY correction_id) AS k FROM c),
+p AS (SELECT d1.doc_id, ordinal, correction_id FROM d1 JOIN c1 USING (doc_id, stable_key, k)),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, alt_anchor ORDER BY ordinal) AS k FROM d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.doc_id = d.doc_id AND p.ordinal = d.ordinal)),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, alt_anchor ORDER BY correction_id) AS k FROM c WHERE alt_anchor IS NOT NULL AND NOT EXISTS (SELECT 1 FROM p WHERE p.correction_id = c.correction_id))
+SELECT (SELECT count(*) FROM c) - (SELECT count(*) FROM p) - (SELECT count(*) FROM d2 JOIN c2 USING (doc_id, alt_anchor, k)) AS unmatched
+""")
+def a12_unmatched_corrections(spark, d):
+    pairs = i4_corrections(spark, d)
+    c = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select(F.col("doc_id").alias("correction_id"))
+    return c.join(pairs, "correction_id", "left_anti").agg(F.count(F.lit(1)).alias("unmatched"))
+
+
+@query("SELECT min(o_orderkey) AS first_id FROM orders")
+def w8_first_id(spark, d):
+    return table(spark, d, "orders").agg(F.min("o_orderkey").alias("first_id"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ordinal FROM conversations WHERE turn % 3 <> 1")
+def w12_renumber(spark, d):
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return table(spark, d, "conversations").where("turn % 3 <> 1").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '…' ELSE text END AS short, CASE WHEN instr(substr(text, 101), 'th') > 0 THEN (instr(substr(text, 101), 'th') + 99)::BIGINT ELSE -1 END AS at FROM documents
+""")
+def x35_truncate_and_find(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.truncate(t, 60).alias("short"), text.find_in(t, F.lit("th"), F.lit(100)).cast("long").alias("at"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def x37_timestamps(spark, d):
+    from lorevane.session import configure
+
+    configure(spark)
+    return table(spark, d, "events").select("event_id", text.timestamp_text(F.col("ts")).alias("at"))
+
+
+@query(f"""
+SELECT CAST(a AS BIGINT) AS id, regexp_matches(b, '[一-鿿㐀-䶿]{{7,}}') AS long_run, regexp_matches(b, '[一-鿿㐀-䶿]') AS hanzi, regexp_matches(b, '^[A-Za-z0-9]+$') AS latin FROM {values(SPOKEN + [(5, "Abc9")], "a", "b")}
+""")
+def f10_script_tests(spark, d):
+    q = F.col("q")
+    return literal(spark, SPOKEN + [(5, "Abc9")], "id long, q string").select("id", text.has_long_run(q).alias("long_run"), text.has_hanzi(q).alias("hanzi"), text.is_latin_or_digit(q).alias("latin"))
+
+
+@query(f"WITH {LANES_SQL} SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM top GROUP BY qid HAVING count(DISTINCT id) >= 3)")
+def q6_gate(spark, d):
+    """The queries whose lanes found fewer than three chunks."""
+    return searching.gate(table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), _lanes(spark, d))
+
+
+@query()
+def q7_spellings(spark, d):
+    """Romanised forms of names, by the readings that come with Spark."""
+    from lorevane.functions import han
+
+    bag = T.pinyin_bag(han.readings(spark))
+    return _entries(spark).select("id", bag(F.col("title"), annotate.aliases(F.col("title"), F.col("body"))).alias("bag"))
+
+
+TRADITIONAL = [("斷橋獨門",), ("Latin",), ("灰港",)]
+
+
+@query(f"SELECT a AS raw, translate(a, '斷橋獨門', '断桥独门') AS simple FROM {values(TRADITIONAL, 'a')}")
+def x2_simplified(spark, d):
+    from lorevane.functions import han
+
+    return literal(spark, TRADITIONAL, "raw string").select("raw", text.to_simplified(F.col("raw"), han.simplified(spark)).alias("simple"))
+
+
+STYLES = [("Heading1", 1), ("heading 4", 4), ("Heading5", None), ("标题2", 2), ("標題 3", 3), ("2", 2), ("9", None), ("Normal", None), ("", None)]
+LOOKS = [("第三回 夜雨", 1), ("灰港", 2), ("名字：老格", None), ("名：a", 2), ("他说完了。", None), ("x", None), ("这一行比十二个字还要长一些所以不是", None), ("<w>", None), ("分号；", None)]
+
+
+@query(f"SELECT a AS style, CAST(b AS BIGINT) AS level FROM {values(STYLES, 'a', 'b')}")
+def s10_style_level(spark, d):
+    return literal(spark, [(a,) for a, _ in STYLES], "style string").select("style", docx.level_of_style(F.col("style")).cast("long").alias("level"))
+
+
+@query(f"SELECT a AS line, CAST(b AS BIGINT) AS level FROM {values(LOOKS, 'a', 'b')}")
+def s11_text_level(spark, d):
+    return literal(spark, [(a,) for a, _ in LOOKS], "line string").select("line", docx.level_of_text(F.col("line")).cast("long").alias("level"))
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+h AS (
+  SELECT doc_id, i, {_STRIP('x')} AS x, length({_STRIP('x')}) BETWEEN 2 AND 16 AND NOT regexp_matches({_STRIP('x')}, '^第|[章节回]') AND ((starts_with({_STRIP('x')}, '【') AND ends_with({_STRIP('x')}, '】')) OR (NOT regexp_matches({_STRIP('x')}, '[；;]$') AND NOT regexp_matches({_STRIP('x')}, '[。！？：:]'))) AS head FROM l
+), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM h),
+b AS (SELECT doc_id, grp, max(CASE WHEN head THEN {_STRIP("regexp_replace(x, '^[【】「」\\[\\]]+|[【】「」\\[\\]]+$', '', 'g')")} END) AS title, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT head AND x <> ''), '') AS body FROM g GROUP BY doc_id, grp)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS i, coalesce(nullif(title, ''), '未命名块') AS title, sha1(body) AS sha FROM b
+WHERE (coalesce(title, '') <> '' AND length(body) >= 12) OR (coalesce(title, '') = '' AND length(body) >= 40)
+""")
+def i6_local_split(spark, d):
+    t = _cut(spark, d, refine.local_split(F.col("text")))
+    return t.select("doc_id", "i", F.col("part.title").alias("title"), F.sha1(F.col("part.body").cast("binary")).alias("sha"))
+
+
+@query()
+def i7_materialize(spark, d):
+    """Cuts proposed by segment number, taken back to the source."""
+    t = table(spark, d, "documents").where(F.length("text") > 200)
+    e = F.array(*[F.struct(F.lit(f"part {n}").alias("title"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("entity_type"), F.lit("").alias("body"), F.lit("").alias("anchor"), F.lit(n).cast("long").alias("start")) for n in range(0, 12, 3)])
+    got = t.select("doc_id", F.posexplode(refine.materialize_udf("text", e)).alias("i", "e"))
+    return got.select("doc_id", F.col("i").cast("long").alias("i"), F.col("e.title").alias("title"), F.sha1(F.col("e.body").cast("binary")).alias("sha"))
+
+
+@query("SELECT doc_id, array_to_string(list_distinct([source, lang]), ',') <> '' AS some, len(list_distinct([source, lang, source])) AS n FROM documents")
+def o3_name_union(spark, d):
+    u = F.array_union(F.array("source", "lang"), F.array("source"))
+    return table(spark, d, "documents").select("doc_id", (F.array_join(u, ",") != "").alias("some"), F.size(u).cast("long").alias("n"))
+
+
+@query()
+def i12_backfill(spark, d):
+    """Windows of the documents without vectors, encoded by the stand-in."""
+    from lorevane.plans import importing
+
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    have = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    got, _ = importing.backfill(chunks, have, importing.hashed_encoder())
+    return got.select("chunk_id", F.col("seq").cast("long").alias("seq"), F.round(vectors.dot(F.col("v"), F.col("v")), 3).alias("norm"))
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 50")
+def r2_stream_retention(spark, d):
+    """The events as a stream into a bounded log; what the log holds at the end."""
+    from lorevane.streaming.incremental import keep_latest
+
+    scratch = Scratch(spark, "stream")
+    schema = table(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque*").select("event_id", "user_id")
+    keep_latest(rows, "user_id", ["event_id"], f"{scratch.base}/log", f"{scratch.base}/cp", keep=50).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{scratch.base}/log/v0")

@@ -27,13 +27,17 @@ def root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Writes tables for one query; ``drop`` removes those that no later step reads."""
+    """Writes tables for one query; ``drop`` removes those that no later step reads, and the rest goes with the driver."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{root(spark)}/lorevane/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.n = 0
+        p = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the rows once as Parquet and return a frame that reads them."""
