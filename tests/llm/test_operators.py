@@ -461,3 +461,14 @@ def test_mixing(spark, docs, empty):
     out = mixing.repeat(docs, Scratch(spark, "t"))
     assert out.columns == docs.columns and mixing.repeat(empty, Scratch(spark, "t")).count() == 0 and mixing.mix(empty, Scratch(spark, "t")).count() == 0
     assert set(out.select("text").distinct().collect()) <= set(docs.select("text").distinct().collect())
+
+
+def test_blocks_of_clustered_rows_are_skipped():
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 64))
+    v = np.floor(1024 * (centres[rng.integers(40, size=4000)] / 8 + rng.standard_normal((4000, 64)) * 0.01))
+    own = np.arange(0, 4000, 100)
+    ids, top, scored = topk.best(v[own], own, v, np.arange(4000), 10)
+    every = v[own] @ v.T
+    every[np.arange(len(own)), own] = -(2.0**60)
+    assert (np.sort(-every, axis=1)[:, :10] == -top).all() and scored < 0.5 * every.size
