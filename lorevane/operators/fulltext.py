@@ -10,6 +10,8 @@ Phrases reach chunks by ``scan``, one pass in which each chunk tests all phrases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,8 @@ from lorevane import constants as C
 from lorevane.functions.text import let, overlapping
 from lorevane.scratch import Scratch
 
-#: Phrases a batch may have to be tested on every chunk; larger batches go through the index.
-SCAN_PHRASES = 2_000
+#: Phrases that one pass tests on every chunk; more of them take more passes.
+SCAN_PHRASES = 20_000
 
 
 def trigrams(c: Column) -> Column:
@@ -50,8 +52,18 @@ def _frequency(phrase: Column, title: str, body: str) -> Column:
 
 
 def scan(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(phrase, id, f, size) of all matches, in one pass over the chunks."""
+    """(phrase, id, f, size) of all matches, in one pass over the chunks for every SCAN_PHRASES phrases."""
     every = phrases.where(F.length("phrase") >= 3).select("phrase").distinct()
+    return reduce(DataFrame.unionByName, [_scan(b, chunks) for b in in_blocks(every, "phrase", SCAN_PHRASES)])
+
+
+def in_blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """Rows in blocks of about ``most``, dealt by a hash of the key: what a pass sends to every task stays bounded."""
+    n = max(1, -(-rows.count() // most))
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def _scan(every: DataFrame, chunks: DataFrame) -> DataFrame:
     every = every.agg(F.array_sort(F.collect_list(F.struct("phrase", F.lower("phrase").alias("p")))).alias("every"))
     texts = F.struct(F.lower("title").alias("t"), F.lower("search_text").alias("b"))
     hit = let(texts, lambda x: F.filter("every", lambda p: F.contains(x["t"], p["p"]) | F.contains(x["b"], p["p"])))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from lorevane import constants as C
 from lorevane.functions.text import ascii_lower, let, normalize, occurrences
 
+from .fulltext import SCAN_PHRASES, in_blocks
+
 #: Lanes in the order in which they first name themselves for a hit.
 LANES = ("fts", "index", "body", "semantic")
 
@@ -28,12 +32,16 @@ def lane(df: DataFrame, name: str, k: int, *order: Column) -> DataFrame:
 def like(queries: DataFrame, chunks: DataFrame, name: str, columns: list[Column]) -> DataFrame:
     """Lane of the chunks in which a column holds the query (qid, needle), ASCII case aside; in order of id.
 
-    Needles of a batch are tested in one pass: they go to every chunk as one array of (qid, needle)."""
-    every = queries.where("needle <> ''").agg(F.collect_list(F.struct("qid", ascii_lower(F.col("needle")).alias("needle"))).alias("every"))
+    Needles are tested in one pass for every SCAN_PHRASES: they go to every chunk as one array of (qid, needle)."""
     lowered = F.array(*[ascii_lower(c) for c in columns])
     hit = let(lowered, lambda cs: F.filter("every", lambda q: F.exists(cs, lambda c: F.contains(c, q["needle"]))))
-    got = chunks.crossJoin(F.broadcast(every)).select("id", F.explode(hit).alias("q")).select("q.qid", "id")
-    return lane(got, name, C.LIKE_LIMIT, F.col("id"))
+
+    def one(block: DataFrame) -> DataFrame:
+        every = block.agg(F.collect_list(F.struct("qid", ascii_lower(F.col("needle")).alias("needle"))).alias("every"))
+        return chunks.crossJoin(F.broadcast(every)).select("id", F.explode(hit).alias("q")).select("q.qid", "id")
+
+    got = [one(b) for b in in_blocks(queries.where("needle <> ''"), "qid", SCAN_PHRASES)]
+    return lane(reduce(DataFrame.unionByName, got), name, C.LIKE_LIMIT, F.col("id"))
 
 
 def fuse(lanes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Vector retrieval: exact inner products, the best part of each chunk, and upkeep of the vectors.
 
-Queries are a small set against all vectors. They go to every task in blocks of bounded size, and a block's scores
-against an Arrow batch are one matrix product, of which each task hands on only its best parts per query.
+Queries are a stated set against all vectors. Both are dealt into parts of bounded size, and a pair of parts is one matrix
+product, of which a task hands on only the best chunks per query.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from lorevane.functions.vectors import dot
 
 from .ranking import lane
 
-#: Queries sent to the tasks at once, by size; more of them are scored block by block.
-BLOCK_BYTES = 16 << 20
+#: Vectors and queries of one task.
+SHARD_ROWS = 16384
+QUERY_ROWS = 1024
 
 
 def scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -32,56 +33,41 @@ def best_parts(scored: DataFrame) -> DataFrame:
     return scored.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
 
 
+def _best_of(k: int):
+    schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        v, q = (np.asarray(t["v"].combine_chunks().flatten()).astype(np.float64).reshape(t.num_rows, -1) for t in (left, right))
+        # Parts of a chunk side by side: the best of each is one reduction.
+        chunk, ids = left["chunk_id"].to_numpy(), right["qid"].to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        chunk, start = np.unique(chunk[order], return_index=True)
+        score = np.maximum.reduceat(q @ v[order].T, start, axis=1)
+        best = np.lexsort((np.broadcast_to(chunk, score.shape), -score), axis=-1)[:, :k]
+        return pa.table({"qid": np.repeat(ids, best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}, schema=schema)
+
+    return task
+
+
 def top_chunks(queries: DataFrame, vectors: DataFrame, k: int = C.VECTOR_LIMIT) -> DataFrame:
-    """(qid, chunk_id, score): the k best chunks of each query, by matrix products. Chunks of a query tie by id.
-
-    A chunk's parts may lie in several tasks, so each task keeps its k best chunks with their best part: the k best of all
-    chunks are among those."""
-    rows = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>")).toArrow() if queries.count() else None
-    schema = "qid long, chunk_id long, score double"
-    if rows is None:
-        return vectors.sparkSession.createDataFrame([], schema)
-    n = max(1, BLOCK_BYTES // (8 * max(1, len(rows["qv"][0]))))
-    out = None
-    for at in range(0, rows.num_rows, n):
-        part = rows.slice(at, n)
-        model = vectors.sparkSession.sparkContext.broadcast((part["qid"].to_numpy(), np.array(part["qv"].to_pylist(), np.float64)))
-
-        def run(batches, model=model):
-            ids, q = model.value
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def cut():
-                a, b, s = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((b, -s, a))
-                a, b, s = a[order], b[order], s[order]
-                first = np.unique(np.stack([a, b]), axis=1, return_index=True)[1]  # best part of each chunk
-                first.sort()
-                a, b, s = a[first], b[first], s[first]
-                order = np.lexsort((b, -s, a))
-                a, b, s = a[order], b[order], s[order]
-                start = np.concatenate([[True], a[1:] != a[:-1]])
-                place = np.arange(len(a)) - np.maximum.accumulate(np.where(start, np.arange(len(a)), 0))
-                held[:] = [(a[place < k], b[place < k], s[place < k])]
-
-            for batch in batches:
-                fit = pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False) == q.shape[1]
-                batch = batch.filter(pa.array(np.nan_to_num(fit).astype(bool)))
-                if not batch.num_rows:
-                    continue
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                s = q @ v.T
-                held.append((np.repeat(ids, len(v)), np.tile(batch.column(0).to_numpy(), len(ids)), s.ravel()))
-                cut()
-            if held:
-                a, b, s = held[0]
-                yield pa.record_batch({"qid": a, "chunk_id": b, "score": s})
-
-        got = vectors.select(F.col("chunk_id").cast("long"), "v").mapInArrow(run, schema)
-        out = got if out is None else out.unionByName(got)
-    best = best_parts(out)
+    """(qid, chunk_id, score): the k best chunks (chunk_id, v) of each query (qid, qv), by their best part. Ties go by id.
+
+    Vectors are dealt to shards and queries to blocks, both of bounded size; each pair of them is one task with one matrix
+    product, which hands on k chunks a query. The k best of all chunks are among those."""
+    keep = lambda c: F.col(c).isNotNull() & (F.size(c) > 0)
+    v = vectors.where(keep("v")).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("v").cast("array<double>").alias("v"))
+    q = queries.where(keep("qv")).select(F.col("qid").cast("long").alias("qid"), F.col("qv").cast("array<double>").alias("v"))
+    shards, blocks = (max(1, -(-d.count() // n)) for d, n in ((v, SHARD_ROWS), (q, QUERY_ROWS)))
+    both = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: (F.monotonically_increasing_id() % n).cast("int")
+    left = v.withColumn("shard", place(shards)).withColumn("block", both(blocks)).withColumn("dim", F.size("v"))
+    right = q.withColumn("block", place(blocks)).withColumn("shard", both(shards)).withColumn("dim", F.size("v"))
+    keys = ("shard", "block", "dim")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of(k), "qid long, chunk_id long, score double")
     w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return best_parts(found).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def semantic_lane(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -827,24 +827,24 @@ def f14_visibility_bits(spark, d):
 # ---------------------------------------------------------------- more of the inventory
 
 
-@query("SELECT o_orderkey AS id, o_custkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 100 = 0")
+@query("SELECT o_orderkey AS id, o_custkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'")
 def j1_load_rows(spark, d):
     """Ids first, the rest of the columns only for them."""
-    hits = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("id"), "o_custkey")
+    hits = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), "o_custkey")
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_quantity")
     return rows.join(hits, "id").select("id", "o_custkey", "l_linenumber", "l_quantity")
 
 
 @query("""
-WITH g AS (SELECT p_partkey, p_size, p_name, unnest(range(1, length(replace(p_name, ' ', '')))) AS i, replace(p_name, ' ', '') AS t FROM part),
+WITH g AS (SELECT p_partkey, p_brand || p_size AS p_size, p_name, unnest(range(1, length(replace(p_name, ' ', '')))) AS i, replace(p_name, ' ', '') AS t FROM part),
 b AS (SELECT p_partkey, p_size, substr(t, i, 2) AS g, count(*) AS c FROM g GROUP BY ALL), n AS (SELECT p_partkey, sum(c) AS n FROM b GROUP BY p_partkey),
-s AS (SELECT x.p_partkey AS nid, y.p_partkey AS idx, sum(least(x.c, y.c)) AS k FROM b x JOIN b y ON x.p_size = y.p_size AND x.g = y.g WHERE x.p_partkey % 20 = 0 AND y.p_partkey <> x.p_partkey GROUP BY ALL),
+s AS (SELECT x.p_partkey AS nid, y.p_partkey AS idx, sum(least(x.c, y.c)) AS k FROM b x JOIN b y ON x.p_size = y.p_size AND x.g = y.g WHERE y.p_partkey <> x.p_partkey GROUP BY ALL),
 d AS (SELECT nid, idx, 2.0 * k / (x.n + y.n) AS sim FROM s JOIN n x ON x.p_partkey = nid JOIN n y ON y.p_partkey = idx)
 SELECT nid, idx, round(sim, 9) AS sim FROM d WHERE sim >= 0.7 QUALIFY row_number() OVER (PARTITION BY nid ORDER BY sim DESC, idx) = 1
 """)
 def j13_best_segment(spark, d):
-    p = table(spark, d, "part")
-    needles = p.where("p_partkey % 20 = 0").select("p_size", F.col("p_partkey").alias("nid"), F.col("p_name").alias("needle"), F.lit(-1).alias("from"))
+    p = table(spark, d, "part").withColumn("p_size", F.concat("p_brand", F.col("p_size").cast("string")))
+    needles = p.select("p_size", F.col("p_partkey").alias("nid"), F.col("p_name").alias("needle"), F.lit(-1).alias("from"))
     segs = p.select("p_size", F.col("p_partkey").alias("idx"), F.lit(0).alias("offset"), F.col("p_name").alias("text"))
     own = needles.join(segs, "p_size").where("nid <> idx").select(F.concat_ws("-", "p_size", "nid").alias("k"), "idx", "offset", "text")
     got = similarity.best_segment(needles.withColumn("k", F.concat_ws("-", "p_size", "nid")).drop("p_size"), own, "k")
@@ -961,7 +961,7 @@ def i6_local_split(spark, d):
 @query()
 def i7_materialize(spark, d):
     """Cuts proposed by segment number, taken back to the source."""
-    t = table(spark, d, "documents").where(F.length("text") > 200)
+    t = table(spark, d, "documents")
     e = F.array(*[F.struct(F.lit(f"part {n}").alias("title"), F.array().cast("array<string>").alias("aliases"), F.lit("").alias("entity_type"), F.lit("").alias("body"), F.lit("").alias("anchor"), F.lit(n).cast("long").alias("start")) for n in range(0, 12, 3)])
     got = t.select("doc_id", F.posexplode(refine.materialize_udf("text", e)).alias("i", "e"))
     return got.select("doc_id", F.col("i").cast("long").alias("i"), F.col("e.title").alias("title"), F.sha1(F.col("e.body").cast("binary")).alias("sha"))

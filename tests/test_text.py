@@ -79,3 +79,50 @@ def test_rank_of_short_and_long_forms(spark):
     assert one(spark, text.strip_heading_marks(F.lit("【「铁门」】"))) == "铁门"
     assert one(spark, text.find_in(F.lit("abcabc"), F.lit("bc"), F.lit(2))) == 4
     assert one(spark, text.timestamp_text(F.lit("2024-01-02 03:04:05").cast("timestamp"))) == "2024-01-02T03:04:05Z"
+
+
+def plain_search(chunks, queries):
+    """The read path for Latin queries in plain Python."""
+    import math
+
+    out = {}
+    sizes = {i: max(len(t) - 2, 0) + max(len(s) - 2, 0) for i, _, t, _, s in chunks}
+    n, avg = len(chunks), sum(sizes.values()) / len(chunks)
+    count = lambda s, p: sum(s.startswith(p, i) for i in range(len(s)))
+    for qid, text in queries:
+        q, scores = " ".join(text.split()), {}
+        for p in {t.lower() for t in T.extract(q, {})}:
+            f = {i: c for i, _, t, _, s in chunks if (c := count(t.lower(), p) + count(s.lower(), p))}
+            idf = math.log((n - len(f) + 0.5) / (len(f) + 0.5))
+            for i, c in f.items():
+                scores[i] = scores.get(i, 0) + (idf if idf > 0 else 1e-6) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * sizes[i] / avg))
+        best = sorted(scores, key=lambda i: (-scores[i], i))[:30]
+        rrf, hits, seen = {i: 1 / (61 + k) for k, i in enumerate(best)}, [], set()
+        by = {c[0]: c for c in chunks}
+        for i in best:
+            _, doc, title, body, _ = by[i]
+            if (doc, title) in seen:
+                continue
+            seen.add((doc, title))
+            boost = 12 if title == q else 8 if q in title else 4 * body.count(q) / (1 + max(len(body), 1) / 160)
+            hits.append((not (q in title), -(rrf[i] + boost), title, i))
+        out[qid] = [(i, round(-s, 9)) for _, s, _, i in sorted(hits)[:20]]
+    return out
+
+
+def test_search_against_plain_version(spark):
+    import random
+
+    from lorevane.plans import searching
+
+    rng, words = random.Random(1), "iron gate harbour mist tower ash bridge salt river anan the of".split()
+    chunks = []
+    for i in range(60):
+        body = " ".join(rng.choices(words, k=rng.randint(3, 60)))
+        title = " ".join(rng.choices(words, k=2))
+        chunks.append((i, i % 20, title, body, f"{title}\n{body}"))
+    queries = [(1, "iron gate"), (2, chunks[7][2]), (3, "anan  mist of the salt"), (4, "zzz"), (5, "ash"), (6, " ".join(chunks[3][3].split()[:9]))]
+    c = spark.createDataFrame([(i, d, t, b, [], "p", 100, s) for i, d, t, b, s in chunks], "id long, doc_id long, title string, body string, names array<string>, parent_path string, source_rank int, search_text string")
+    rows = searching.search(spark.createDataFrame(queries, "qid long, text string"), c).orderBy("qid", "rank").collect()
+    got = {q: [(r.id, round(r.score, 9)) for r in rows if r.qid == q] for q, _ in queries}
+    assert got == plain_search(chunks, queries) and got[4] == [] and got[2]
