@@ -31,7 +31,7 @@ from .embed_dedup import spanning
 from .words import Hashes, mix, raw, split
 
 BINS, BANDS, ROWS = 126, 21, 6
-TILE = 192
+TILE = 96
 COLUMNS = 8192
 
 
