@@ -79,9 +79,11 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     rng = np.random.default_rng(seed)
     seen = np.bincount(np.concatenate([k for k, _ in docs]), minlength=BUCKETS)
     used = np.flatnonzero(seen >= min(LEAST_DOCS, len(docs)))
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
-    docs = [(place[k][place[k] >= 0], w[place[k] >= 0]) for k, w in docs]
+    for i, (k, w) in enumerate(docs):  # in place, so that no second copy is held
+        at = place[k]
+        docs[i] = at[at >= 0], w[at >= 0]
     emb = (rng.standard_normal((len(used), DIM)) / DIM).astype(np.float32)
     out, bias = (rng.standard_normal((DIM, 2)) / DIM).astype(np.float32), np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(len(used), 1e-6, np.float32), np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
