@@ -77,7 +77,7 @@ def import_files(spark: SparkSession, found: DataFrame, known: DataFrame, correc
     stem = F.regexp_extract("file_name", r"^(.+?)(?:\.[^.]*)?$", 1)
     b = good.select("doc_id", stem.alias("stem"), F.posexplode(B.coalesce_titles(F.col("blocks"))).alias("block", "x"))
     b = b.select("doc_id", "stem", "block", F.col("x.heading_level").alias("level"), F.col("x.title").alias("title"), F.col("x.text").alias("text"))
-    drafts, notes = refine.drafts(b, o.table, o.splitter)
+    drafts, notes = refine.drafts(b, o.table, o.splitter, scratch)
     own = corrections.join(good.select("doc_id"), "doc_id", "left_semi")
     drafts, unmatched = maintain.apply_corrections(scratch.keep(drafts), own)
     chunks = scratch.keep(with_index_text(drafts, o).withColumn("source_rank", F.lit(C.SOURCE_RANK)))

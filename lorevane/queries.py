@@ -372,7 +372,7 @@ def i5_refined_drafts(spark, d):
     """Plain texts through blocks, rules, keys and lead-ins."""
     t = table(spark, d, "documents").select("doc_id", F.col("source").alias("stem"), F.posexplode(blocks.coalesce_titles(blocks.plain(F.col("text")))).alias("block", "x"))
     b = t.select("doc_id", "stem", "block", F.col("x.heading_level").alias("level"), F.col("x.title").alias("title"), F.col("x.text").alias("text"))
-    out, _ = refine.drafts(b)
+    out, _ = refine.drafts(b, scratch=Scratch(spark, "drafts"))
     return out.select("doc_id", "ordinal", "stable_key", "alt_anchor", "content_hash", "entity_type", "title", "visibility", F.array_join("names", ",").alias("names"))
 
 
