@@ -1,21 +1,20 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens are lower-cased (A-Z) words and one end per document. The unigram level is (c + 0.5) / (N + 0.5 * (V + 1)),
-with the count c of every word of the training documents. N-grams up to ``ORDER`` over the state words (those
-with a share of ``STATE_SHARE`` of all tokens or more) are counted over all training documents too; those with a share of
-``NGRAM_SHARE`` or more become arcs, with absolute discounting, and what the discount frees goes by a failure
-arc to the next shorter context, so each state's probabilities sum to 1.
+with the count c of every word of the training documents. N-grams up to ``ORDER`` over all words are counted over all training
+documents too; those seen ``LEAST`` times or more, at any size of the corpus, are arcs, with absolute discounting, and what the
+discount frees goes by a failure arc to the next shorter context, so each state's probabilities sum to 1.
 
 The automaton: states are contexts; an arc has a log10 probability and a next state; a failure arc has a backoff
-weight. A document is read once from left to right: while the state has no arc for the token, take the failure
-arc and add its weight; then take the arc. A word that is no state word fails to the root, which gives it its unigram
-probability. Runs of state words between such words start at the root, so runs of many documents advance together,
-token by token, as one vector of states.
+weight. A document is read from left to right: while the state has no arc for the token, take the failure arc and
+add its weight; then take the arc. ``Automaton`` does that in memory, for a small vocabulary. For a corpus its weights are pushed:
+an n-gram's weight is its own log-probability less that of the path by its failure arc, plus its backoff weight as a
+context of what follows. With counts, an n-gram that is an arc has all its shorter parts as arcs, so a document's score is the sum of
+the pushed weights of all its n-grams, and states need not be followed from token to token.
 
-What is broadcast has a bound that doesn't depend on the corpus: at most 1 / ``STATE_SHARE`` state words,
-1 / ``NGRAM_SHARE`` arcs of each order, and 1 / ``CORE_SHARE`` counts of frequent words. Counts of all other words stay a
-distributed table, joined by word hash; each of them occurs in less than a share of ``CORE_SHARE`` of the tokens, so no key
-of that join is hot.
+The weights are a distributed table, which grows with the corpus, and are joined by a 64-bit hash of the n-gram. Only those
+that would be hot keys of this join are broadcast instead: at most 1 / ``FAST_SHARE`` n-grams of each order and
+1 / ``CORE_SHARE`` words, at any size. Which way a weight takes doesn't change the result.
 
 Nulls and edges: a null text is empty and has just its end; an empty training set gives c = 0, N = 0, V = 0 and the
 score 0 for each token (log10 of 1, the unknown word's share); null and repeated ids are separate documents; extra
@@ -33,10 +32,10 @@ from pyspark.sql import functions as F
 from lorevane.scratch import Scratch
 
 from .common import fold
-from .words import CACHE, raw, split
+from .words import CACHE, mix, raw, split
 
-STATE_SHARE = 1e-4
-NGRAM_SHARE = 2e-6
+LEAST = 2
+FAST_SHARE = 2e-6
 CORE_SHARE = 5e-7
 ORDER = 3
 DISCOUNT = 0.75
@@ -45,46 +44,15 @@ END = b"\n"  # no word can be this
 CHUNK = 300_000
 
 
-def signed(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def _count(batches):
-    """(training, text) to the hashes and counts of the training documents' tokens."""
-    seen: dict[bytes, int] = {}
-
-    def out():
-        b = pa.record_batch({"w": pa.array([signed(w) for w in seen], pa.int64()), "n": pa.array(seen.values(), pa.int64())})
-        seen.clear()
-        return b
-
-    from collections import _count_elements  # the C loop of Counter.update
-
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            texts = raw(part.column(1).filter(part.column(0)))
-            for t in texts:
-                _count_elements(seen, split(t))
-            if texts:
-                seen[END] = seen.get(END, 0) + len(texts)
-            if len(seen) > CHUNK:
-                yield out()
-    if seen:
-        yield out()
-
-
 class Index(dict):
-    """Slot of each word; the slot's arrays hold its state word (or -1), core log-probability (or nan) and hash."""
+    """Slot of each word; ``hash`` holds the slot's hash."""
 
-    def __init__(self, state: np.ndarray, core: np.ndarray, logp: np.ndarray):
-        self.tables = state, core, logp
+    def __init__(self):
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.word, self.logp, self.hash = np.zeros(1024, np.int64), np.zeros(1024), np.zeros(1024, np.int64)
+        self.hash = np.zeros(1024, np.uint64)
 
     def learn(self, words: list[bytes]) -> None:
         """Gives slots to the words that have none, all at once."""
@@ -95,17 +63,9 @@ class Index(dict):
             self.reset()
             new = list(set(words))
         i, n = len(self), len(self) + len(new)
-        while n > len(self.word):
-            self.word, self.logp, self.hash = (np.concatenate([x, np.zeros_like(x)]) for x in (self.word, self.logp, self.hash))
-        state, core, logp = self.tables
-        h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)).view(np.int64)
-        self.hash[i:n] = h
-        self.word[i:n], self.logp[i:n] = -1, np.nan
-        for table, slots, values in ((state, self.word, np.arange(len(state))), (core, self.logp, logp)):
-            if len(table):
-                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                hit = table[at] == h
-                slots[i:n][hit] = values[at[hit]]
+        while n > len(self.hash):
+            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
+        self.hash[i:n] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         self.update(zip(new, range(i, n)))
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -130,26 +90,56 @@ def _chunks(batch_texts, index: Index):
         yield rows, np.array(sizes), index.of(words)
 
 
-def _ngrams(tables, order: int):
+def join(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Key of n-grams, by the keys of their first and their last n - 1 words."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(n))
+
+
+def ngrams(h: np.ndarray, sizes: np.ndarray, order: int):
+    """(n, starts, keys of the first n - 1 words, keys of the last n - 1 words, keys) of all n-grams from 2 to
+    ``order`` within documents. h: hashed tokens; sizes: tokens of each document."""
+    edge = np.zeros(len(h), bool)
+    edge[np.cumsum(sizes) - 1] = True  # the end closes a document
+    g, ok = h, np.ones(len(h), bool)
+    for n in range(2, order + 1):
+        if len(g) < 2:
+            return
+        ok = ok[:-1] & ~edge[n - 2 : -1]
+        a, b = g[:-1], g[1:]
+        g = join(a, b, n)
+        at = np.flatnonzero(ok)
+        yield n, at, a[at], b[at], g[at]
+
+
+def _count(order: int):
+    """(training, text) to the n-grams of the training documents: order, keys of first and last n - 1 words, count."""
+
+    def out(n: int, a: np.ndarray, b: np.ndarray, count: np.ndarray):
+        return pa.record_batch({"o": pa.array(np.full(len(a), n), pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(count.astype(np.int64))})
+
     def run(batches):
-        index = Index(*tables.value)
-        k = len(tables.value[0])
-        for b in batches:
-            texts = raw(b.column(1).filter(b.column(0)))
-            for _, sizes, slot in _chunks(texts, index):
-                w = index.word[slot]
-                edge = np.zeros(len(w), bool)
-                edge[np.cumsum(sizes) - 1] = True  # the end closes a document
-                code, ok = w.copy(), w >= 0
-                for n in range(2, order + 1):
-                    ok = ok[:-1] & (w[n - 1 :] >= 0) & ~edge[n - 2 : -1][: len(ok) - 1]
-                    code = code[:-1] * k + w[n - 1 :]
-                    key, count = np.unique(code[ok], return_counts=True)
-                    yield pa.record_batch({"o": pa.array(np.full(len(key), n), pa.int32()), "g": pa.array(key), "n": pa.array(count.astype(np.int64))})
+        index = Index()
+        for batch in batches:
+            for _, sizes, slot in _chunks(raw(batch.column(1).filter(batch.column(0))), index):
+                count = np.bincount(slot)
+                used = np.flatnonzero(count)
+                yield out(1, index.hash[used], np.zeros(len(used), np.uint64), count[used])
+                for n, _, a, b, g in ngrams(index.hash[slot], sizes, order):
+                    _, first, count = np.unique(g, return_index=True, return_counts=True)
+                    yield out(n, a[first], b[first], count)
 
     return run
 
 
+def _named(batches):
+    """Adds the key of each n-gram."""
+    for b in batches:
+        o, x, y = (b.column(i).to_numpy() for i in range(3))
+        x, y = x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)
+        g = np.where(o == 1, x, join(x, y, o))
+        yield pa.record_batch([*b.columns, pa.array(g.view(np.int64))], names=["o", "a", "b", "n", "g"])
+
+
 class Automaton:
     """States, arcs and failure arcs. Words are 0 to k - 1; state 0 is the root, whose arcs are ``root``."""
 
@@ -251,62 +241,112 @@ class Automaton:
         return total
 
 
-def _score(tables, model):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))])
+def _score(tables, unknown: float, order: int):
+    """Rows of two kinds: one per document with what the broadcast weights give (its key is no n-gram's, just spread), and one per
+    other n-gram of a document with how often it stands there. Other words have the score of unknown ones so far."""
+    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+    def find(g: np.ndarray, table: np.ndarray):
+        at = np.minimum(np.searchsorted(table, g), max(0, len(table) - 1))
+        return at, table[at] == g if len(table) else np.zeros(len(g), bool)
 
     def run(batches):
-        index, automaton = Index(*tables.value), model.value
+        index = Index()
+        (core, first, whole), fast = tables.value
         for b in batches:
-            ids, held = b.column(0), b.column(1)
-            for docs, n, slot in _chunks(raw(b.column(2)), index):
-                doc = np.repeat(np.arange(len(docs)), n)
-                w, p = index.word[slot], index.logp[slot]
-                core = ~np.isnan(p)
-                base = np.bincount(doc[core], p[core], len(docs))
-                # The automaton gives the state words' part; other core words come at their unigram.
-                plain = core & (w < 0)
-                score = automaton.read(w, doc, len(docs)) + np.bincount(doc[plain], p[plain], len(docs))
-                known = np.bincount(doc[core], minlength=len(docs))
-                rest, times = [], []
-                ends = np.cumsum(n)
-                for s, e in zip(ends - n, ends):
-                    r, t = np.unique(index.hash[slot[s:e][~core[s:e]]], return_counts=True)
-                    rest.append(r)
-                    times.append(t.astype(np.int32))
+            row, ids, held = b.column(0), b.column(1), b.column(2)
+            for docs, sizes, slot in _chunks(raw(b.column(3)), index):
+                k = len(docs)
+                doc = np.repeat(np.arange(k), sizes)
+                used = np.unique(slot)
+                at, hit = find(index.hash[used], core)
+                p, q = np.full(len(index), unknown), np.full(len(index), unknown)
+                if len(core):
+                    p[used[hit]], q[used[hit]] = first[at[hit]], whole[at[hit]]
+                is_core = np.zeros(len(index), bool)
+                is_core[used[hit]] = True
+                base, score = np.bincount(doc, p[slot], k), np.bincount(doc, q[slot], k)
+                other = ~is_core[slot]
+                known = k and np.bincount(doc[~other], minlength=k)
+                h = index.hash[slot]
+                keys, owners = [h[other]], [doc[other]]
+                for n, start, _, _, g in ngrams(h, sizes, order):
+                    table, weight = fast[n]
+                    at, hit = find(g, table)
+                    d = doc[start]
+                    if hit.any():
+                        score += np.bincount(d[hit], weight[at[hit]], k)
+                    keys.append(g[~hit])
+                    owners.append(d[~hit])
                 rows = pa.array(docs)
-                yield pa.record_batch([ids.take(rows), held.take(rows), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.array(rest, schema.field("rest").type), pa.array(times, schema.field("times").type)], schema=schema)
+                r = row.take(rows)
+                r_ = r.to_numpy().astype(np.int64)
+                spread = mix(r_.view(np.uint64) + np.uint64(0xD1B54A32D192ED03)).view(np.int64)
+                yield pa.record_batch([pa.array(spread), r, pa.nulls(k, pa.int64()), ids.take(rows), held.take(rows), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], schema=schema)
+                key, owner = np.concatenate(keys), np.concatenate(owners)
+                by = np.lexsort((key, owner))
+                key, owner = key[by], owner[by]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(key)))
+                m = len(new)
+                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(r_[owner[new]]), pa.array(times.astype(np.int64)), *(pa.nulls(m, f.type) for f in list(schema)[3:])], schema=schema)
 
     return run
 
 
-def score(spark: SparkSession, docs: DataFrame, *, mod: int = 5, out: int = 1, order: int = ORDER) -> DataFrame:
+def weights(scratch: Scratch, grams: DataFrame, z: float, unknown: float, order: int, discount: float = DISCOUNT) -> DataFrame:
+    """Pushed weights of all arcs: o, key, n, base, w; those of words are without the unknown word's score."""
+    log, least = F.log10, F.lit(1e-12)
+    lower = grams.where("o = 1").select("g", "n", ((F.col("n") + F.lit(0.5)) / F.lit(z)).alias("p"), (log((F.col("n") + F.lit(0.5)) / F.lit(z)) - F.lit(unknown)).alias("w"))
+    out = []
+    for o in range(2, order + 2):
+        base = F.col("w") if o == 2 else F.lit(0.0)
+        if o > order:
+            out.append(lower.select(F.lit(o - 1).alias("o"), F.col("g").alias("key"), "n", base.alias("base"), "w"))
+            break
+        t = grams.where(F.col("o") == o).select("g", "a", "b", "n")
+        t = t.join(lower.select(F.col("g").alias("a"), F.col("n").alias("c")), "a").select("g", "a", "b", "n", ((F.col("n") - F.lit(discount)) / F.col("c")).alias("p"))
+        t = scratch.keep(t.join(lower.select(F.col("g").alias("b"), F.col("p").alias("q")), "b").select("g", "a", "n", "p", "q"))
+        back = log(F.greatest(1 - F.sum("p"), least) / F.greatest(1 - F.sum("q"), least))
+        contexts = scratch.keep(t.groupBy("a").agg(back.alias("back")))
+        as_context = lower.join(contexts, lower["g"] == contexts["a"], "left")
+        out.append(as_context.select(F.lit(o - 1).alias("o"), F.col("g").alias("key"), "n", base.alias("base"), (F.col("w") + F.coalesce("back", F.lit(0.0))).alias("w")))
+        lower = scratch.keep(t.join(contexts, "a").select("g", "n", "p", (log("p") - F.col("back") - log("q")).alias("w")))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return scratch.keep(found)
+
+
+def score(spark: SparkSession, docs: DataFrame, *, mod: int = 5, out: int = 1, order: int = ORDER, least: int = LEAST, fast_share: float = FAST_SHARE, core_share: float = CORE_SHARE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(spark, "lm")
     sc = spark.sparkContext
     d = docs.select("doc_id", (fold(F.col("doc_id"), mod) == out).alias("held_out"), F.col("text"))
-    counts = d.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
-    counts = scratch.keep(counts)
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    grams = d.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count(order), "o int, a long, b long, n long")
+    grams = grams.groupBy("o", "a", "b").agg(F.sum("n").alias("n")).where((F.col("o") == 1) | (F.col("n") >= least))
+    grams = scratch.keep(grams.mapInArrow(_named, "o int, a long, b long, n long, g long"))
+    n, v = grams.where("o = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     z = n + 0.5 * (v + 1)
-    core = counts.where(F.col("c") >= max(1.0, CORE_SHARE * n)).toPandas().sort_values("w")  # 1 / CORE_SHARE rows at most
-    h, c = core["w"].to_numpy(np.int64), core["c"].to_numpy(np.float64)
-    top = c >= max(1.0, STATE_SHARE * n)
-    tables = sc.broadcast((h[top], h, np.log10((c + 0.5) / z)))
-    grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    if top.any():
-        g = d.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_ngrams(tables, order), "o int, g long, n long")
-        g = g.groupBy("o", "g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, NGRAM_SHARE * n))
-        g = g.toPandas().sort_values(["o", "g"])  # 1 / NGRAM_SHARE rows an order at most
-        grams = {int(o): (x["g"].to_numpy(np.int64), x["n"].to_numpy(np.float64)) for o, x in g.groupby("o")}
-    model = sc.broadcast(Automaton((c[top] + 0.5) / z, c[top], grams))
-    scored = d.select("doc_id", "held_out", "text").mapInArrow(
-        _score(tables, model), "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, times array<int>")
-    scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()))
-    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("w"), F.col("x.times").alias("t"))
-    rest = rest.join(counts, "w", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    logp = F.log10((F.col("c") + F.lit(0.5)) / F.lit(float(z)))
-    more = rest.groupBy("row").agg(F.sum(F.col("t") * logp).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("t")).otherwise(F.lit(0))).alias("also"))
-    zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return scored.drop("rest", "times").join(more, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + zero("also")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("more")).alias("base_score"), (F.col("score") + zero("more")).alias("score"))
+    unknown = float(np.log10(0.5 / z))
+    found = weights(scratch, grams, float(z), unknown, order)
+    hot = found.where(F.col("n") >= F.when(F.col("o") == 1, F.lit(max(1.0, core_share * n))).otherwise(F.lit(max(1.0, fast_share * n))))
+    hot = hot.select("o", "key", "base", "w").toPandas()  # 1 / core_share words and 1 / fast_share n-grams an order at most
+    broadcast = {}
+    for o in range(1, order + 1):
+        x = hot[hot["o"] == o]
+        key = x["key"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(key)
+        broadcast[o] = key[by], x["base"].to_numpy(np.float64)[by] + unknown, x["w"].to_numpy(np.float64)[by] + (unknown if o == 1 else 0.0)
+    tables = sc.broadcast((broadcast[1], {o: (k, w) for o, (k, _, w) in broadcast.items()}))
+    cold = found.where(F.col("n") < F.when(F.col("o") == 1, F.lit(max(1.0, core_share * n))).otherwise(F.lit(max(1.0, fast_share * n))))
+    read = d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(
+        _score(tables, unknown, order), "key long, row long, t long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
+    cold = cold.select("key", F.col("base").alias("base_w"), "w", (F.col("o") == 1).cast("long").alias("word"))
+    read = read.join(cold, "key", "left").where("n_tokens is not null or w is not null")
+    total = lambda x: F.coalesce(F.sum(F.col("t") * F.col(x)), F.lit(0))
+    read = read.groupBy("row").agg(
+        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")), total("base_w").alias("more"), total("w").alias("more_w"), total("word").alias("also"))
+    return read.select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("also")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more_w")).alias("score"))

@@ -355,6 +355,16 @@ def test_lm(spark, docs, empty):
     assert lm.score(spark, empty).count() == 0
 
 
+def test_lm_keeps_ngrams_seen_twice_in_a_large_corpus(spark):
+    """A million tokens more don't make arcs seen twice go."""
+    rows = [(0, "a b c " * 400_000, "en", "s", 1), (2, "x0 . x1 . " * 200, "en", "s", 1), (4, "x0 x1", "en", "s", 1), (6, "x0 x1", "en", "s", 1)]
+    assert all(zlib.crc32(str(r[0]).encode()) % 5 != 1 for r in rows)
+    got = {r.doc_id: r for r in lm.score(spark, spark.createDataFrame(rows, edge.SCHEMA)).collect()}
+    n = 1_200_001 + 801 + 3 + 3
+    p = (202 + 0.5) / (n + 0.5 * 8)  # a b c x0 x1 . and the end
+    assert abs(got[4].score - (math.log10(p) + math.log10(1.25 / 202) + math.log10(1.25 / 2))) < 1e-6
+
+
 def test_automaton_sums_to_one_and_reads_in_runs():
     rng = np.random.default_rng(10)
     k = 6
