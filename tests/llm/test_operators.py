@@ -355,6 +355,40 @@ def test_lm(spark, docs, empty):
     assert lm.score(spark, empty).count() == 0
 
 
+def _automaton(train, discount=0.75, least=2, order=3):
+    """The model in memory over all words: the words' numbers and the automaton."""
+    c = Counter(w for t in train for w in t)
+    at, k = {w: i for i, w in enumerate(sorted(c))}, max(1, len(c))
+    z = c.total() + 0.5 * (len(c) + 1)
+    grams = {}
+    for n in range(2, order + 1):
+        seen = Counter(sum(at[w] * k ** (n - 1 - j) for j, w in enumerate(t[i : i + n])) for t in train for i in range(len(t) - n + 1))
+        codes = np.array(sorted(x for x in seen if seen[x] >= least), np.int64)
+        grams[n] = codes, np.array([seen[x] for x in codes.tolist()], float)
+    counts = np.array([c[w] for w in sorted(c)], float)
+    return at, lm.Automaton((counts + 0.5) / z, counts, grams, discount), math.log10(0.5 / z)
+
+
+@pytest.mark.parametrize("fast, core", [(2e-6, 5e-7), (1.0, 1.0), (2e-3, 5e-3)])
+def test_lm_uses_every_ngram_at_every_size(spark, fast, core):
+    """Rare words are states and n-grams seen twice are arcs, by whatever way their weights come."""
+    rng = np.random.default_rng(12)
+    # About 30,000 tokens: the pairs of rare words are far below a share of 1e-4.
+    texts = [" ".join(rng.choice(edge.WORDS, 60)) for _ in range(500)]
+    pair = [f"rare{i}a rare{i}b Rare{i}c" for i in range(40)]
+    texts = [f"{t} {pair[i % 40]} {t[:9]}" if i < 120 else t for i, t in enumerate(texts)] + ["", None]
+    token = lambda t: (t or "").lower().split() + ["\n"]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    at, a, unknown = _automaton([token(t) for i, t in enumerate(texts) if not held(i)])
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], edge.SCHEMA)
+    got = {r.doc_id: r for r in lm.score(spark, d, fast_share=fast, core_share=core).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = np.array([at.get(x, -1) for x in token(t)], np.int64)
+        want = a.read(w, np.zeros(len(w), np.int64), 1)[0] + unknown * (w < 0).sum()
+        assert abs(got[i].score - want) < 1e-6, i
+
+
 def test_lm_keeps_ngrams_seen_twice_in_a_large_corpus(spark):
     """A million tokens more don't make arcs seen twice go."""
     rows = [(0, "a b c " * 400_000, "en", "s", 1), (2, "x0 . x1 . " * 200, "en", "s", 1), (4, "x0 x1", "en", "s", 1), (6, "x0 x1", "en", "s", 1)]
