@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 2048 tokens."""
+    """Pieces with their ids and places in sequences of 2048 tokens."""
     return packing.pack(spark, docs)
 
 

@@ -9,7 +9,8 @@ their length: the successor gap takes as many items as it has sequences, by rank
 back in order, and so on until the round's items are placed; new sequences open only when no gap fits. This is
 best-fit decreasing, done for all items of a length at once. The state is at most ``capacity`` lengths and does not
 grow with the documents, so the rounds run on the driver over the counts alone. What is distributed is the rest:
-tokenising, counting, ranking the items of each length and looking the ranks up in the rounds' result.
+tokenising, counting, ranking the items of each length and looking the ranks up in the rounds' result. Each piece
+carries its ids; ``sequences`` puts them together.
 
 Ranks: items are dealt to (length, bucket) by hash, numbered there, and shifted by the running count of the
 buckets before, so a length that a third of all items have is spread over many tasks.
@@ -40,6 +41,8 @@ RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 #: Items a rank bucket holds, about.
 BUCKET = 100_000
+#: Ids that are handed on at once, about.
+CHUNK = 1_000_000
 
 
 def _path(name: str) -> str:
@@ -74,20 +77,52 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(capacity: int, tokenizer: str, ranks: str | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def out(rows, ids):
+        ends = np.cumsum([0, *(r[3] for r in rows)]).astype(np.int32)
+        return pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*rows), schema.types)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32)))], schema=schema)
 
     def run(batches):
         encode = encoder(tokenizer, ranks)
         for b in batches:
-            rows = []
+            rows, all_ids, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), 0], "<u4")
-                rows += [(doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(cut(len(ids), capacity))]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [[]] * 5, schema=schema)
+                for i, (s, n) in enumerate(cut(len(ids), capacity)):
+                    rows.append((doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+                    all_ids.append(ids[s : s + n])
+                    held += n
+                    if held > CHUNK:
+                        yield out(rows, all_ids)
+                        rows, all_ids, held = [], [], 0
+            if rows:
+                yield out(rows, all_ids)
 
     return run
 
 
+def digest(packed: DataFrame) -> DataFrame:
+    """``packed`` with the crc32 of the ids that each row carries (little-endian, 4 bytes each) in place of the ids."""
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(6)
+            values, at = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4"), np.cumsum([0, *ids.value_lengths().to_pylist()])
+            crc = [zlib.crc32(values[s:e].tobytes()) for s, e in zip(at, at[1:])]
+            yield pa.record_batch([*b.columns[:4], pa.array(crc, pa.int64()), *b.columns[4:6]], names=names)
+
+    return packed.select(*(n for n in names if n != "ids_crc32"), "ids").mapInArrow(
+        run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """The training sequences, ``capacity`` ids each at most: sequence_id, ids."""
+    part = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(part, lambda x: x["ids"])).alias("ids"))
+
+
 def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, offset): where the items of each rank go."""
     gaps: list[int] = []  # in order
@@ -126,10 +161,10 @@ def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
 def pack(
     spark: SparkSession, docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ranks: str | None = RANKS,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (its token ids)."""
     scratch = Scratch(spark, "pack")
     pieces = docs.select("doc_id", "text").mapInArrow(
-        _pieces(capacity, tokenizer, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long")
+        _pieces(capacity, tokenizer, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
     pieces = scratch.keep(pieces)
     n = pieces.count()
     buckets = max(64, -(-n // BUCKET))
@@ -145,4 +180,4 @@ def pack(
     # The rounds' result depends on the lengths that occur, never on how many items have them.
     at = (F.col("size") == F.col("length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     return ranked.join(F.broadcast(placed), at).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", "ids")

@@ -21,7 +21,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, table(spark, sf_dir, "documents"))
+    """Places of the pieces; their ids as a hash."""
+    return packing.digest(packing.pack(spark, table(spark, sf_dir, "documents")))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

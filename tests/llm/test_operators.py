@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import edge
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorevane.llm import chat, embed_dedup, line_dedup, lm, minhash, mixing, packing, pii, quality, topk
 from lorevane.llm.common import components
@@ -181,6 +182,24 @@ def test_packing(spark, docs, empty):
     assert packing.pack(spark, empty).count() == 0
 
 
+def test_packing_carries_the_ids(spark, docs):
+    encode = packing.encoder()
+    d = docs.select("text").where("length(text) < 100000").withColumn("doc_id", F.monotonically_increasing_id())
+    d = spark.createDataFrame(d.collect(), "text string, doc_id long").unionByName(spark.createDataFrame([("word " * 300, 1 << 50)], "text string, doc_id long"))
+    packed = Scratch(spark, "test").keep(packing.pack(spark, d, capacity=64))
+    rows = packed.collect()
+    whole = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        whole[r.doc_id] += r.ids
+    assert whole == {r.doc_id: [*encode(r.text or ""), 0] for r in d.collect()}
+    got = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    for r in rows:
+        assert got[r.sequence_id][r.offset : r.offset + r.length] == r.ids
+    assert sum(map(len, got.values())) == sum(r.length for r in rows) and max(map(len, got.values())) <= 64
+    assert Counter(map(tuple, packing.digest(packed).collect())) == Counter(map(tuple, packed.drop("ids").collect()))
+
+
 def test_rounds_are_best_fit():
     rng = np.random.default_rng(3)
     for _ in range(30):
