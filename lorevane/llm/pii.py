@@ -47,7 +47,8 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _BETWEEN = re.compile(r"[ ().\-/+]{1,3}")
-_HINT = re.compile(r"@|[\[(] ?at ?[\])]| dot ", re.I)
+#: What every match of _SPELLED has: one of its three ways to say "at".
+_HINT = re.compile(r"@|[\[(] ?at ?[\])]| at ", re.I)
 
 
 def luhn(digits: str) -> bool:

@@ -140,6 +140,13 @@ def test_model_finds_held_out_examples():
     assert good / gold > 0.97 and false / gold < 0.03
 
 
+def test_every_spelled_address_is_a_region():
+    for at in ("@", " at ", "(at)", " [at] ", "[ at ]", " AT "):
+        for dot in (".", " dot ", "[dot]", " [dot] ", "(dot)"):
+            text = f"write jane{at}mail{dot}com"
+            assert pii._SPELLED.search(text) and [r.spelled for r in pii.regions(text, [])] == [True], text
+
+
 def test_pii(spark, docs, empty):
     t = "call +1 (269) 555-3296 4524132264652876 or 1.2.3.4, é a.b@c.de; version 2.0.1 of 2019"
     d = spark.createDataFrame([(1, t), (2, None), (None, "7" * 50_000 + " x" * 50_000), (3, "clean text, 12 of 400")], "doc_id long, text string")
