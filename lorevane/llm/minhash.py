@@ -5,8 +5,8 @@ bin of its own hash, and a bin keeps the smallest hash of the first round that r
 bin after bin takes the minimum over all elements, so every one of the t bins is filled. Most sets fill all bins in two
 or three rounds; agreement over bins estimates the Jaccard similarity with the concentration of independent bins.
 
-Candidates: ``BANDS`` bands of ``ROWS`` bins. At the threshold a pair is missed with chance (1 - s**ROWS)**BANDS,
-5e-5 at 0.85. Each band bucket adds edges from its members to its smallest one; the components of these edges are
+Candidates: bands of bins, ``BANDS`` of ``ROWS`` at 0.85. At the threshold s a pair is missed with chance (1 - s**rows)**bands, 5e-5
+at 0.85; for another threshold ``banding`` takes as many bands of ``ROWS`` as keep that chance (33 at 0.80). Each band bucket adds edges from its members to its smallest one; the components of these edges are
 the candidate groups. Within a group every two members are compared on their full sets, in tiles of bounded size,
 so a group of any size is exact and no task holds more than two chunks of it. A tile returns a spanning forest of its
 links instead of the pairs. Texts with equal word sequences are one member throughout.
@@ -18,6 +18,8 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +37,15 @@ TILE = 96
 COLUMNS = 8192
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows) for which a pair at the threshold is missed no more often than one at 0.85 by ``BANDS`` of ``ROWS``, but
+    ``BANDS`` at least. Below 0.5 rows are fewer, so that bands stay few."""
+    rows = ROWS if percent >= 50 else 2 if percent >= 20 else 1
+    s = min(max(percent, 1), 99) / 100
+    miss = BANDS * math.log1p(-(0.85**ROWS))
+    return max(BANDS, math.ceil(miss / math.log1p(-(s**rows)))), rows
+
+
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
     """Distinct hashed shingles of hashed words; with fewer words than ``size``, the whole sequence."""
     if not len(words):
@@ -74,7 +85,8 @@ def bands(s: np.ndarray, n: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _sketches(words: int):
+def _sketches(words: int, percent: int):
+    n_bands, n_rows = banding(percent)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -88,7 +100,7 @@ def _sketches(words: int):
                     s = shingles(hashes.of(w), words)
                     ns.append(len(s))
                     marks.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
-                    keys.append(bands(sketch(s), BANDS, ROWS) if w else None)
+                    keys.append(bands(sketch(s, n_bands * n_rows), n_bands, n_rows) if w else None)
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, schema.field("bands").type)], schema=schema)
 
     return run
@@ -144,7 +156,7 @@ def _tile(words: int, percent: int):
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark, "minhash")
-    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(_sketches(words), "doc_id long, n long, mark binary, bands array<long>"))
+    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(_sketches(words, percent), "doc_id long, n long, mark binary, bands array<long>"))
     whole = rows.where("mark is not null and doc_id is not null")
     reps = scratch.keep(whole.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     keyed = reps.select("rep", F.explode("bands").alias("key"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import edge
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -317,6 +318,14 @@ def plain_sets(rows, size):
         yield doc, {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
+@pytest.mark.parametrize("percent", [50, 70, 80, 85, 90, 100])
+def test_banding_misses_no_more_at_other_thresholds(percent):
+    n, rows = minhash.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** n <= (1 - 0.85**6) ** 21 * (1 + 1e-9) and (percent != 85 or (n, rows) == (21, 6))
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array(["a b c d e f g"])})
+    assert [len(x) for b in minhash._sketches(3, percent)([batch]) for x in b.column(3).to_pylist()] == [n]
+
+
 @pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
 def test_minhash(spark, docs, empty, size, percent):
     rng = np.random.default_rng(7)
