@@ -2,23 +2,29 @@
 
 Tokens are lower-cased (A-Z) words and one end per document. The unigram level is (c + 0.5) / (N + 0.5 * (V + 1)),
 with the count c of every word of the training documents. N-grams up to ``ORDER`` over all words are counted over all training
-documents too; those seen ``LEAST`` times or more, at any size of the corpus, are arcs, with absolute discounting, and what the
-discount frees goes by a failure arc to the next shorter context, so each state's probabilities sum to 1.
-
-The automaton: states are contexts; an arc has a log10 probability and a next state; a failure arc has a backoff
-weight. A document is read from left to right: while the state has no arc for the token, take the failure arc and
-add its weight; then take the arc. ``Automaton`` does that in memory, for a small vocabulary. For a corpus its weights are pushed:
-an n-gram's weight is its own log-probability less that of the path by its failure arc, plus its backoff weight as a
-context of what follows. With counts, an n-gram that is an arc has all its shorter parts as arcs, so a document's score is the sum of
-the pushed weights of all its n-grams, and states need not be followed from token to token.
-
-The weights are a distributed table, which grows with the corpus, and are joined by a 64-bit hash of the n-gram. Only those
-that would be hot keys of this join are broadcast instead: at most 1 / ``FAST_SHARE`` n-grams of each order and
-1 / ``CORE_SHARE`` words, at any size. Which way a weight takes doesn't change the result.
+documents too; those seen ``LEAST`` times or more, at any size of the corpus, are arcs, with interpolated absolute discounting:
+(c - DISCOUNT) / c(context), plus what the discount and the rare n-grams leave of the context times the next shorter context's
+probability. That rest is the weight of the context's failure arc, so each state's probabilities sum to 1.
+
+The automaton: states are contexts with arcs; an arc has a log10 probability and leads to the longest state that ends what
+was read; a failure arc has a backoff weight. A document is read from left to right: while the state has no arc for the token, take
+the failure arc and add its weight; then take the arc. ``Automaton`` does that in memory, for a small vocabulary.
+
+For a corpus the automaton is dealt out, and grows with the corpus; nothing is broadcast, no word or n-gram left out:
+
+1. Documents become chunks of about ``CHUNK`` tokens: the chunk's word hashes and its tokens as places among them, packed. Texts are
+   split once.
+2. Each chunk asks for its distinct n-grams: sorted 64-bit keys with their counts in its training documents, dealt to buckets by
+   range, one packed row a bucket. A bucket adds up and answers each chunk with the totals in the order asked, and names one
+   chunk as owner of each arc. An n-gram comes once from a chunk however often it stands there, so no key is hot.
+3. Owners send what their arcs take of each context, added up within the chunk; chunks ask for their contexts in the same way
+   and are answered with the sums, which give the failure arcs' weights.
+4. A chunk then holds all arcs and failure arcs that its documents can meet, and reads them: the state before a token is the longest
+   state among its last words, so all tokens take their failure arcs in step, longest context first.
 
 Nulls and edges: a null text is empty and has just its end; an empty training set gives c = 0, N = 0, V = 0 and the
-score 0 for each token (log10 of 1, the unknown word's share); null and repeated ids are separate documents; extra
-columns are ignored.
+score 0 for each token (log10 of 1, the unknown word's share); null and repeated ids are separate documents; a very long text is
+one chunk of its own size; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +42,13 @@ from .common import fold
 from .words import CACHE, mix, raw, split
 
 LEAST = 2
-FAST_SHARE = 2e-6
-CORE_SHARE = 5e-7
 ORDER = 3
 DISCOUNT = 0.75
 END = b"\n"  # no word can be this
-#: Tokens that are worked on at once, about, and distinct keys that are held before they are handed on.
-CHUNK = 300_000
+#: Tokens of a chunk, about, and of texts that are split at once.
+CHUNK, PIECE = 1 << 20, 200_000
+#: Tokens for which there is a bucket of keys.
+BUCKET = 1 << 20
 
 
 class Index(dict):
@@ -68,285 +75,328 @@ class Index(dict):
         self.hash[i:n] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
         self.update(zip(new, range(i, n)))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def _chunks(batch_texts, index: Index):
-    """(row numbers, their lengths, slots of all their tokens, each with its end) of about CHUNK tokens."""
-    rows, sizes, words = [], [], []
-    for i, text in enumerate(batch_texts):
-        w = split(text)
-        words += w
-        words.append(END)
-        rows.append(i)
-        sizes.append(len(w) + 1)
-        if len(words) > CHUNK:
-            index.learn(words)
-            yield rows, np.array(sizes), index.of(words)
-            rows, sizes, words = [], [], []
-    if rows:
-        index.learn(words)
-        yield rows, np.array(sizes), index.of(words)
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        self.learn(words)
+        return self.hash[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
-def join(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Key of n-grams, by the keys of their first and their last n - 1 words."""
-    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(n))
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as bytes, by planes of equal rank, squeezed."""
+    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
 
 
-def ngrams(h: np.ndarray, sizes: np.ndarray, order: int):
-    """(n, starts, keys of the first n - 1 words, keys of the last n - 1 words, keys) of all n-grams from 2 to
-    ``order`` within documents. h: hashed tokens; sizes: tokens of each document."""
-    edge = np.zeros(len(h), bool)
-    edge[np.cumsum(sizes) - 1] = True  # the end closes a document
-    g, ok = h, np.ones(len(h), bool)
-    for n in range(2, order + 1):
-        if len(g) < 2:
-            return
-        ok = ok[:-1] & ~edge[n - 2 : -1]
-        a, b = g[:-1], g[1:]
-        g = join(a, b, n)
-        at = np.flatnonzero(ok)
-        yield n, at, a[at], b[at], g[at]
+def unpack(b: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
-def _count(order: int):
-    """(training, text) to the n-grams of the training documents: order, keys of first and last n - 1 words, count."""
+def pack_keys(x: np.ndarray) -> bytes:
+    """Sorted keys, as steps."""
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
-    def out(n: int, a: np.ndarray, b: np.ndarray, count: np.ndarray):
-        return pa.record_batch({"o": pa.array(np.full(len(a), n), pa.int32()), "a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "n": pa.array(count.astype(np.int64))})
 
-    def run(batches):
-        index = Index()
-        for batch in batches:
-            for _, sizes, slot in _chunks(raw(batch.column(1).filter(batch.column(0))), index):
-                count = np.bincount(slot)
-                used = np.flatnonzero(count)
-                yield out(1, index.hash[used], np.zeros(len(used), np.uint64), count[used])
-                for n, _, a, b, g in ngrams(index.hash[slot], sizes, order):
-                    _, first, count = np.unique(g, return_index=True, return_counts=True)
-                    yield out(n, a[first], b[first], count)
+def unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
 
-    return run
 
+def join(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Key of n-grams, by the keys of their first and their last n - 1 words."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + b + np.uint64(n))
 
-def _named(batches):
-    """Adds the key of each n-gram."""
-    for b in batches:
-        o, x, y = (b.column(i).to_numpy() for i in range(3))
-        x, y = x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)
-        g = np.where(o == 1, x, join(x, y, o))
-        yield pa.record_batch([*b.columns, pa.array(g.view(np.int64))], names=["o", "a", "b", "n", "g"])
 
+_CHUNKS = pa.schema([
+    ("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.list_(pa.int64())), ("words", pa.binary()),
+    ("tokens", pa.binary()), ("n", pa.int64())])
 
-class Automaton:
-    """States, arcs and failure arcs. Words are 0 to k - 1; state 0 is the root, whose arcs are ``root``."""
-
-    def __init__(self, unigram: np.ndarray, counts: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]], discount: float = DISCOUNT):
-        """unigram: probability of each state word; counts: its count; grams: sorted codes and counts by order."""
-        k = self.k = max(1, len(unigram))
-        self.root = np.log10(unigram) if len(unigram) else np.zeros(0)
-        states: dict[tuple[int, ...], int] = {(): 0}
-        prob: dict[tuple[int, ...], float] = {}
-        fail, weight, rows = [0], [0.0], []
-        context_count = {(int(i),): float(c) for i, c in enumerate(counts)}
-
-        def lower(context: tuple[int, ...], w: int) -> float:
-            if not context:
-                return float(unigram[w])
-            p = prob.get((*context, w))
-            if p is not None:
-                return p
-            s = states.get(context)
-            return (10 ** weight[s] if s is not None else 1.0) * lower(context[1:], w)
-
-        for order in sorted(grams):
-            codes, n = grams[order]
-            words = [codes // k ** (order - 1 - i) % k for i in range(order)]
-            by: dict[tuple[int, ...], list[tuple[int, float]]] = {}
-            for *context, w, c in zip(*(x.tolist() for x in words), n.tolist()):
-                by.setdefault(tuple(context), []).append((w, float(c)))
-            for context, seen in by.items():
-                total = context_count.get(context)
-                if not total or (order > 2 and context[1:] not in states):
-                    continue
-                total = max(total, sum(c for _, c in seen))
-                new = {w: (c - discount) / total for w, c in seen}
-                rest = 1 - sum(lower(context[1:], w) for w in new)
-                back = np.log10(max(1 - sum(new.values()), 1e-12) / max(rest, 1e-12))
-                s = states[context] = len(fail)
-                fail.append(states.get(context[1:], 0))
-                weight.append(float(back))
-                for w, p in new.items():
-                    prob[(*context, w)] = p
-                    rows.append((s, w, np.log10(p), (*context, w)))
-            context_count.update({(*map(int, key),): float(c) for *key, c in zip(*(x.tolist() for x in words), n.tolist())})
-
-        def after(history: tuple[int, ...]) -> int:
-            while history not in states:
-                history = history[1:]
-            return states[history]
-
-        rows.sort()
-        self.arc = np.array([s * k + w for s, w, _, _ in rows], np.int64)
-        self.logp = np.array([p for _, _, p, _ in rows])
-        self.next = np.array([after(h) for _, _, _, h in rows], np.int64)
-        self.root_next = np.array([after((w,)) for w in range(len(unigram))], np.int64)
-        self.fail, self.weight = np.array(fail, np.int64), np.array(weight)
-        self.out = np.zeros(len(fail))  # weights from the state down to the root
-        for s in range(1, len(fail)):
-            self.out[s] = self.weight[s] + self.out[self.fail[s]]
-
-    def read(self, w: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-        """Log-probability of each document's state words plus the failure arcs to the root at its other words (-1).
-        w: tokens of all documents; doc: which each belongs to."""
-        total = np.zeros(docs)
-        ok = w >= 0
-        begin = ok & np.concatenate([[True], ~ok[:-1] | (doc[1:] != doc[:-1])]) if len(w) else ok
-        start = np.flatnonzero(begin)
-        if not len(start):
-            return total
-        last = np.flatnonzero(ok & np.concatenate([~ok[1:] | (doc[1:] != doc[:-1]), [True]]))
-        length = last - start + 1
-        order = np.argsort(-length, kind="stable")
-        start, length, last = start[order], length[order], last[order]
-        state, acc = np.zeros(len(start), np.int64), np.zeros(len(start))
-        alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        for j, n in enumerate(alive):
-            token, todo = w[start[:n] + j], np.arange(n)
-            s = state[:n].copy()
-            while len(todo):
-                at_root = s[todo] == 0
-                r = todo[at_root]
-                acc[r] += self.root[token[r]]
-                state[r] = self.root_next[token[r]]
-                todo = todo[~at_root]
-                if not len(todo):
-                    break
-                key = s[todo] * self.k + token[todo]
-                i = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
-                hit = self.arc[i] == key
-                h = todo[hit]
-                acc[h] += self.logp[i[hit]]
-                state[h] = self.next[i[hit]]
-                todo = todo[~hit]
-                acc[todo] += self.weight[s[todo]]
-                s[todo] = self.fail[s[todo]]
-        more = last + 1 < len(w)
-        inside = np.zeros(len(last), bool)
-        inside[more] = doc[last[more] + 1] == doc[last[more]]
-        acc[inside] += self.out[state[inside]]
-        np.add.at(total, doc[start], acc)
-        return total
 
+def _chunks(batches, most: int = CHUNK):
+    """(row, doc_id, held, text) to chunks. A chunk's number is that of its first row."""
+    index, parts, words, rows = Index(), [], [], []
 
-def _score(tables, unknown: float, order: int):
-    """Rows of two kinds: one per document with what the broadcast weights give (its key is no n-gram's, just spread), and one per
-    other n-gram of a document with how often it stands there. Other words have the score of unknown ones so far."""
-    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("t", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    def split_now():
+        if words:
+            parts.append(index.hashes(words))
+            words.clear()
 
-    def find(g: np.ndarray, table: np.ndarray):
-        at = np.minimum(np.searchsorted(table, g), max(0, len(table) - 1))
-        return at, table[at] == g if len(table) else np.zeros(len(g), bool)
+    def out():
+        split_now()
+        h = np.concatenate(parts)
+        vocabulary, place = np.unique(h, return_inverse=True)
+        first, ids, held, sizes = rows[0][0], *zip(*(r[1:] for r in rows))
+        parts.clear()
+        rows.clear()
+        return pa.record_batch([pa.array([x], t) for x, t in zip((first, ids, held, sizes, pack_keys(vocabulary), pack(place.astype(np.uint32)), len(h)), _CHUNKS.types)], schema=_CHUNKS)
+
+    n = 0
+    for b in batches:
+        for i in range(b.num_rows):
+            w = split(raw(b.column(3).slice(i, 1))[0])
+            w.append(END)
+            if n and n + len(w) > most:
+                yield out()
+                n = 0
+            words += w
+            n += len(w)
+            rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py(), len(w)))
+            if len(words) > PIECE:
+                split_now()
+    if rows:
+        yield out()
+
+
+class Chunk:
+    """A chunk's documents and its distinct n-grams of each order, in the order of their keys."""
+
+    def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held: list[bool], order: int):
+        self.sizes, self.held = np.array(sizes, np.int64), np.array(held, bool)
+        vocabulary, token = unpack_keys(words), unpack(tokens, np.uint32).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        train = ~self.held[self.doc]
+        edge = np.zeros(len(token), bool)
+        edge[np.cumsum(self.sizes) - 1] = True  # the end closes a document
+        #: By order: keys; counts in training documents; first tokens of all occurrences and their places in keys; each key's context, as
+        #: a place in the keys of the order below.
+        self.keys, self.count, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[train], minlength=len(vocabulary))}, {1: np.arange(len(token))}, {1: token}, {}
+        g, ok, below = vocabulary[token], np.ones(len(token), bool), token
+        for n in range(2, order + 1):
+            if len(g) < 2:
+                g, ok, below = g[:0], ok[:0], below[:0]
+            else:
+                ok = ok[:-1] & ~edge[n - 2 : -1]
+                g = join(g[:-1], g[1:], n)
+            at = np.flatnonzero(ok)
+            self.start[n] = at
+            self.keys[n], first, self.place[n] = np.unique(g[at], return_index=True, return_inverse=True)
+            self.context[n] = below[at[first]]
+            self.count[n] = np.bincount(self.place[n][train[at]], minlength=len(self.keys[n]))
+            below = np.full(len(g), -1, np.int64)
+            below[at] = self.place[n]
+
+
+def _slices(keys: np.ndarray, bits: int):
+    """(bucket, from, to) of sorted keys, by their first bits."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for s, e in zip(cut, np.append(cut[1:], len(keys))):
+        yield int(bucket[s]), s, e
+
+
+_ASKS = pa.schema([("bucket", pa.int64()), ("o", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary()), ("arcs", pa.binary())])
+_REPLIES = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("o", pa.int32()), ("bucket", pa.int64()), ("first", pa.binary()), ("second", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
+
+
+def _spelled(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _ask(orders: tuple[int, ...], bits: int):
+    """Chunks to what they ask about n-grams of some orders."""
 
     def run(batches):
-        index = Index()
-        (core, first, whole), fast = tables.value
         for b in batches:
-            row, ids, held = b.column(0), b.column(1), b.column(2)
-            for docs, sizes, slot in _chunks(raw(b.column(3)), index):
-                k = len(docs)
-                doc = np.repeat(np.arange(k), sizes)
-                used = np.unique(slot)
-                at, hit = find(index.hash[used], core)
-                p, q = np.full(len(index), unknown), np.full(len(index), unknown)
-                if len(core):
-                    p[used[hit]], q[used[hit]] = first[at[hit]], whole[at[hit]]
-                is_core = np.zeros(len(index), bool)
-                is_core[used[hit]] = True
-                base, score = np.bincount(doc, p[slot], k), np.bincount(doc, q[slot], k)
-                other = ~is_core[slot]
-                known = k and np.bincount(doc[~other], minlength=k)
-                h = index.hash[slot]
-                keys, owners = [h[other]], [doc[other]]
-                for n, start, _, _, g in ngrams(h, sizes, order):
-                    table, weight = fast[n]
-                    at, hit = find(g, table)
-                    d = doc[start]
-                    if hit.any():
-                        score += np.bincount(d[hit], weight[at[hit]], k)
-                    keys.append(g[~hit])
-                    owners.append(d[~hit])
-                rows = pa.array(docs)
-                r = row.take(rows)
-                r_ = r.to_numpy().astype(np.int64)
-                spread = mix(r_.view(np.uint64) + np.uint64(0xD1B54A32D192ED03)).view(np.int64)
-                yield pa.record_batch([pa.array(spread), r, pa.nulls(k, pa.int64()), ids.take(rows), held.take(rows), pa.array(sizes.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], schema=schema)
-                key, owner = np.concatenate(keys), np.concatenate(owners)
-                by = np.lexsort((key, owner))
-                key, owner = key[by], owner[by]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])) if len(key) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(key)))
-                m = len(new)
-                yield pa.record_batch([pa.array(key[new].view(np.int64)), pa.array(r_[owner[new]]), pa.array(times.astype(np.int64)), *(pa.nulls(m, f.type) for f in list(schema)[3:])], schema=schema)
+            for r in b.to_pylist():
+                c = Chunk(r["words"], r["tokens"], r["size"], r["held"], max(orders))
+                for o in orders:
+                    rows = [(k, o, r["chunk"], pack_keys(c.keys[o][s:e]), pack(c.count[o][s:e]), None) for k, s, e in _slices(c.keys[o], bits)]
+                    if rows:
+                        yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _ASKS.types)], schema=_ASKS)
 
     return run
 
 
-def weights(scratch: Scratch, grams: DataFrame, z: float, unknown: float, order: int, discount: float = DISCOUNT) -> DataFrame:
-    """Pushed weights of all arcs: o, key, n, base, w; those of words are without the unknown word's score."""
-    log, least = F.log10, F.lit(1e-12)
-    lower = grams.where("o = 1").select("g", "n", ((F.col("n") + F.lit(0.5)) / F.lit(z)).alias("p"), (log((F.col("n") + F.lit(0.5)) / F.lit(z)) - F.lit(unknown)).alias("w"))
+def _add(least: int):
+    """All that is asked of one bucket to the replies: totals, and whether the chunk owns the arc."""
+
+    def task(t: pa.Table) -> pa.Table:
+        o, bucket = t["o"][0].as_py(), t["bucket"][0].as_py()
+        t = t.sort_by("chunk")
+        keys = [unpack_keys(x) for x in t["keys"].to_pylist()]
+        ends = np.cumsum([len(x) for x in keys])
+        every = np.concatenate(keys)
+        own = np.concatenate([unpack(x, np.int64) for x in t["count"].to_pylist()])
+        distinct, place = np.unique(every, return_inverse=True)
+        total = np.bincount(place, own, len(distinct)).astype(np.int64)
+        mine = np.flatnonzero((own > 0) & (total[place] >= least))
+        owner = np.zeros(len(every), bool)
+        owner[mine[np.unique(place[mine], return_index=True)[1]]] = True
+        sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * len(keys)
+        rows = [(c, 1, o, bucket, pack(total[place[e - len(k) : e]]), pack(np.packbits(owner[e - len(k) : e])), *s) for c, k, e, s in zip(t["chunk"].to_pylist(), keys, ends, sums)]
+        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _REPLIES.types)], schema=_REPLIES)
+
+    return task
+
+
+class Replies:
+    """What a chunk was answered, by kind and order, put together in the order asked."""
+
+    def __init__(self, t: pa.Table):
+        rows = sorted(t.select(["kind", "o", "bucket", "first", "second"]).to_pylist(), key=lambda r: (r["kind"], r["o"], r["bucket"]))
+        self.rows = {k: [r for r in rows if (r["kind"], r["o"]) == k] for k in {(r["kind"], r["o"]) for r in rows}}
+
+    def numbers(self, kind: int, o: int, column: str, n: int) -> np.ndarray:
+        found = [unpack(r[column], np.int64) for r in self.rows.get((kind, o), ())]
+        out = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(out) != n:
+            raise ValueError(f"{len(out)} replies to {n} keys of order {o}")
+        return out
+
+    def bits(self, o: int) -> np.ndarray:
+        found = [np.unpackbits(unpack(r["second"], np.uint8), count=len(unpack(r["first"], np.int64))) for r in self.rows.get((1, o), ())]
+        return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
+
+
+def _of(t: pa.Table, order: int) -> tuple[dict, Chunk]:
+    r = t.to_pylist()[0]
+    return r, Chunk(r["words"], r["tokens"], r["size"], r["held"], order)
+
+
+def _contexts(order: int, least: int, bits: int):
+    """A chunk with its totals to what its own arcs take of their contexts, and to the contexts that it asks about."""
+
+    def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return _ASKS.empty_table()
+        (r, c), found, rows = _of(chunk, order), Replies(replies), []
+        for o in range(2, order + 1):
+            total, below = found.numbers(1, o, "first", len(c.keys[o])), c.keys[o - 1]
+            arc = np.flatnonzero(found.bits(o))
+            n = np.bincount(c.context[o][arc], minlength=len(below))
+            taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
+            some = np.flatnonzero(n)
+            rows += [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
+            ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
+            rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
+        return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _ASKS.types)], schema=_ASKS) if rows else _ASKS.empty_table()
+
+    return task
+
+
+def _rest(t: pa.Table) -> pa.Table:
+    """What is known of one bucket of contexts to the replies: counts that arcs take, and how many arcs."""
+    o, bucket, rows = t["o"][0].as_py(), t["bucket"][0].as_py(), t.to_pylist()
+    have = [r for r in rows if r["chunk"] is None]
+    none = [np.zeros(0, np.uint64)]
+    keys, place = np.unique(np.concatenate(none + [unpack_keys(r["keys"]) for r in have]), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([unpack(r[x], np.int64) for r in have] or none), len(keys)).astype(np.int64) for x in ("count", "arcs")]
     out = []
-    for o in range(2, order + 2):
-        base = F.col("w") if o == 2 else F.lit(0.0)
-        if o > order:
-            out.append(lower.select(F.lit(o - 1).alias("o"), F.col("g").alias("key"), "n", base.alias("base"), "w"))
-            break
-        t = grams.where(F.col("o") == o).select("g", "a", "b", "n")
-        t = t.join(lower.select(F.col("g").alias("a"), F.col("n").alias("c")), "a").select("g", "a", "b", "n", ((F.col("n") - F.lit(discount)) / F.col("c")).alias("p"))
-        t = scratch.keep(t.join(lower.select(F.col("g").alias("b"), F.col("p").alias("q")), "b").select("g", "a", "n", "p", "q"))
-        back = log(F.greatest(1 - F.sum("p"), least) / F.greatest(1 - F.sum("q"), least))
-        contexts = scratch.keep(t.groupBy("a").agg(back.alias("back")))
-        as_context = lower.join(contexts, lower["g"] == contexts["a"], "left")
-        out.append(as_context.select(F.lit(o - 1).alias("o"), F.col("g").alias("key"), "n", base.alias("base"), (F.col("w") + F.coalesce("back", F.lit(0.0))).alias("w")))
-        lower = scratch.keep(t.join(contexts, "a").select("g", "n", "p", (log("p") - F.col("back") - log("q")).alias("w")))
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return scratch.keep(found)
+    for r in rows:
+        if r["chunk"] is not None:
+            ask = unpack_keys(r["keys"])
+            at = np.minimum(np.searchsorted(keys, ask), max(0, len(keys) - 1))
+            hit = keys[at] == ask if len(keys) else np.zeros(len(ask), bool)
+            out.append((r["chunk"], 2, o, bucket, *(pack(np.where(hit, s[at], 0) if len(keys) else np.zeros(len(ask), np.int64)) for s in sums), 0, 0))
+    return pa.table([pa.array(x, y) for x, y in zip(zip(*out), _REPLIES.types)], schema=_REPLIES) if out else _REPLIES.empty_table()
 
 
-def score(spark: SparkSession, docs: DataFrame, *, mod: int = 5, out: int = 1, order: int = ORDER, least: int = LEAST, fast_share: float = FAST_SHARE, core_share: float = CORE_SHARE) -> DataFrame:
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _read(order: int, least: int, discount: float, n: int, v: int):
+    """A chunk with its totals and contexts to its documents' scores."""
+    z = n + 0.5 * (v + 1)
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = [x.split()[0] for x in _SCORES.split(", ")]
+
+    def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        if not chunk.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=names)
+        (r, c), found = _of(chunk, order), Replies(replies)
+        below = found.numbers(1, 1, "first", len(c.keys[1]))
+        known = (below > 0)[c.place[1]]
+        p = ((below + 0.5) / z)[c.place[1]]
+        base = np.bincount(c.doc, np.log10(p), len(c.sizes))
+        for o in range(2, order + 1):
+            total = found.numbers(1, o, "first", len(c.keys[o]))
+            asked = below >= least
+            taken, arcs = (np.zeros(len(below)) for _ in range(2))
+            taken[asked], arcs[asked] = (found.numbers(2, o, x, int(asked.sum())) for x in ("first", "second"))
+            of = np.maximum(below, 1)
+            fail = 1 - (taken - discount * arcs) / of  # 1 for a context that is no state
+            context = c.context[o]
+            arc = np.where(total >= least, (total - discount) / of[context], 0.0)
+            at, key = c.start[o] + o - 1, c.place[o]
+            p[at] = arc[key] + fail[context[key]] * p[at]
+            below = total
+        score = np.bincount(c.doc, np.log10(p), len(c.sizes))
+        seen = np.bincount(c.doc[known], minlength=len(c.sizes))
+        columns = (r["doc_id"], r["held"], c.sizes, seen, base, score)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types)], names=names)
+
+    return task
+
+
+class Automaton:
+    """The automaton in memory: states are tuples of words, failure arcs drop the first word. For small corpora and for tests."""
+
+    def __init__(self, documents: list[list[bytes]], order: int = ORDER, least: int = LEAST, discount: float = DISCOUNT):
+        """documents: the tokens of the training documents, each with its end."""
+        count: dict[tuple, int] = {}
+        for d in documents:
+            for n in range(1, order + 1):
+                for i in range(len(d) - n + 1):
+                    g = tuple(d[i : i + n])
+                    count[g] = count.get(g, 0) + 1
+        words = {g: c for g, c in count.items() if len(g) == 1}
+        self.z, self.words = sum(words.values()) + 0.5 * (len(words) + 1), words
+        self.order = order
+        self.fail: dict[tuple, float] = {}
+        self.arcs: dict[tuple, float] = {}
+        for n in range(2, order + 1):
+            arcs = {g: c for g, c in count.items() if len(g) == n and c >= least}
+            taken: dict[tuple, float] = {}
+            for g, c in arcs.items():
+                taken[g[:-1]] = taken.get(g[:-1], 0.0) + c - discount
+            for a, t in taken.items():
+                self.fail[a] = float(np.log10(1 - t / count[a]))
+            for g, c in arcs.items():
+                self.arcs[g] = float(np.log10((c - discount) / count[g[:-1]] + 10 ** (self.fail[g[:-1]] + self.step(g[1:-1], g[-1])[0])))
+
+    def after(self, history: tuple) -> tuple:
+        """The longest state that the history ends with."""
+        history = history[-(self.order - 1) :] if self.order > 1 else ()
+        while history and history not in self.fail:
+            history = history[1:]
+        return history
+
+    def step(self, state: tuple, word: bytes) -> tuple[float, tuple]:
+        """Log-probability of a word, and the state after it."""
+        weight, at = 0.0, state
+        while at and (*at, word) not in self.arcs:
+            weight += self.fail.get(at, 0.0)
+            at = at[1:]
+        own = self.arcs[(*at, word)] if at else float(np.log10((self.words.get((word,), 0) + 0.5) / self.z))
+        return weight + own, self.after((*state, word))
+
+    def read(self, tokens: list[bytes]) -> float:
+        """One traversal from left to right."""
+        total, state = 0.0, ()
+        for w in tokens:
+            p, state = self.step(state, w)
+            total += p
+        return total
+
+
+def score(
+    spark: SparkSession, docs: DataFrame, *, mod: int = 5, out: int = 1, order: int = ORDER, least: int = LEAST, discount: float = DISCOUNT, chunk: int = CHUNK, bucket: int = BUCKET,
+) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     scratch = Scratch(spark, "lm")
-    sc = spark.sparkContext
-    d = docs.select("doc_id", (fold(F.col("doc_id"), mod) == out).alias("held_out"), F.col("text"))
-    grams = d.select((~F.col("held_out")).alias("train"), "text").mapInArrow(_count(order), "o int, a long, b long, n long")
-    grams = grams.groupBy("o", "a", "b").agg(F.sum("n").alias("n")).where((F.col("o") == 1) | (F.col("n") >= least))
-    grams = scratch.keep(grams.mapInArrow(_named, "o int, a long, b long, n long, g long"))
-    n, v = grams.where("o = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    z = n + 0.5 * (v + 1)
-    unknown = float(np.log10(0.5 / z))
-    found = weights(scratch, grams, float(z), unknown, order)
-    hot = found.where(F.col("n") >= F.when(F.col("o") == 1, F.lit(max(1.0, core_share * n))).otherwise(F.lit(max(1.0, fast_share * n))))
-    hot = hot.select("o", "key", "base", "w").toPandas()  # 1 / core_share words and 1 / fast_share n-grams an order at most
-    broadcast = {}
-    for o in range(1, order + 1):
-        x = hot[hot["o"] == o]
-        key = x["key"].to_numpy(np.int64).view(np.uint64)
-        by = np.argsort(key)
-        broadcast[o] = key[by], x["base"].to_numpy(np.float64)[by] + unknown, x["w"].to_numpy(np.float64)[by] + (unknown if o == 1 else 0.0)
-    tables = sc.broadcast((broadcast[1], {o: (k, w) for o, (k, _, w) in broadcast.items()}))
-    cold = found.where(F.col("n") < F.when(F.col("o") == 1, F.lit(max(1.0, core_share * n))).otherwise(F.lit(max(1.0, fast_share * n))))
-    read = d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text").mapInArrow(
-        _score(tables, unknown, order), "key long, row long, t long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double")
-    cold = cold.select("key", F.col("base").alias("base_w"), "w", (F.col("o") == 1).cast("long").alias("word"))
-    read = read.join(cold, "key", "left").where("n_tokens is not null or w is not null")
-    total = lambda x: F.coalesce(F.sum(F.col("t") * F.col(x)), F.lit(0))
-    read = read.groupBy("row").agg(
-        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")), total("base_w").alias("more"), total("w").alias("more_w"), total("word").alias("also"))
-    return read.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.col("also")).cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"), (F.col("score") + F.col("more_w")).alias("score"))
+    d = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), mod) == out).alias("held"), "text")
+    chunks = scratch.keep(d.mapInArrow(lambda batches: _chunks(batches, chunk), "chunk long, doc_id array<long>, held array<boolean>, size array<long>, words binary, tokens binary, n long"))
+    tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = max(4, int(tokens // bucket).bit_length())
+    replies = []
+    for orders in ((1, 2), *((o,) for o in range(3, order + 1))) if order > 1 else ((1,),):
+        asks = chunks.select("chunk", "held", "size", "words", "tokens").mapInArrow(_ask(orders, bits), _spelled(_ASKS))
+        replies.append(scratch.keep(asks.groupBy("o", "bucket").applyInArrow(_add(least), _spelled(_REPLIES))))
+    n, v = replies[0].where("o = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    found = replies[0]
+    for x in replies[1:]:
+        found = found.unionByName(x)
+    both = lambda right, task, schema: chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, schema)
+    contexts = both(found, _contexts(order, least, bits), _spelled(_ASKS))
+    rest = scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_rest, _spelled(_REPLIES)))
+    read = both(found.unionByName(rest), _read(order, least, discount, int(n), int(v)), _SCORES)
+    return read.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -390,38 +390,21 @@ def test_lm(spark, docs, empty):
     assert lm.score(spark, empty).count() == 0
 
 
-def _automaton(train, discount=0.75, least=2, order=3):
-    """The model in memory over all words: the words' numbers and the automaton."""
-    c = Counter(w for t in train for w in t)
-    at, k = {w: i for i, w in enumerate(sorted(c))}, max(1, len(c))
-    z = c.total() + 0.5 * (len(c) + 1)
-    grams = {}
-    for n in range(2, order + 1):
-        seen = Counter(sum(at[w] * k ** (n - 1 - j) for j, w in enumerate(t[i : i + n])) for t in train for i in range(len(t) - n + 1))
-        codes = np.array(sorted(x for x in seen if seen[x] >= least), np.int64)
-        grams[n] = codes, np.array([seen[x] for x in codes.tolist()], float)
-    counts = np.array([c[w] for w in sorted(c)], float)
-    return at, lm.Automaton((counts + 0.5) / z, counts, grams, discount), math.log10(0.5 / z)
-
-
-@pytest.mark.parametrize("fast, core", [(2e-6, 5e-7), (1.0, 1.0), (2e-3, 5e-3)])
-def test_lm_uses_every_ngram_at_every_size(spark, fast, core):
-    """Rare words are states and n-grams seen twice are arcs, by whatever way their weights come."""
+@pytest.mark.parametrize("chunk, bucket", [(1 << 20, 1 << 20), (700, 1000)])
+def test_lm_uses_every_ngram_at_every_size(spark, chunk, bucket):
+    """Rare words are states and n-grams seen twice are arcs, however documents are dealt: as the automaton in memory reads them."""
     rng = np.random.default_rng(12)
-    # About 30,000 tokens: the pairs of rare words are far below a share of 1e-4.
     texts = [" ".join(rng.choice(edge.WORDS, 60)) for _ in range(500)]
     pair = [f"rare{i}a rare{i}b Rare{i}c" for i in range(40)]
-    texts = [f"{t} {pair[i % 40]} {t[:9]}" if i < 120 else t for i, t in enumerate(texts)] + ["", None]
-    token = lambda t: (t or "").lower().split() + ["\n"]
+    texts = [f"{t} {pair[i % 40]} {t[:9]}" if i < 120 else t for i, t in enumerate(texts)] + ["", None, " ".join(texts[:300])]
+    token = lambda t: [w.encode() for w in (t or "").lower().split()] + [lm.END]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
-    at, a, unknown = _automaton([token(t) for i, t in enumerate(texts) if not held(i)])
+    a = lm.Automaton([token(t) for i, t in enumerate(texts) if not held(i)])
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], edge.SCHEMA)
-    got = {r.doc_id: r for r in lm.score(spark, d, fast_share=fast, core_share=core).collect()}
+    got = {r.doc_id: r for r in lm.score(spark, d, chunk=chunk, bucket=bucket).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        w = np.array([at.get(x, -1) for x in token(t)], np.int64)
-        want = a.read(w, np.zeros(len(w), np.int64), 1)[0] + unknown * (w < 0).sum()
-        assert abs(got[i].score - want) < 1e-6, i
+        assert abs(got[i].score - a.read(token(t))) < 1e-6, i
 
 
 def test_lm_keeps_ngrams_seen_twice_in_a_large_corpus(spark):
@@ -430,48 +413,23 @@ def test_lm_keeps_ngrams_seen_twice_in_a_large_corpus(spark):
     assert all(zlib.crc32(str(r[0]).encode()) % 5 != 1 for r in rows)
     got = {r.doc_id: r for r in lm.score(spark, spark.createDataFrame(rows, edge.SCHEMA)).collect()}
     n = 1_200_001 + 801 + 3 + 3
-    p = (202 + 0.5) / (n + 0.5 * 8)  # a b c x0 x1 . and the end
-    assert abs(got[4].score - (math.log10(p) + math.log10(1.25 / 202) + math.log10(1.25 / 2))) < 1e-6
+    p1 = lambda c: (c + 0.5) / (n + 0.5 * 8)  # a b c x0 x1 . and the end
+    # x0: 202 times, before '.' 200 and x1 2 times. x1: 202 times, before '.' 200 and the end 2 times. "x0 x1": before the end, twice.
+    x1 = 1.25 / 202 + 1.5 / 202 * p1(202)
+    end = 1.25 / 2 + 0.75 / 2 * (1.25 / 202 + 1.5 / 202 * p1(4))
+    assert abs(got[4].score - sum(map(math.log10, (p1(202), x1, end)))) < 1e-6
 
 
-def test_automaton_sums_to_one_and_reads_in_runs():
+def test_automaton_sums_to_one():
     rng = np.random.default_rng(10)
-    k = 6
-    text = rng.choice(k, 400, p=[0.3, 0.3, 0.2, 0.1, 0.05, 0.05])
-    counts = np.bincount(text, minlength=k).astype(float)
-    unigram = counts / counts.sum() * 0.9  # the rest is for other words
-    grams = {}
-    for n in (2, 3):
-        code = sum(text[i : len(text) - n + 1 + i] * k ** (n - 1 - i) for i in range(n))
-        key, c = np.unique(code, return_counts=True)
-        grams[n] = key[c > 1], c[c > 1].astype(float)
-    a = lm.Automaton(unigram, counts, grams)
-
-    def after(state, w):
-        total = 0.0
-        while True:
-            key = state * k + w
-            i = np.searchsorted(a.arc, key)
-            if state == 0:
-                return total + a.root[w], a.root_next[w]
-            if i < len(a.arc) and a.arc[i] == key:
-                return total + a.logp[i], a.next[i]
-            total, state = total + a.weight[state], a.fail[state]
-
-    for s in range(len(a.fail)):
-        known = sum(10 ** after(s, w)[0] for w in range(k))
-        assert abs(known + 10 ** a.out[s] * 0.1 - 1) < 1e-9
-    docs = [rng.integers(-1, k, rng.integers(1, 30)) for _ in range(50)]
-    got = a.read(np.concatenate(docs), np.repeat(np.arange(50), [len(d) for d in docs]), 50)
-    for d, g in zip(docs, got):
-        state, total = 0, 0.0
-        for w in d:
-            if w < 0:
-                total, state = total + a.out[state], 0
-            else:
-                p, state = after(state, w)
-                total += p
-        assert abs(total - g) < 1e-9
+    words = [b"a", b"b", b"c", b"d", b"e", lm.END]
+    documents = [[words[i] for i in rng.choice(5, rng.integers(0, 9), p=[0.4, 0.3, 0.2, 0.07, 0.03])] + [lm.END] for _ in range(60)]
+    a = lm.Automaton(documents)
+    assert {len(s) for s in a.fail} == {1, 2}
+    for state in [(), *a.fail]:
+        # Each known word and the one unknown word.
+        assert abs(sum(10 ** a.step(state, w)[0] for w in [*words, b"?"]) - 1) < 1e-9
+        assert all(a.step(state, w)[1] in {(), *a.fail} for w in words)
 
 
 # 9: embedding near-dedup
