@@ -46,9 +46,9 @@ ORDER = 3
 DISCOUNT = 0.75
 END = b"\n"  # no word can be this
 #: Tokens of a chunk, about, and of texts that are split at once.
-CHUNK, PIECE = 1 << 20, 200_000
+CHUNK, PIECE = 1 << 19, 100_000
 #: Tokens for which there is a bucket of keys.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 
 
 class Index(dict):
@@ -150,14 +150,14 @@ class Chunk:
 
     def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held: list[bool], order: int):
         self.sizes, self.held = np.array(sizes, np.int64), np.array(held, bool)
-        vocabulary, token = unpack_keys(words), unpack(tokens, np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        vocabulary, token = unpack_keys(words), unpack(tokens, np.uint32).view(np.int32)
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         train = ~self.held[self.doc]
         edge = np.zeros(len(token), bool)
         edge[np.cumsum(self.sizes) - 1] = True  # the end closes a document
         #: By order: keys; counts in training documents; first tokens of all occurrences and their places in keys; each key's context, as
         #: a place in the keys of the order below.
-        self.keys, self.count, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[train], minlength=len(vocabulary))}, {1: np.arange(len(token))}, {1: token}, {}
+        self.keys, self.count, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[train], minlength=len(vocabulary))}, {1: np.arange(len(token), dtype=np.int32)}, {1: token}, {}
         g, ok, below = vocabulary[token], np.ones(len(token), bool), token
         for n in range(2, order + 1):
             if len(g) < 2:
@@ -165,12 +165,12 @@ class Chunk:
             else:
                 ok = ok[:-1] & ~edge[n - 2 : -1]
                 g = join(g[:-1], g[1:], n)
-            at = np.flatnonzero(ok)
-            self.start[n] = at
-            self.keys[n], first, self.place[n] = np.unique(g[at], return_index=True, return_inverse=True)
-            self.context[n] = below[at[first]]
+            self.start[n] = at = np.flatnonzero(ok).astype(np.int32)
+            self.keys[n], first, place = np.unique(g[at], return_index=True, return_inverse=True)
+            self.place[n], self.context[n] = place.astype(np.int32), below[at[first]]
+            del place
             self.count[n] = np.bincount(self.place[n][train[at]], minlength=len(self.keys[n]))
-            below = np.full(len(g), -1, np.int64)
+            below = np.full(len(g), -1, np.int32)
             below[at] = self.place[n]
 
 
@@ -196,7 +196,8 @@ def _ask(orders: tuple[int, ...], bits: int):
 
     def run(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 c = Chunk(r["words"], r["tokens"], r["size"], r["held"], max(orders))
                 for o in orders:
                     rows = [(k, o, r["chunk"], pack_keys(c.keys[o][s:e]), pack(c.count[o][s:e]), None) for k, s, e in _slices(c.keys[o], bits)]
@@ -252,22 +253,21 @@ def _of(t: pa.Table, order: int) -> tuple[dict, Chunk]:
     return r, Chunk(r["words"], r["tokens"], r["size"], r["held"], order)
 
 
-def _contexts(order: int, least: int, bits: int):
-    """A chunk with its totals to what its own arcs take of their contexts, and to the contexts that it asks about."""
+def _contexts(o: int, least: int, bits: int):
+    """A chunk with its totals to what its own arcs of one order take of their contexts, and to the contexts that it asks about."""
 
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return _ASKS.empty_table()
-        (r, c), found, rows = _of(chunk, order), Replies(replies), []
-        for o in range(2, order + 1):
-            total, below = found.numbers(1, o, "first", len(c.keys[o])), c.keys[o - 1]
-            arc = np.flatnonzero(found.bits(o))
-            n = np.bincount(c.context[o][arc], minlength=len(below))
-            taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
-            some = np.flatnonzero(n)
-            rows += [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
-            ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
-            rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
+        (r, c), found = _of(chunk, o), Replies(replies)
+        total, below = found.numbers(1, o, "first", len(c.keys[o])), c.keys[o - 1]
+        arc = np.flatnonzero(found.bits(o))
+        n = np.bincount(c.context[o][arc], minlength=len(below))
+        taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
+        some = np.flatnonzero(n)
+        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
+        ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
+        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _ASKS.types)], schema=_ASKS) if rows else _ASKS.empty_table()
 
     return task
@@ -396,7 +396,9 @@ def score(
     for x in replies[1:]:
         found = found.unionByName(x)
     both = lambda right, task, schema: chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, schema)
-    contexts = both(found, _contexts(order, least, bits), _spelled(_ASKS))
-    rest = scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_rest, _spelled(_REPLIES)))
-    read = both(found.unionByName(rest), _read(order, least, discount, int(n), int(v)), _SCORES)
+    every = found
+    for o in range(2, order + 1):
+        contexts = both(found.where(F.col("o").isin(o - 1, o)), _contexts(o, least, bits), _spelled(_ASKS))
+        every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_rest, _spelled(_REPLIES))))
+    read = both(every, _read(order, least, discount, int(n), int(v)), _SCORES)
     return read.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
