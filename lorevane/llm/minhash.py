@@ -6,14 +6,21 @@ bin after bin takes the minimum over all elements, so every one of the t bins is
 or three rounds; agreement over bins estimates the Jaccard similarity with the concentration of independent bins.
 
 Candidates: bands of bins, ``BANDS`` of ``ROWS`` at 0.85. At the threshold s a pair is missed with chance (1 - s**rows)**bands, 5e-5
-at 0.85; for another threshold ``banding`` takes as many bands of ``ROWS`` as keep that chance (33 at 0.80). Each band bucket adds edges from its members to its smallest one; the components of these edges are
-the candidate groups. Within a group every two members are compared on their full sets, in tiles of bounded size,
-so a group of any size is exact and no task holds more than two chunks of it. A tile returns a spanning forest of its
-links instead of the pairs. Texts with equal word sequences are one member throughout.
-
-Nulls and edges: a null text, one without words and an empty one have an empty set and link with nothing; rows with
-the same id are one node; a null id is linked with nothing (component_id null, kept false); an empty table gives
-no rows; extra columns are ignored.
+at 0.85; for another threshold ``banding`` takes as many bands of ``ROWS`` as keep that chance (33 at 0.80). Texts with equal
+word sequences are one member throughout. Two ways, by the number of members in a band's bucket:
+
+* up to ``SMALL``: each two members are a pair of ids, told apart once over all bands. A pair whose set sizes rule the threshold out
+  goes, and the others are verified on full sets, all pairs of one member together. Chance collisions cost one pair each and
+  don't chain.
+* larger buckets, which near copies of one text fill: each adds edges from its members to its smallest one, and the components of
+  these edges are groups. Within a group every two members are compared on full sets, in tiles of bounded size, so a group of any
+  size is exact; a tile returns a spanning forest of its links instead of the pairs. Pairs within a group are left to it.
+
+Only texts of candidates are moved. What a task holds is bounded by words: ``TASK_WORDS`` in all, about, or a few texts.
+
+Nulls and edges: a null text, one without words and an empty one have an empty set and link with nothing (its own id is its
+component); other rows with the same id are one node, whatever their texts; a null id is linked with nothing (component_id null,
+kept false); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +40,8 @@ from .embed_dedup import spanning
 from .words import Hashes, mix, raw, split
 
 BINS, BANDS, ROWS = 126, 21, 6
-TILE = 96
+SMALL = 32
+TILE, TASK_WORDS = 96, 400_000
 COLUMNS = 8192
 
 
@@ -87,7 +95,7 @@ def bands(s: np.ndarray, n: int, rows: int) -> np.ndarray:
 
 def _sketches(words: int, percent: int):
     n_bands, n_rows = banding(percent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("mark", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         hashes = Hashes()
@@ -95,13 +103,13 @@ def _sketches(words: int, percent: int):
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 ns, marks, keys = [], [], []
-                for text in raw(part.column(1)):
+                for text in raw(part.column(2)):
                     w = split(text)
                     s = shingles(hashes.of(w), words)
                     ns.append(len(s))
                     marks.append(xxhash.xxh3_128_digest(b" ".join(w)) if w else None)
                     keys.append(bands(sketch(s, n_bands * n_rows), n_bands, n_rows) if w else None)
-                yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, schema.field("bands").type)], schema=schema)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(ns, pa.int64()), pa.array(marks, pa.binary()), pa.array(keys, schema.field("bands").type)], schema=schema)
 
     return run
 
@@ -134,42 +142,95 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _sets(t: pa.Table, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Members in order, each once, and their sets."""
+    hashes = Hashes()
+    ids, first = np.unique(t["nid"].to_numpy(), return_index=True)
+    texts = t["text"].combine_chunks()
+    return ids, [shingles(hashes.of(split(raw(texts.slice(int(i), 1))[0])), words) for i in first]
+
+
 def _tile(words: int, percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Every two members of a tile."""
 
     def task(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
-            return schema.empty_table()
-        hashes = Hashes()
-        ids = t["rep"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        texts = t["text"].combine_chunks()
-        sets = [shingles(hashes.of(split(raw(texts.slice(int(i), 1))[0])), words) for i in order]
+            return _LINKS.empty_table()
+        ids, sets = _sets(t, words)
         label = spanning(linked(sets, percent))
         moved = label != np.arange(len(ids))
-        return pa.table({"a": ids[moved], "b": ids[label[moved]]}, schema=schema)
+        return pa.table({"a": ids[moved], "b": ids[label[moved]]}, schema=_LINKS)
 
     return task
 
 
+def _one_to_many(words: int, percent: int):
+    """One member, a, with each of its others."""
+
+    def task(t: pa.Table) -> pa.Table:
+        ids, sets = _sets(t, words)
+        a = t["a"][0].as_py()
+        own = sets[int(np.searchsorted(ids, a))]
+        both = np.array([len(np.intersect1d(own, s, assume_unique=True)) for s in sets], np.int64)
+        size = np.array([len(s) for s in sets], np.int64)
+        hit = (100 * both >= percent * (len(own) + size - both)) & (ids != a)
+        return pa.table({"a": np.full(int(hit.sum()), a), "b": ids[hit]}, schema=_LINKS)
+
+    return task
+
+
+def links(scratch: Scratch, docs: DataFrame, reps: DataFrame, *, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of members ``reps`` (nid, n, doc_id, t, bands): all pairs that collide and are alike, or paths of such."""
+    keyed = reps.select("nid", "n", F.explode("bands").alias("key"))
+    full = keyed.groupBy("key").agg(F.min("nid").alias("least"), F.max("nid").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most")
+    full = scratch.keep(full.select("key", "least", "m"))
+    large = keyed.join(full.where(F.col("m") > SMALL), "key").select(F.col("nid").alias("a"), F.col("least").alias("b"))
+    groups = components(scratch, large)
+    few = keyed.join(full.where(F.col("m") <= SMALL).select("key"), "key")
+    other = few.select("key", F.col("nid").alias("b"), F.col("n").alias("n_b"))
+    pairs = few.select("key", F.col("nid").alias("a"), F.col("n").alias("n_a")).join(other, "key").where("a < b")
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    pairs = scratch.keep(pairs.where(fits).select("a", "b", "n_b").distinct())
+    in_a, in_b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"g{x}")) for x in "ab")
+    pairs = scratch.keep(pairs.join(in_a, "a", "left").join(in_b, "b", "left").where("ga is null or gb is null or ga <> gb").select("a", "b", "n_b"))
+    some = groups.select(F.col("node").alias("nid")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("nid"))).distinct()
+    some = scratch.keep(reps.join(some, "nid").select("nid", "n", F.col("doc_id").alias("id_"), F.col("t").alias("t_")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64("text").alias("x_"), "text").join(some, (F.col("d_") == F.col("id_")) & (F.col("x_") == F.col("t_")))
+    texts = scratch.keep(texts.groupBy("nid").agg(F.first("text").alias("text")))
+    # Pairs: the others of each a in parts of about as many words.
+    parts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / F.lit(TASK_WORDS)).cast("long").alias("parts"))
+    pairs = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("nid"))
+    pairs = scratch.keep(pairs.unionByName(pairs.select("a", "part", F.col("a").alias("nid")).distinct()))
+    one = pairs.join(texts, "nid").groupBy("a", "part").applyInArrow(_one_to_many(words, percent), "a long, b long")
+    # Groups: tiles of so many members that their words stay about the same.
+    sizes = groups.join(some.select(F.col("nid").alias("node"), "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(2 * F.col("words") / TASK_WORDS)).cast("long").alias("chunks"))
+    members = scratch.keep(groups.join(sizes, "component").select(F.col("node").alias("nid"), F.col("component").alias("grp"), "chunks"))
+    part = tiles(members.join(texts, "nid"), "grp", F.col("chunks"), F.col("nid"), 1)
+    all_ = part.groupBy("grp", "ci", "cj").applyInArrow(_tile(words, percent), "a long, b long")
+    return scratch.keep(one.unionByName(all_))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, words: int = 3, percent: int = 85) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     scratch = Scratch(spark, "minhash")
-    rows = scratch.keep(docs.select("doc_id", "text").mapInArrow(_sketches(words, percent), "doc_id long, n long, mark binary, bands array<long>"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    rows = scratch.keep(rows.mapInArrow(_sketches(words, percent), "doc_id long, t long, n long, mark binary, bands array<long>"))
     whole = rows.where("mark is not null and doc_id is not null")
-    reps = scratch.keep(whole.groupBy("mark").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    full = scratch.keep(keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("key", "least"))
-    edges = keyed.join(full, "key").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    groups = components(scratch, edges)
-    sizes = scratch.keep(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")))
-    members = scratch.keep(groups.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("grp"), "size"))
-    texts = docs.where("doc_id is not null").select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "grp", "size", "text")
-    part = tiles(texts, "grp", F.col("size"), F.col("rep"), TILE)
-    links = scratch.keep(part.groupBy("grp", "ci", "cj").applyInArrow(_tile(words, percent), "a long, b long"))
-    found = components(scratch, links)
-    named = scratch.keep(reps.join(found, reps["rep"] == found["node"], "left").select("mark", F.coalesce("component", "rep").alias("c")))
+    reps = whole.groupBy("mark").agg(F.min(F.struct("doc_id", "t")).alias("x"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    reps = scratch.keep(reps.select(F.monotonically_increasing_id().alias("nid"), "mark", F.col("x.doc_id").alias("doc_id"), F.col("x.t").alias("t"), "n", "bands"))
+    found = links(scratch, docs, reps.select("nid", "doc_id", "t", "n", "bands"), words=words, percent=percent)
+    # Rows that share an id are one node, whatever their texts.
+    ids = whole.select("doc_id", "mark").distinct().join(reps.select("mark", "nid"), "mark")
+    again = scratch.keep(ids.groupBy("doc_id").agg(F.min("nid").alias("a"), F.max("nid").alias("z")).where("a < z").select("doc_id", "a"))
+    same = ids.join(again, "doc_id").select("a", F.col("nid").alias("b"))
+    comp = components(scratch, found.unionByName(same))
+    named = reps.select("mark", "nid", "doc_id").join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("mark", "doc_id", F.coalesce("component", "nid").alias("g"))
+    least = named.groupBy("g").agg(F.min("doc_id").alias("c"))
+    named = scratch.keep(named.join(least, "g").select("mark", "c"))
     out = rows.select("doc_id", "n", "mark").join(named, "mark", "left")
     c = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("doc_id"), F.lit(False)).alias("kept"))
