@@ -12,8 +12,8 @@ grow with the documents, so the rounds run on the driver over the counts alone.
 tokenising, counting, ranking the items of each length and looking the ranks up in the rounds' result. Each piece
 carries its ids; ``sequences`` puts them together.
 
-Ranks: items are dealt to (length, bucket) by hash, numbered there, and shifted by the running count of the
-buckets before, so a length that a third of all items have is spread over many tasks.
+Ranks: the task that tokenises a text numbers its pieces of each length as it goes; running counts of the tasks before shift the
+numbers. So items are ranked without being sorted or moved, whatever length a third of them has.
 
 Nulls and edges: a null text is empty, and an empty one has the single id 0; null and repeated ids are separate
 documents; the text of a special token is matched as ``tokenizers`` does; an empty table gives no rows. Extra
@@ -39,8 +39,6 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
-#: Items a rank bucket holds, about.
-BUCKET = 100_000
 #: Ids that are handed on at once, about.
 CHUNK = 1_000_000
 
@@ -77,20 +75,23 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(capacity: int, tokenizer: str, ranks: str | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("part", pa.int32()), ("i", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def out(rows, ids):
         ends = np.cumsum([0, *(r[3] for r in rows)]).astype(np.int32)
         return pa.record_batch([*(pa.array(c, t) for c, t in zip(zip(*rows), schema.types)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32)))], schema=schema)
 
     def run(batches):
-        encode = encoder(tokenizer, ranks)
+        from pyspark import TaskContext
+
+        encode, part, seen = encoder(tokenizer, ranks), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             rows, all_ids, held = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), 0], "<u4")
                 for i, (s, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((doc, i, s, n, zlib.crc32(ids[s : s + n].tobytes())))
+                    rows.append((doc, i, s, n, part, seen[n]))
+                    seen[n] += 1
                     all_ids.append(ids[s : s + n])
                     held += n
                     if held > CHUNK:
@@ -103,7 +104,7 @@ def _pieces(capacity: int, tokenizer: str, ranks: str | None):
 
 
 def digest(packed: DataFrame) -> DataFrame:
-    """``packed`` with the crc32 of the ids that each row carries (little-endian, 4 bytes each) in place of the ids."""
+    """``packed`` with the crc32 of the ids that each row carries, ids_crc32 (little-endian, 4 bytes each), in place of the ids."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def run(batches):
@@ -161,23 +162,19 @@ def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
 def pack(
     spark: SparkSession, docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ranks: str | None = RANKS,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (its token ids)."""
+    """One row per piece: doc_id, piece, start, length, sequence_id, offset, ids (its token ids)."""
     scratch = Scratch(spark, "pack")
-    pieces = docs.select("doc_id", "text").mapInArrow(
-        _pieces(capacity, tokenizer, ranks), "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
+    pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        _pieces(capacity, tokenizer, ranks), "doc_id long, piece int, start long, length long, part int, i long, ids array<int>")
     pieces = scratch.keep(pieces)
-    n = pieces.count()
-    buckets = max(64, -(-n // BUCKET))
-    pieces = pieces.withColumn("b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    have = scratch.keep(pieces.groupBy("length", "b").agg(F.count(F.lit(1)).alias("n")))
-    before = W.partitionBy("length").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    base = scratch.keep(have.select("length", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    have = scratch.keep(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = have.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     counts = {int(r["length"]): int(r["n"]) for r in have.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     placed = spark.createDataFrame(
         rounds(counts, capacity) or [(0, 0, 0, 0, 0)], "size long, lo long, hi long, first long, offset long")
-    inside = W.partitionBy("length", "b").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = pieces.withColumn("i", F.row_number().over(inside) - 1).join(base, ["length", "b"]).withColumn("rank", F.col("base") + F.col("i"))
+    ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("i"))
     # The rounds' result depends on the lengths that occur, never on how many items have them.
     at = (F.col("size") == F.col("length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     return ranked.join(F.broadcast(placed), at).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", "ids")
+        "doc_id", "piece", "start", "length", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", "ids")
