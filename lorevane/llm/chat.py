@@ -13,9 +13,9 @@ Long transcripts: a transcript is worked on in chunks of ``CHUNK`` turn numbers.
 every state to every state, those of a transcript are chained, and each chunk is then decoded between the states that
 the chain fixed. The result is the best path of the whole, and no task holds more than a chunk.
 
-Nulls and edges: a null text is one blank line; rows with a null conv_id are one transcript, null turns come first;
-equal turn numbers are ordered by text; without labelled rows every probability is uniform and markers decide; an empty
-table gives no rows; extra columns are ignored. The role column is never read except to learn.
+Nulls and edges: a null text is one blank line; a row with a null conv_id or a null turn has no place in a transcript and is one by
+itself (chunk null); equal turn numbers are ordered by text; without labelled rows every probability is uniform and markers decide;
+an empty table gives no rows; extra columns are ignored. The role column is never read except to learn.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def viterbi(e: np.ndarray, first: np.ndarray, trans: np.ndarray, last: int | Non
 
 
 def _chunk_lines(t: pa.Table) -> list[tuple[str, bool, int]]:
-    rows = sorted(zip(t["turn"].to_pylist(), t["text"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = sorted(zip(t["turn"].to_pylist(), t["text"].to_pylist()), key=lambda r: (r[0], r[1] or ""))
     return [(line, k == 0, turn) for turn, text in rows for k, line in enumerate((text or "").split("\n"))]
 
 
@@ -141,19 +141,36 @@ def _chain(t: pa.Table) -> pa.Table:
     return pa.table({"conv_id": t["conv_id"].take(pa.array(order)), "chunk": t["chunk"].take(pa.array(order)), "enter": pa.array([-1, *ends[:-1]], pa.int32()), "leave": pa.array(ends, pa.int32())})
 
 
-def _decode(model):
-    schema = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("first_turn", pa.int64()), ("opens", pa.bool_()), ("role", pa.string()), ("n_lines", pa.int64()), ("body", pa.string())])
+_TURNS = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("part", pa.int64()), ("first_turn", pa.int64()), ("opens", pa.bool_()), ("role", pa.string()), ("n_lines", pa.int64()), ("body", pa.string())])
+
+
+def _turns(conv, chunk, lines: list[tuple[str, bool, int]], model, enter: int | None, leave: int | None) -> list[tuple]:
+    """Recovered turns of one chunk, as rows."""
+    table, first, trans = model
+    e, bare = emissions([x[:2] for x in lines], table)
+    states = viterbi(e, first if enter is None or enter < 0 else trans[enter], trans, leave)
+    cuts = [0, *(i for i in range(1, len(states)) if states[i] % 2 == 0), len(states)]
+    return [(conv, chunk, k, lines[a][2], bool(states[a] % 2 == 0), ROLES[states[a] // 2], b - a, "\n".join(bare[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def _lone(model):
+    """Rows that are transcripts by themselves."""
 
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                rows = []
+                for conv, turn, text in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns)):
+                    rows += _turns(conv, None, [(line, k == 0, turn) for k, line in enumerate((text or "").split("\n"))], model.value, None, None)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _TURNS.types)], schema=_TURNS)
+
+    return run
+
+
+def _decode(model):
     def task(t: pa.Table) -> pa.Table:
-        table, first, trans = model.value
-        enter, leave = t["enter"][0].as_py(), t["leave"][0].as_py()
-        lines = _chunk_lines(t)
-        e, bare = emissions([x[:2] for x in lines], table)
-        states = viterbi(e, first if enter is None or enter < 0 else trans[enter], trans, leave)
-        conv, chunk = t["conv_id"][0].as_py(), t["chunk"][0].as_py()
-        cuts = [0, *(i for i in range(1, len(states)) if states[i] % 2 == 0), len(states)]
-        rows = [(conv, chunk, k, lines[a][2], bool(states[a] % 2 == 0), ROLES[states[a] // 2], b - a, "\n".join(bare[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        return pa.table([pa.array(c, x.type) for c, x in zip(zip(*rows), schema)], schema=schema)
+        rows = _turns(t["conv_id"][0].as_py(), t["chunk"][0].as_py(), _chunk_lines(t), model.value, t["enter"][0].as_py(), t["leave"][0].as_py())
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*rows), _TURNS.types)], schema=_TURNS)
 
     return task
 
@@ -170,11 +187,19 @@ def learn(conversations: DataFrame, mod: int = 5) -> tuple[np.ndarray, np.ndarra
     emit = np.full((STATES, N_FEATURES), SMOOTH)
     for r in f.groupBy("role", "later", "f").count().collect():
         emit[2 * ROLES.index(r["role"]) + r["later"], r["f"]] += r["count"]
-    # The turn before is looked up within a chunk, so a long transcript is no single task.
-    order = W.partitionBy("conv_id", F.floor(F.coalesce("turn", F.lit(0)) / CHUNK)).orderBy("turn", "text")
-    pairs = own.select("role", F.size(line).alias("n"), F.lag("role").over(order).alias("before"))
+    # The turn before is looked up within a chunk, so a long transcript is no single task; a chunk's first turn has the last one of the
+    # chunk before it.
+    own = own.withColumn("n", F.size(line)).withColumn("chunk", F.floor(F.col("turn") / CHUNK))
+    order = W.partitionBy("conv_id", "chunk").orderBy("turn", "text", "role")
+    turns = own.where("conv_id is not null and turn is not null").select("conv_id", "chunk", "role", "n", F.lag("role").over(order).alias("before"))
+    last = own.where("conv_id is not null and turn is not null").groupBy("conv_id", "chunk").agg(F.max_by("role", F.struct("turn", "text", "role")).alias("last"))
+    last = last.select("conv_id", "chunk", F.lag("last").over(W.partitionBy("conv_id").orderBy("chunk")).alias("last")).where("last is not null")
+    inner = turns.where("before is not null").select("role", "before", "n")
+    outer = turns.where("before is null").join(last, ["conv_id", "chunk"], "left").select("role", F.col("last").alias("before"), "n")
+    lone = own.where("conv_id is null or turn is null").select("role", F.lit(None).cast("string").alias("before"), "n")
+    pairs = inner.unionByName(outer).unionByName(lone)
     start, go, n_lines = np.full(len(ROLES), SMOOTH), np.full((len(ROLES), len(ROLES)), SMOOTH), np.full((len(ROLES), 2), SMOOTH)
-    for r in pairs.groupBy("role", "before").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("lines")).collect():
+    for r in pairs.groupBy("role", "before").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("lines")).collect():  # 12 rows at most
         i = ROLES.index(r["role"])
         if r["before"] is None:
             start[i] += r["turns"]
@@ -195,16 +220,18 @@ def learn(conversations: DataFrame, mod: int = 5) -> tuple[np.ndarray, np.ndarra
 def parse(spark: SparkSession, rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """One row per recovered turn: conv_id, chunk and part (its order), first_turn, opens, role, n_lines, body, rendered.
 
-    opens is false for a turn that goes on from the chunk before."""
+    opens is false for a turn that goes on from the chunk before. A row that is a transcript by itself has a null chunk."""
     scratch = Scratch(spark, "chat")
     model = spark.sparkContext.broadcast(learn(labelled))
-    d = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "text", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).cast("long").alias("chunk"))
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
+    spelled = "conv_id long, chunk long, part long, first_turn long, opens boolean, role string, n_lines long, body string"
+    lone = every.where("conv_id is null or turn is null").mapInArrow(_lone(model), spelled)
+    d = every.where("conv_id is not null and turn is not null").withColumn("chunk", F.floor(F.col("turn") / CHUNK).cast("long"))
     spans = d.groupBy("conv_id").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a < b").select("conv_id")
     spans = scratch.keep(spans)
-    same = d["conv_id"].eqNullSafe(spans["conv_id"])
-    long_ = d.join(spans, same, "left_semi")
+    long_ = d.join(spans, "conv_id", "left_semi")
     m = long_.groupBy("conv_id", "chunk").applyInArrow(_matrix(model), "conv_id long, chunk long, m array<double>")
     ends = scratch.keep(m.groupBy("conv_id").applyInArrow(_chain, "conv_id long, chunk long, enter int, leave int"))
-    d = d.join(ends, d["conv_id"].eqNullSafe(ends["conv_id"]) & (d["chunk"] == ends["chunk"]), "left").select(d["*"], "enter", "leave")
-    out = d.groupBy("conv_id", "chunk").applyInArrow(_decode(model), "conv_id long, chunk long, part long, first_turn long, opens boolean, role string, n_lines long, body string")
+    d = d.join(ends, ["conv_id", "chunk"], "left").select("conv_id", "chunk", "turn", "text", "enter", "leave")
+    out = d.groupBy("conv_id", "chunk").applyInArrow(_decode(model), spelled).unionByName(lone)
     return out.withColumn("rendered", F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>\n")))

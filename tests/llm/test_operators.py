@@ -1,6 +1,7 @@
 """Every operator against a plain version of itself on awkward tables, and on empty ones."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -176,7 +177,7 @@ def test_packing(spark, docs, empty):
             x = np.array([*full.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
             for i, (s, n) in enumerate(packing.cut(len(x), capacity)):
                 ids[doc, i, s, n, zlib.crc32(x[s : s + n].tobytes())] += 1
-        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == ids
+        assert Counter((r.doc_id, r.piece, r.start, r.length, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows) == ids
         by = defaultdict(list)
         for r in rows:
             by[r.sequence_id].append((r.offset, r.length))
@@ -198,14 +199,15 @@ def test_packing_carries_the_ids(spark, docs):
     rows = packed.collect()
     whole = defaultdict(list)
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
-        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        assert len(r.ids) == r.length
         whole[r.doc_id] += r.ids
     assert whole == {r.doc_id: [*encode(r.text or ""), 0] for r in d.collect()}
     got = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
     for r in rows:
         assert got[r.sequence_id][r.offset : r.offset + r.length] == r.ids
     assert sum(map(len, got.values())) == sum(r.length for r in rows) and max(map(len, got.values())) <= 64
-    assert Counter(map(tuple, packing.digest(packed).collect())) == Counter(map(tuple, packed.drop("ids").collect()))
+    crc = lambda r: zlib.crc32(np.array(r.ids, "<u4").tobytes())
+    assert Counter(map(tuple, packing.digest(packed).collect())) == Counter((*r[:4], crc(r), *r[4:6]) for r in rows)
 
 
 def test_rounds_are_best_fit():
@@ -262,18 +264,49 @@ def test_viterbi_in_chunks():
     assert np.allclose((chat.begin(e[:10], first, trans)[:, None] + m).max(axis=0), v)
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    rng = np.random.default_rng(15)
+    n = chat.STATES
+    for length in (1, 2, 4):
+        first, trans, e = rng.standard_normal(n), rng.standard_normal((n, n)), rng.standard_normal((length, n))
+        score = lambda p: first[p[0]] + sum(e[i, s] for i, s in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))
+        assert max(itertools.product(range(n), repeat=length), key=score) == tuple(chat.viterbi(e, first, trans))
+        for last in range(n):
+            assert max((p for p in itertools.product(range(n), repeat=length) if p[-1] == last), key=score) == tuple(chat.viterbi(e, first, trans, last))
+
+
+def test_chat_learns_alike_in_any_chunks(spark, monkeypatch):
+    """Transitions across the edges of chunks count; rows without a place are starts."""
+    roles = ["system", *["user", "assistant"] * 20]
+    rows = [(c, t, roles[t % len(roles)], f"line {t % 7}?") for c in range(4) for t in range(100)] + [(None, 1, "user", "x"), (3, None, "assistant", None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "CHUNK", 1000)
+    whole = chat.learn(d)
+    own = [r for r in rows if zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 != 0]
+    start = np.full(3, chat.SMOOTH)
+    for c in {r[0] for r in own}:
+        start[0] += any(r[0] == c and r[1] == 0 for r in own)
+    for r in own:
+        start[chat.ROLES.index(r[2])] += r[0] is None or r[1] is None
+    assert np.allclose(np.exp(whole[1][::2]), start / start.sum())
+    for size in (1, 7):
+        monkeypatch.setattr(chat, "CHUNK", size)
+        for a, b in zip(whole, chat.learn(d)):
+            assert np.allclose(a, b)
+
+
 def test_chat(spark, monkeypatch):
     labelled = spark.createDataFrame(
         [(c, t, ["user", "assistant"][t % 2], ("why is it so?" if t % 2 == 0 else "Because of a long list of reasons " * 12 + "\nand more")) for c in range(60) for t in range(6)], "conv_id long, turn long, role string, text string")
     rows = [(1, 0, "System: be kind"), (1, 1, "User: what?\nAnd how?"), (1, 2, "### Assistant: so\nUser: ok\nAI: fine"), (2, 0, "why is it so?"), (2, 1, "Because of a long list of reasons " * 12), (2, 2, None),
-            (None, None, "Q: x\nA: y"), (3, 5, ""), (1, 2, "### Assistant: so\nUser: ok\nAI: fine")]
+            (None, None, "Q: x\nA: y"), (4, None, "Q: x\nA: y"), (3, 5, ""), (1, 2, "### Assistant: so\nUser: ok\nAI: fine")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
     got = defaultdict(list)
     for r in chat.parse(spark, d, labelled).orderBy("conv_id", "chunk", "part").collect():
         got[r.conv_id].append((r.role, r.body))
         assert r.rendered == f"<|{r.role}|>\n{r.body}\n<|end|>\n"
     assert got[1] == [("system", "be kind"), ("user", "what?\nAnd how?")] + 2 * [("assistant", "so"), ("user", "ok"), ("assistant", "fine")]
-    assert [r for r, _ in got[2][:2]] == ["user", "assistant"] and got[None] == [("user", "x"), ("assistant", "y")] and got[3][0][1] == ""
+    assert [r for r, _ in got[2][:2]] == ["user", "assistant"] and got[None] == got[4] == [("user", "x"), ("assistant", "y")] and got[3][0][1] == ""
     held = labelled.where("conv_id < 20")
     good = chat.parse(spark, held.drop("role"), labelled).where("opens").selectExpr("avg(cast((role = if(first_turn % 2 = 0, 'user', 'assistant')) as int))").first()[0]
     assert good > 0.95
@@ -322,12 +355,15 @@ def plain_sets(rows, size):
 def test_banding_misses_no_more_at_other_thresholds(percent):
     n, rows = minhash.banding(percent)
     assert (1 - (percent / 100) ** rows) ** n <= (1 - 0.85**6) ** 21 * (1 + 1e-9) and (percent != 85 or (n, rows) == (21, 6))
-    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": pa.array(["a b c d e f g"])})
-    assert [len(x) for b in minhash._sketches(3, percent)([batch]) for x in b.column(3).to_pylist()] == [n]
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "t": pa.array([1], pa.int64()), "text": pa.array(["a b c d e f g"])})
+    assert [len(x) for b in minhash._sketches(3, percent)([batch]) for x in b.column(4).to_pylist()] == [n]
 
 
-@pytest.mark.parametrize("size,percent", [(3, 85), (5, 80)])
-def test_minhash(spark, docs, empty, size, percent):
+@pytest.mark.parametrize("size,percent,small", [(3, 85, 32), (5, 80, 32), (3, 85, 3), (5, 80, 0)])
+def test_minhash(spark, docs, empty, monkeypatch, size, percent, small):
+    """Whether buckets count as small or large, and in parts of few words: the same as plain comparison."""
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "TASK_WORDS", 400_000 if small == 32 else 500)
     rng = np.random.default_rng(7)
     rows = edge.rows()
     for g in range(12):  # groups of changed copies
@@ -337,12 +373,16 @@ def test_minhash(spark, docs, empty, size, percent):
             for p in rng.integers(0, len(w), rng.integers(0, 7)):
                 w[p] = f"new{rng.integers(1000)}"
             rows.append((1000 + g * 10 + c, " ".join(w), "en", "s", 1))
+    # One id with two texts that are not alike joins the rows of both.
+    rows += [(i, edge.prose(k, 50), "en", "s", 1) for i, k in ((5005, 301), (5008, 301), (5008, 302), (5009, 302))]
+    rows += [(6000, "", "en", "s", 1), (6000, edge.prose(303, 50), "en", "s", 1), (5990, edge.prose(303, 50), "en", "s", 1)]
     sets = [(d, s) for d, s in plain_sets(rows, size)]
     own = [(d, s) for d, s in sets if d is not None]
     links = [(a, b) for i, (a, x) in enumerate(own) for b, y in own[:i] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     comp = union({d for d, _ in own}, links)
     got = minhash.near_duplicates(spark, spark.createDataFrame(rows, edge.SCHEMA), words=size, percent=percent).collect()
-    want = Counter((d, len(s), comp.get(d), d is not None and comp[d] == d) for d, s in sets)
+    want = Counter((d, len(s), comp.get(d) if s else d, d is not None and (not s or comp[d] == d)) for d, s in sets)
+    assert {comp[i] for i in (5005, 5008, 5009)} == {5005} and comp[6000] == 5990
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == want
     assert minhash.near_duplicates(spark, empty).count() == 0
     kept = minhash.keep(spark, docs)
