@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
-from lorevane.functions.text import strip
+from lorevane.functions.lift import SPACES, lift
 from lorevane.functions.vectors import dot
 
 from .ranking import lane
@@ -75,26 +75,26 @@ def semantic_lane(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return lane(got, "semantic", C.VECTOR_LIMIT, F.desc("score"), F.col("id"))
 
 
-def windows(body: Column) -> Column:
+SENTENCE_ENDS = "。！？；\n"
+
+
+def windows_of(body: str) -> list[str]:
     """A body in windows of up to 400 characters that end at a sentence or line where one ends in the second half, and
     repeat the last 50 of the one before."""
-    most, keep = C.WINDOW, C.WINDOW_OVERLAP
-    n = F.length(body)
-    steps = F.sequence(F.lit(0), F.ceil(n / (most // 2 + 1 - keep)).cast("int") + 1)
-    first = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, _: Column) -> Column:
-        window = F.call_function("substring", body, a["start"] + 1, F.lit(most))
-        last = a["start"] + most >= n
-        ended = F.length(F.regexp_extract(window, rf"(?s)^(.{{{most // 2},{most - 1}}}[。！？；\n])", 1))
-        size = F.when(last | (ended == 0), F.length(window)).otherwise(ended)
-        piece = strip(F.call_function("substring", window, F.lit(1), size))
-        out = F.when(piece != "", F.concat(a["out"], F.array(piece))).otherwise(a["out"])
-        nxt = F.greatest(a["start"] + size - keep, a["start"] + 1)
-        return F.when(a["done"], a).otherwise(F.struct(nxt.alias("start"), last.alias("done"), out.alias("out")))
-
-    one = F.when(strip(body) == "", F.array().cast("array<string>")).otherwise(F.array(strip(body)))
-    return F.when(n <= most, one).otherwise(F.aggregate(steps, first, step, lambda a: a["out"]))
+    out, start = [], 0
+    while True:
+        end = min(start + C.WINDOW, len(body))
+        if end < len(body):
+            last = max(body.rfind(c, start + C.WINDOW // 2, end) for c in SENTENCE_ENDS)
+            end = last + 1 if last >= 0 else end
+        out.append(body[start:end].strip(SPACES))
+        if end >= len(body):
+            return [x for x in out if x]
+        start = max(end - C.WINDOW_OVERLAP, start + 1)
+
+
+def windows(body: Column) -> Column:
+    return lift(windows_of, "array<string>")(body)
 
 
 def missing(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -1,160 +1,215 @@
 """Texts to titled blocks: Markdown, HTML, plain text, and the cutting of long blocks.
 
-Every reader is one projection: a fold over a text's array of lines, without a shuffle. A block is
-struct<heading_level:int, title:string, text:string>.
+Every reader is one projection, without a shuffle: a text is cut in one pass over its lines. A block is
+struct<heading_level:int, title:string, text:string>; the Python readers have it as a tuple (level, title, text).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
-from lorevane.functions.text import SPACE, first_chars, hanzi_count, lines, normalize, rstrip, strip
+from lorevane.functions import text as T
+from lorevane.functions.lift import SPACES, lift
 
 BLOCK = "struct<heading_level:int,title:string,text:string>"
 NONE = f"array<{BLOCK}>"
+Block = tuple[int, str, str]
 
-
-def block(level: Column, title: Column, text: Column) -> Column:
-    return F.struct(level.cast("int").alias("heading_level"), title.alias("title"), text.alias("text"))
+_HANZI = re.compile(T.HANZI)
+_BLANKS = re.compile(f"[{SPACES}]+")
+_ATX = re.compile(r"(#{1,4})[ \t]")
 
 
 def nothing(kind: str = NONE) -> Column:
     return F.array().cast(kind)
 
 
-def added(out: Column, one: Column, test: Column) -> Column:
-    return F.when(test, F.concat(out, F.array(one))).otherwise(out)
+def lines_of(text: str) -> list[str]:
+    """Lines without their ends; a final line end begins no line."""
+    out = text.replace("\r\n", "\n").split("\n")
+    return out[:-1] if not out[-1] else out
 
 
-def _state(**fields: Column) -> Column:
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+def normal(text: str, table: dict[int, str]) -> str:
+    return _BLANKS.sub(" ", text.translate(table)).strip(" ")
 
 
-def heading_blocks(text: Column) -> Column:
-    """Markdown's blocks before long ones are cut; empty if there are none."""
-    rows = lines(text)
-    steps = F.arrays_zip(rows.alias("line"), F.slice(F.concat(rows, F.array(F.lit(None).cast("string"))), F.lit(2), F.size(rows)).alias("next"))
-    first = _state(level=F.lit(1), title=F.lit(C.DOCUMENT), buf=F.lit(""), skip=F.lit(False), out=nothing())
-
-    def step(a: Column, x: Column) -> Column:
-        line = rstrip(x["line"])
-        atx = line.rlike(r"^#{1,4}[ \t]")
-        marks = F.length(F.regexp_extract(line, "^(#{1,4})", 1))
-        name = strip(F.regexp_replace(strip(F.regexp_replace(line, "^#{1,4}", "")), "#+$", ""))
-        bare, under = strip(line), strip(F.coalesce(x["next"], F.lit("")))
-        may = ~atx & F.length(bare).between(1, 80)
-        one, two = may & under.rlike("^={3,}$"), may & under.rlike("^-{3,}$")
-        rule = ~atx & ~one & ~two & line.isin("***", "---", "___")
-        head = atx | one | two
-        body = strip(a["buf"])
-        flushed = added(a["out"], block(a["level"], a["title"], body), body != "")
-        return F.when(a["skip"], _state(level=a["level"], title=a["title"], buf=a["buf"], skip=F.lit(False), out=a["out"])).otherwise(_state(
-            level=F.when(atx, marks).when(one, F.lit(1)).when(two, F.lit(2)).otherwise(a["level"]),
-            title=F.when(atx, F.when(name == "", F.lit(C.UNTITLED)).otherwise(name)).when(one | two, bare).otherwise(a["title"]),
-            buf=F.when(head | rule, F.lit("")).otherwise(F.concat(a["buf"], x["line"], F.lit("\n"))),
-            skip=one | two,
-            out=F.when(head | rule, flushed).otherwise(a["out"]),
-        ))
-
-    def done(a: Column) -> Column:
-        body = strip(a["buf"])
-        return added(a["out"], block(a["level"], a["title"], body), body != "")
-
-    return F.aggregate(steps, first, step, done)
+def _mapping(table: tuple[str, str]) -> dict[int, str]:
+    return str.maketrans(table[0] + T.WIDE, table[1] + T.NARROW)
 
 
-def plain(text: Column, table=("", "")) -> Column:
-    """Blocks of a plain text: a blank line closes one that is long enough, and 2000 characters close any."""
-    first = _state(buf=F.lit(""), out=nothing("array<string>"))
+def overlapped(text: str) -> list[str]:
+    """A text as itself if it has up to 900 characters, else in parts that repeat the last 40 characters of the part before."""
+    if len(text) <= C.LONG_BLOCK:
+        return [text]
+    out, part, size = [], [], 0
+    for p in text.split("\n"):
+        if size and size + len(p) > C.LONG_BLOCK:
+            whole = "".join(part)
+            out.append(whole.strip(SPACES))
+            part = [whole[-C.LONG_OVERLAP :]]
+            size = len(part[0])
+        part += [p, "\n"]
+        size += len(p) + 1
+    last = "".join(part).strip(SPACES)
+    return [*out, last] if last else out
 
-    def step(a: Column, x: Column) -> Column:
-        p = rstrip(x)
-        blank = strip(p) == ""
-        enough = (hanzi_count(a["buf"]) > C.PLAIN_HANZI) | (F.length(a["buf"]) > C.PLAIN_CHARS)
-        more = F.concat(a["buf"], F.when(a["buf"] == "", F.lit("")).otherwise(F.lit("\n")), p)
-        full = ~blank & (F.length(more) >= C.PLAIN_MOST)
-        return _state(
-            buf=F.when(blank, F.when(enough, F.lit("")).otherwise(F.concat(a["buf"], F.lit("\n")))).when(full, F.lit("")).otherwise(more),
-            out=F.when(blank & enough, F.concat(a["out"], F.array(a["buf"]))).when(full, F.concat(a["out"], F.array(more))).otherwise(a["out"]))
 
-    found = F.aggregate(F.split(text, "\n"), first, step, lambda a: added(a["out"], a["buf"], strip(a["buf"]) != ""))
-    found = F.filter(F.when(F.size(found) > 0, found).otherwise(F.array(text)), lambda x: strip(x) != "")
+def cut_long(blocks: list[Block]) -> list[Block]:
+    return [(level, title, t) for level, title, text in blocks for t in overlapped(text)]
 
-    def titled(x: Column, i: Column) -> Column:
-        t = first_chars(normalize(x, table), C.TITLE_CHARS)
-        return block(F.lit(1), F.when(t == "", F.concat(F.lit(C.PARAGRAPH), (i + 1).cast("string"))).otherwise(t), x)
 
-    return F.transform(found, titled)
+class Outline:
+    """Blocks as they are found: a heading closes the block before it."""
 
+    def __init__(self):
+        self.level, self.title, self.body, self.out = 1, C.DOCUMENT, [], []
+
+    def close(self) -> None:
+        text = "".join(self.body).strip(SPACES)
+        if text:
+            self.out.append((self.level, self.title, text))
+        self.body = []
+
+    def head(self, level: int, title: str) -> None:
+        self.close()
+        self.level, self.title = level, title or C.UNTITLED
+
+
+def headed(text: str) -> list[Block]:
+    """Markdown's blocks before long ones are cut; empty if there are none."""
+    rows, o, i = lines_of(text), Outline(), 0
+    while i < len(rows):
+        line = rows[i].rstrip(SPACES)
+        i += 1
+        if m := _ATX.match(line):
+            o.head(len(m[1]), line[len(m[1]) :].strip(SPACES).rstrip("#").strip(SPACES))
+            continue
+        name, under = line.strip(SPACES), rows[i].strip(SPACES) if i < len(rows) else ""
+        if 1 <= len(name) <= 80 and len(under) >= 3 and set(under) in ({"="}, {"-"}):
+            o.head(1 if under[0] == "=" else 2, name)
+            i += 1
+        elif line in ("***", "---", "___"):
+            o.close()
+        else:
+            o.body += [rows[i - 1], "\n"]
+    o.close()
+    return o.out
+
+
+def paragraphs(text: str) -> list[str]:
+    """Parts of a plain text: a blank line closes one that is long enough, and 2000 characters close any."""
+    out, part, size = [], [], 0
+    for line in text.split("\n"):
+        p = line.rstrip(SPACES)
+        if not p:
+            if size > C.PLAIN_CHARS or len(_HANZI.findall("".join(part))) > C.PLAIN_HANZI:
+                out.append("".join(part))
+                part, size = [], 0
+            else:
+                part.append("\n")
+                size += 1
+            continue
+        part += ["\n", p] if size else [p]
+        size += len(p) + (size > 0)
+        if size >= C.PLAIN_MOST:
+            out.append("".join(part))
+            part, size = [], 0
+    last = "".join(part)
+    out += [last] if last.strip(SPACES) else []
+    return [x for x in out or [text] if x.strip(SPACES)]
+
+
+def plain_blocks(text: str, table: dict[int, str]) -> list[Block]:
+    found = paragraphs(text)
+    return [(1, normal(x, table)[: C.TITLE_CHARS] or f"{C.PARAGRAPH}{i}", x) for i, x in enumerate(found, 1)]
 
-def split_long(text: Column) -> Column:
-    """A text as itself if it has up to 900 characters, else in parts that repeat the last 40 characters of the part before."""
-    first = _state(acc=F.lit(""), out=nothing("array<string>"))
 
-    def step(a: Column, p: Column) -> Column:
-        over = (F.length(a["acc"]) + F.length(p) > C.LONG_BLOCK) & (a["acc"] != "")
-        acc = F.when(over, F.call_function("right", a["acc"], F.lit(C.LONG_OVERLAP))).otherwise(a["acc"])
-        return _state(acc=F.concat(acc, p, F.lit("\n")), out=added(a["out"], strip(a["acc"]), over))
+def heading_blocks(text: Column) -> Column:
+    return lift(headed, NONE)(text)
+
 
-    parts = F.aggregate(F.split(text, "\n"), first, step, lambda a: added(a["out"], strip(a["acc"]), strip(a["acc"]) != ""))
-    return F.when(F.length(text) <= C.LONG_BLOCK, F.array(text)).otherwise(parts)
+def plain(text: Column, table=("", "")) -> Column:
+    """Blocks of a plain text, each under its first characters."""
+    to = _mapping(table)
+    return lift(lambda x: plain_blocks(x, to), NONE)(text)
+
+
+def split_long(text: Column) -> Column:
+    return lift(overlapped, "array<string>")(text)
 
 
 def split_long_blocks(blocks: Column) -> Column:
-    return F.flatten(F.transform(blocks, lambda b: F.transform(split_long(b["text"]), lambda t: block(b["heading_level"], b["title"], t))))
+    return lift(lambda bs: cut_long([(b["heading_level"], b["title"], b["text"]) for b in bs]), NONE)(blocks)
 
 
 def markdown(text: Column, table=("", "")) -> Column:
-    found = heading_blocks(text)
-    return F.when(F.size(found) > 0, split_long_blocks(found)).otherwise(plain(text, table))
+    to = _mapping(table)
+    return lift(lambda x: cut_long(headed(x)) or plain_blocks(x, to), NONE)(text)
 
 
-TAGS = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>"
+LEVEL, OPEN, SHUT = "\ue002", "\ue000", "\ue001"
+# Which elements go with what is in them, and that anything else in angle brackets is a tag.
+DROPPED = ("script", "style")
+TAGS = "(?is)" + "|".join(f"<{x}[^>]*>.*?</{x}>" for x in DROPPED) + "|<[^>]+>"
 
 
 def html_text(html: Column) -> Column:
-    """HTML as Markdown: headings as # lines, everything else in tags, scripts and styles as a space. Entities stay."""
-    # Private characters keep a heading's ends until its inner tags are gone and it can be trimmed.
-    for n in range(1, 5):
-        html = F.regexp_replace(html, rf"(?is)<h{n}[^>]*>(.*?)</h[1-4]>", "\n" + "#" * n + " \ue000$1\ue001\n")
+    """HTML as Markdown: headings as # lines, everything else in tags, scripts and styles as a space. Entities stay.
+
+    A heading begins at the leftmost opening tag of any level and ends at the next closing one, so headings don't nest."""
+    # Private characters stand for a heading's level and ends until its inner tags are gone and it can be trimmed.
+    html = F.translate(html, LEVEL + OPEN + SHUT, "")
+    html = F.regexp_replace(html, r"(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>", f"\n{LEVEL}$1 {OPEN}$2{SHUT}\n")
     html = F.regexp_replace(html, TAGS, " ")
-    html = F.regexp_replace(html, rf"\ue000[{SPACE}]+", "\ue000")
-    html = F.regexp_replace(html, rf"[{SPACE}]+\ue001", "\ue001")
-    return F.regexp_replace(html, "[\ue000\ue001]", "")
+    html = F.regexp_replace(html, rf"{OPEN}[{T.SPACE}]+", OPEN)
+    html = F.regexp_replace(html, rf"[{T.SPACE}]+{SHUT}", SHUT)
+    for n in range(1, 5):
+        html = F.replace(html, F.lit(f"{LEVEL}{n}"), F.lit("#" * n))
+    return F.translate(html, OPEN + SHUT, "")
 
 
 def html(text: Column, table=("", "")) -> Column:
     return markdown(html_text(text), table)
 
 
-def coalesce_titles(blocks: Column) -> Column:
+def merged(blocks: list[dict]) -> list[Block]:
     """Neighbouring blocks of one title as one block."""
-    def step(a: Column, b: Column) -> Column:
-        last = F.element_at(F.when(F.size(a) > 0, a), -1)
-        same = (b["title"] != "") & (last["title"] == b["title"])
-        joined = block(last["heading_level"], last["title"], F.concat(last["text"], F.lit("\n"), b["text"]))
-        return F.when(F.coalesce(same, F.lit(False)), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(joined))).otherwise(F.concat(a, F.array(b)))
+    runs: list[tuple[int, str, list[str]]] = []
+    for b in blocks:
+        if runs and b["title"] and runs[-1][1] == b["title"]:
+            runs[-1][2].append(b["text"])
+        else:
+            runs.append((b["heading_level"], b["title"], [b["text"]]))
+    return [(level, title, "\n".join(texts)) for level, title, texts in runs]
 
-    return F.aggregate(blocks, nothing(), step)
+
+def coalesce_titles(blocks: Column) -> Column:
+    return lift(merged, NONE)(blocks)
 
 
 def parse(kind: Column, text: Column, table=("", "")) -> Column:
     """Blocks of a text by its format."""
-    return F.when(kind == "markdown", markdown(text, table)).when(kind == "html", html(text, table)).otherwise(plain(text, table))
+    to = _mapping(table)
+    read = lift(lambda x, k: (cut_long(headed(x)) if k in ("markdown", "html") else []) or plain_blocks(x, to), NONE)
+    return read(F.when(kind == "html", html_text(text)).otherwise(text), kind)
 
 
 def heading_paths(blocks: Column, stem: Column) -> Column:
     """For each block the path of the headings above it: a heading closes those of its level and below."""
-    level = "array<struct<level:int,title:string>>"
-    root = F.array(F.struct(F.lit(0).alias("level"), stem.alias("title"))).cast(level)
-    first = _state(stack=root, out=F.array().cast("array<string>"))
-
-    def step(a: Column, b: Column) -> Column:
-        # All open headings that are deeper or as deep go; the file's name stays.
-        stack = F.filter(a["stack"], lambda x: (x["level"] < b["heading_level"]) | (x["level"] == 0))
-        stack = F.concat(stack, F.array(F.struct(b["heading_level"].alias("level"), b["title"].alias("title")))).cast(level)
-        return _state(stack=stack, out=F.concat(a["out"], F.array(F.array_join(F.transform(stack, lambda x: x["title"]), " / "))))
 
-    return F.aggregate(blocks, first, step, lambda a: a["out"])
+    def paths(bs: list[dict], name: str) -> list[str]:
+        above: list[tuple[int, str]] = []
+        out = []
+        for b in bs:
+            while above and above[-1][0] >= b["heading_level"]:
+                above.pop()
+            above.append((b["heading_level"], b["title"]))
+            out.append(" / ".join([name, *(t for _, t in above)]))
+        return out
+
+    return lift(paths, "array<string>")(blocks, stem)
