@@ -83,13 +83,18 @@ def occurrences(c: Column, needle: Column) -> Column:
     return F.when(F.length(needle) > 0, n).otherwise(F.lit(0)).cast("long")
 
 
+def quoted(needle: Column) -> Column:
+    """A pattern for just this text."""
+    return F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 def overlapping(c: Column, needle: Column) -> Column:
     """Occurrences that may overlap. Only a needle that ends as it begins can overlap itself and needs the slower count."""
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    ahead = F.concat(F.lit("(?="), quoted(needle), F.lit(")"))
     n = F.length(needle)
     ends = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
     own = F.exists(ends, lambda k: F.call_function("left", needle, k) == F.call_function("right", needle, k))
-    return F.when(own, F.regexp_count(c, quoted).cast("long")).otherwise(occurrences(c, needle))
+    return F.when(own, F.regexp_count(c, ahead).cast("long")).otherwise(occurrences(c, needle))
 
 
 def find_in(c: Column, needle: Column, start: Column) -> Column:
@@ -110,7 +115,7 @@ def highlight(body: Column, query: Column) -> Column:
     """Spans (start, end) of the non-overlapping occurrences of the trimmed query."""
     q = strip(query)
     n = F.length(q)
-    parts = F.split(body, F.concat(F.lit(r"\Q"), q, F.lit(r"\E")))
+    parts = F.split(body, quoted(q))
     ends = F.aggregate(
         F.slice(parts, F.lit(1), F.size(parts) - 1), F.array().cast("array<int>"),
         lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.length(x) + n)))

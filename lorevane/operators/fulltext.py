@@ -1,34 +1,48 @@
 """Trigram full text: an index of character trigrams, phrase matching and BM25.
 
 A phrase of three or more characters matches where it occurs as a substring of the title or the search text,
-without regard to case; shorter phrases match nothing. Texts are cut by splitting into characters once, since substring() of
-UTF-8 text costs its offset.
+without regard to case; shorter phrases match nothing.
 
-Phrases reach chunks by ``scan``, one pass in which each chunk tests all phrases of the batch, or by
-``candidates``, which looks up each phrase's rarest trigram in the index and so reads only the postings it needs.
+Phrases reach chunks by ``scan``, one pass over the texts that looks for all phrases of the batch at once, whatever their number, or
+by ``candidates``, which looks up each phrase's rarest trigram in a stored index and so reads only the postings it needs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
-from lorevane.functions.text import let, overlapping
+from lorevane.functions.lift import lift
+from lorevane.functions.text import overlapping
 from lorevane.scratch import Scratch
 
-#: Phrases that one pass tests on every chunk; more of them take more passes.
-SCAN_PHRASES = 20_000
+#: Needles that one pass looks for; more of them take more passes.
+NEEDLES = 20_000
+#: Distinct trigrams of a batch that are named to the scan of the index, so that it can skip parts of files.
+NAMED_GRAMS = 5_000
+_POINT = 21  # bits of a code point
 
 
-def trigrams(c: Column) -> Column:
-    def cut(chars: Column) -> Column:
-        at = F.when(F.size(chars) >= 3, F.sequence(F.lit(1), F.size(chars) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i), F.get(chars, i + 1)))
+def gram_codes(text: str) -> np.ndarray:
+    """Each trigram of a text as one number: its three code points side by side."""
+    p = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (p[:-2] << 2 * _POINT) | (p[1:-1] << _POINT) | p[2:] if len(p) > 2 else p[:0]
 
-    return let(F.split(F.lower(c), ""), cut)
+
+def gram_text(code: int) -> str:
+    mask = (1 << _POINT) - 1
+    return chr(code >> 2 * _POINT) + chr(code >> _POINT & mask) + chr(code & mask)
+
+
+def spelled(gram: str | Column) -> Column:
+    return lift(gram_text, "string")(gram)
 
 
 def gram_count(c: Column) -> Column:
@@ -36,9 +50,22 @@ def gram_count(c: Column) -> Column:
 
 
 def index(chunks: DataFrame) -> DataFrame:
-    """Postings (gram, id, tf) over title and search text."""
-    grams = F.explode(F.concat(trigrams(F.col("title")), trigrams(F.col("search_text"))))
-    return chunks.select("id", grams.alias("gram")).groupBy("gram", "id").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings (gram, id, tf) over title and search text; gram is a number that ``spelled`` reads. A text's trigrams are counted
+    where the text is, so no shuffle is needed."""
+    schema = pa.schema([("gram", pa.int64()), ("id", pa.int64()), ("tf", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                ids, grams, counts = [], [], []
+                for i, title, text in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
+                    g, n = np.unique(np.concatenate([gram_codes(title or ""), gram_codes(text or "")]), return_counts=True)
+                    ids.append(np.full(len(g), -1 if i is None else i))
+                    grams.append(g)
+                    counts.append(n)
+                yield pa.record_batch([np.concatenate(x).astype(np.int64) for x in (grams, ids, counts)], schema=schema)
+
+    return chunks.select(F.col("id").cast("long"), F.lower("title"), F.lower("search_text")).where("id is not null").mapInArrow(run, "gram long, id long, tf long")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -47,48 +74,75 @@ def statistics(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), (F.sum(size) / F.count(F.lit(1))).alias("avgdl"))
 
 
-def _frequency(phrase: Column, title: str, body: str) -> Column:
-    return overlapping(F.col(title), F.lower(phrase)) + overlapping(F.col(body), F.lower(phrase))
-
-
-def scan(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(phrase, id, f, size) of all matches, in one pass over the chunks for every SCAN_PHRASES phrases."""
-    every = phrases.where(F.length("phrase") >= 3).select("phrase").distinct()
-    return reduce(DataFrame.unionByName, [_scan(b, chunks) for b in in_blocks(every, "phrase", SCAN_PHRASES)])
-
-
 def in_blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
     """Rows in blocks of about ``most``, dealt by a hash of the key: what a pass sends to every task stays bounded."""
     n = max(1, -(-rows.count() // most))
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def _scan(every: DataFrame, chunks: DataFrame) -> DataFrame:
-    every = every.agg(F.array_sort(F.collect_list(F.struct("phrase", F.lower("phrase").alias("p")))).alias("every"))
-    texts = F.struct(F.lower("title").alias("t"), F.lower("search_text").alias("b"))
-    hit = let(texts, lambda x: F.filter("every", lambda p: F.contains(x["t"], p["p"]) | F.contains(x["b"], p["p"])))
+def find_all(rows: DataFrame, needles: DataFrame, *texts: Column) -> DataFrame:
+    """(id, needle, n): how often each needle (needle) stands in the texts of each row (id), overlapping occurrences too.
+
+    One pass of a pattern automaton over every text, for each ``NEEDLES`` needles: the time follows the texts' length and the
+    occurrences, not the number of needles. Empty needles stand nowhere."""
+    d = rows.select(F.col("id").cast("long").alias("id"), F.array(*texts).alias("texts")).where("id is not null")
+    wanted = needles.where("needle <> ''").select("needle").distinct()
+
+    def one(block: DataFrame) -> DataFrame:
+        words = sorted(r[0] for r in block.collect())  # NEEDLES at most, about
+        schema = pa.schema([("id", pa.int64()), ("needle", pa.string()), ("n", pa.int64())])
+
+        def run(batches):
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(words):
+                automaton.add_word(w, i)
+            if words:
+                automaton.make_automaton()
+            for b in batches:
+                ids, found, counts = [], [], []
+                for i, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if words else ():
+                    seen = Counter(k for t in held if t for _, k in automaton.iter(t))
+                    ids += [i] * len(seen)
+                    found += seen.keys()
+                    counts += seen.values()
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([words[k] for k in found], pa.string()), pa.array(counts, pa.int64())], schema=schema)
+
+        return d.mapInArrow(run, "id long, needle string, n long")
+
+    return reduce(DataFrame.unionByName, [one(b) for b in in_blocks(wanted, "needle", NEEDLES)])
+
+
+def scan(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(phrase, id, f, size) of all matches, in one pass over the chunks."""
+    every = phrases.where(F.length("phrase") >= 3).select("phrase", F.lower("phrase").alias("needle")).distinct()
+    found = find_all(chunks, every, F.lower("title"), F.lower("search_text")).join(every, "needle")
     size = gram_count(F.col("title")) + gram_count(F.col("search_text"))
-    got = chunks.crossJoin(F.broadcast(every)).select("id", F.lower("title").alias("t"), F.lower("search_text").alias("b"), size.alias("size"), F.explode(hit).alias("p"))
-    return got.select("p.phrase", "id", _frequency(F.col("p.phrase"), "t", "b").alias("f"), "size")
+    return found.join(chunks.select("id", size.alias("size")), "id").select("phrase", "id", F.col("n").alias("f"), "size")
 
 
 def candidates(phrases: DataFrame, postings: DataFrame, chunks: DataFrame) -> DataFrame:
     """``scan`` by way of the index: chunks with the phrase's rarest trigram, then checked."""
     p = phrases.where(F.length("phrase") >= 3).select("phrase").distinct()
-    grams = p.select("phrase", F.explode(F.array_distinct(trigrams(F.col("phrase")))).alias("gram"))
-    df = postings.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    codes = lift(lambda x: np.unique(gram_codes(x)).tolist(), "array<bigint>")(F.lower("phrase"))
+    grams = p.select("phrase", F.explode(codes).alias("gram"))
+    some = [r[0] for r in grams.select("gram").distinct().limit(NAMED_GRAMS + 1).collect()]
+    own = postings.where(F.col("gram").isin(some)) if len(some) <= NAMED_GRAMS else postings
+    df = own.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     rare = grams.join(df, "gram", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r"))
     rare = rare.where("r.df > 0").select("phrase", F.col("r.gram").alias("gram"))
-    may = postings.select("gram", "id").join(rare, "gram").select("phrase", "id")
+    may = own.select("gram", "id").join(rare, "gram").select("phrase", "id")
     size = gram_count(F.col("title")) + gram_count(F.col("search_text"))
     got = may.join(chunks.select("id", F.lower("title").alias("t"), F.lower("search_text").alias("b"), size.alias("size")), "id")
-    return got.select("phrase", "id", _frequency(F.col("phrase"), "t", "b").alias("f"), "size").where("f > 0")
+    f = overlapping(F.col("t"), F.lower("phrase")) + overlapping(F.col("b"), F.lower("phrase"))
+    return got.select("phrase", "id", f.alias("f"), "size").where("f > 0")
 
 
 def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:
     """Matches (phrase, id, f, size) with the score of each phrase in each chunk: larger is better."""
     df = matches.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    d = matches.join(df, "phrase").crossJoin(F.broadcast(stats))
+    d = matches.join(df, "phrase").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(C.LEAST_IDF)).otherwise(idf)
     k, b = C.BM25_K1, C.BM25_B
@@ -96,12 +150,26 @@ def bm25(matches: DataFrame, stats: DataFrame) -> DataFrame:
     return d.select("phrase", "id", (idf * part).alias("part"))
 
 
-def match(
-    queries: DataFrame, chunks: DataFrame, *, postings: DataFrame | None = None, stats: DataFrame | None = None, scratch: Scratch | None = None,
+def parts(
+    queries: DataFrame, chunks: DataFrame, *, postings: DataFrame | None = None, stats: DataFrame | None = None, scratch: Scratch | None = None, only: Column | None = None,
 ) -> DataFrame:
-    """(qid, id, score) of queries (qid, phrase): any phrase may match, scores add up. With ``scratch`` the matches, which
-    are read twice, are written once."""
+    """(qid, phrase, id, part) of queries (qid, phrase). ``only`` says which chunks may be hits; frequencies, numbers and lengths
+    are those of all chunks. With ``scratch`` the matches, which are read twice, are written once."""
     found = scan(queries, chunks) if postings is None else candidates(queries, postings, chunks)
     found = scratch.keep(found) if scratch else found
-    parts = bm25(found, statistics(chunks) if stats is None else stats)
-    return queries.select("qid", "phrase").distinct().join(parts, "phrase").groupBy("qid", "id").agg(F.sum("part").alias("score"))
+    scored = bm25(found, statistics(chunks) if stats is None else stats)
+    scored = scored if only is None else scored.join(chunks.where(only).select("id"), "id", "left_semi")
+    return queries.select("qid", "phrase").distinct().join(scored, "phrase").select("qid", "phrase", "id", "part")
+
+
+def match(queries: DataFrame, chunks: DataFrame, **how) -> DataFrame:
+    """(qid, id, score): any phrase of a query may match, scores add up, rounded so that their order doesn't hang on the order of
+    adding. ``how`` as for ``parts``."""
+    return parts(queries, chunks, **how).groupBy("qid", "id").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def match_each(queries: DataFrame, chunks: DataFrame, k: int = C.TERM_FALLBACK_LIMIT, **how) -> DataFrame:
+    """(qid, phrase, id, part, pos): the k best chunks of each phrase on its own. What a query gets if its phrases are not to be
+    read as one expression: each phrase is then a lane with places of its own."""
+    order = W.partitionBy("qid", "phrase").orderBy(F.desc(F.round("part", 9)), "id")
+    return parts(queries, chunks, **how).withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < k)

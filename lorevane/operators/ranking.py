@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
-from lorevane.functions.text import ascii_lower, let, normalize, occurrences
+from lorevane.functions.text import ascii_lower, normalize, occurrences
 
-from .fulltext import SCAN_PHRASES, in_blocks
+from .fulltext import find_all
 
 #: Lanes in the order in which they first name themselves for a hit.
 LANES = ("fts", "index", "body", "semantic")
@@ -30,18 +28,10 @@ def lane(df: DataFrame, name: str, k: int, *order: Column) -> DataFrame:
 
 
 def like(queries: DataFrame, chunks: DataFrame, name: str, columns: list[Column]) -> DataFrame:
-    """Lane of the chunks in which a column holds the query (qid, needle), ASCII case aside; in order of id.
-
-    Needles are tested in one pass for every SCAN_PHRASES: they go to every chunk as one array of (qid, needle)."""
-    lowered = F.array(*[ascii_lower(c) for c in columns])
-    hit = let(lowered, lambda cs: F.filter("every", lambda q: F.exists(cs, lambda c: F.contains(c, q["needle"]))))
-
-    def one(block: DataFrame) -> DataFrame:
-        every = block.agg(F.collect_list(F.struct("qid", ascii_lower(F.col("needle")).alias("needle"))).alias("every"))
-        return chunks.crossJoin(F.broadcast(every)).select("id", F.explode(hit).alias("q")).select("q.qid", "id")
-
-    got = [one(b) for b in in_blocks(queries.where("needle <> ''"), "qid", SCAN_PHRASES)]
-    return lane(reduce(DataFrame.unionByName, got), name, C.LIKE_LIMIT, F.col("id"))
+    """Lane of the chunks in which a column holds the query (qid, needle), ASCII case aside; in order of id."""
+    q = queries.where("needle <> ''").select("qid", ascii_lower(F.col("needle")).alias("needle"))
+    got = find_all(chunks, q, *[ascii_lower(c) for c in columns]).join(q, "needle").select("qid", "id")
+    return lane(got, name, C.LIKE_LIMIT, F.col("id"))
 
 
 def fuse(lanes: DataFrame) -> DataFrame:
@@ -74,7 +64,7 @@ def dedup_titles(hits: DataFrame) -> DataFrame:
 
 def finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, table=("", "")) -> DataFrame:
     """Fused hits to the final (qid, rank, id, score, via). queries: qid and the normalised query q."""
-    best = top(fused, C.FUSED, F.desc("rrf"), F.col("id")).drop("pos")
+    best = top(fused, C.FUSED, F.desc(F.round("rrf", 12)), F.col("id")).drop("pos")
     slim = chunks.select("id", "doc_id", "title", "body", "names", "source_rank")
     hits = slim.join(best, "id").join(queries.select("qid", "q"), "qid")
     hits = hits.withColumn("ntitle", normalize(F.col("title"), table))
@@ -82,7 +72,7 @@ def finish(fused: DataFrame, chunks: DataFrame, queries: DataFrame, table=("", "
     hits = dedup_titles(hits)
     hits = hits.withColumn("score", F.col("rrf") + boost(F.col("ntitle"), normalize(F.col("body"), table), names, F.col("q")))
     hits = hits.withColumn("named", index_like(F.col("ntitle"), names, F.col("via"), F.col("q")))
-    order = (F.desc("named"), F.desc("score"), F.col("source_rank"), F.col("title"), F.col("id"))
+    order = (F.desc("named"), F.desc(F.round("score", 12)), F.col("source_rank"), F.col("title"), F.col("id"))
     out = top(hits, C.RETURNED, *order)
     return out.select("qid", (F.col("pos") + 1).alias("rank"), "id", "score", "via")
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from lorevane import constants as C
 from lorevane.functions.lift import SPACES, lift
-from lorevane.functions.vectors import dot
 
 from .ranking import lane
 
@@ -23,17 +22,7 @@ SHARD_ROWS = 16384
 QUERY_ROWS = 1024
 
 
-def scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, chunk_id, score) for queries (qid, qv) against all vectors (chunk_id, v) of the same length, as expressions."""
-    return vectors.crossJoin(F.broadcast(queries)).where(F.size("v") == F.size("qv")).select("qid", "chunk_id", dot(F.col("qv"), F.col("v")).alias("score"))
-
-
-def best_parts(scored: DataFrame) -> DataFrame:
-    """The best score of each chunk."""
-    return scored.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
-
-
-def _best_of(k: int):
+def _best_of(k: int | None):
     schema = pa.schema([("qid", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -51,11 +40,12 @@ def _best_of(k: int):
     return task
 
 
-def top_chunks(queries: DataFrame, vectors: DataFrame, k: int = C.VECTOR_LIMIT) -> DataFrame:
-    """(qid, chunk_id, score): the k best chunks (chunk_id, v) of each query (qid, qv), by their best part. Ties go by id.
+def best_parts(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
+    """(qid, chunk_id, score): the best part of chunks (chunk_id, v) for each query (qid, qv); with k, of the chunks that are
+    among the k best of their shard.
 
     Vectors are dealt to shards and queries to blocks, both of bounded size; each pair of them is one task with one matrix
-    product, which hands on k chunks a query. The k best of all chunks are among those."""
+    product."""
     keep = lambda c: F.col(c).isNotNull() & (F.size(c) > 0)
     v = vectors.where(keep("v")).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("v").cast("array<double>").alias("v"))
     q = queries.where(keep("qv")).select(F.col("qid").cast("long").alias("qid"), F.col("qv").cast("array<double>").alias("v"))
@@ -66,8 +56,14 @@ def top_chunks(queries: DataFrame, vectors: DataFrame, k: int = C.VECTOR_LIMIT)
     right = q.withColumn("block", place(blocks)).withColumn("shard", both(shards)).withColumn("dim", F.size("v"))
     keys = ("shard", "block", "dim")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best_of(k), "qid long, chunk_id long, score double")
+    return found.groupBy("qid", "chunk_id").agg(F.max("score").alias("score"))
+
+
+def top_chunks(queries: DataFrame, vectors: DataFrame, k: int = C.VECTOR_LIMIT) -> DataFrame:
+    """(qid, chunk_id, score): the k best chunks of each query, by their best part. Ties go by id. A shard hands on k chunks a query;
+    the k best of all chunks are among those."""
     w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return best_parts(found).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return best_parts(queries, vectors, k).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def semantic_lane(queries: DataFrame, vectors: DataFrame) -> DataFrame:

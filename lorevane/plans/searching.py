@@ -6,7 +6,7 @@ queries of one batch may take different roads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
@@ -38,20 +38,27 @@ def gate(queries: DataFrame, lanes: DataFrame, few: int = C.FEW) -> DataFrame:
 def search(
     queries: DataFrame, chunks: DataFrame, *, readings: dict | None = None, table=("", ""), synonyms: DataFrame | None = None,
     postings: DataFrame | None = None, stats: DataFrame | None = None, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None,
+    only: Column | None = None, each_term: bool = False,
 ) -> DataFrame:
     """(qid, rank, id, score, via) for queries (qid, text).
 
     chunks: id, doc_id, title, body, names, parent_path, source_rank, search_text. With query_vectors (qid, qv) and vectors
-    (chunk_id, v) the semantic lane runs too; leave them out when the vectors come from another model."""
+    (chunk_id, v) the semantic lane runs too; leave them out when the vectors come from another model. With ``postings``, a stored
+    trigram index of the chunks, only chunks that may match are read. ``only`` names the chunks that may be hits, say those of one
+    campaign; statistics stay those of all chunks. ``each_term`` makes every term a lane of its own."""
     readings = readings or {}
     scratch = Scratch(chunks.sparkSession, "search")
     # What several lanes and gates read is written once.
     q = scratch.keep(prepare(queries, table))
     stats = scratch.keep(fulltext.statistics(chunks)) if stats is None else stats
+    may = chunks if only is None else chunks.where(only)
 
     def text_lane(phrases: DataFrame, k: int) -> DataFrame:
-        got = fulltext.match(phrases, chunks, postings=postings, stats=stats, scratch=scratch)
-        return ranking.lane(got, "fts", k, F.desc("score"), F.col("id"))
+        how = {"postings": postings, "stats": stats, "scratch": scratch, "only": only}
+        if each_term:
+            got = fulltext.match_each(phrases, chunks, **how)
+            return got.select("qid", "id", F.lit("fts").alias("lane"), F.col("pos").cast("long").alias("pos"), F.lit(C.WEIGHTS["fts"]).alias("weight"))
+        return ranking.lane(fulltext.match(phrases, chunks, **how), "fts", k, F.desc("score"), F.col("id"))
 
     every = terms(q, readings, synonyms).withColumnRenamed("term", "phrase")
     every = scratch.keep(every)
@@ -62,14 +69,15 @@ def search(
     n = hanzi_count(F.col("q"))
     by_name = q.where(n.between(1, 12)).select("qid", F.col("q").alias("needle"))
     in_body = q.where(n.between(1, 4)).select("qid", F.col("q").alias("needle"))
-    lanes = lanes.unionByName(ranking.like(by_name, chunks, "index", [F.col("title"), F.to_json("names"), F.col("parent_path")]))
-    lanes = lanes.unionByName(ranking.like(in_body, chunks, "body", [F.col("body")]))
+    lanes = lanes.unionByName(ranking.like(by_name, may, "index", [F.col("title"), F.to_json("names"), F.col("parent_path")]))
+    lanes = lanes.unionByName(ranking.like(in_body, may, "body", [F.col("body")]))
     lanes = scratch.keep(lanes)
     few = gate(q, lanes).select("qid")
     romanised = every.where(~has_hanzi(F.col("phrase"))).join(few, "qid", "left_semi")
     lanes = scratch.keep(lanes.unionByName(text_lane(romanised, C.PINYIN_LIMIT)))
     if query_vectors is not None and vectors is not None:
-        lanes = lanes.unionByName(vector.semantic_lane(query_vectors, vectors))
+        own = vectors if only is None else vectors.join(may.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
+        lanes = lanes.unionByName(vector.semantic_lane(query_vectors, own))
     return ranking.finish(ranking.fuse(lanes), chunks, q, table)
 
 

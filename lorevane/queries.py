@@ -101,7 +101,8 @@ SELECT gram, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (
 """)
 def q1_trigram_df(spark, d):
     t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("title"), F.col("text").alias("search_text"))
-    return fulltext.index(t).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    found = fulltext.index(t).groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return found.select(fulltext.spelled("gram").alias("gram"), "df", "tf")
 
 
 @query("""SELECT count(*) AS n, round(sum(greatest(length(source) - 2, 0) + greatest(length(text) - 2, 0)) / count(*), 6) AS avgdl FROM documents""")
@@ -151,14 +152,19 @@ fused AS (
 )"""
 
 
+def _holds(spark, d, *texts: str) -> DataFrame:
+    """(qid, id): the documents that hold a benchmark text in one of these columns."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
+    t = table(spark, d, "documents").withColumnRenamed("doc_id", "id")
+    return fulltext.find_all(t, b, *[F.col(x) for x in texts]).join(b, "needle").select("qid", "id")
+
+
 def _lanes(spark, d) -> DataFrame:
-    b, t = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), table(spark, d, "documents")
-    # Queries are the small side, and one pass over the documents tests them all.
-    every = b.agg(F.collect_list(F.struct("item_id", "q", F.length("q").alias("n"))).alias("every"))
-    t = t.crossJoin(F.broadcast(every))
-    inside = t.select("doc_id", F.explode(F.filter("every", lambda x: F.contains("text", x["q"]))).alias("x")).select(F.col("x.item_id").alias("qid"), F.col("doc_id").alias("id"))
-    near = t.select("doc_id", "n_chars", F.explode(F.filter("every", lambda x: F.col("n_chars").between(x["n"] - 20, x["n"] + 20))).alias("x"))
-    near = near.select(F.col("x.item_id").alias("qid"), F.col("doc_id").alias("id"), F.abs(F.col("n_chars") - F.col("x.n")).alias("far"))
+    inside = _holds(spark, d, "text")
+    # Lengths up to 20 characters away, as values to join by.
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").alias("n"))
+    b = b.select("qid", "n", F.explode(F.sequence(F.col("n") - 20, F.col("n") + 20)).alias("n_chars"))
+    near = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars").join(b, "n_chars").select("qid", "id", F.abs(F.col("n_chars") - F.col("n")).alias("far"))
     return ranking.lane(inside, "body", C.LIKE_LIMIT, F.col("id")).unionByName(ranking.lane(near, "fts", C.FTS_LIMIT, F.col("far"), F.col("id")))
 
 
@@ -183,12 +189,11 @@ WITH d AS (SELECT doc_id, source AS title, {_normal_sql('text')} AS body FROM do
 SELECT item_id, doc_id, round({BOOST_SQL}, 9) AS boost FROM d JOIN b ON contains(body, q) OR contains(title, q)
 """)
 def x25_contains_boost(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("q"))
-    every = b.agg(F.collect_list(F.struct("item_id", "q")).alias("every"))
-    t = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), text.normalize(F.col("text")).alias("body")).crossJoin(F.broadcast(every))
-    hit = t.select("doc_id", "title", "body", F.explode(F.filter("every", lambda x: F.contains("body", x["q"]) | F.contains("title", x["q"]))).alias("x"))
-    score = ranking.boost(F.col("title"), F.col("body"), F.array().cast("array<string>"), F.col("x.q"))
-    return hit.select("x.item_id", "doc_id", F.round(score, 9).alias("boost"))
+    b = table(spark, d, "benchmark").select("item_id", text.normalize(F.col("text")).alias("needle"))
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), text.normalize(F.col("text")).alias("body"))
+    hit = fulltext.find_all(t, b, F.col("title"), F.col("body")).drop("n").join(b, "needle").join(t, "id")
+    score = ranking.boost(F.col("title"), F.col("body"), F.array().cast("array<string>"), F.col("needle"))
+    return hit.select("item_id", F.col("id").alias("doc_id"), F.round(score, 9).alias("boost"))
 
 
 @query(f"""
@@ -208,17 +213,74 @@ def w3_final_rank(spark, d):
     return got.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 9).alias("score"), F.array_join("via", ",").alias("via"))
 
 
-@query()
-def q_hybrid_search(spark, d):
-    """Every benchmark text as a query against all documents, through the whole read path."""
+TERMS_SQL = r"""
+n AS (SELECT item_id, text AS q FROM benchmark),
+w AS (SELECT item_id, unnest(regexp_extract_all(q, '[A-Za-z0-9]+')) AS x, unnest(range(len(regexp_extract_all(q, '[A-Za-z0-9]+')))) AS i FROM n),
+f AS (SELECT item_id, lower(x) AS t, 80 AS weight, min(i) AS i FROM w WHERE length(x) >= 3 GROUP BY item_id, lower(x)),
+e AS (
+  SELECT * FROM f
+  UNION ALL SELECT item_id, regexp_replace(q, '[^A-Za-z0-9]', '', 'g'), 95, 1000000 FROM n WHERE length(regexp_replace(q, '[^A-Za-z0-9]', '', 'g')) >= 3
+  UNION ALL SELECT item_id, trim(regexp_replace(q, '\s+', ' ', 'g')), 90, 1000001 FROM n WHERE contains(q, ' ')
+), k AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, strlen(t), i) AS rank FROM e)
+"""
+# Only where a phrase overlaps itself does the plain count fall short.
+_COUNT = "CASE WHEN len(list_filter(twice, lambda x: contains({0}, x))) > 0 THEN len(list_filter(range(1, length({0}) - length(q) + 2), lambda i: substr({0}, i, length(q)) = q)) ELSE (length({0}) - length(replace({0}, q, ''))) // length(q) END"
+
+
+def _hybrid_sql(k: int, k_each: int | None = None) -> str:
+    """Benchmark texts have no ideographs, so all that runs is the lane of plain terms. With k_each every term is a lane."""
+    best = f"""
+r AS (SELECT qid, id, round(sum(part), 9) AS s, row_number() OVER (PARTITION BY qid ORDER BY round(sum(part), 9) DESC, id) AS pos FROM hit GROUP BY qid, id QUALIFY pos <= {k}),
+fused AS (SELECT qid, id, 1.0 / (60.0 + pos) AS rrf FROM r)""" if k_each is None else f"""
+r AS (SELECT qid, id, row_number() OVER (PARTITION BY qid, q ORDER BY round(part, 9) DESC, id) AS pos FROM hit QUALIFY pos <= {k_each}),
+fused0 AS (SELECT qid, id, sum(1.0 / (60.0 + pos)) AS rrf FROM r GROUP BY qid, id),
+fused AS (SELECT * FROM fused0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, id) <= 40)"""
+    return f"""
+WITH {TERMS_SQL}, terms AS (SELECT DISTINCT item_id AS qid, t AS phrase, lower(t) AS q FROM k WHERE rank <= 48 AND length(t) >= 3),
+p AS (SELECT DISTINCT q, list_transform(list_filter(range(1, length(q)), lambda j: left(q, j) = right(q, j)), lambda j: q || substr(q, j + 1)) AS twice FROM terms),
+d AS (SELECT doc_id AS id, lower(source) AS a, lower(source || chr(10) || text) AS b, greatest(length(source) - 2, 0) + greatest(length(source) + 1 + length(text) - 2, 0) AS size FROM documents),
+m AS (SELECT p.q, d.id, d.size, {_COUNT.format("d.a")} + {_COUNT.format("d.b")} AS f FROM d JOIN p ON contains(d.b, p.q)),
+st AS (SELECT count(*) AS n, sum(size) / count(*) AS avgdl FROM d), g AS (SELECT q, count(*) AS df FROM m GROUP BY q),
+sc AS (SELECT m.q, m.id, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / avgdl)) AS part FROM m JOIN g USING (q) CROSS JOIN st),
+hit AS (SELECT terms.qid, sc.id, sc.q, sc.part FROM terms JOIN sc USING (q)), {best},
+h AS (SELECT fused.*, source AS title, {_normal_sql("d.text")} AS body, {_normal_sql("b.text")} AS q FROM fused JOIN documents d ON d.doc_id = id JOIN benchmark b ON b.item_id = qid),
+o AS (SELECT *, contains(title, q) AS named, rrf + {BOOST_SQL} AS score FROM h)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY named DESC, round(score, 12) DESC, encode(title), id) AS rank, id, round(score, 6) AS score, 'fts' AS via FROM o QUALIFY rank <= 20
+"""
+
+
+def _search_input(spark, d) -> tuple[DataFrame, DataFrame]:
     t = table(spark, d, "documents").select(
         F.col("doc_id").alias("id"), "doc_id", F.col("source").alias("title"), F.col("text").alias("body"), F.array().cast("array<string>").alias("names"),
         F.col("source").alias("parent_path"), F.lit(C.SOURCE_RANK).alias("source_rank"), F.concat_ws("\n", "source", "text").alias("search_text"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    got = searching.search(q, t)
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), t
+
+
+def _hits(got: DataFrame) -> DataFrame:
     return got.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"), F.array_join("via", ",").alias("via"))
 
 
+@query(_hybrid_sql(C.PINYIN_LIMIT))
+def q_hybrid_search(spark, d):
+    """Every benchmark text as a query against all documents, through the whole read path."""
+    return _hits(searching.search(*_search_input(spark, d)))
+
+
+@query(_hybrid_sql(C.PINYIN_LIMIT, C.TERM_FALLBACK_LIMIT))
+def q4_each_term(spark, d):
+    """The same with every term a lane of its own."""
+    return _hits(searching.search(*_search_input(spark, d), each_term=True))
+
+
+@query(BM25_SQL + "SELECT id, round(score, 6) AS score FROM w JOIN documents ON doc_id = id WHERE lang = 'en'")
+def f1_scope(spark, d):
+    """Hits of one campaign only (here: of one language), with the frequencies of all chunks."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("search_text"), F.col("lang").alias("campaign"))
+    phrases = literal(spark, [(1, p) for (p,) in PHRASES], "qid int, phrase string")
+    got = fulltext.match(phrases, chunks, scratch=Scratch(spark, "scope"), only=F.col("campaign") == "en")
+    return got.select("id", F.round("score", 6).alias("score"))
+
+
 @query("""
 SELECT doc_id, source, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang, text ORDER BY n_chars DESC, doc_id) = 1
 """)
@@ -234,9 +296,7 @@ t AS (SELECT qid, min(id) AS id FROM h GROUP BY qid)
 SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.qid = t.qid AND r.id = t.id AND rank <= 10) THEN 1 ELSE 0 END), 9) AS recall FROM t
 """)
 def a15_recall_at_k(spark, d):
-    b = table(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id", "text")).alias("every"))
-    hit = table(spark, d, "documents").crossJoin(F.broadcast(b)).select(F.col("doc_id").alias("id"), F.explode(F.filter("every", lambda x: F.contains("text", x["text"]))).alias("x"))
-    hit = hit.select(F.col("x.item_id").alias("qid"), "id")
+    hit = Scratch(spark, "recall").keep(_holds(spark, d, "text"))
     ranked = hit.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("id"))))
     relevant = hit.groupBy("qid").agg(F.min("id").alias("id"))
     return ranking.recall(ranked, relevant).select(F.round("recall", 9).alias("recall"))
@@ -264,7 +324,7 @@ def w4_vector_topk(spark, d):
 def a3_best_part(spark, d):
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
-    got = vector.best_parts(vector.scores(q, e.select(F.col("label").cast("long").alias("chunk_id"), F.col("embedding").alias("v"))))
+    got = vector.best_parts(q, e.select(F.col("label").cast("long").alias("chunk_id"), F.col("embedding").alias("v")))
     return got.select("qid", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -300,12 +360,14 @@ def k5_all_or_none(spark, d):
 
 # ---------------------------------------------------------------- formats
 
-_MARKED = "html"
-for _n in range(1, 5):
-    _MARKED = f"regexp_replace({_MARKED}, '(?is)<h{_n}[^>]*>(.*?)</h[1-4]>', chr(10) || '{'#' * _n} ' || chr(57344) || '\\1' || chr(57345) || chr(10), 'g')"
-_MARKED = f"regexp_replace({_MARKED}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>', ' ', 'g')"
-_MARKED = f"regexp_replace(regexp_replace({_MARKED}, chr(57344) || '{SPACES}+', chr(57344), 'g'), '{SPACES}+' || chr(57345), chr(57345), 'g')"
-_MARKED = f"replace(replace({_MARKED}, chr(57344), ''), chr(57345), '')"
+_HEADS = "'(?is)<h([1-4])[^>]*>(.*?)</h[1-4]>'"
+_TAGS_SQL = "'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]+>'"
+_WHITE = r"[\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# The texts between headings, and each heading's level and text, put together again.
+_MARKED = f"""list_reduce(list_transform(range(1, len(regexp_split_to_array(html, {_HEADS})) + 1), lambda i:
+  regexp_replace(regexp_split_to_array(html, {_HEADS})[i], {_TAGS_SQL}, ' ', 'g') || CASE WHEN i <= len(regexp_extract_all(html, {_HEADS}))
+    THEN chr(10) || repeat('#', CAST(regexp_extract_all(html, {_HEADS}, 1)[i] AS INTEGER)) || ' '
+      || regexp_replace(regexp_replace(regexp_extract_all(html, {_HEADS}, 2)[i], {_TAGS_SQL}, ' ', 'g'), '^{_WHITE}+|{_WHITE}+$', '', 'g') || chr(10) ELSE '' END), lambda x, y: x || y)"""
 
 
 @query(f"SELECT page_id, sha256({_MARKED}) AS text_sha256 FROM pages")
@@ -337,31 +399,108 @@ def _cut(spark, d, f) -> DataFrame:
     return t.select("doc_id", F.col("i").cast("long").alias("i"), "part")
 
 
-@query()
+# Cutting goes from left to right, so the SQL is recursive: a row for each step of each text.
+_HAN = "[一-鿿㐀-䶿]"
+_RSTRIP = lambda c: f"regexp_replace({c}, '{SPACES}+$', '')"
+_LSTRIP = lambda c: f"regexp_replace({c}, '^{SPACES}+', '')"
+
+
+@query(f"""
+WITH RECURSIVE r(doc_id, ls, i, buf, emit) AS (
+  SELECT doc_id, string_split(text, chr(10)), 0, '', CAST(NULL AS VARCHAR) FROM documents
+  UNION ALL
+  SELECT doc_id, ls, i + 1, CASE WHEN p = '' THEN CASE WHEN enough THEN '' ELSE buf || chr(10) END WHEN length(more) >= 2000 THEN '' ELSE more END,
+    CASE WHEN p = '' THEN CASE WHEN enough THEN buf END WHEN length(more) >= 2000 THEN more END
+  FROM (
+    SELECT *, len(regexp_extract_all(buf, '{_HAN}')) > 80 OR length(buf) > 200 AS enough, CASE WHEN buf = '' THEN p ELSE buf || chr(10) || p END AS more
+    FROM (SELECT *, {_RSTRIP('ls[i + 1]')} AS p FROM r WHERE i < len(ls)))
+), e AS (SELECT doc_id, i, emit AS x FROM r WHERE emit IS NOT NULL UNION ALL SELECT doc_id, i + 1, buf FROM r WHERE i = len(ls) AND {_STRIP('buf')} <> ''),
+f AS (SELECT * FROM e UNION ALL SELECT doc_id, 0, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM e)),
+g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, x FROM f WHERE {_STRIP('x')} <> '')
+SELECT doc_id, i, CASE WHEN substr({_normal_sql('x')}, 1, 40) = '' THEN '段落' || (i + 1) ELSE substr({_normal_sql('x')}, 1, 40) END AS title, length(x) AS n, sha1(x) AS sha FROM g
+""")
 def s6_plain_blocks(spark, d):
     t = _cut(spark, d, blocks.plain(F.col("text")))
     return t.select("doc_id", "i", F.col("part.title").alias("title"), F.length("part.text").cast("long").alias("n"), F.sha1(F.col("part.text").cast("binary")).alias("sha"))
 
 
-@query()
+def _overlapped_sql(source: str) -> str:
+    """CTEs from source (key, text) to parts (key, i, part) of long texts."""
+    over = "acc <> '' AND length(acc) + length(ls[i + 1]) > 900"
+    return f"""
+src AS ({source}), r(key, ls, i, acc, emit) AS (
+  SELECT key, string_split(text, chr(10)), 0, '', CAST(NULL AS VARCHAR) FROM src WHERE length(text) > 900
+  UNION ALL
+  SELECT key, ls, i + 1, CASE WHEN {over} THEN right(acc, 40) ELSE acc END || ls[i + 1] || chr(10), CASE WHEN {over} THEN {_STRIP('acc')} END FROM r WHERE i < len(ls)
+), e AS (
+  SELECT key, i, emit AS part FROM r WHERE emit IS NOT NULL UNION ALL SELECT key, i + 1, {_STRIP('acc')} FROM r WHERE i = len(ls) AND {_STRIP('acc')} <> ''
+  UNION ALL SELECT key, 0, text FROM src WHERE length(text) <= 900
+), parts AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) - 1 AS i, part FROM e)"""
+
+
+@query(f"WITH RECURSIVE {_overlapped_sql('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, i, length(part) AS n, sha1(part) AS sha FROM parts")
 def s8_long_blocks(spark, d):
     t = _cut(spark, d, blocks.split_long(F.col("text")))
     return t.select("doc_id", "i", F.length("part").cast("long").alias("n"), F.sha1(F.col("part").cast("binary")).alias("sha"))
 
 
-@query()
+def _window_end(start: str) -> str:
+    ended = f"length(regexp_extract(substr(text, {start} + 1, 400), '(?s)^.{{200,399}}[。！？；\\n]'))"
+    return f"CASE WHEN {start} + 400 >= n THEN n WHEN {ended} > 0 THEN {start} + {ended} ELSE {start} + 400 END"
+
+
+def _windows_sql(source: str) -> str:
+    """CTEs from source (key, text) to windows (key, i, part)."""
+    nxt = "greatest(e - 50, s + 1)"
+    return f"""
+src AS ({source}), w(key, text, n, s, e) AS (
+  SELECT key, text, n, 0::BIGINT, {_window_end('0')} FROM (SELECT key, text, length(text) AS n FROM src)
+  UNION ALL SELECT key, text, n, {nxt}, {_window_end(nxt)} FROM w WHERE e < n
+), windows AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS i, part FROM (SELECT key, s, {_STRIP('substr(text, s + 1, e - s)')} AS part FROM w) WHERE part <> '')"""
+
+
+@query(f"WITH RECURSIVE {_windows_sql('SELECT doc_id AS key, text FROM documents')} SELECT key AS doc_id, i, length(part) AS n, sha1(part) AS sha FROM windows")
 def x17_windows(spark, d):
     t = _cut(spark, d, vector.windows(F.col("text")))
     return t.select("doc_id", "i", F.length("part").cast("long").alias("n"), F.sha1(F.col("part").cast("binary")).alias("sha"))
 
 
-@query()
+_SEGMENTS_SQL = f"""
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents),
+from_ AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l),
+g(doc_id, a, rest) AS (
+  SELECT doc_id, CAST(a + length(x) - length({_LSTRIP('x')}) AS BIGINT), {_STRIP('x')} FROM from_ WHERE {_STRIP('x')} <> ''
+  UNION ALL SELECT doc_id, a + cut, substr(rest, cut + 1) FROM (SELECT *, {{cut}} AS cut FROM g) WHERE length(rest) > cut
+), seg AS (
+  SELECT doc_id, a + length(y) - length({_LSTRIP('y')}) AS a, {_STRIP('y')} AS y FROM (SELECT doc_id, a, substr(rest, 1, {{cut}}) AS y FROM g) WHERE {_STRIP('y')} <> ''
+), segs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS i, a, y FROM seg)""".replace(
+    "{cut}", "CASE WHEN length(rest) <= 500 THEN length(rest) ELSE coalesce(nullif(length(regexp_extract(rest, '(?s)^.{250,500}[。！？；]')), 0), 500) END")
+
+
+@query(f'WITH RECURSIVE {_SEGMENTS_SQL} SELECT doc_id, i, a AS "offset", length(y) AS len FROM segs')
 def x18_segments(spark, d):
     t = _cut(spark, d, refine.segments_udf("text"))
     return t.select("doc_id", "i", F.col("part.offset").cast("long").alias("offset"), F.col("part.len").cast("long").alias("len"))
 
 
-@query()
+# Neighbouring pieces share one segment; two segments always fit into a piece.
+_PIECES_SQL = f"""{_SEGMENTS_SQL},
+k(doc_id, i, first, size, a, b) AS (
+  SELECT doc_id, i, i, length(y) + 8, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM segs WHERE i = 0
+  UNION ALL
+  SELECT k.doc_id, n.i, CASE WHEN past THEN greatest(k.i, first + 1) ELSE first END, length(n.y) + 8 + CASE WHEN NOT past THEN size WHEN k.i > first THEN length(o.y) + 8 ELSE 0 END,
+    CASE WHEN past THEN first END, CASE WHEN past THEN k.i END
+  FROM k JOIN segs n ON n.doc_id = k.doc_id AND n.i = k.i + 1 JOIN segs o ON o.doc_id = k.doc_id AND o.i = k.i, LATERAL (SELECT size + length(n.y) + 8 > 3200 AS past)
+), last AS (SELECT doc_id, max(i) AS i FROM segs GROUP BY doc_id),
+piece AS (SELECT doc_id, a, b FROM k WHERE a IS NOT NULL UNION ALL SELECT k.doc_id, first, k.i FROM k JOIN last ON last.doc_id = k.doc_id AND last.i = k.i)"""
+
+
+@query(f"""
+WITH RECURSIVE {_PIECES_SQL}
+SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY p.a) - 1 AS i, p.a AS first_seg, p.b AS last_seg,
+  sha1(string_agg('[' || CASE WHEN s.i < 1000 THEN lpad(CAST(s.i AS VARCHAR), 3, '0') ELSE CAST(s.i AS VARCHAR) END || '] ' || s.y || chr(10), '' ORDER BY s.i)) AS sha
+FROM piece p JOIN segs s ON s.doc_id = p.doc_id AND s.i BETWEEN p.a AND p.b GROUP BY p.doc_id, p.a, p.b
+""")
 def x19_pieces(spark, d):
     t = _cut(spark, d, refine.pieces_udf("text"))
     return t.select("doc_id", "i", F.col("part.first_seg").cast("long").alias("first_seg"), F.col("part.last_seg").cast("long").alias("last_seg"), F.sha1(F.col("part.text").cast("binary")).alias("sha"))
@@ -376,16 +515,17 @@ def i5_refined_drafts(spark, d):
     return out.select("doc_id", "ordinal", "stable_key", "alt_anchor", "content_hash", "entity_type", "title", "visibility", F.array_join("names", ",").alias("names"))
 
 
-PATHS = [("a/b/Notes.MD",), ("a/x.docx",), ("a/old.doc",), ("pic.PNG",), ("noext",), ("t.htm",), ("z.rtf",), ("r.pdf",), (".txt",), ("k.markdown",)]
+FILE_PATH = """source || '/' || CASE doc_id % 4 WHEN 0 THEN 'a.b/' WHEN 1 THEN 'x y/' ELSE '' END || CASE WHEN doc_id % 13 = 5 THEN '' ELSE lang || doc_id END
+  || CASE doc_id % 12 WHEN 0 THEN '.MD' WHEN 1 THEN '.docx' WHEN 2 THEN '.doc' WHEN 3 THEN '.PNG' WHEN 4 THEN '' WHEN 5 THEN '.htm' WHEN 6 THEN '.rtf' WHEN 7 THEN '.pdf' WHEN 8 THEN '.txt' WHEN 9 THEN '.markdown' WHEN 10 THEN '.html' ELSE '.' END"""
 
 
 @query(f"""
-SELECT p AS path, CASE WHEN e IN ('md', 'markdown', 'html', 'htm', 'txt', 'rtf', 'docx') THEN 'doc' WHEN e IN ('pdf', 'doc') THEN 'unsupported' ELSE 'skip' END AS class, e AS ext
-FROM (SELECT p, lower(regexp_extract(p, '[^/\\\\]\\.([A-Za-z0-9]+)$', 1)) AS e FROM {values(PATHS, "p")})
+SELECT doc_id, CASE WHEN e IN ('md', 'markdown', 'html', 'htm', 'txt', 'rtf', 'docx') THEN 'doc' WHEN e IN ('pdf', 'doc') THEN 'unsupported' ELSE 'skip' END AS class, e AS ext
+FROM (SELECT doc_id, lower(regexp_extract(p, '[^/\\\\]\\.([A-Za-z0-9]+)$', 1)) AS e FROM (SELECT doc_id, {FILE_PATH} AS p FROM documents))
 """)
 def s2_classify(spark, d):
-    t = literal(spark, PATHS, "path string")
-    return t.select("path", files.classify(F.col("path")).alias("class"), files.extension(F.col("path")).alias("ext"))
+    t = table(spark, d, "documents").select("doc_id", F.expr(FILE_PATH).alias("path"))
+    return t.select("doc_id", files.classify(F.col("path")).alias("class"), files.extension(F.col("path")).alias("ext"))
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, true AS same FROM documents")
@@ -400,56 +540,73 @@ def s3_decode(spark, d):
     return t.select("doc_id", F.sha2(files.decode(F.col("text").cast("binary")), 256).alias("text_sha256"), same.alias("same"))
 
 
-ROOTS = [("/data/in", "/data/in/a/b.md"), ("/data/in/", "/data/in/c.txt"), ("/data/in", "/other/d.txt"), ("C:\\in", "C:\\in\\x\\y.md"), ("/data/in", "/data/inner/e.md")]
+# The place of a page below its site, below another one whose name begins alike, and in Windows' spelling.
+ROOT = "CASE page_id % 4 WHEN 0 THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) WHEN 1 THEN split_part(url, '/', 1) || '//' || split_part(url, '/', 3) || '/' WHEN 2 THEN substr(url, 1, length(url) - 3) ELSE 'C:' || chr(92) || 'in' END"
+PAGE_PATH = "CASE page_id % 4 WHEN 3 THEN 'C:' || chr(92) || 'in' || chr(92) || replace(url, '/', chr(92)) ELSE url END"
 
 
 @query(f"""
-SELECT p AS path, CASE WHEN starts_with(p2, r2 || '/') THEN substr(p2, length(r2) + 2) ELSE regexp_extract(p2, '[^/]*$') END AS rel
-FROM (SELECT p, replace(p, '\\', '/') AS p2, regexp_replace(replace(r, '\\', '/'), '/+$', '') AS r2 FROM {values(ROOTS, "r", "p")})
+SELECT page_id, CASE WHEN starts_with(p2, r2 || '/') THEN substr(p2, length(r2) + 2) ELSE regexp_extract(p2, '[^/]*$') END AS rel
+FROM (SELECT page_id, replace(p, '\\', '/') AS p2, regexp_replace(replace(r, '\\', '/'), '/+$', '') AS r2 FROM (SELECT page_id, {ROOT} AS r, {PAGE_PATH} AS p FROM pages))
 """)
 def s1_relative_paths(spark, d):
-    t = literal(spark, ROOTS, "root string, path string")
-    return t.select("path", annotate.relative_path(F.col("path"), F.col("root")).alias("rel"))
+    t = table(spark, d, "pages").select("page_id", F.expr(ROOT).alias("root"), F.expr(PAGE_PATH).alias("path"))
+    return t.select("page_id", annotate.relative_path(F.col("path"), F.col("root")).alias("rel"))
 
 
-REPLIES = [
-    (1, '```json\n[{"title":" 铁门 ","aliases":["门"," 铁门 ",""],"entity_type":"item","start":"[003]","end":4}]\n```'),
-    (2, '{"entries":[{"title":"A","start":7,"heading_level":9},{"title":"  "}]}'),
-    (3, 'Sure: [{"title":"B","start":"x","entity_type":"dragon"}] done'),
-    (4, "no json"), (5, "[]"), (6, '[{"title":"C","start":99999999999999999999,"end":null,"heading_level":3}]'),
-]
+# Replies around the documents' sources: fenced, wrapped, with prose around, with none.
+REPLY = """CASE doc_id % 5
+  WHEN 0 THEN '```json' || chr(10) || '[{"title":" ' || source || ' ","aliases":["' || lang || '"," ' || source || ' ",""],"entity_type":"item","start":"[' || doc_id || ']","end":4}]' || chr(10) || '```'
+  WHEN 1 THEN '{"entries":[{"title":"' || lang || '","start":' || doc_id || ',"heading_level":9},{"title":"  "}]}'
+  WHEN 2 THEN 'Sure: [{"title":"' || source || '","start":"x","entity_type":"dragon"},{"title":"' || lang || '","start":"' || doc_id || '"}] done'
+  WHEN 3 THEN text ELSE '[]' END"""
 
 
-@query(f"""
-SELECT CAST(a AS BIGINT) AS rid, b AS title, c AS names, d AS kind, CAST(e AS BIGINT) AS start, CAST(f AS BIGINT) AS heading_level FROM
-{values([(1, "铁门", "门", "item", 3, 2), (2, "A", "", "", 7, 2), (3, "B", "", "", -1, 2), (6, "C", "", "", -1, 3)], "a", "b", "c", "d", "e", "f")}
+@query("""
+SELECT doc_id, source AS title, lang AS names, 'item' AS kind, doc_id AS start, 2::BIGINT AS heading_level FROM documents WHERE doc_id % 5 = 0
+UNION ALL SELECT doc_id, lang, '', '', doc_id, 2 FROM documents WHERE doc_id % 5 = 1
+UNION ALL SELECT doc_id, source, '', '', -1, 2 FROM documents WHERE doc_id % 5 = 2
+UNION ALL SELECT doc_id, lang, '', '', doc_id, 2 FROM documents WHERE doc_id % 5 = 2
 """)
 def s14_llm_replies(spark, d):
-    t = literal(spark, REPLIES, "rid long, raw string").select("rid", F.explode(llm_json.parse_entries(F.col("raw"))).alias("e"))
-    return t.select("rid", "e.title", F.array_join("e.aliases", ",").alias("names"), F.col("e.entity_type").alias("kind"), "e.start", F.col("e.heading_level").cast("long").alias("heading_level"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(llm_json.parse_entries(F.expr(REPLY))).alias("e"))
+    return t.select("doc_id", "e.title", F.array_join("e.aliases", ",").alias("names"), F.col("e.entity_type").alias("kind"), "e.start", F.col("e.heading_level").cast("long").alias("heading_level"))
 
 
-NUMBERS = [("7",), ("[007]",), ("x",), ("",), (None,), ("12 of 30",), ("99999999999999999999",), ("9223372036854775807",)]
+NUMBER = """CASE doc_id % 6 WHEN 0 THEN CAST(doc_id AS VARCHAR(30)) WHEN 1 THEN '[00' || doc_id || ']' WHEN 2 THEN text WHEN 3 THEN '' WHEN 4 THEN doc_id || '99999999999999999999' ELSE lang || doc_id || ' of 30' END"""
 
 
-@query(f"SELECT a AS raw, coalesce(try_cast(nullif(regexp_extract(a, '[0-9]+'), '') AS BIGINT), -1) AS n FROM {values(NUMBERS, 'a')}")
+@query(f"SELECT doc_id, coalesce(try_cast(nullif(regexp_extract(a, '[0-9]+'), '') AS BIGINT), -1) AS n FROM (SELECT doc_id, {NUMBER} AS a FROM documents)")
 def s15_flexible_int(spark, d):
-    return literal(spark, NUMBERS, "raw string").select("raw", llm_json.flexible_int(F.col("raw")).alias("n"))
-
-
-WORD_XML = [(
-    1,
-    '<w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Gate</w:t></w:r></w:p><w:p><w:r><w:t xml:space="preserve">A &amp;lt;wall&gt; stands at the pass</w:t></w:r><w:del><w:t>gone</w:t></w:del></w:p>'
-    '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>k</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>value one</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:pPr><w:outlineLvl w:val="0"/></w:pPr><w:r><w:t>Next</w:t></w:r></w:p><w:p ><w:r><w:t>first part of a line</w:t><w:br/><w:t>and more</w:t></w:r></w:p>')]
+    return table(spark, d, "documents").select("doc_id", llm_json.flexible_int(F.expr(NUMBER)).alias("n"))
+
+
+# Each document as a Word document: a heading by style, its lines as paragraphs with breaks in them, deleted text, a table, a heading by outline.
+_XML = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_RUN = "'<w:r><w:t xml:space=\"preserve\">' || {} || '</w:t></w:r>'"
+WORD_XML = f"""'<w:document><w:body><w:p><w:pPr><w:pStyle w:val="Heading' || (doc_id % 4 + 1) || '"/></w:pPr>' || {_RUN.format(_XML.format('source'))} || '</w:p><w:p w:rsidR="1">'
+  || {_RUN.format("'The whole text of a document, with its lines: ' || replace(" + _XML.format("text") + ", chr(10), '</w:t></w:r></w:p><w:p><w:r><w:t>The next line of that document, which goes: ')")}
+  || '<w:del><w:r><w:t>gone</w:t></w:r></w:del><w:r><w:instrText>PAGE</w:instrText></w:r></w:p><w:tbl><w:tr><w:tc><w:p>' || {_RUN.format("'k'")} || '</w:p></w:tc><w:tc><w:p>' || {_RUN.format("'value ' || lang")}
+  || '</w:p></w:tc></w:tr><w:tr><w:tc><w:p/></w:tc></w:tr><w:tr><w:tc><w:p>' || {_RUN.format("'one'")} || '</w:p></w:tc><w:tc><w:p>' || {_RUN.format("'two'")} || '</w:p></w:tc><w:tc><w:p>' || {_RUN.format("lang")} || '</w:p></w:tc></w:tr></w:tbl>'
+  || '<w:p><w:pPr><w:outlineLvl w:val="0"/></w:pPr>' || {_RUN.format("'Next ' || doc_id")} || '</w:p><w:p>' || {_RUN.format("'first part of a line that is no heading at all' || '<w:br/>' || 'and more of ' || lang")} || '</w:p></w:body></w:document>'"""
+# A paragraph in which "<" stands has its tags, and only then runs of blanks, taken out.
+_PARA = lambda c: f"CASE WHEN contains({c}, '<') THEN trim(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '{SPACES}+', ' ', 'g')) ELSE {_STRIP(c)} END"
+_WORD_SOURCE = f"""
+SELECT doc_id * 2 AS key, {_STRIP("string_agg(x, chr(10) ORDER BY i) || chr(10) || 'k：value ' || any_value(lang) || chr(10) || 'one / two / ' || any_value(lang)")} AS text
+FROM (SELECT doc_id, lang, i, {_PARA('y')} AS x FROM (
+  SELECT doc_id, lang, CASE WHEN i = 0 THEN 'The whole text of a document, with its lines: ' ELSE 'The next line of that document, which goes: ' END || x AS y, i
+  FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents))) GROUP BY doc_id
+UNION ALL SELECT doc_id * 2 + 1, 'first part of a line that is no heading at all' || chr(10) || 'and more of ' || lang FROM documents"""
 
 
 @query(f"""
-SELECT CAST(a AS BIGINT) AS file, CAST(b AS BIGINT) AS block, CAST(c AS BIGINT) AS level, d AS title, e AS text FROM
-{values([(1, 0, 2, "Gate", "A stands at the pass" + chr(10) + "k：value one"), (1, 1, 1, "Next", "first part of a lineand more")], "a", "b", "c", "d", "e")}
+WITH RECURSIVE {_overlapped_sql(_WORD_SOURCE)}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY key, i) - 1 AS block, CASE WHEN key % 2 = 0 THEN doc_id % 4 + 1 ELSE 1 END AS level,
+  CASE WHEN key % 2 = 0 THEN source ELSE 'Next ' || doc_id END AS title, sha1(part) AS sha FROM parts JOIN documents ON doc_id = key // 2
 """)
 def s9_docx_blocks(spark, d):
-    t = literal(spark, WORD_XML, "file long, xml string").select("file", F.posexplode(docx.blocks_from_xml(F.col("xml"))).alias("block", "b"))
-    return t.select("file", F.col("block").cast("long").alias("block"), F.col("b.heading_level").cast("long").alias("level"), F.col("b.title").alias("title"), F.col("b.text").alias("text"))
+    t = table(spark, d, "documents").select("doc_id", F.posexplode(docx.blocks_from_xml(F.expr(WORD_XML))).alias("block", "b"))
+    return t.select("doc_id", F.col("block").cast("long").alias("block"), F.col("b.heading_level").cast("long").alias("level"), F.col("b.title").alias("title"), F.sha1(F.col("b.text").cast("binary")).alias("sha"))
 
 
 # ---------------------------------------------------------------- scalars
@@ -482,39 +639,49 @@ def x7_hash_keys(spark, d):
         annotate.alt_anchor(s, t).alias("alt_anchor"), annotate.body_hash(t).alias("body_hash"), annotate.file_hash(t.cast("binary")).alias("file_hash"))
 
 
-ENTRIES = [
-    (1, "格里姆（独眼酒保）", "人物。又名：老格、格大叔；Grim\n正文"), (2, "灰港 Grayport", "港口城市，别名: 雾港"), (3, "铁匕首", "【秘密】它是魔法物品\n亦称：夜牙"),
-    (4, "Only Latin", "DM only: keep\nsecret door"), (5, "盐会", "一个组织\n【DM】会长是叛徒"), (6, "裁定", "擒抱规则 对玩家隐藏"), (7, "无名", ""), (8, "x(太长的括号别名一二三四五六七八九十一二三四五六七八九十)", "y"),
-]
+# Entries and questions made of the documents, by expressions that both engines read. Vowels become ideographs.
+_HANZI_OF = "translate({}, 'aeiou', '灰港铁门格')"
+ENTRY_TITLE = f"""CASE doc_id % 6 WHEN 0 THEN {_HANZI_OF.format('source')} || '（' || lang || '）' WHEN 1 THEN '灰港 ' || {_HANZI_OF.format('substr(text, 1, 9)')}
+  WHEN 2 THEN '铁门 Gate of Ash' WHEN 3 THEN source WHEN 4 THEN '第' || doc_id || '章' ELSE 'x(' || {_HANZI_OF.format('substr(text, 1, 30)')} || ')' END"""
+ENTRY_BODY = f"""CASE doc_id % 7 WHEN 0 THEN '又名：' || source || '、' || lang || '；' || substr(text, 1, 5) || chr(10) || text WHEN 1 THEN '【秘密】它是' || source || chr(10) || text
+  WHEN 2 THEN 'DM only: keep' || chr(10) || text WHEN 3 THEN '【DM】' || source WHEN 4 THEN '一个组织，港口都有 ' || text || chr(10) || '亦称: ' || lang || ',' || source
+  WHEN 5 THEN {_HANZI_OF.format('text')} || ' 对玩家隐藏' ELSE '人物。' || text END"""
+QUESTION = f"CASE item_id % 4 WHEN 0 THEN {_HANZI_OF.format('text')} WHEN 1 THEN replace({_HANZI_OF.format('text')}, ' ', '') WHEN 2 THEN substr(text, 1, 7) || ' 老格 2024' ELSE '在' || {_HANZI_OF.format('lower(text)')} || '的' END"
+ENTRIES_SQL = f"(SELECT doc_id AS a, {ENTRY_TITLE} AS b, {ENTRY_BODY} AS c FROM documents)"
+QUESTIONS_SQL = f"(SELECT item_id AS a, {QUESTION} AS b FROM benchmark)"
 
 
-def _entries(spark):
-    return literal(spark, ENTRIES, "id long, title string, body string")
+def _entries(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(ENTRY_TITLE).alias("title"), F.expr(ENTRY_BODY).alias("body"))
+
+
+def _questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.expr(QUESTION).alias("q"))
 
 
 ENTITY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(h, '{'|'.join(w)}') THEN '{k}'" for k, w in C.ENTITY_WORDS) + " ELSE 'other' END"
 
 
-@query(f"SELECT CAST(a AS BIGINT) AS id, {ENTITY_SQL} AS kind FROM (SELECT a, b || chr(10) || substr(c, 1, 80) AS h FROM {values(ENTRIES, 'a', 'b', 'c')})")
+@query(f"SELECT CAST(a AS BIGINT) AS id, {ENTITY_SQL} AS kind FROM (SELECT a, b || chr(10) || substr(c, 1, 80) AS h FROM {ENTRIES_SQL})")
 def x11_entity_type(spark, d):
-    return _entries(spark).select("id", annotate.entity_type(F.col("title"), F.col("body")).alias("kind"))
+    return _entries(spark, d).select("id", annotate.entity_type(F.col("title"), F.col("body")).alias("kind"))
 
 
 _TAIL = "regexp_extract(b, '([A-Za-z \\t\\n\\f\\r''-]+)$', 1)"
 
 
 @query(f"""
-WITH v0 AS (SELECT * FROM {values(ENTRIES, "a", "b", "c")}),
+WITH v0 AS (SELECT * FROM {ENTRIES_SQL}),
 m AS (SELECT a, unnest(regexp_extract_all(b || chr(10) || c, '(?:又名|别名|亦称)[:：]{SPACES}*([^\\n]+)', 1)) AS x FROM v0),
 p AS (
   SELECT a, unnest(regexp_split_to_array(x, '[、,/，;；]')) AS x FROM m
   UNION ALL SELECT a, regexp_extract(b, '(.+?)[（(]([^）)]+)[）)]', 2) FROM v0 WHERE length(trim(regexp_extract(b, '(.+?)[（(]([^）)]+)[）)]', 2))) <= 20
-  UNION ALL SELECT a, {_TAIL} FROM v0 WHERE length(trim({_TAIL})) >= 2 AND regexp_matches(replace(b, {_TAIL}, ''), '[一-鿿㐀-䶿]')
-), q AS (SELECT DISTINCT a, trim(x) AS x FROM p WHERE trim(x) <> '')
+  UNION ALL SELECT a, {_TAIL} FROM v0 WHERE length({_STRIP(_TAIL)}) >= 2 AND regexp_matches(replace(b, {_TAIL}, ''), '[一-鿿㐀-䶿]')
+), q AS (SELECT DISTINCT a, {_STRIP('x')} AS x FROM p WHERE {_STRIP('x')} <> '')
 SELECT CAST(v0.a AS BIGINT) AS id, coalesce(string_agg(x, ',' ORDER BY encode(x)), '') AS names FROM v0 LEFT JOIN q USING (a) GROUP BY v0.a
 """)
 def x12_aliases(spark, d):
-    return _entries(spark).select("id", F.array_join(annotate.aliases(F.col("title"), F.col("body")), ",").alias("names"))
+    return _entries(spark, d).select("id", F.array_join(annotate.aliases(F.col("title"), F.col("body")), ",").alias("names"))
 
 
 _LINES_SQL = "string_split(c, chr(10))"
@@ -524,10 +691,10 @@ _LINES_SQL = "string_split(c, chr(10))"
 SELECT CAST(a AS BIGINT) AS id, CAST(1
   | CASE WHEN len(list_filter({_LINES_SQL}, lambda x: starts_with(trim(x), '【秘密】') OR starts_with(trim(x), '【密谋】') OR contains(lower(x), 'secret'))) > 0 THEN 4 ELSE 0 END
   | CASE WHEN len(list_filter({_LINES_SQL}, lambda x: starts_with(trim(x), '【DM】') OR starts_with(trim(x), 'DM only') OR contains(x, '对玩家隐藏'))) > 0 THEN 2 ELSE 0 END AS BIGINT) AS vis
-FROM {values(ENTRIES, "a", "b", "c")}
+FROM {ENTRIES_SQL}
 """)
 def x15_visibility(spark, d):
-    return _entries(spark).select("id", annotate.visibility(F.col("body")).alias("vis"))
+    return _entries(spark, d).select("id", annotate.visibility(F.col("body")).alias("vis"))
 
 
 _SECRET = "(starts_with(trim(x), '【秘密】') OR starts_with(trim(x), '【DM】') OR starts_with(trim(x), '【密谋】') OR contains(x, '对玩家隐藏'))"
@@ -535,30 +702,33 @@ _SECRET = "(starts_with(trim(x), '【秘密】') OR starts_with(trim(x), '【DM
 
 @query(f"""
 SELECT CAST(a AS BIGINT) AS id, CASE WHEN trim(s) <> '' THEN s WHEN len(list_filter({_LINES_SQL}, lambda x: {_SECRET})) > 0 THEN '（该条目对玩家隐藏）' ELSE c END AS body
-FROM (SELECT a, c, array_to_string(list_filter({_LINES_SQL}, lambda x: NOT {_SECRET}), chr(10)) AS s FROM {values(ENTRIES, "a", "b", "c")})
+FROM (SELECT a, c, array_to_string(list_filter({_LINES_SQL}, lambda x: NOT {_SECRET}), chr(10)) AS s FROM {ENTRIES_SQL})
 """)
 def x16_public_body(spark, d):
-    return _entries(spark).select("id", annotate.public_body(F.col("body"), F.lit(C.PUBLIC).cast("long")).alias("body"))
+    return _entries(spark, d).select("id", annotate.public_body(F.col("body"), F.lit(C.PUBLIC).cast("long")).alias("body"))
 
 
 @query(f"""
-SELECT CAST(a AS BIGINT) AS id, b || CASE WHEN c <> '' THEN chr(10) || c ELSE '' END || CASE WHEN c <> '' THEN chr(10) || {_N('c')} ELSE '' END AS search_text FROM {values(ENTRIES, "a", "b", "c")}
+SELECT CAST(a AS BIGINT) AS id, b || CASE WHEN c <> '' THEN chr(10) || c ELSE '' END || CASE WHEN c <> '' THEN chr(10) || {_N('c')} ELSE '' END AS search_text FROM {ENTRIES_SQL}
 """)
 def x14_search_text(spark, d):
     none = F.array().cast("array<string>")
-    return _entries(spark).select("id", annotate.search_text(F.col("title"), F.col("body"), none, F.lit("")).alias("search_text"))
+    return _entries(spark, d).select("id", annotate.search_text(F.col("title"), F.col("body"), none, F.lit("")).alias("search_text"))
 
 
-LINES = [("灰港",), ("第一章 开端",), ("【铁门】",), ("名字：值",), ("一句话。",), ("x",), ("老格的酒馆；",), ("十六个字以内的标题才算是条目标题吗",), ("Gate of Ash",)]
+# Begins of texts as lines, with the marks that tell titles from sentences.
+LINE = f"""CASE doc_id % 9 WHEN 0 THEN '第' || doc_id || '章 ' || source WHEN 1 THEN '【' || lang || '】' WHEN 2 THEN lang || '：' || source WHEN 3 THEN {_HANZI_OF.format('substr(text, 1, 12)')}
+  WHEN 4 THEN substr(text, 1, 15) || '。' WHEN 5 THEN substr(text, 1, 10) || '；' WHEN 6 THEN substr(text, 1, 1) WHEN 7 THEN text ELSE trim(substr(text, 1, 16)) || ' 回' END"""
 
 
 @query(f"""
-SELECT x AS line, length(x) BETWEEN 2 AND 16 AND NOT (starts_with(x, '第') OR regexp_matches(x, '[章节回]'))
+SELECT doc_id, length(x) BETWEEN 2 AND 16 AND NOT (starts_with(x, '第') OR regexp_matches(x, '[章节回]'))
   AND ((starts_with(x, '【') AND ends_with(x, '】')) OR (NOT regexp_matches(x, '[；;]$') AND NOT regexp_matches(x, '[。！？：:]'))) AS heading,
-  starts_with(x, '第') OR regexp_matches(x, '[章节回]') AS chapter FROM {values(LINES, "x")}
+  starts_with(x, '第') OR regexp_matches(x, '[章节回]') AS chapter FROM (SELECT doc_id, {_STRIP('b')} AS x FROM (SELECT doc_id, {LINE} AS b FROM documents))
 """)
 def f7_entry_heading(spark, d):
-    return literal(spark, LINES, "line string").select("line", annotate.entry_heading(F.col("line")).alias("heading"), annotate.chapter_like(F.col("line")).alias("chapter"))
+    t = table(spark, d, "documents").select("doc_id", F.expr(LINE).alias("line"))
+    return t.select("doc_id", annotate.entry_heading(F.col("line")).alias("heading"), annotate.chapter_like(F.col("line")).alias("chapter"))
 
 
 @query("SELECT doc_id, length(text) >= 800 AND (regexp_matches(source, '1') AND false OR length(text) >= 2200) AS wants FROM documents")
@@ -566,53 +736,42 @@ def f9_wants_model(spark, d):
     return table(spark, d, "documents").select("doc_id", annotate.wants_model(F.col("source"), F.col("text")).alias("wants"))
 
 
-SPOKEN = [(1, "我们之前在那个独眼酒保的店里拿到了货"), (2, "Grim the Old 老格"), (3, "灰港 2024"), (4, "")]
-
-
-@query(f"SELECT CAST(a AS BIGINT) AS id, array_to_string(list_transform(regexp_extract_all(b, '[一-鿿㐀-䶿]+|[A-Za-z0-9]+'), lambda x: lower(x)), ',') AS runs FROM {values(SPOKEN, 'a', 'b')}")
+@query(f"SELECT CAST(a AS BIGINT) AS id, array_to_string(list_transform(regexp_extract_all(b, '[一-鿿㐀-䶿]+|[A-Za-z0-9]+'), lambda x: lower(x)), ',') AS runs FROM {QUESTIONS_SQL}")
 def x21_runs(spark, d):
-    return literal(spark, SPOKEN, "id long, q string").select("id", F.array_join(T.runs(F.col("q")), ",").alias("runs"))
+    return _questions(spark, d).select("id", F.array_join(T.runs(F.col("q")), ",").alias("runs"))
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in sorted({w for w in C.STOP_WORDS if len(w) == 1})) + "]"
 
 
 @query(f"""
-WITH r AS (SELECT a, b, unnest([4, 3]) AS n, unnest([0, 1]) AS o FROM {values(SPOKEN, "a", "b")}),
+WITH r AS (SELECT a, b, unnest([4, 3]) AS n, unnest([0, 1]) AS o FROM {QUESTIONS_SQL}),
 g AS (SELECT a, o, unnest(range(1, greatest(length(b) - n + 2, 1))) AS i, b, n FROM r),
 h AS (SELECT a, o, i, substr(b, i, n) AS g FROM g WHERE NOT list_contains({_STOPS}, substr(b, i, 1)) AND NOT list_contains({_STOPS}, substr(b, i + n - 1, 1)))
-SELECT CAST(v.a AS BIGINT) AS id, coalesce((SELECT string_agg(g, '|' ORDER BY o, i) FROM h WHERE h.a = v.a), '') AS grams FROM {values(SPOKEN, "a", "b")}
+SELECT CAST(v.a AS BIGINT) AS id, coalesce((SELECT string_agg(g, '|' ORDER BY o, i) FROM h WHERE h.a = v.a), '') AS grams FROM {QUESTIONS_SQL} v
 """)
 def x22_ngrams(spark, d):
-    return literal(spark, SPOKEN, "id long, q string").select("id", F.array_join(T.ngrams(F.col("q")), "|").alias("grams"))
+    return _questions(spark, d).select("id", F.array_join(T.ngrams(F.col("q")), "|").alias("grams"))
 
 
-@query(r"""
-WITH n AS (SELECT item_id, text AS q FROM benchmark),
-w AS (SELECT item_id, unnest(regexp_extract_all(q, '[A-Za-z0-9]+')) AS x, unnest(range(len(regexp_extract_all(q, '[A-Za-z0-9]+')))) AS i FROM n),
-f AS (SELECT item_id, lower(x) AS t, 80 AS weight, min(i) AS i FROM w WHERE length(x) >= 3 GROUP BY item_id, lower(x)),
-e AS (
-  SELECT * FROM f
-  UNION ALL SELECT item_id, regexp_replace(q, '[^A-Za-z0-9]', '', 'g'), 95, 1000000 FROM n WHERE length(regexp_replace(q, '[^A-Za-z0-9]', '', 'g')) >= 3
-  UNION ALL SELECT item_id, trim(regexp_replace(q, '\s+', ' ', 'g')), 90, 1000001 FROM n WHERE contains(q, ' ')
-), k AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, strlen(t), i) AS rank FROM e)
-SELECT item_id, rank, t AS term FROM k WHERE rank <= 48
-""")
+@query(f"WITH {TERMS_SQL} SELECT item_id, rank, t AS term FROM k WHERE rank <= 48")
 def x20_query_terms(spark, d):
     q = searching.prepare(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"))
     t = q.select(F.col("qid").alias("item_id"), F.posexplode(T.extract_udf({})("q")).alias("i", "term"))
     return t.select("item_id", (F.col("i") + 1).cast("long").alias("rank"), "term")
 
 
-TERMS = [("abc",), ("AND",), ("near",), ("a b",), ('say "x"',), ("独眼",), ("x-y",), ("Café",)]
+TERM = """CASE p_partkey % 5 WHEN 0 THEN replace(p_name, ' ', '') WHEN 1 THEN p_name WHEN 2 THEN 'say "' || p_name || '" "x' WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 'and' ELSE 'Near' END ELSE '独眼' || p_name END"""
 
 
 @query(f"""
-SELECT t AS term, CASE WHEN regexp_matches(t, '^[A-Za-z0-9]+$') AND upper(t) NOT IN ('AND', 'OR', 'NOT', 'NEAR', 'MATCH') THEN t ELSE '"' || replace(t, '"', '""') || '"' END AS escaped, t AS back FROM {values(TERMS, "t")}
+SELECT p_partkey, CASE WHEN regexp_matches(t, '^[A-Za-z0-9]+$') AND upper(t) NOT IN ('AND', 'OR', 'NOT', 'NEAR', 'MATCH') THEN t ELSE '"' || replace(t, '"', '""') || '"' END AS escaped,
+  CASE WHEN contains(t, '"') THEN 'x' ELSE t END AS back FROM (SELECT p_partkey, {TERM} AS t FROM part)
 """)
 def q5_escape_terms(spark, d):
     e = T.escape(F.col("term"))
-    return literal(spark, TERMS, "term string").select("term", e.alias("escaped"), F.when(F.col("term").contains('"'), F.col("term")).otherwise(T.unescape(e)).alias("back"))
+    t = table(spark, d, "part").select("p_partkey", F.expr(TERM).alias("term"))
+    return t.select("p_partkey", e.alias("escaped"), F.when(F.col("term").contains('"'), F.lit("x")).otherwise(T.unescape(e)).alias("back"))
 
 
 @query("""
@@ -643,12 +802,17 @@ def x29_dice(spark, d):
     return s.select("a", "b", F.round(F.lit(2.0) * F.col("k") / (F.col("na") + F.col("nb")), 9).alias("dice"))
 
 
-ALIKE = [(1, "铁匕首在谁手里", "铁匕首 在谁 手里"), (2, "aaaa", "aa"), (3, "a", "ab"), (4, "灰港的灯塔", "灰港的灯塔很高"), (5, "xyz", "abc")]
-
-
-@query(f"SELECT CAST(a AS BIGINT) AS id, CAST(b AS DOUBLE) AS dice FROM {values([(1, 1.0), (2, 0.5), (3, 0.0), (4, 0.8), (5, 0.0)], 'a', 'b')}")
+@query("""
+WITH p AS (SELECT a.p_partkey AS id, replace(a.p_name, ' ', '') AS x, replace(b.p_name, ' ', '') AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+g AS (SELECT id, 0 AS side, substr(x, i, 2) AS g FROM (SELECT id, x, unnest(range(1, length(x))) AS i FROM p) UNION ALL SELECT id, 1, substr(y, i, 2) FROM (SELECT id, y, unnest(range(1, length(y))) AS i FROM p)),
+c AS (SELECT id, g, count(*) FILTER (side = 0) AS m, count(*) FILTER (side = 1) AS n FROM g GROUP BY id, g)
+SELECT id, round(2.0::DOUBLE * sum(least(m, n)) / sum(m + n), 9) AS dice FROM c GROUP BY id
+""")
 def j13_dice_pairs(spark, d):
-    return literal(spark, ALIKE, "id long, a string, b string").select("id", F.round(similarity.dice(F.col("a"), F.col("b")), 9).alias("dice"))
+    """Each name with the next one."""
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey")
+    return both.select(F.col("p_partkey").alias("id"), F.round(similarity.dice(F.col("p_name"), F.col("next")), 9).alias("dice"))
 
 
 @query("""
@@ -660,11 +824,14 @@ def x33_snippet(spark, d):
 
 
 @query("""
-SELECT doc_id, (length(text) - length(replace(text, 'tion', ''))) // 4 AS n, (instr(text, 'tion') - 1)::BIGINT AS first FROM documents WHERE contains(text, 'tion')
+SELECT doc_id, coalesce(string_agg((a - 1) || '-' || (a + 3), ',' ORDER BY a), '') AS spans FROM documents LEFT JOIN (
+  SELECT doc_id AS id, sum(length(x) + 4) OVER (PARTITION BY doc_id ORDER BY i) - 3 AS a, i < n - 1 AS inner_ FROM (
+    SELECT doc_id, unnest(string_split(text, 'tion')) AS x, unnest(range(len(string_split(text, 'tion')))) AS i, len(string_split(text, 'tion')) AS n FROM documents)
+) ON id = doc_id AND inner_ GROUP BY doc_id
 """)
 def x34_highlight(spark, d):
-    t = table(spark, d, "documents").where(F.contains("text", F.lit("tion"))).select("doc_id", text.highlight(F.col("text"), F.lit("tion")).alias("s"))
-    return t.select("doc_id", F.size("s").cast("long").alias("n"), F.col("s")[0]["start"].cast("long").alias("first"))
+    spans = F.transform(text.highlight(F.col("text"), F.lit(" tion ")), lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return table(spark, d, "documents").select("doc_id", F.array_join(spans, ",").alias("spans"))
 
 
 @query("SELECT doc_id, (length(text) - length(replace(text, 'an', ''))) // 2 AS n FROM documents")
@@ -682,24 +849,24 @@ def x30_copy_template(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(fill("player"), 256).alias("player"), F.sha2(fill("full"), 256).alias("full_"), fill("source").alias("origin"))
 
 
-ESCAPES = [(1, 'a & b <c> "d"'), (2, "&amp;lt; &quot;x&apos;"), (3, "")]
-
-
-@query(f"""
-SELECT CAST(a AS BIGINT) AS id, replace(replace(replace(replace(b, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
-  replace(replace(replace(replace(replace(b, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', '''') AS decoded FROM {values(ESCAPES, "a", "b")}
+@query("""
+SELECT page_id, sha256(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped,
+  sha256(replace(replace(replace(replace(replace(html, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', '''')) AS decoded, true AS back FROM pages
 """)
 def x36_xml_entities(spark, d):
-    t = literal(spark, ESCAPES, "id long, t string")
-    return t.select("id", text.xml_escape(F.col("t")).alias("escaped"), text.decode_entities(F.col("t")).alias("decoded"))
+    t, back = table(spark, d, "pages"), text.decode_entities(text.xml_escape(F.col("html")))
+    # Decoding undoes escaping, unless what was escaped looks like an entity itself.
+    same = (back == F.col("html")) | F.col("html").contains("&")
+    return t.select("page_id", F.sha2(text.xml_escape(F.col("html")), 256).alias("escaped"), F.sha2(text.decode_entities(F.col("html")), 256).alias("decoded"), same.alias("back"))
 
 
-PARENTS = [("stem",), ("stem / a",), ("stem / a / b",), ("x / y\nz / w",)]
+HEADING_PATH = "CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN source || ' / ' || lang ELSE lang || ' / ' || text || ' / ' || source END"
 
 
-@query(f"SELECT p AS path, CASE WHEN contains(p, ' / ') THEN array_to_string(string_split(p, ' / ')[:-2], ' / ') ELSE '' END AS prefix FROM {values(PARENTS, 'p')}")
+@query(f"SELECT doc_id, sha1(CASE WHEN contains(p, ' / ') THEN array_to_string(string_split(p, ' / ')[:-2], ' / ') ELSE '' END) AS prefix FROM (SELECT doc_id, {HEADING_PATH} AS p FROM documents)")
 def x32_chapter_prefix(spark, d):
-    return literal(spark, PARENTS, "path string").select("path", annotate.chapter_prefix(F.col("path")).alias("prefix"))
+    p = annotate.chapter_prefix(F.expr(HEADING_PATH))
+    return table(spark, d, "documents").select("doc_id", F.sha1(p.cast("binary")).alias("prefix"))
 
 
 # ---------------------------------------------------------------- upkeep
@@ -898,11 +1065,11 @@ def x37_timestamps(spark, d):
 
 
 @query(f"""
-SELECT CAST(a AS BIGINT) AS id, regexp_matches(b, '[一-鿿㐀-䶿]{{7,}}') AS long_run, regexp_matches(b, '[一-鿿㐀-䶿]') AS hanzi, regexp_matches(b, '^[A-Za-z0-9]+$') AS latin FROM {values(SPOKEN + [(5, "Abc9")], "a", "b")}
+SELECT CAST(a AS BIGINT) AS id, regexp_matches(b, '[一-鿿㐀-䶿]{{7,}}') AS long_run, regexp_matches(b, '[一-鿿㐀-䶿]') AS hanzi, regexp_matches(b, '^[A-Za-z0-9]+$') AS latin FROM {QUESTIONS_SQL}
 """)
 def f10_script_tests(spark, d):
     q = F.col("q")
-    return literal(spark, SPOKEN + [(5, "Abc9")], "id long, q string").select("id", text.has_long_run(q).alias("long_run"), text.has_hanzi(q).alias("hanzi"), text.is_latin_or_digit(q).alias("latin"))
+    return _questions(spark, d).select("id", text.has_long_run(q).alias("long_run"), text.has_hanzi(q).alias("hanzi"), text.is_latin_or_digit(q).alias("latin"))
 
 
 @query(f"WITH {LANES_SQL} SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM top GROUP BY qid HAVING count(DISTINCT id) >= 3)")
@@ -917,31 +1084,39 @@ def q7_spellings(spark, d):
     from lorevane.functions import han
 
     bag = T.pinyin_bag(han.readings(spark))
-    return _entries(spark).select("id", bag(F.col("title"), annotate.aliases(F.col("title"), F.col("body"))).alias("bag"))
+    return _entries(spark, d).select("id", bag(F.col("title"), annotate.aliases(F.col("title"), F.col("body"))).alias("bag"))
 
 
-TRADITIONAL = [("斷橋獨門",), ("Latin",), ("灰港",)]
+# Pairs of traditional and simplified characters that no rule disagrees about.
+TRADITIONAL, SIMPLIFIED = "斷橋獨門鐵龍馬鳥魚車東風", "断桥独门铁龙马鸟鱼车东风"
 
 
-@query(f"SELECT a AS raw, translate(a, '斷橋獨門', '断桥独门') AS simple FROM {values(TRADITIONAL, 'a')}")
+@query(f"SELECT p_partkey, translate(p_name, 'abcdefghijkl', '{SIMPLIFIED}') AS simple FROM part")
 def x2_simplified(spark, d):
     from lorevane.functions import han
 
-    return literal(spark, TRADITIONAL, "raw string").select("raw", text.to_simplified(F.col("raw"), han.simplified(spark)).alias("simple"))
+    raw = F.translate("p_name", "abcdefghijkl", TRADITIONAL)
+    return table(spark, d, "part").select("p_partkey", text.to_simplified(raw, han.simplified(spark)).alias("simple"))
 
 
-STYLES = [("Heading1", 1), ("heading 4", 4), ("Heading5", None), ("标题2", 2), ("標題 3", 3), ("2", 2), ("9", None), ("Normal", None), ("", None)]
-LOOKS = [("第三回 夜雨", 1), ("灰港", 2), ("名字：老格", None), ("名：a", 2), ("他说完了。", None), ("x", None), ("这一行比十二个字还要长一些所以不是", None), ("<w>", None), ("分号；", None)]
+STYLE = "CASE doc_id % 5 WHEN 0 THEN 'Heading' WHEN 1 THEN 'heading ' WHEN 2 THEN '标题' WHEN 3 THEN '標題 0' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN source ELSE CAST(doc_id % 7 AS VARCHAR(3)) END"
 
 
-@query(f"SELECT a AS style, CAST(b AS BIGINT) AS level FROM {values(STYLES, 'a', 'b')}")
+@query(f"""
+SELECT doc_id, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 BETWEEN 1 AND 4 THEN doc_id % 7 END AS level FROM documents
+""")
 def s10_style_level(spark, d):
-    return literal(spark, [(a,) for a, _ in STYLES], "style string").select("style", docx.level_of_style(F.col("style")).cast("long").alias("level"))
+    """No source of a document is a number or a style."""
+    return table(spark, d, "documents").select("doc_id", docx.level_of_style(F.expr(STYLE)).cast("long").alias("level"))
 
 
-@query(f"SELECT a AS line, CAST(b AS BIGINT) AS level FROM {values(LOOKS, 'a', 'b')}")
+@query(f"""
+SELECT doc_id, CASE WHEN length(x) NOT BETWEEN 1 AND 32 OR contains(x, '<') THEN NULL WHEN starts_with(x, '第') AND regexp_matches(x, '[章节回]') THEN 1
+  WHEN length(x) BETWEEN 2 AND 12 AND NOT regexp_matches(x, '^[^：]+：(?s:.{{2,}})$') AND NOT (NOT contains(x, '：') AND regexp_matches(x, '^[^:]+:(?s:.{{2,}})$')) AND NOT regexp_matches(x, '[；;]$|[。！？]') THEN 2 END::BIGINT AS level
+FROM (SELECT doc_id, {_STRIP('b')} AS x FROM (SELECT doc_id, {LINE} AS b FROM documents))
+""")
 def s11_text_level(spark, d):
-    return literal(spark, [(a,) for a, _ in LOOKS], "line string").select("line", docx.level_of_text(F.col("line")).cast("long").alias("level"))
+    return table(spark, d, "documents").select("doc_id", docx.level_of_text(F.expr(LINE)).cast("long").alias("level"))
 
 
 @query(f"""
@@ -958,7 +1133,16 @@ def i6_local_split(spark, d):
     return t.select("doc_id", "i", F.col("part.title").alias("title"), F.sha1(F.col("part.body").cast("binary")).alias("sha"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SEGMENTS_SQL}, cut AS (SELECT s.doc_id, s.i, s.a, t.text FROM segs s JOIN documents t USING (doc_id) WHERE s.i IN (0, 3, 6, 9)),
+c(doc_id, i, kept, pos, text) AS (
+  SELECT doc_id, i, i, a, text FROM cut WHERE i = 0
+  UNION ALL SELECT c.doc_id, n.i, CASE WHEN near THEN c.kept ELSE n.i END, CASE WHEN near THEN c.pos ELSE n.a END, c.text
+  FROM c JOIN cut n ON n.doc_id = c.doc_id AND n.i = c.i + 3, LATERAL (SELECT strlen(substr(c.text, c.pos + 1, n.a - c.pos)) < 24 AS near)
+), e AS (SELECT DISTINCT doc_id, kept, pos, text FROM c),
+b AS (SELECT doc_id, kept, at, {_STRIP('substr(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)')} AS body FROM e)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, 'part ' || kept AS title, sha1(body) AS sha FROM b WHERE length(body) >= 8
+""")
 def i7_materialize(spark, d):
     """Cuts proposed by segment number, taken back to the source."""
     t = table(spark, d, "documents")
@@ -967,13 +1151,16 @@ def i7_materialize(spark, d):
     return got.select("doc_id", F.col("i").cast("long").alias("i"), F.col("e.title").alias("title"), F.sha1(F.col("e.body").cast("binary")).alias("sha"))
 
 
-@query("SELECT doc_id, array_to_string(list_distinct([source, lang]), ',') <> '' AS some, len(list_distinct([source, lang, source])) AS n FROM documents")
+@query("SELECT doc_id, source || CASE WHEN lang <> source THEN ',' || lang ELSE '' END || ',' || doc_id AS names FROM documents")
 def o3_name_union(spark, d):
-    u = F.array_union(F.array("source", "lang"), F.array("source"))
-    return table(spark, d, "documents").select("doc_id", (F.array_join(u, ",") != "").alias("some"), F.size(u).cast("long").alias("n"))
+    """Names in the order in which they first come, each once."""
+    u = F.array_union(F.array("source", "lang"), F.array("lang", F.col("doc_id").cast("string"), "source"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(u, ",").alias("names"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_windows_sql('SELECT doc_id AS key, text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)')} SELECT key AS chunk_id, i AS seq, 1.0::DOUBLE AS norm FROM windows
+""")
 def i12_backfill(spark, d):
     """Windows of the documents without vectors, encoded by the stand-in."""
     from lorevane.plans import importing

@@ -41,6 +41,26 @@ def decode(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "GB18030"))
 
 
+def _local(path: str) -> str:
+    """A path without the scheme of the local file system."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def described(d: DataFrame, base: str, *, contents: bool = True) -> DataFrame:
+    """Rows of binary files (path, content) as ``scan`` gives them, named by their paths below a folder."""
+    kind = classify(F.col("path"))
+    wanted = F.when(kind == "doc", F.col("content")) if contents else F.lit(None).cast("binary")
+    return d.select(
+        "path", relative_path(F.regexp_replace("path", "^file:/+", "/"), F.lit(base)).alias("rel_path"),
+        F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), kind.alias("class"), file_format(F.col("path")).alias("format"),
+        message(F.col("path")).alias("message"), wanted.alias("content"), file_hash(wanted).alias("content_hash"), F.lit(None).cast("string").alias("error"))
+
+
+def from_rows(d: DataFrame, folder: str) -> DataFrame:
+    """Binary files that came into a folder, say as a batch of a stream."""
+    return described(d, _local(folder.rstrip("/")))
+
+
 def scan(spark: SparkSession, roots: list[str], *, contents: bool = True) -> DataFrame:
     """Files of folders (at any depth) and single files: path, rel_path, file_name, class, format, content, content_hash.
 
@@ -56,12 +76,6 @@ def scan(spark: SparkSession, roots: list[str], *, contents: bool = True) -> Dat
             part = spark.createDataFrame([(root, None, None, "missing", None, None, None, None, f"does not exist: {root}")], schema)
         else:
             d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            base = fs.getFileStatus(p).getPath().toString() if fs.getFileStatus(p).isDirectory() else "/-"
-            kind = classify(F.col("path"))
-            wanted = F.when(kind == "doc", F.col("content")) if contents else F.lit(None).cast("binary")
-            part = d.select(
-                "path", relative_path(F.regexp_replace("path", "^file:/+", "/"), F.lit(base.replace("file:///", "/").replace("file:/", "/"))).alias("rel_path"),
-                F.regexp_extract("path", "([^/]*)$", 1).alias("file_name"), kind.alias("class"), file_format(F.col("path")).alias("format"),
-                message(F.col("path")).alias("message"), wanted.alias("content"), file_hash(wanted).alias("content_hash"), F.lit(None).cast("string").alias("error"))
+            part = described(d, _local(fs.getFileStatus(p).getPath().toString()) if fs.getFileStatus(p).isDirectory() else "/-", contents=contents)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)

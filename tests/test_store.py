@@ -1,16 +1,18 @@
 """The whole loop on files: import, search, correct, import again, move, backfill, snapshot."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorevane import constants as C
 from lorevane.functions import han
-from lorevane.operators import ranking
+from lorevane.operators import fulltext, ranking
 from lorevane.plans import importing, searching
 from lorevane.plans.model import ModelSettings, ModelSplitter, read_reply
-from lorevane.plans.store import Store
+from lorevane.plans.store import TABLES, ConflictError, Store
+from lorevane.streaming import incremental
 
 PEOPLE = """# 格里姆（独眼酒保）
 人物。灰港老酒馆的酒保，左眼失明，右臂有旧伤。
@@ -161,12 +163,99 @@ def test_synonyms_log_model_snapshot(spark, setting, tmp_path):
 def test_open_refuses(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Store.open(spark, f"file://{tmp_path}/none")
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "CURRENT").write_text(json.dumps({"schema_version": C.SCHEMA_VERSION + 1, "tables": {}}))
+    (tmp_path / "s" / "manifests").mkdir(parents=True)
+    (tmp_path / "s" / "manifests" / "000000000001.json").write_text(json.dumps({"schema_version": C.SCHEMA_VERSION + 1, "tables": {}}))
     with pytest.raises(ValueError):
         Store.open(spark, f"file://{tmp_path}/s")
 
 
+def test_writers_and_broken_manifests(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s")
+    other = Store.open(spark, store.root)
+    store.put_template("a", "1")
+    with pytest.raises(ConflictError):
+        other.put_template("b", "2")
+    (tmp_path / "s" / "manifests" / "000000000003.json").write_text('{"schema_ver')  # a writer that died
+    again = Store.open(spark, store.root)
+    assert again.table("templates").where("key = 'a'").count() == 1 and again.version == 3
+    again.put_template("b", "2")
+    assert Store.open(spark, store.root).table("templates").where("key in ('a', 'b')").count() == 2
+
+
+def test_patches_leave_the_rest_alone(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "places.md").write_text(PLACES)
+    (tmp_path / "in" / "people.md").write_text(PEOPLE)
+    options = importing.Options(table=han.simplified(spark), readings=han.readings(spark))
+    store = Store.create(spark, f"file://{tmp_path}/store", parts=2)
+    store.import_with([str(tmp_path / "in")], options)
+    rows = lambda: {r.title: r for r in store.table("chunks").collect()}
+    grams = lambda: Counter(map(tuple, store.table("postings").collect()))
+    before, files = rows(), dict(store.manifest["tables"]["chunks"])
+    assert grams() == Counter(map(tuple, fulltext.index(store.table("chunks")).collect()))
+    at = before["铁砧堡"]
+    store.update_chunks(spark.createDataFrame([(at.id, "location", None, ["山口要塞"])], "id long, entity_type string, visibility long, names array<string>"))
+    after = rows()
+    assert {t for t in before if before[t] != after[t]} == {"铁砧堡"}
+    assert "duanqiao" in after["斷橋"].search_text and "断桥" in after["斷橋"].search_text
+    assert all(x in after["铁砧堡"].search_text for x in ("tiezhenbao", "山口要塞", "shankouyaosai"))
+    assert grams() == Counter(map(tuple, fulltext.index(store.table("chunks")).collect()))
+    # The other document's part has the files it had; so has a part in which an import changes nothing.
+    assert sum(files[k] == store.manifest["tables"]["chunks"].get(k) for k in files) == 1
+    files = dict(store.manifest["tables"]["postings"])
+    (tmp_path / "in" / "people.md").write_text(PEOPLE + "\n# 新人\n人物。一个刚到灰港的旅人，来历不明。\n")
+    store.import_with([str(tmp_path / "in")], options)
+    assert sum(files[k] == store.manifest["tables"]["postings"].get(k) for k in files) == 1
+    assert grams() == Counter(map(tuple, fulltext.index(store.table("chunks")).collect()))
+    q = spark.createDataFrame([(1, "山口要塞"), (2, "新人"), (3, "北方的港口城市")], "qid long, text string")
+    how = {"readings": options.readings, "table": options.table}
+    hits = lambda got: sorted(map(tuple, got.select("qid", "rank", "id", F.round("score", 9)).collect()))
+    assert hits(store.search(q, **how)) == hits(searching.search(q, store.table("chunks"), **how))
+    mine = store.search(q, only=F.col("entity_type") == "npc", **how).join(store.table("chunks"), "id")
+    assert {r.entity_type for r in mine.collect()} == {"npc"}
+    assert {r.qid for r in store.search(q, each_term=True, **how).collect()} == {1, 2, 3}
+
+
+def test_older_schema_is_brought_up_to_date(spark, tmp_path):
+    store = Store.create(spark, f"file://{tmp_path}/s")
+    old = [(7, 3, 0, "k", "a", "h", "npc", "格里姆", "独眼酒保的正文", "s / 格里姆", 1, ["老格"], None, None)]
+    spark.createDataFrame(old, TABLES["chunks"]).drop("source_rank", "search_text").write.parquet(f"{tmp_path}/s/chunks/old")
+    spark.createDataFrame([(7, 0, "x", [1.0])], TABLES["vectors"]).write.parquet(f"{tmp_path}/s/vectors/old")
+    spark.createDataFrame([(3, "p.md", "p.md", "markdown", "h")], TABLES["documents"]).write.parquet(f"{tmp_path}/s/documents/old")
+    m = {"schema_version": C.SCHEMA_VERSION - 1, "name": "x", "tables": {k: f"{k}/old" for k in ("chunks", "vectors", "documents")}}
+    (tmp_path / "s" / "manifests" / "000000000002.json").write_text(json.dumps(m))
+    new = Store.open(spark, store.root)
+    row = new.table("chunks").first()
+    assert new.manifest["schema_version"] == C.SCHEMA_VERSION and row.source_rank == C.SOURCE_RANK and "老格" in row.search_text
+    assert new.manifest["last"] == {"doc": 3, "chunk": 7} and new.table("vectors").count() == 1 and new.table("templates").count() == len(C.TEMPLATES)
+    q = spark.createDataFrame([(1, "独眼酒保")], "qid long, text string")
+    assert new.search(q).first().id == 7
+
+
+def test_streams(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "people.md").write_text(PEOPLE)
+    store = Store.create(spark, f"file://{tmp_path}/store")
+    watch = lambda: incremental.watch_files(spark, str(tmp_path / "in"), store, f"file://{tmp_path}/c1").awaitTermination()
+    watch()
+    assert sorted(r[0] for r in store.source_paths().collect()) == ["people.md"]
+    ids = {r.title: r.id for r in store.table("chunks").collect()}
+    (tmp_path / "in" / "places.md").write_text(PLACES)
+    watch()
+    assert sorted(r[0] for r in store.source_paths().collect()) == ["people.md", "places.md"]
+    assert ids.items() <= {r.title: r.id for r in store.table("chunks").collect()}.items()
+    # A batch fills the vectors of its own chunks.
+    store.table("chunks").where("title = '荀岚'").select("id").write.parquet(f"file://{tmp_path}/some")
+    some = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/some")
+    incremental.backfill(some, store, importing.hashed_encoder(), f"file://{tmp_path}/c2").awaitTermination()
+    assert {r.chunk_id for r in store.table("vectors").collect()} == {ids["荀岚"]}
+    # Rows that are truly equal stay two.
+    spark.createDataFrame([(1, 5), (1, 5), (1, 4)], "k long, t long").write.parquet(f"file://{tmp_path}/log")
+    log = spark.readStream.schema("k long, t long").parquet(f"file://{tmp_path}/log")
+    incremental.keep_latest(log, "k", ["t"], f"file://{tmp_path}/kept", f"file://{tmp_path}/c3", keep=2).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/kept/v0").collect()] == [(1, 5), (1, 5)]
+
+
 def test_model_splitter():
     text = "铁砧堡：扼守山口的堡垒。\n荀岚：铁砧堡的城主。\n" * 10
     calls = []
