@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
 
+from .words import mix
+
 #: A word is a run of anything but space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -71,3 +75,47 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     found = keep(ids.join(label, ids["h"] == label["u"]).select("id", F.col("m").alias("rep")))
     least = keep(found.groupBy("rep").agg(F.min("id").alias("component")))
     return keep(found.join(least, "rep").select(F.col("id").alias("node"), "component"))
+
+
+#: Bits of a sieve: 8 MB at any size.
+SIEVE_BITS = 26
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    """Three bits for each 64-bit key."""
+    h = h.astype(np.int64).view(np.uint64)
+    return np.stack([mix(h + np.uint64(i * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - SIEVE_BITS) for i in (1, 2, 3)])
+
+
+def sieve(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of keys (h: long), as words of 64 bits. It lets all of them pass, and few others as long as there are not too
+    many for its size, which is fixed; with more of them it just saves less."""
+
+    def run(batches):
+        words = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+        for b in batches:
+            at = _places(b.column(0).to_numpy()).ravel()
+            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(words)
+        for i in range(0, len(used), 100_000):
+            part = used[i : i + 100_000]
+            yield pa.record_batch({"w": pa.array(part, pa.int64()), "bits": pa.array(words[part].view(np.int64))})
+
+    got = keys.mapInArrow(run, "w long, bits long").groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()  # a sieve's words at most
+    out = np.zeros(1 << SIEVE_BITS - 6, np.uint64)
+    out[got["w"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def sifted(spark: SparkSession, rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """The rows (h: long, first column) that pass a sieve."""
+    held = spark.sparkContext.broadcast(words)
+
+    def run(batches):
+        for b in batches:
+            at = _places(b.column(0).to_numpy())
+            hit = (held.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).all(axis=0)
+            if hit.any():
+                yield b.filter(pa.array(hit))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
 
-from .common import components, tiles
+from .common import components, sieve, sifted, tiles
 from .embed_dedup import spanning
 from .words import Hashes, mix, raw, split
 
@@ -198,18 +198,22 @@ def links(scratch: Scratch, docs: DataFrame, reps: DataFrame, *, words: int, per
     pairs = scratch.keep(pairs.join(in_a, "a", "left").join(in_b, "b", "left").where("ga is null or gb is null or ga <> gb").select("a", "b", "n_b"))
     some = groups.select(F.col("node").alias("nid")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("nid"))).distinct()
     some = scratch.keep(reps.join(some, "nid").select("nid", "n", F.col("doc_id").alias("id_"), F.col("t").alias("t_")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64("text").alias("x_"), "text").join(some, (F.col("d_") == F.col("id_")) & (F.col("x_") == F.col("t_")))
+    # Only texts of candidates, and a few others, are moved to them; by the same plan whatever the number of candidates.
+    pass_ = sieve(some.select(F.xxhash64("id_", "t_").alias("h")))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64("text").alias("x_"), "text")
+    own = sifted(scratch.spark, own.select(F.xxhash64("d_", "x_").alias("h"), "d_", "x_", "text"), pass_)
+    texts = own.join(some.hint("merge"), (F.col("d_") == F.col("id_")) & (F.col("x_") == F.col("t_")))
     texts = scratch.keep(texts.groupBy("nid").agg(F.first("text").alias("text")))
     # Pairs: the others of each a in parts of about as many words.
     parts = pairs.groupBy("a").agg(F.ceil(F.sum("n_b") / F.lit(TASK_WORDS)).cast("long").alias("parts"))
     pairs = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("nid"))
     pairs = scratch.keep(pairs.unionByName(pairs.select("a", "part", F.col("a").alias("nid")).distinct()))
-    one = pairs.join(texts, "nid").groupBy("a", "part").applyInArrow(_one_to_many(words, percent), "a long, b long")
+    one = pairs.join(texts.hint("merge"), "nid").groupBy("a", "part").applyInArrow(_one_to_many(words, percent), "a long, b long")
     # Groups: tiles of so many members that their words stay about the same.
     sizes = groups.join(some.select(F.col("nid").alias("node"), "n"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("words"))
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("size") / TILE), F.ceil(2 * F.col("words") / TASK_WORDS)).cast("long").alias("chunks"))
     members = scratch.keep(groups.join(sizes, "component").select(F.col("node").alias("nid"), F.col("component").alias("grp"), "chunks"))
-    part = tiles(members.join(texts, "nid"), "grp", F.col("chunks"), F.col("nid"), 1)
+    part = tiles(members.join(texts.hint("merge"), "nid"), "grp", F.col("chunks"), F.col("nid"), 1)
     all_ = part.groupBy("grp", "ci", "cj").applyInArrow(_tile(words, percent), "a long, b long")
     return scratch.keep(one.unionByName(all_))
 
