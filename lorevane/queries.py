@@ -1140,7 +1140,7 @@ c(doc_id, i, kept, pos, text) AS (
   UNION ALL SELECT c.doc_id, n.i, CASE WHEN near THEN c.kept ELSE n.i END, CASE WHEN near THEN c.pos ELSE n.a END, c.text
   FROM c JOIN cut n ON n.doc_id = c.doc_id AND n.i = c.i + 3, LATERAL (SELECT strlen(substr(c.text, c.pos + 1, n.a - c.pos)) < 24 AS near)
 ), e AS (SELECT DISTINCT doc_id, kept, pos, text FROM c),
-b AS (SELECT doc_id, kept, at, {_STRIP('substr(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)')} AS body FROM e)
+b AS (SELECT doc_id, kept, pos, {_STRIP('substr(text, pos + 1, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY pos), length(text)) - pos)')} AS body FROM e)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, 'part ' || kept AS title, sha1(body) AS sha FROM b WHERE length(body) >= 8
 """)
 def i7_materialize(spark, d):
