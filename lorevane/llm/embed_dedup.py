@@ -6,8 +6,8 @@ vectors share all of them with a known probability. ``k`` follows the size of th
 holds few unrelated rows at any size, and the number of tables follows k for a recall of ``RECALL`` at the
 threshold (more above it). Projections are computed in whole numbers, so keys never depend on how rows are batched.
 
-Equal vectors are one row with a multiplicity. A bucket is worked on in tiles of bounded size that together hold
-every pair in it; a tile counts links instead of returning pairs, and counts a pair only in the first table in which
+Equal vectors are one row with a multiplicity. A bucket of up to ``TILE`` rows is one tile, and tasks take many such buckets at once;
+a larger one is worked on in tiles of bounded size that together hold every pair in it. A tile counts links instead of returning pairs, and counts a pair only in the first table in which
 its rows share a key. Out come link counts per vector and, for components, edges from each vector to the smallest
 vector of its linked group in the tile. So neither a large bucket nor a large group makes a large task or row count.
 
@@ -36,6 +36,8 @@ WIDTH = 2.0
 RECALL = 0.9995
 SEED = 11
 TILE = 384
+#: Rows of small buckets that are handed to one task, about.
+BATCH = 8192
 GRID = 1 << 20
 
 
@@ -98,32 +100,44 @@ def spanning(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _pairs(unit: np.ndarray, ids: np.ndarray, mult: np.ndarray, at: int, shape_: tuple[int, int], threshold: float, chunk: np.ndarray | None = None):
+    """Rows with a link among these, sorted by id, of one table's bucket: (ids, link counts, smallest linked ids), or None.
+
+    chunk: pairs within one chunk are another tile's business."""
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    if chunk is not None:
+        linked &= chunk[:, None] != chunk[None, :]
+    some = np.flatnonzero(linked.any(axis=1))
+    if not len(some):
+        return None
+    count = np.zeros(len(some), np.int64)
+    key = keys_of(unit[some], *shape_)
+    for row, i in enumerate(some):
+        with_ = np.flatnonzero(linked[i][some])
+        first = (key[with_] == key[row]).argmax(axis=1) == at  # a pair counts in the first table that it shares
+        count[row] = mult[some[with_[first]]].sum()
+    return ids[some], count, ids[spanning(linked)[some]]
+
+
 def _tile(k: int, tables: int, threshold: float):
     schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def task(t: pa.Table) -> pa.Table:
         if t.num_rows < 2:
             return schema.empty_table()
-        ids, mult, chunk = (t[c].to_numpy().astype(np.int64) for c in ("rep", "mult", "chunk"))
-        order = np.argsort(ids)
-        ids, mult, chunk = ids[order], mult[order], chunk[order]
-        ci, cj, at = (int(t[c][0].as_py()) for c in ("ci", "cj", "tab"))
+        ids, mult, chunk, tab, key, label = (t[c].to_numpy().astype(np.int64) for c in ("rep", "mult", "chunk", "tab", "key", "label"))
+        ci, cj = (int(t[c][0].as_py()) for c in ("ci", "cj"))
+        order = np.lexsort((ids, key, tab, label))
+        ids, mult, chunk, tab = ids[order], mult[order], chunk[order], tab[order]
         unit = _unit(matrix(t["v"])[order])
-        linked = unit @ unit.T >= threshold
-        np.fill_diagonal(linked, False)
-        if ci != cj:  # pairs within a chunk are the business of its own tile
-            linked &= chunk[:, None] != chunk[None, :]
-        if not linked.any():
+        edge = np.flatnonzero(np.diff(key[order]) | np.diff(tab) | np.diff(label[order])) + 1
+        found = [_pairs(unit[s:e], ids[s:e], mult[s:e], int(tab[s]), (k, tables), threshold, chunk[s:e] if ci != cj else None)
+                 for s, e in zip(np.append(0, edge), np.append(edge, len(ids))) if e - s > 1]
+        found = [x for x in found if x is not None]
+        if not found:
             return schema.empty_table()
-        count = np.zeros(len(ids), np.int64)
-        some = np.flatnonzero(linked.any(axis=1))
-        key = keys_of(unit[some], k, tables)
-        for row, i in enumerate(some):
-            with_ = np.flatnonzero(linked[i][some])
-            first = (key[with_] == key[row]).argmax(axis=1) == at
-            count[i] = mult[some[with_[first]]].sum()
-        label = spanning(linked)
-        return pa.table({"rep": ids[some], "links": count[some], "root": ids[label[some]]}, schema=schema)
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=schema)
 
     return task
 
@@ -150,7 +164,11 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, threshold: float = TH
     part = keyed.join(full, ["label", "tab", "key"]).join(reps.select(F.col("nid").alias("rep"), "v"), "rep")
     part = part.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / TILE).cast("long")))
     part = tiles(part, "key", F.col("n"), F.col("rep"), TILE).withColumn("dim", F.size("v"))
-    out = part.groupBy("label", "tab", "key", "dim", "ci", "cj").applyInArrow(_tile(k, tables, threshold), "rep long, links long, root long")
+    # Small buckets go to tasks many at once: a task finds their edges again by key.
+    together = max(64, keyed.count() // BATCH)
+    mark_ = F.xxhash64("label", "tab", "key")
+    part = part.withColumn("large", F.col("n") > TILE).withColumn("grp", F.when(F.col("large"), mark_).otherwise(F.pmod(mark_, F.lit(together))))
+    out = part.groupBy("large", "grp", "dim", "ci", "cj").applyInArrow(_tile(k, tables, threshold), "rep long, links long, root long")
     out = scratch.keep(out)
     links = scratch.keep(out.groupBy("rep").agg(F.sum("links").alias("links")))
     # Rows that share an id are one node, whatever their vectors.
