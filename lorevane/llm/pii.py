@@ -5,12 +5,14 @@ Base patterns find e-mail addresses, IP addresses, payment cards and telephone n
 boundaries: a card right after a telephone number, a number without its +, a spelled-out address. There the model
 decides.
 
-Model: a region is a chain of atoms (runs of digits, or one spelled-out address) with short separators between. A
-segmentation covers a region with segments, each an entity of one kind or a single atom of none. Scores are sums of learned
-weights of features of whole candidate segments (kind with digit count, group pattern, check digit, separators,
-sign, neighbours, the word before) and of neighbouring kinds. An entity has at most ``MOST_ATOMS`` atoms and ``MOST_DIGITS``
-digits, so dynamic programming finds the best segmentation, boundaries and kinds at once, in time linear in the
-region. Weights maximise the conditional log-likelihood of generated examples, by stochastic gradient descent over
+It also finds a fifth kind, which has no base pattern: secrets, such as access keys and the values of passwords and tokens.
+
+Model: a region is a chain of atoms (runs of digits, one spelled-out address, or the parts of one opaque word between dashes) with short
+separators between. A segmentation covers a region with segments, each an entity of one kind or a single atom of none. Scores are
+sums of learned weights of features of whole candidate segments (kind with digit count, group pattern, check digit, separators,
+sign, letters and digits, neighbours, the word before) and of neighbouring kinds. An entity has at most ``MOST_ATOMS`` atoms and, but for
+secrets, ``MOST_DIGITS`` digits, so dynamic programming finds the best segmentation, boundaries and kinds at once, in time linear in
+the region. Weights maximise the conditional log-likelihood of generated examples, by stochastic gradient descent over
 exact expectations (forward-backward over segments); they are learned anew from a fixed seed, in seconds.
 
 Base spans stay as they are; atoms inside them are out of every region. Regions are all that the whole text has:
@@ -33,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds with a base pattern, and all kinds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
+SECRET = KINDS.index("secret")
 MOST_ATOMS, MOST_DIGITS = 8, 19
-SEED, EXAMPLES, EPOCHS, RATE, DECAY = 5, 700, 4, 0.3, 1e-4
+LEAST_SECRET = 12
+SEED, EXAMPLES, EPOCHS, RATE, DECAY = 5, 900, 4, 0.3, 1e-4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -47,6 +53,9 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _BETWEEN = re.compile(r"[ ().\-/+]{1,3}")
+# A word of letters and digits, with dashes inside: only such can hold a secret.
+_OPAQUE = re.compile(rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{{{LEAST_SECRET},}}")
+_PART = re.compile("[A-Za-z0-9]+")
 #: What every match of _SPELLED has: one of its three ways to say "at".
 _HINT = re.compile(r"@|[\[(] ?at ?[\])]| at ", re.I)
 
@@ -87,18 +96,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Region:
-    """Atoms (start, end) of a chain, widened to a sign or bracket before them as segments begin there."""
+    """Atoms (start, end) of a chain; in one of digits widened to a sign or bracket before them as segments begin there."""
 
-    def __init__(self, text: str, atoms: list[tuple[int, int]], spelled: bool = False):
-        self.text, self.atoms, self.spelled = text, atoms, spelled
+    def __init__(self, text: str, atoms: list[tuple[int, int]], what: str = "digits"):
+        self.text, self.atoms, self.what = text, atoms, what
         self.lead = []
         for s, _ in atoms:
-            if s and text[s - 1] == "(" and not spelled:
-                s -= 1
-            if s and text[s - 1] == "+" and not spelled:
-                s -= 1
+            if what == "digits":
+                s -= s > 0 and text[s - 1] == "("
+                s -= s > 0 and text[s - 1] == "+"
             self.lead.append(s)
 
+    @property
+    def spelled(self) -> bool:
+        return self.what == "spelled"
+
     def span(self, i: int, j: int) -> tuple[int, int]:
         return self.lead[i], self.atoms[j - 1][1]
 
@@ -109,6 +121,10 @@ class Region:
             return
         digits = 0
         for j in range(i + 1, min(len(self.atoms), i + MOST_ATOMS) + 1):
+            if self.what == "opaque":
+                if self.atoms[j - 1][1] - self.atoms[i][0] >= LEAST_SECRET:
+                    yield j, SECRET
+                continue
             digits += self.atoms[j - 1][1] - self.atoms[j - 1][0]
             if digits > MOST_DIGITS:
                 return
@@ -120,16 +136,38 @@ class Region:
                 yield j, 3
 
 
+def _disjoint(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _free(found, held: list[tuple[int, int]]):
+    """Matches, in order, that touch none of the disjoint spans held. One pass over both."""
+    k = 0
+    for m in found:
+        s, e = m.span()
+        while k < len(held) and held[k][1] <= s:
+            k += 1
+        if k == len(held) or held[k][0] >= e:
+            yield m
+
+
 def regions(text: str, taken: list[tuple[str, int, int]]) -> list[Region]:
-    """The regions of a text outside of the spans taken."""
+    """The regions of a text outside of the spans taken, in time linear in the text."""
     out = []
-    held = sorted((s, e) for _, s, e in taken)
+    held = _disjoint([(s, e) for _, s, e in taken])
     if _HINT.search(text):
-        for m in _SPELLED.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in held):
-                out.append(Region(text, [m.span()], True))
-                held.append(m.span())
-        held.sort()
+        new = [m.span() for m in _free(_SPELLED.finditer(text), held)]
+        out += [Region(text, [x], "spelled") for x in new]
+        held = _disjoint(held + new)
+    opaque = [m.span() for m in _free(_OPAQUE.finditer(text), held)]
+    out += [Region(text, [m.span() for m in _PART.finditer(text, *x)], "opaque") for x in opaque]
+    held = _disjoint(held + opaque)
     chain: list[tuple[int, int]] = []
     total = k = 0
 
@@ -176,6 +214,15 @@ def segment_features(r: Region, i: int, j: int, kind: int) -> list[str]:
     if r.spelled:
         tail = re.split(r"[\W_]+", body)[-1].lower()
         return out + [f"{k} sign {'@' in body}", f"{k} bracket {'[' in body or '(' in body}", f"{k} words {'dot' in body.lower()}", f"{k} tail {tail if len(tail) < 5 else len(tail)}", f"{k} digit {bool(_DIGITS.search(body))}"]
+    if kind == SECRET:
+        classes = "".join(c for c, p in (("a", "[a-z]"), ("A", "[A-Z]"), ("0", "[0-9]"), ("-", "[_-]")) if re.search(p, body))
+        switches = len(re.findall("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]", body))
+        share = len(_only_digits(body)) * 5 // len(body)
+        hexes = bool(re.fullmatch("[0-9a-f]+", body))
+        begin = re.match("[A-Za-z]*", body)[0]
+        return out + [
+            f"secret classes {classes}", f"secret hex {hexes}", f"secret length {min(len(body) // 4, 12)}", f"secret begin {begin if len(begin) < 5 else len(begin)}", f"secret begin {begin[:4]}",
+            f"secret switches {min(9, switches)}", f"secret switches {min(9, switches * 20 // len(body))} a length", f"secret share {share}", f"secret groups {j - i} {classes}", f"secret hex {hexes} {len(body) // 4}"]
     digits = _only_digits(body)
     seps = "".join(sorted(set(re.findall(r"[^0-9]", body))))
     out += [f"{k} digits {len(digits)}", f"{k} shape {_shape(body)}", f"{k} separators {seps}", f"{k} groups {j - i}", f"{k} sign {body[0]}" if body[0] in "+(" else f"{k} no sign"]
@@ -192,7 +239,7 @@ def segment_features(r: Region, i: int, j: int, kind: int) -> list[str]:
 
 def none_features(r: Region, i: int) -> list[str]:
     s, e = r.atoms[i]
-    return ["none", f"none digits {e - s}", f"none spelled {r.spelled}", f"none before {_side(r.text, s - 1)}", f"none after {_side(r.text, e)}"]
+    return ["none", f"none digits {e - s}" if r.what == "digits" else f"none {r.what} {min(e - s, 20) // 4}", f"none before {_side(r.text, s - 1)}", f"none after {_side(r.text, e)}"]
 
 
 NONE, BEGIN = len(KINDS), len(KINDS) + 1
@@ -302,6 +349,29 @@ def _spelled(rng: random.Random) -> str:
     return _word(rng) + rng.choice(("", ".12", "7")) + at + rng.choice(("mail", "post", _word(rng))) + dot + rng.choice(("com", "org", "net", "de"))
 
 
+_HEX, _CAPS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_MIXED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _secret(rng: random.Random) -> tuple[str, str, str]:
+    """A secret with what stands before and after it."""
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    while True:
+        body = rng.choice((
+            lambda: "AKIA" + some(_CAPS, 16), lambda: "AKIA" + some(_CAPS, 16), lambda: some(_HEX, rng.choice((16, 18, 20, 24))), lambda: some(_HEX, rng.choice((32, 40, 64))), lambda: some(_HEX, 40),
+            lambda: "ghp_" + some(_MIXED, 36), lambda: "sk-" + some(_MIXED, 40), lambda: some(_MIXED, rng.choice((20, 32, 40)))))()
+        if _OPAQUE.fullmatch(body):
+            break
+    before = rng.choice(("", "", "key ", "password=", "password=", 'token = "', 'token = "', "secret: ", "api_key='"))
+    return before, body, before[-1] if before.endswith(('"', "'")) else ""
+
+
+def _identifier(rng: random.Random) -> str:
+    """A long word with letters and digits that is no secret."""
+    w, n = (lambda: _word(rng) + _word(rng)), (lambda: str(rng.randint(1, 2030)))
+    return rng.choice((f"{w()}{w()}{n()}", f"{w()}-{w()}-{n()}", f"{w()}_{w()}_{n()}", f"ISO-{rng.randint(1000, 99999)}-{w()}", f"{w()}-{n()}-{w()}", f"x86_64-{w()}-gnu", f"{n()}-{n()}-{w()}{w()}", f"{w().upper()}-{rng.randint(100, 99999)}{w()}"))
+
+
 def _noise(rng: random.Random) -> str:
     bad = _number(rng, 16)
     while luhn(bad):
@@ -310,7 +380,7 @@ def _noise(rng: random.Random) -> str:
         f"{rng.randint(1, 9)}.0.", f"{rng.randint(1900, 2030)}", f"{rng.randint(1, 12)}/{rng.randint(1, 28)}/{rng.randint(1990, 2030)}", f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
         bad, _number(rng, rng.choice((5, 6, 7, 8, 9, 10, 12, 13, 20, 24))), f"{rng.randint(1, 999)},{_number(rng, 3)}.{_number(rng, 2)}", f"{rng.randint(300, 999)}.{rng.randint(0, 999)}.{rng.randint(0, 999)}.{rng.randint(0, 99)}",
         f"{rng.randint(1, 5)}.{rng.randint(0, 20)}.{rng.randint(0, 99)}", f"pages {rng.randint(1, 99)}-{rng.randint(100, 999)}", " ".join(str(rng.randint(0, 99)) for _ in range(rng.randint(4, 9))),
-        f"{rng.randint(1990, 2030)} {rng.randint(1990, 2030)} {rng.randint(1, 99)}", "met at noon dot com was new", f"{_word(rng)} at {_word(rng)} dot {_word(rng)}"))
+        f"{rng.randint(1990, 2030)} {rng.randint(1990, 2030)} {rng.randint(1, 99)}", _identifier(rng), _identifier(rng), _identifier(rng), "met at noon dot com was new", f"{_word(rng)} at {_word(rng)} dot {_word(rng)}"))
 
 
 def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -326,10 +396,11 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[tuple[
                 text += rng.choice((" tel:", " phone", " call", " card", " card no.", " ip", " mail"))
             text += " "
             if rng.random() < 0.65:
-                kind = rng.choices(list(make), (2, 4, 5, 1.5))[0]
-                body = make[kind](rng)
+                kind = rng.choices([*make, "secret"], (2, 4, 5, 1.5, 3))[0]
+                before, body, after = _secret(rng) if kind == "secret" else ("", make[kind](rng), "")
+                text += before
                 spans.append((kind, len(text), len(text) + len(body)))
-                text += body
+                text += body + after
             else:
                 text += _noise(rng)
         out.append((text + rng.choice((".", " ", " " + _word(rng))), spans))
@@ -377,7 +448,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def _find(weights):
-    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64()), ("n_secret", pa.int64())])
 
     def run(batches):
         crf = Crf(weights.value)
@@ -386,15 +457,16 @@ def _find(weights):
                 part, rows = b.slice(at, 1000), []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     base, every = all_spans(text or "", crf)
-                    n = [sum(k == x[0] for x in base) for k in KINDS]
-                    rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
+                    n = [sum(k == x[0] for x in base) for k in BASE]
+                    rows.append((doc, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base), sum(x[0] == "secret" for x in every)))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
 def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added (by the model),
+    n_secret (of those, secrets)."""
     weights = spark.sparkContext.broadcast(learn())
-    out = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    out = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_added long, n_secret long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_find(weights), out)
