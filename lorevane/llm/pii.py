@@ -53,8 +53,8 @@ _DIGITS = re.compile(r"[0-9]+")
 _SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?:@| ?[\[(] ?at ?[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(] ?dot ?[\])] ?| dot )[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _BETWEEN = re.compile(r"[ ().\-/+]{1,3}")
-# A word of letters and digits, with dashes inside: only such can hold a secret.
-_OPAQUE = re.compile(rf"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{{{LEAST_SECRET},}}")
+# A word of letters and digits, with dashes inside, or of many capitals: only such can hold a secret.
+_OPAQUE = re.compile(rf"(?<![A-Za-z0-9_-])(?:(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{{{LEAST_SECRET},}}|[A-Z]{{16,}}(?![A-Za-z0-9_-]))")
 _PART = re.compile("[A-Za-z0-9]+")
 #: What every match of _SPELLED has: one of its three ways to say "at".
 _HINT = re.compile(r"@|[\[(] ?at ?[\])]| at ", re.I)
@@ -369,7 +369,7 @@ def _secret(rng: random.Random) -> tuple[str, str, str]:
 def _identifier(rng: random.Random) -> str:
     """A long word with letters and digits that is no secret."""
     w, n = (lambda: _word(rng) + _word(rng)), (lambda: str(rng.randint(1, 2030)))
-    return rng.choice((f"{w()}{w()}{n()}", f"{w()}-{w()}-{n()}", f"{w()}_{w()}_{n()}", f"ISO-{rng.randint(1000, 99999)}-{w()}", f"{w()}-{n()}-{w()}", f"x86_64-{w()}-gnu", f"{n()}-{n()}-{w()}{w()}", f"{w().upper()}-{rng.randint(100, 99999)}{w()}"))
+    return rng.choice(((w() + w() + w() + w()).upper(), f"{w()}{w()}{n()}", f"{w()}-{w()}-{n()}", f"{w()}_{w()}_{n()}", f"ISO-{rng.randint(1000, 99999)}-{w()}", f"{w()}-{n()}-{w()}", f"x86_64-{w()}-gnu", f"{n()}-{n()}-{w()}{w()}", f"{w().upper()}-{rng.randint(100, 99999)}{w()}"))
 
 
 def _noise(rng: random.Random) -> str:
