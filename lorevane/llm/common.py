@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
@@ -77,6 +78,23 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return keep(found.join(least, "rep").select(F.col("id").alias("node"), "component"))
 
 
+def running(scratch: Scratch, rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Adds ``at``, each row's number from 0 in this order, and for each column of ``sums`` the sum of the rows before it, under
+    its new name. Ranges of the order are summed on their own and shifted by the sums of the ranges before."""
+    d = scratch.keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    zero = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    parts = parts.select("_part", zero("_n", ahead).alias("_at"), *[zero(f"_{c}", ahead).alias(f"_{new}") for c, new in sums.items()])
+    inside = W.partitionBy("_part").orderBy(*order)
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("at", F.row_number().over(inside) - 1)
+    for c, new in sums.items():
+        d = d.withColumn(new, zero(c, before))
+    d = d.join(parts, "_part")
+    return d.select(*rows.columns, (F.col("at") + F.col("_at")).alias("at"), *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums.values()])
+
+
 #: Bits of a sieve: 8 MB at any size.
 SIEVE_BITS = 26
 

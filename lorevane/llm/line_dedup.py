@@ -14,6 +14,9 @@ with a smaller id, or higher up in the same one. Blank lines stay; lines under `
 
 Counts per key combine before the shuffle, so a line, half or variant that very many documents share is no large task.
 
+Texts of candidate lines are fetched from their documents: a sieve of fixed size lets those pass, and few others, before they are
+joined by id and text.
+
 Nulls and edges: a null text has no lines and stays null; null ids come last; lines of rows with equal ids count as
 being at the same place when their numbers are equal, and neither is the earlier; an empty table gives no rows;
 extra columns come through ``clean`` and are ignored by ``report``.
@@ -29,12 +32,11 @@ from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
 
+from .common import sieve, sifted
 from .words import raw
 
 #: Characters that a line needs to be compared by edits.
 LEAST = 10
-#: First places of candidate lines that may be sent to every task; more of them are joined by a shuffle instead.
-BROADCAST_ROWS = 200_000
 LAST = (1 << 63) - 1
 
 
@@ -142,16 +144,17 @@ def find(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, least: int =
     did, t = _keyed(docs)
     slim = docs.where("text is not null").select(did.alias("did"), t.alias("t"), "text")
     lines = keep(slim.mapInArrow(_lines(least), "did long, t long, line int, h1 long, h2 long, k array<long>"))
-    first = F.min(F.struct("did", "line")).alias("first")
+    # t tells which of the documents with that id it is; it decides no order.
+    first = F.min(F.struct("did", "line", "t")).alias("first")
     distinct = keep(lines.groupBy("h1", "h2").agg(first, F.first("k").alias("k")))
     keyed = distinct.select("h1", "h2", F.explode("k").alias("key"))
     shared = keep(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
     some = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    some = keep(some.join(distinct, ["h1", "h2"]).select("h1", "h2", "first"))
-    wanted = some.groupBy(F.col("first.did").alias("did")).agg(F.collect_list(F.struct("h1", "h2", F.col("first.did").alias("did"), F.col("first.line").alias("line"))).alias("wanted"))
+    some = keep(some.join(distinct, ["h1", "h2"]).select("h1", "h2", "first.*"))
+    wanted = some.groupBy(F.col("did").alias("_d"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("h1", "h2", "did", "line")).alias("wanted"))
     wanted = keep(wanted)
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = slim.join(F.broadcast(wanted) if few else wanted, "did").select("wanted", "text")
+    own = sifted(spark, slim.select(F.xxhash64("did", "t").alias("h"), "did", "t", "text"), sieve(wanted.select(F.xxhash64("_d", "_t").alias("h"))))
+    texts = own.join(wanted.hint("merge"), (F.col("did") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("wanted", "text")
     texts = texts.mapInArrow(_texts, "h1 long, h2 long, did long, line int, text string").dropDuplicates(["h1", "h2"])
     texts = keep(texts.withColumn("id", F.monotonically_increasing_id()))
     places = texts.select("id", F.struct("did", "line").alias("at"))
@@ -169,7 +172,7 @@ def find(spark: SparkSession, docs: DataFrame, scratch: Scratch, *, least: int =
     later = F.when(F.col("ra.at") < F.col("rb.at"), F.col("rb")).when(F.col("rb.at") < F.col("ra.at"), F.col("ra"))
     near = keep(checked.select(later.alias("x")).where("x is not null").select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2")).distinct())
     near = near.withColumn("near", F.lit(True))
-    fate = keep(distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left"))
+    fate = keep(distinct.select("h1", "h2", F.struct("first.did", "first.line").alias("first")).join(near, ["h1", "h2"], "left"))
     out = lines.select("did", "t", "line", "h1", "h2").join(fate, ["h1", "h2"])
     why = F.when(F.col("near"), F.lit("near")).when(F.struct("did", "line") > F.col("first"), F.lit("equal"))
     return out.select("did", "t", "line", why.alias("why"))

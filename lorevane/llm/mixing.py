@@ -16,13 +16,13 @@ others; repeated rows are sampled separately; an empty table gives no rows. Extr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorevane.scratch import Scratch
 
-from .common import n_words
+from .common import n_words, running
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -31,22 +31,26 @@ MAX_EPOCHS = 2
 BUCKET_DIGITS = 3
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size) to (source, source_size, target). One row per source: the windows hold sources, not rows."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sizes.withColumn("w", pick).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
-    s = s.withColumn("i", F.row_number().over(by_name))
-    order = W.orderBy(F.col("cap") / F.col("w"), "i")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    rest = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    total = F.sum("source_size").over(W.partitionBy())
-    s = s.withColumn("level", (total * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
+def targets(sizes: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
+    """(source, source_size) to (source, source_size, target). Sources may be many, say web hosts: orders and running sums over
+    them go range by range, and only one row a range meets in one task."""
+    s = running(scratch, sizes, [F.col("source").asc_nulls_last()], {})
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("at"), F.lit(len(weights))) + 1).cast("int"))
+    s = s.select("source", "source_size", F.col("at").alias("i"), pick.alias("w"), (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
+    s = running(scratch, s, [(F.col("cap") / F.col("w")).asc(), F.col("i").asc()], {"cap": "before", "w": "light"})
+    all_ = s.agg(F.sum("source_size"), F.sum("w")).first()
+    total, weight = all_[0] or 0, all_[1] or 0.0
+    level = (F.lit(float(total) * float(share)) - F.col("before")) / (F.lit(float(weight)) - F.col("light"))
+    s = s.withColumn("level", level)
     # The first source in this order that stays below its cap gives the level of all after it.
-    s = s.withColumn("fits", F.col("level") * F.col("w") <= F.col("cap"))
-    level = F.min(F.when(F.col("fits"), F.struct(F.col("cap") / F.col("w"), "i", "level"))).over(W.partitionBy())["level"]
-    s = s.withColumn("top", level)
-    return s.select("source", "source_size", F.when(F.col("top").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("top") * F.col("w"))).alias("target"))
+    top = s.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct((F.col("cap") / F.col("w")).alias("r"), "i", "level"))["level"]).first()[0]
+    goal = F.col("cap") if top is None else F.least(F.col("cap"), F.lit(float(top)) * F.col("w"))
+    return s.select("source", "source_size", goal.alias("target"))
+
+
+def unnamed() -> Column:
+    """What orders a document without an id: its text, so that many of them are not at one place of the order."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("unnamed")
 
 
 def mix(
@@ -58,7 +62,7 @@ def mix(
     ``cut_last``: the one document of a source at which the target is reached gives just the words that are
     missing; without it, that document is repeated whole if more than half of it is missing, else not.
     """
-    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), unnamed())
     return plan(slim, scratch, weights=weights, share=share, max_epochs=max_epochs, seed=seed, cut_last=cut_last)
 
 
@@ -66,12 +70,14 @@ def plan(
     slim: DataFrame, scratch: Scratch, *, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS,
     seed: int = 1, cut_last: bool = True, extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``mix`` for rows (doc_id, source, size) whose sizes are known; ``extra`` columns come through."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    slim = scratch.keep(slim.withColumn("ord", order).withColumn("b", F.substring("ord", 1, BUCKET_DIGITS)))
+    """``mix`` for rows (doc_id, source, size, unnamed) whose sizes are known; ``extra`` columns come through."""
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("|"), F.col("unnamed")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), named).cast("binary"))
+    slim = slim.withColumn("ord", order).drop("unnamed")
+    slim = scratch.keep(slim.withColumn("b", F.substring("ord", 1, BUCKET_DIGITS)))
     # Sums of each bucket, then running sums over the buckets of a source: 4096 rows a source at most.
     bucket = scratch.keep(slim.groupBy("source", "b").agg(F.sum("size").alias("words")))
-    goal = targets(bucket.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
+    goal = targets(bucket.groupBy("source").agg(F.sum("words").alias("source_size")), scratch, weights, share, max_epochs)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goal = goal.withColumn("need", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     goal = scratch.keep(goal)
@@ -101,7 +107,7 @@ def plan(
 def repeat(docs: DataFrame, scratch: Scratch, *, weights=WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = 1) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it. Texts stay whole."""
     mark = F.xxhash64("text", "lang") if "lang" in docs.columns else F.xxhash64("text")
-    slim = docs.select("doc_id", mark.alias("mark"), "source", n_words(F.col("text")).alias("size"))
+    slim = docs.select("doc_id", mark.alias("mark"), "source", n_words(F.col("text")).alias("size"), unnamed())
     found = plan(slim, scratch, weights=weights, share=share, max_epochs=max_epochs, seed=seed, cut_last=False, extra=("mark",))
     # Rows alike in all of these count as one here, with the copies of all of them dealt out evenly.
     times = scratch.keep(found.groupBy("doc_id", "mark", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))

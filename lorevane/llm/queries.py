@@ -131,7 +131,7 @@ FROM embeddings t JOIN g ON g.id = t.vec_id LEFT JOIN n ON n.a = t.vec_id
     "op10_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents
+    md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '|' || md5(coalesce(text, '')))) AS ord FROM documents
 ), z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS i FROM z),
 w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM n),
