@@ -49,6 +49,8 @@ END = b"\n"  # no word can be this
 CHUNK, PIECE = 1 << 19, 100_000
 #: Tokens for which there is a bucket of keys.
 BUCKET = 1 << 19
+#: Jobs in which the buckets of contexts of two and more words are worked on, so that less lies on disk at once.
+TURNS = 2
 
 
 class Index(dict):
@@ -253,8 +255,9 @@ def _of(t: pa.Table, order: int) -> tuple[dict, Chunk]:
     return r, Chunk(r["words"], r["tokens"], r["size"], r["held"], order)
 
 
-def _contexts(o: int, least: int, bits: int):
-    """A chunk with its totals to what its own arcs of one order take of their contexts, and to the contexts that it asks about."""
+def _contexts(o: int, least: int, bits: int, turn: int, turns: int):
+    """A chunk with its totals to what its own arcs of one order take of their contexts, and to the contexts that it asks about;
+    of one turn's buckets."""
 
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
@@ -265,9 +268,9 @@ def _contexts(o: int, least: int, bits: int):
         n = np.bincount(c.context[o][arc], minlength=len(below))
         taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
         some = np.flatnonzero(n)
-        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
+        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits) if k % turns == turn]
         ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
-        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
+        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits) if k % turns == turn]
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _ASKS.types)], schema=_ASKS) if rows else _ASKS.empty_table()
 
     return task
@@ -397,8 +400,8 @@ def score(
         found = found.unionByName(x)
     both = lambda right, task, schema: chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, schema)
     every = found
-    for o in range(2, order + 1):
-        contexts = both(found.where(F.col("o").isin(o - 1, o)), _contexts(o, least, bits), _spelled(_ASKS))
+    for o, turn, turns in [(2, 0, 1), *((o, t, TURNS) for o in range(3, order + 1) for t in range(TURNS))] if order > 1 else ():
+        contexts = both(found.where(F.col("o").isin(o - 1, o)), _contexts(o, least, bits, turn, turns), _spelled(_ASKS))
         every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_rest, _spelled(_REPLIES))))
     read = both(every, _read(order, least, discount, int(n), int(v)), _SCORES)
     return read.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
