@@ -6,6 +6,7 @@ on the average gives the score. Both are learned by stochastic gradient descent
 
 Learning uses at most ``SAMPLE`` labelled documents of each class, picked by a hash of the id among the rows
 whose crc32(doc_id) mod 5 is not 0; the output's log-odds are then shifted to the classes' shares among all such rows.
+Their features are made in tasks; the driver gets up to ``BUCKETS`` numbers of a document, however long it is.
 That bound is the one thing that doesn't cover all rows; scoring reads every text whole. Since the output is linear
 in the features, a model is handed to the tasks as one number per feature: ``BUCKETS`` floats, whatever the corpus.
 
@@ -160,6 +161,16 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(odds + self.bias, -700, 700))))
 
 
+def _featured(batches):
+    """(doc_id, y, text) to features. What the driver gets of a document has no more entries than there are buckets."""
+    for b in batches:
+        for at in range(0, b.num_rows, 100):
+            part = b.slice(at, 100)
+            ids, shares = zip(*map(features, raw(part.column(2))))
+            yield pa.record_batch({
+                "doc_id": part.column(0).cast(pa.int64()), "y": part.column(1).cast(pa.int32()), "ids": pa.array(ids, pa.list_(pa.int32())), "shares": pa.array(shares, pa.list_(pa.float32()))})
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, mod: int = 5, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Learns from the labelled rows outside fold 0."""
     own = labels.where((fold(F.col("doc_id"), mod) != 0) & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -172,13 +183,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, mod: int = 5
     share = F.when(F.col("y") == 1, F.lit(sample / n[1])).otherwise(F.lit(sample / n[0]))
     # About ``sample`` ids of each class: small enough to go to every task.
     picked = own.where(u < share)
-    got = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Of several texts with one id, always the same.
+    some = some.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    got = some.mapInArrow(_featured, "doc_id long, y int, ids array<int>, shares array<float>").toArrow().sort_by("doc_id")
     if not got.num_rows:
         return np.zeros(BUCKETS, np.float32), float(prior)
     y = got["y"].to_numpy().astype(np.int64)
     if len(set(y)) < 2:
         return np.zeros(BUCKETS, np.float32), float(prior)
-    odds, bias = train([features(t) for t in raw(got["text"].combine_chunks())], y)
+    odds, bias = train([(k.values.to_numpy(), w.values.to_numpy()) for k, w in zip(got["ids"], got["shares"])], y)
     return odds, bias + float(prior - np.log(y.sum() / (len(y) - y.sum())))
 
 

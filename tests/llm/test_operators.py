@@ -318,6 +318,21 @@ def test_quality(spark, docs, empty):
     assert (none.score == 0.5).all()
 
 
+def test_score_is_the_plain_forward_pass():
+    """The scorer, word by word with what it remembers, against the average of a text's features; and learning lowers the loss."""
+    rng = np.random.default_rng(14)
+    odds, bias = rng.standard_normal(quality.BUCKETS), 0.3
+    scorer = quality.Scorer(odds, bias)
+    texts = [edge.prose(i, int(n)).encode() for i, n in enumerate(rng.integers(1, 80, 40))] + [b"one", b"a a a b", "é über".encode(), b""]
+    for t in texts:
+        k, w = quality.features(t)
+        assert abs(scorer(t) - 1 / (1 + math.exp(-(float(odds[k] @ w.astype(float)) + bias)))) < 1e-5, t
+    y = rng.integers(0, 2, 60)
+    docs = [quality.features(f"{'good' if c else 'bad'} word{i % 9} x{i % 4}".encode()) for i, c in enumerate(y)]
+    loss = lambda o, b: np.mean([math.log1p(math.exp(-(2 * c - 1) * (float(o[k] @ w) + b))) for (k, w), c in zip(docs, y)])
+    assert loss(*quality.train(list(docs), y, epochs=8)) < 0.7 * loss(*quality.train(list(docs), y, epochs=1, rate=1e-6))
+
+
 # 5: chat
 
 

@@ -1,5 +1,6 @@
 import os
 
+import edge
 import pytest
 
 import corpus_pipeline
@@ -28,6 +29,23 @@ def test_stages_in_order(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == seen[5]
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_tables(spark, tmp_path, empty):
+    """Nulls, empty and repeated rows and clashing columns go through all stages; so does a table without rows."""
+    docs = edge.documents(spark, empty=empty)
+    os.makedirs(f"{tmp_path}/sf")
+    spark.createDataFrame([] if empty else [(i, i % 2, 0) for i in range(20, 45)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/sf/labels.parquet")
+    names, n = docs.columns, docs.count()
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, f"{tmp_path}/sf").write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        assert docs.columns == names or i == 4
+        n = docs.count() if i != 3 else n
+        assert (docs.count() == 0) == empty
+    by = docs.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert all(r[1] <= 2048 for r in by)
+
+
 def test_queries_and_sql(spark):
     import duckdb
 
