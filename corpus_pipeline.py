@@ -4,7 +4,7 @@ quality classifier, line dedup, MinHash near-dedup, mixing sources to target wei
 result is written as Parquet and read again as the next one's documents.
 
 Nulls and edges: a document whose text is null or has no words is scored like any other and, if it stays, has no lines, is near no other,
-counts no words, so the mix takes it not at all; a null doc_id is a document like others; rows with one id and equal texts are copies,
+counts no words, so it comes as often as its source's whole repetitions; a null doc_id is a document like others; rows with one id and equal texts are copies,
 and one stays; of different texts with one id all stay or go together as near-duplicates; an empty table gives no rows; extra columns go
 through all stages but the last, whatever their names.
 """
