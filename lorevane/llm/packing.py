@@ -7,10 +7,10 @@ Items of equal length are interchangeable, and so are gaps of equal length. Item
 range-sorted as runs: (length, how many). A round takes the longest items left and sweeps the gaps upward from
 their length: the successor gap takes as many items as it has sequences, by rank, the gaps that result are put
 back in order, and so on until the round's items are placed; new sequences open only when no gap fits. This is
-best-fit decreasing, done for all items of a length at once. The state is at most ``capacity`` lengths and does not
-grow with the documents, so the rounds run on the driver over the counts alone. What is distributed is the rest:
-tokenising, counting, ranking the items of each length and looking the ranks up in the rounds' result. Each piece
-carries its ids; ``sequences`` puts them together.
+best-fit decreasing, done for all items of a length at once: of items that want the same gap, those of lower rank have it, and the others
+sweep on. The state is at most ``capacity`` runs of items and of gaps and does not grow with the documents, so one task over the
+counts does all rounds. What is distributed is the rest: tokenising, counting, ranking the items of each length and looking the
+ranks up in the rounds' result. The driver holds no placement. Each piece carries its ids; ``sequences`` puts them together.
 
 Ranks: the task that tokenises a text numbers its pieces of each length as it goes; running counts of the tasks before shift the
 numbers. So items are ranked without being sorted or moved, whatever length a third of them has.
@@ -159,6 +159,16 @@ def rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return out
 
 
+def _placements(capacity: int):
+    schema = pa.schema([(x, pa.int64()) for x in ("size", "lo", "hi", "first", "offset")])
+
+    def task(t: pa.Table) -> pa.Table:
+        rows = rounds(dict(zip(t["length"].to_pylist(), t["n"].to_pylist())), capacity)
+        return pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema) if rows else schema.empty_table()
+
+    return task
+
+
 def pack(
     spark: SparkSession, docs: DataFrame, *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, ranks: str | None = RANKS,
 ) -> DataFrame:
@@ -170,9 +180,8 @@ def pack(
     have = scratch.keep(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = have.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    counts = {int(r["length"]): int(r["n"]) for r in have.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    placed = spark.createDataFrame(
-        rounds(counts, capacity) or [(0, 0, 0, 0, 0)], "size long, lo long, hi long, first long, offset long")
+    counts = have.groupBy("length").agg(F.sum("n").alias("n"))  # capacity rows at most
+    placed = scratch.keep(counts.groupBy(F.lit(0).alias("all")).applyInArrow(_placements(capacity), "size long, lo long, hi long, first long, offset long"))
     ranked = pieces.join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("i"))
     # The rounds' result depends on the lengths that occur, never on how many items have them.
     at = (F.col("size") == F.col("length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
