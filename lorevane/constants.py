@@ -26,6 +26,10 @@ SECRET_PHRASE = "对玩家隐藏"
 HIDDEN_BODY = "（该条目对玩家隐藏）"
 UNTITLED, DOCUMENT, PREFACE, UNNAMED_BLOCK, PARAGRAPH = "未命名", "文档", "本章前言", "未命名块", "段落"
 
+# How other names stand in a text and in a title. Which names are found depends on these very markers and brackets.
+NAME_MARKERS = ("又名", "别名", "亦称")
+NAME_COLONS, NAME_COMMAS, OPEN_BRACKETS, CLOSE_BRACKETS, BRACKET_MOST = ":：", "、,/，;；", "（(", "）)", 20
+
 # Copy templates.
 TEMPLATES = {
     "player": "{entity_type}　{title}\n{public_body}\n—— {source_path}",

@@ -48,11 +48,12 @@ def latin_tail(title: Column) -> Column:
 
 def aliases(title: Column, body: Column) -> Column:
     """Other names: listed after a marker, in brackets in the title, or as its Latin tail. Sorted, distinct."""
-    listed = F.flatten(F.transform(
-        F.regexp_extract_all(F.concat(title, F.lit("\n"), body), F.lit(rf"(?:又名|别名|亦称)[:：][{SPACE}]*([^\n]+)"), F.lit(1)),
-        lambda x: F.split(x, "[、,/，;；]")))
-    inner = strip(F.regexp_extract(title, r"(.+?)[（(]([^）)]+)[）)]", 2))
-    bracket = F.when((F.length(inner) > 0) & (F.length(inner) <= 20), F.array(inner)).otherwise(F.array().cast("array<string>"))
+    marker = f"(?:{'|'.join(C.NAME_MARKERS)})[{C.NAME_COLONS}][{SPACE}]*"
+    rest_of_line = F.regexp_extract_all(F.concat(title, F.lit("\n"), body), F.lit(marker + "([^\n]+)"), F.lit(1))
+    listed = F.flatten(F.transform(rest_of_line, lambda x: F.split(x, f"[{C.NAME_COMMAS}]")))
+    # The first bracket that has something before it and in it.
+    inner = strip(F.regexp_extract(title, f"^(?s:.+?)[{C.OPEN_BRACKETS}]([^{C.CLOSE_BRACKETS}]+)[{C.CLOSE_BRACKETS}]", 1))
+    bracket = F.when((F.length(inner) > 0) & (F.length(inner) <= C.BRACKET_MOST), F.array(inner)).otherwise(F.array().cast("array<string>"))
     tail = latin_tail(title)
     rest = F.when(tail.isNotNull(), F.array(tail)).otherwise(F.array().cast("array<string>"))
     found = F.concat(F.transform(listed, strip), bracket, rest)

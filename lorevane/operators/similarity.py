@@ -41,3 +41,25 @@ def best_segment(needles: DataFrame, segments: DataFrame, key: str) -> DataFrame
     d = d.where(F.col("offset") + F.length("text") > F.col("from")).withColumn("sim", dice(F.col("needle"), F.col("text")))
     w = W.partitionBy(key, "nid").orderBy(F.desc("sim"), "idx")
     return d.where(F.col("sim") >= C.DICE).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def alike_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of the texts (id, text) whose likeness is ``least`` or more, a < b.
+
+    Two such texts share more bigrams than the longer part of either's, so one of the rarest few of each is among them: only
+    these few are joined, and no common bigram brings all its texts together."""
+    counts = texts.select("id", F.explode(bigrams(F.col("text"))).alias("g")).groupBy("id", "g").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy("id").agg(F.sum("c").alias("n"))
+    # Equal bigrams of a text are told apart by number, so that its bigrams are a set.
+    tokens = counts.select("id", "g", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("k"))
+    df = tokens.groupBy("g", "k").agg(F.count(F.lit(1)).alias("df"))
+    rarest = W.partitionBy("id").orderBy("df", "g", "k")
+    ranked = tokens.join(df, ["g", "k"]).withColumn("at", F.row_number().over(rarest)).join(sizes, "id")
+    prefix = ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least / (2 - least)) - F.lit(1e-9)) + 1)
+    one, two = (prefix.select(F.col("id").alias(x), "g", "k") for x in "ab")
+    pairs = one.join(two, ["g", "k"]).where("a < b").select("a", "b").distinct()
+    ca, cb = (counts.select(F.col("id").alias(x), "g", F.col("c").alias(f"c{x}")) for x in "ab")
+    both = pairs.join(ca, "a").join(cb, ["b", "g"]).groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("s"))
+    na, nb = (sizes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    sim = F.lit(2.0) * F.col("s") / (F.col("na") + F.col("nb"))
+    return both.join(na, "a").join(nb, "b").select("a", "b", sim.alias("sim")).where(F.col("sim") >= least)

@@ -789,17 +789,12 @@ WITH g AS (SELECT item_id, regexp_replace(text, '\\s', '', 'g') AS t FROM benchm
 b AS (SELECT item_id, substr(t, i, 2) AS g, count(*) AS c FROM (SELECT item_id, t, unnest(range(1, length(t))) AS i FROM g) GROUP BY ALL),
 n AS (SELECT item_id, sum(c) AS n FROM b GROUP BY item_id),
 s AS (SELECT x.item_id AS a, y.item_id AS b, sum(least(x.c, y.c)) AS k FROM b x JOIN b y ON x.g = y.g AND x.item_id < y.item_id GROUP BY ALL)
-SELECT s.a, s.b, round(2.0 * k / (x.n + y.n), 9) AS dice FROM s JOIN n x ON x.item_id = s.a JOIN n y ON y.item_id = s.b
+SELECT s.a, s.b, round(2.0::DOUBLE * k / (x.n + y.n), 9) AS dice FROM s JOIN n x ON x.item_id = s.a JOIN n y ON y.item_id = s.b WHERE 2.0::DOUBLE * k / (x.n + y.n) >= 0.5
 """.replace("\\\\s", "\\s"))
 def x29_dice(spark, d):
-    """All pairs of benchmark texts with a bigram in common; bigrams join by value and counts combine."""
-    b = table(spark, d, "benchmark").select("item_id", F.explode(similarity.bigrams(F.col("text"))).alias("g")).groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("c"))
-    n = b.groupBy("item_id").agg(F.sum("c").alias("n"))
-    x = b.select(F.col("item_id").alias("a"), "g", F.col("c").alias("ca"))
-    y = b.select(F.col("item_id").alias("b"), "g", F.col("c").alias("cb"))
-    s = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("k"))
-    s = s.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    return s.select("a", "b", F.round(F.lit(2.0) * F.col("k") / (F.col("na") + F.col("nb")), 9).alias("dice"))
+    """All pairs of benchmark texts that are half alike or more."""
+    t = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return similarity.alike_pairs(t, 0.5).select("a", "b", F.round("sim", 9).alias("dice"))
 
 
 @query("""
