@@ -168,3 +168,50 @@ def test_lead_ins(spark):
     d = spark.createDataFrame(rows, "doc_id long, ordinal int, stable_key string, entity_type string, title string, body string, parent_path string, visibility long, names array<string>")
     got = refine.lead_ins(d).orderBy("ordinal").collect()
     assert [(r.ordinal, r.title, r.body) for r in got] == [(0, "第一层", "分层如下：\n很冷。"), (1, "别处", "x："), (2, "尾", "y")] and got[0].names == ["温度分层"]
+
+
+def test_headings_do_not_nest(spark):
+    d = spark.createDataFrame([("x<h2>a<h1>b</h1>c</h2>body",), ("<H3 id=1>\n t <i>u</i></h4>v<h1>w",)], "h string")
+    got = [r[0] for r in d.select(blocks.html_text(F.col("h"))).collect()]
+    assert [" ".join(x.split(" ")).strip() for x in got] == ["x\n## a b\nc body", "### t  u \nv w".replace(" \n", "\n")]
+
+
+WORD = {
+    "<w:p><w:r><w:t>one line that is certainly no heading</w:t><w:br/><w:t xml:space=\"preserve\"> goes on</w:t></w:r></w:p>": [(1, "文档", "one line that is certainly no heading goes on")],
+    "<w:p><w:r><w:t>a line with<w:br/>a break and<w:tab/>a tab inside, long enough</w:t></w:r></w:p>": [(1, "文档", "a line with\na break and a tab inside, long enough")],
+    "<w:p><w:pPr><w:outlineLvl w:val='1'/></w:pPr><w:r><w:t>灯塔</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>灯塔是港口里唯一的路标，常年亮着。</w:t></w:r></w:p>": [(2, "灯塔", "灯塔是港口里唯一的路标，常年亮着。")],
+    # A text that is never closed ends with its paragraph, and shows nothing of the tags in it.
+    "<w:p><w:r><w:t>第1章 接受任务<w:rPr><w:rFonts w:ascii=\"x\"/></w:r></w:p><w:p><w:r><w:t>他们在灰港的酒馆里接受了这个任务。</w:t></w:r></w:p>": [(1, "第1章 接受任务", "他们在灰港的酒馆里接受了这个任务。")],
+    # Deleted text and field codes are unseen; a table's row is a line, empty cells at its end go.
+    "<w:p><w:r><w:t>这一段足够长，不会被当成标题。</w:t></w:r><w:del><w:r><w:t>删掉</w:t></w:r></w:del><w:r><w:instrText>PAGE</w:instrText></w:r></w:p>"
+    "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>别名</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>小玛</w:t></w:r></w:p><w:p><w:r><w:t>玛拉</w:t></w:r></w:p></w:tc><w:tc><w:p/></w:tc></w:tr>"
+    "<w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl>": [(1, "文档", "这一段足够长，不会被当成标题。\n别名：小玛 玛拉")],
+    # Entities are read; what then looks like a tag goes.
+    "<w:p><w:r><w:t>x &amp;amp; y &lt;b&gt;  z, and so on until the line is long</w:t></w:r></w:p>": [(1, "文档", "x &amp; y z, and so on until the line is long")],
+    "no paragraph <w:t>at all</w:t>": [], "<w:p><w:r><w:t>cut off": [], "": [],
+}
+
+
+def test_word_reader():
+    for xml, want in WORD.items():
+        assert docx.read(f"<w:document><w:body>{xml}</w:body></w:document>" if xml else xml) == want, xml
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    text = ("字 word. " * 60 + "\n") * 8000  # 4 million characters
+    one_line = "x" * 4_000_000
+    for f in (vector.windows_of, blocks.overlapped, blocks.paragraphs, blocks.headed, refine.local_entries, refine.segments):
+        for t in (text, one_line):
+            began = time.perf_counter()
+            f(t)
+            assert time.perf_counter() - began < 8, f
+
+
+def test_highlight_takes_any_query(spark):
+    from lorevane.functions import text as T
+
+    d = spark.createDataFrame([(r"a\Eb a\Eb", r"\E"), ("a.b axb", "a.b"), ("aaa", "aa"), ("x", " ")], "t string, q string")
+    got = [[tuple(s) for s in r[0]] for r in d.select(T.highlight(F.col("t"), F.col("q"))).collect()]
+    assert got == [[(1, 3), (6, 8)], [(0, 3)], [(0, 2)], []]
