@@ -1,4 +1,5 @@
-"""Tables about Han characters, made by the transliteration rules that ship with Spark (ICU), never by hand.
+"""Tables about Han characters, made by the transliteration rules that ship with Spark (ICU), which give one reading a character, and a
+small table of other readings.
 
 Each table is made in one call over the two blocks of common ideographs and kept for the process.
 """

@@ -5,6 +5,7 @@ Every step is a plan over all files at once. A file that fails is a row with an
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -125,6 +126,16 @@ def hashed_encoder(dimension: int = 64) -> Encoder:
     return run
 
 
+def find_model(*folders: str, model: str = "model.onnx", tokenizer: str = "tokenizer.json") -> tuple[str, str] | None:
+    """Paths of a model and its tokenizer in the first of these folders that has both; None if none has. Every machine that encodes
+    needs them at that place."""
+    for folder in folders:
+        paths = os.path.join(folder, model), os.path.join(folder, tokenizer)
+        if all(map(os.path.isfile, paths)):
+            return paths
+    return None
+
+
 def onnx_encoder(model: str, tokenizer: str, *, query: bool = False, dimension: int = C.DIMENSION) -> Encoder:
     """Encodes with an ONNX model: first row of the last hidden state, length 1. Files are opened once per worker process.
 

@@ -86,3 +86,19 @@ def shown_terms(every: DataFrame) -> DataFrame:
     d = every.groupBy("qid").agg(F.array_sort(F.collect_set("term")).alias("all"))
     han = F.filter("all", lambda t: has_hanzi(t))
     return d.select("qid", F.when(F.size(han) > 0, han).otherwise(F.col("all")).alias("terms"))
+
+
+class Cursor:
+    """A place among the hits of one query, moved one by one and kept within them. Hits are the few that a search returns."""
+
+    def __init__(self, hits: DataFrame, qid: int):
+        self.rows = hits.where(F.col("qid") == qid).orderBy("rank").limit(C.RETURNED).collect()
+        self.at = 0 if self.rows else -1
+
+    def move(self, step: int):
+        """The hit that many places on, or the last one in that direction; None if there are no hits."""
+        self.at = min(max(self.at + step, 0), len(self.rows) - 1)
+        return self.current()
+
+    def current(self):
+        return self.rows[self.at] if self.rows else None

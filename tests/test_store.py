@@ -256,6 +256,18 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/kept/v0").collect()] == [(1, 5), (1, 5)]
 
 
+def test_cursor_and_model_files(spark, tmp_path):
+    hits = spark.createDataFrame([(1, r, r * 10) for r in (3, 1, 2)] + [(2, 1, 5)], "qid long, rank long, id long")
+    c = searching.Cursor(hits, 1)
+    assert [c.current().id, c.move(-1).id, c.move(1).id, c.move(1).id, c.move(1).id, c.move(-1).id] == [10, 10, 20, 30, 30, 20]
+    assert searching.Cursor(hits, 9).move(1) is None
+    (tmp_path / "b").mkdir()
+    for name in ("model.onnx", "tokenizer.json"):
+        assert importing.find_model(str(tmp_path / "a"), str(tmp_path / "b")) is None
+        (tmp_path / "b" / name).write_text("x")
+    assert importing.find_model(str(tmp_path / "a"), str(tmp_path / "b")) == (str(tmp_path / "b" / "model.onnx"), str(tmp_path / "b" / "tokenizer.json"))
+
+
 def test_model_splitter():
     text = "铁砧堡：扼守山口的堡垒。\n荀岚：铁砧堡的城主。\n" * 10
     calls = []
