@@ -22,3 +22,8 @@ def rows():
 def documents(spark, clash: bool = True, empty: bool = False):
     d = spark.createDataFrame([] if empty else rows(), SCHEMA)
     return d.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASH)]) if clash else d
+
+
+def clash(df, *more):
+    """``df`` with further columns whose names operators use themselves."""
+    return df.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate([*CLASH, "v", "dim", "tab", "ci", "cj", "chunk", "floor", "shard", "block", "part", "length", "enter", "leave", "m", *more]) if c not in df.columns])

@@ -361,6 +361,16 @@ def test_viterbi_is_the_best_of_all_paths():
             assert max((p for p in itertools.product(range(n), repeat=length) if p[-1] == last), key=score) == tuple(chat.viterbi(e, first, trans, last))
 
 
+def test_chat_with_very_long_texts_and_clashing_names(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [(1, 0, "User: hi"), (1, 1, "Assistant: " + long), (1, 2, "w" * 300_000), (None, 3, long)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    labelled = spark.createDataFrame([(2, t, ["user", "assistant"][t % 2], "a?") for t in range(6)], "conv_id long, turn long, role string, text string")
+    got = chat.parse(spark, edge.clash(d), edge.clash(labelled)).collect()
+    assert sum(r.n_lines for r in got) == 1 + 20_000 + 1 + 20_000
+    assert Counter(map(tuple, got)) == Counter(map(tuple, chat.parse(spark, d, labelled).collect()))
+
+
 def test_chat_learns_alike_in_any_chunks(spark, monkeypatch):
     """Transitions across the edges of chunks count; rows without a place are starts."""
     roles = ["system", *["user", "assistant"] * 20]
@@ -420,7 +430,7 @@ def test_topk(spark):
         best = sorted((-int(w[q] @ x), i) for i, x in every if i != q)[:10]
         want[q] = [(i, -s) for s, i in best]
     got = defaultdict(list)
-    for r in topk.search(spark, d).orderBy("query_id", "rank").collect():
+    for r in topk.search(spark, edge.clash(d)).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     assert got == want
     assert topk.search(spark, d.where("false")).count() == 0
@@ -568,7 +578,7 @@ def test_embed_dedup(spark):
     v += [(600 + i, centres[0] * (1 + i % 2), 0) for i in range(10)]
     rows = [(i, [float(x) for x in e], label) for i, e, label in v]
     rows += [(700, None, 1), (701, [0.0] * 16, 1), (702, [float("nan")] * 16, 1), (703, [1.0, None], 0), (704, rows[0][1], None), (705, [1.0, 2.0], 0), (706, [], 0), (5, rows[5][1], 1), (None, rows[7][1], 1)]
-    got = embed_dedup.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    got = embed_dedup.near_duplicates(spark, edge.clash(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))).collect()
     good = [(i, np.array(e, np.float32).astype(float), y) for i, e, y in rows if y is not None and e and None not in e and np.isfinite(e).all() and np.any(e)]
     links, edges = Counter(), []
     for p, (a, x, ya) in enumerate(good):
