@@ -184,7 +184,8 @@ def _one_to_many(words: int, percent: int):
 
 def links(scratch: Scratch, docs: DataFrame, reps: DataFrame, *, words: int, percent: int) -> DataFrame:
     """Links (a, b) of members ``reps`` (nid, n, doc_id, t, bands): all pairs that collide and are alike, or paths of such."""
-    keyed = reps.select("nid", "n", F.explode("bands").alias("key"))
+    # Written, since it is read four times: every band is made into a row once.
+    keyed = scratch.keep(reps.select("nid", "n", F.explode("bands").alias("key")))
     full = keyed.groupBy("key").agg(F.min("nid").alias("least"), F.max("nid").alias("most"), F.count(F.lit(1)).alias("m")).where("least < most")
     full = scratch.keep(full.select("key", "least", "m"))
     large = keyed.join(full.where(F.col("m") > SMALL), "key").select(F.col("nid").alias("a"), F.col("least").alias("b"))
