@@ -1008,8 +1008,7 @@ def j13_best_segment(spark, d):
     p = table(spark, d, "part").withColumn("p_size", F.concat("p_brand", F.col("p_size").cast("string")))
     needles = p.select("p_size", F.col("p_partkey").alias("nid"), F.col("p_name").alias("needle"), F.lit(-1).alias("from"))
     segs = p.select("p_size", F.col("p_partkey").alias("idx"), F.lit(0).alias("offset"), F.col("p_name").alias("text"))
-    own = needles.join(segs, "p_size").where("nid <> idx").select(F.concat_ws("-", "p_size", "nid").alias("k"), "idx", "offset", "text")
-    got = similarity.best_segment(needles.withColumn("k", F.concat_ws("-", "p_size", "nid")).drop("p_size"), own, "k")
+    got = similarity.best_segment(needles, segs, "p_size", apart=True)
     return got.select("nid", "idx", F.round("sim", 9).alias("sim"))
 
 

@@ -126,3 +126,41 @@ def test_search_against_plain_version(spark):
     rows = searching.search(spark.createDataFrame(queries, "qid long, text string"), c).orderBy("qid", "rank").collect()
     got = {q: [(r.id, round(r.score, 9)) for r in rows if r.qid == q] for q, _ in queries}
     assert got == plain_search(chunks, queries) and got[4] == [] and got[2]
+
+
+def test_best_segment_against_all_pairs(spark):
+    import random
+    from collections import Counter
+
+    from lorevane.operators import similarity
+
+    grams = lambda s: Counter(a + b for a, b in zip(s.replace(" ", ""), s.replace(" ", "")[1:]))
+
+    def likeness(a, b):
+        x, y = grams(a), grams(b)
+        return 2 * (x & y).total() / (x.total() + y.total()) if x and y else 0.0
+
+    rng = random.Random(4)
+    name = lambda: " ".join(rng.choices(["iron", "gate", "gates", "aaaa", "aaa", "mist", "misty", "b"], k=rng.randint(1, 3)))
+    needles = [(k, i, name(), rng.choice([-1, 5, 20])) for k in "xy" for i in range(40)]
+    segments = [(k, i, rng.randint(0, 20), name()) for k in "xy" for i in range(60)]
+    n = spark.createDataFrame(needles, "k string, nid long, needle string, from int")
+    s = spark.createDataFrame(segments, "k string, idx long, offset int, text string")
+    for apart in (False, True):
+        want = {}
+        for k, nid, needle, after in needles:
+            may = [(-likeness(needle, t), i) for b, i, o, t in segments if b == k and o + len(t) > after and not (apart and i == nid)]
+            if len(needle) >= 4 and may and -min(may)[0] >= 0.7:
+                want[k, nid] = (min(may)[1], -min(may)[0])
+        got = {(r.k, r.nid): (r.idx, r.sim) for r in similarity.best_segment(n, s, "k", apart=apart).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_best_segment_of_many_copies(spark):
+    """A block of copies is compared once: pair by pair these would be 2,500,000,000."""
+    from lorevane.operators import similarity
+
+    p = spark.range(50_000).select(F.lit("b").alias("k"), F.col("id").alias("nid"), F.lit("iron gate").alias("needle"), F.lit(-1).alias("from"))
+    s = p.select("k", F.col("nid").alias("idx"), F.lit(0).alias("offset"), F.col("needle").alias("text"))
+    got = similarity.best_segment(p, s, "k", apart=True)
+    assert got.groupBy("idx").count().orderBy("idx").collect() == [(0, 49_999), (1, 1)]
