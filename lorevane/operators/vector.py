@@ -20,6 +20,18 @@ from .ranking import lane
 #: Vectors and queries of one task.
 SHARD_ROWS = 16384
 QUERY_ROWS = 1024
+#: Scores that a task holds at once: 8 MB of them, whatever the sizes of its parts.
+SCORES = 1 << 20
+#: Digits that count for the order: copies of a vector get equal scores, wherever they stand in a product.
+DIGITS = 9
+
+
+def _first(score: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the k highest, best first; of equals the first places."""
+    if k is None or len(score) <= k:
+        return np.argsort(-score, kind="stable")
+    own = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return own[np.argsort(-score[own], kind="stable")[:k]]
 
 
 def _best_of(k: int | None):
@@ -33,9 +45,17 @@ def _best_of(k: int | None):
         chunk, ids = left["chunk_id"].to_numpy(), right["qid"].to_numpy()
         order = np.argsort(chunk, kind="stable")
         chunk, start = np.unique(chunk[order], return_index=True)
-        score = np.maximum.reduceat(q @ v[order].T, start, axis=1)
-        best = np.lexsort((np.broadcast_to(chunk, score.shape), -score), axis=-1)[:, :k]
-        return pa.table({"qid": np.repeat(ids, best.shape[1]), "chunk_id": chunk[best].ravel(), "score": np.take_along_axis(score, best, 1).ravel()}, schema=schema)
+        v = v[order]
+        qids, chunks, scores = [], [], []
+        step = max(1, SCORES // len(v))
+        for at in range(0, len(q), step):
+            score = np.maximum.reduceat(q[at : at + step] @ v.T, start, axis=1)
+            for i, row, rough in zip(ids[at : at + step], score, np.round(score, DIGITS)):
+                best = _first(rough, k)
+                qids.append(np.full(len(best), i))
+                chunks.append(chunk[best])
+                scores.append(row[best])
+        return pa.table({"qid": np.concatenate(qids), "chunk_id": np.concatenate(chunks), "score": np.concatenate(scores)}, schema=schema)
 
     return task
 
@@ -60,10 +80,10 @@ def best_parts(queries: DataFrame, vectors: DataFrame, k: int | None = None) ->
 
 
 def top_chunks(queries: DataFrame, vectors: DataFrame, k: int = C.VECTOR_LIMIT) -> DataFrame:
-    """(qid, chunk_id, score): the k best chunks of each query, by their best part. Ties go by id. A shard hands on k chunks a query;
-    the k best of all chunks are among those."""
+    """(qid, chunk_id, score): the k best chunks of each query, by their best part; scores are rounded to ``DIGITS``, and ties go by id. A shard
+    hands on k chunks a query; the k best of all chunks are among those."""
     w = W.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    return best_parts(queries, vectors, k).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    return best_parts(queries, vectors, k).withColumn("score", F.round("score", DIGITS)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def semantic_lane(queries: DataFrame, vectors: DataFrame) -> DataFrame:

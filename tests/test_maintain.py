@@ -71,3 +71,30 @@ def test_watched_folder(spark, tmp_path):
     chunks = spark.readStream.schema(store.table("chunks").schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/s/chunks")
     incremental.backfill(chunks, store, hashed_encoder(), f"{tmp_path}/cp2").awaitTermination()
     assert store.table("vectors").count() == 1
+
+
+def test_best_vectors_in_bounded_memory():
+    """Scores of a pair of parts are held a block at a time; of equals the smaller ids stay, as when all pairs are ordered."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lorevane.operators import vector
+
+    rng = np.random.default_rng(5)
+    v, q = rng.integers(-3, 4, (8192, 8)).astype(float), rng.integers(-3, 4, (1024, 8)).astype(float)
+    ids = rng.permutation(8192)
+    table = lambda name, i, x: pa.table({name: i, "v": pa.array(list(x))})
+    left, right = table("chunk_id", ids, v), table("qid", np.arange(1024), q)
+    tracemalloc.start()
+    got = vector._best_of(50)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    score = q @ v.T
+    for i in (0, 500, 1023):
+        want = sorted(zip(-score[i], ids))[:50]
+        rows = got.slice(i * 50, 50)
+        assert [(-s, c) for s, c in zip(rows["score"].to_pylist(), rows["chunk_id"].to_pylist())] == want
+    assert got.num_rows == 1024 * 50 and vector._best_of(None)(left.slice(0, 60), right).num_rows == 60 * 1024
