@@ -215,3 +215,22 @@ def test_highlight_takes_any_query(spark):
     d = spark.createDataFrame([(r"a\Eb a\Eb", r"\E"), ("a.b axb", "a.b"), ("aaa", "aa"), ("x", " ")], "t string, q string")
     got = [[tuple(s) for s in r[0]] for r in d.select(T.highlight(F.col("t"), F.col("q"))).collect()]
     assert got == [[(1, 3), (6, 8)], [(0, 3)], [(0, 2)], []]
+
+
+def test_a_batch_is_not_held_as_objects():
+    """The Python objects of a large batch are those of one part of it."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lorevane.functions import lift
+
+    texts = pa.array([None] + [f"{i} " + "x" * 10_000 for i in range(4_000)])
+    seen = []
+    run = getattr(lift, "in_parts", None) or (lambda f, kind, x: pa.array([None if a is None else f(a) for a in x.to_pylist()], kind))
+    tracemalloc.start()
+    got = run(lambda t: [t[:5_000], t[5_000:]], pa.list_(pa.string()), texts)
+    seen.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert seen[0] < 8e6 and got[0].as_py() is None and [len(x) for x in got[4_000].as_py()] == [5_000, 5_005] and len(got) == 4_001
+    assert len(run(len, pa.int32(), texts.slice(0, 0))) == 0
