@@ -58,6 +58,9 @@ def search(
         if each_term:
             got = fulltext.match_each(phrases, chunks, **how)
             return got.select("qid", "id", F.lit("fts").alias("lane"), F.col("pos").cast("long").alias("pos"), F.lit(C.WEIGHTS["fts"]).alias("weight"))
+        if postings is None:
+            got = fulltext.best_scan(phrases, chunks, k, stats=stats, scratch=scratch, only=only)
+            return ranking.lane(got, "fts", k, F.desc("score"), F.col("id"))
         return ranking.lane(fulltext.match(phrases, chunks, **how), "fts", k, F.desc("score"), F.col("id"))
 
     every = terms(q, readings, synonyms).withColumnRenamed("term", "phrase")

@@ -164,3 +164,49 @@ def test_best_segment_of_many_copies(spark):
     s = p.select("k", F.col("nid").alias("idx"), F.lit(0).alias("offset"), F.col("needle").alias("text"))
     got = similarity.best_segment(p, s, "k", apart=True)
     assert got.groupBy("idx").count().orderBy("idx").collect() == [(0, 49_999), (1, 1)]
+
+
+def test_best_scan_against_all_matches(spark, monkeypatch):
+    """The k best of tasks, with little held at a time, are those of all matches; no match leaves its task on its own."""
+    import random
+
+    from pyspark.sql import Window as W
+
+    from lorevane.scratch import Scratch
+
+    rng, words = random.Random(2), "iron gate harbour mist tower ash Ash bridge salt river anan banana the of".split()
+    chunks = [(i if i < 150 else i + 900, " ".join(rng.choices(words, k=2)), " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(150)]
+    chunks += [(i + 1000, t, b) for i, t, b in chunks] + [(5000, "x", None)]
+    c = spark.createDataFrame(chunks, "id long, title string, search_text string").repartition(3)
+    queries = [(q, p) for q in range(8) for p in {*rng.choices(words, k=4), "zzzz", "ana", "of"}]
+    q = spark.createDataFrame(queries, "qid int, phrase string")
+    for only in (None, F.col("id") % 2 == 0):
+        how = {"stats": fulltext.statistics(c), "only": only}
+        want = fulltext.match(q, c, **how)
+        rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))
+        first = lambda d: sorted(tuple(r) for r in d.withColumn("r", rank).where("r <= 9").select("qid", "r", "id", F.round("score", 6)).collect())  # noqa: E731,B023
+        assert first(fulltext.best_scan(q, c, 9, scratch=Scratch(spark, "t"), **how)) == first(want) and first(want)
+        rank = F.row_number().over(W.partitionBy("qid", "phrase").orderBy(F.desc(F.round("part", 9)), "id"))
+        all_ = fulltext.parts(q, c, **how).withColumn("pos", rank - 1).where("pos < 9")
+        each = fulltext.match_each(q, c, 9, scratch=Scratch(spark, "t"), **how)
+        plain = fulltext.match_each(q, c, 9, **how)
+        slim = lambda d: sorted(tuple(r) for r in d.select("qid", "phrase", "id", "pos", F.round("part", 6)).collect())
+        assert slim(each) == slim(all_) == slim(plain)
+
+
+def test_best_holds_little():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    best, rows, most = fulltext._Best(4, 5), [], 0
+    for i in range(20):
+        g, s = rng.integers(0, 4, 30_000), rng.integers(0, 500, 30_000) / 7
+        ids = np.arange(i * 30_000, (i + 1) * 30_000)
+        rows += zip(g, -np.round(s, 9), ids)
+        best.add(g, ids, s)
+        assert not best.full()
+        most = max(most, best.n)
+    got = sorted(zip(*(x.tolist() for x in best.take())), key=lambda r: (r[0], -r[2], r[1]))
+    rows.sort()
+    want = [r for g in range(4) for r in [x for x in rows if x[0] == g][:5]]
+    assert [(g, i) for g, i, _ in got] == [(g, i) for g, _, i in want] and most < 300_000
