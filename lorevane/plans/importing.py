@@ -111,16 +111,46 @@ def hashed_encoder(dimension: int = 64) -> Encoder:
     """A stand-in without a model: hashed character trigrams, length 1. It has no semantic quality."""
     import zlib
 
+    import numpy as np
+
+    signed: dict[int, tuple[int, float]] = {}
+
+    def of(code: int) -> tuple[int, float]:
+        """Place and sign of a trigram, whose three code points are the number."""
+        if code not in signed:
+            if len(signed) > 300_000:
+                signed.clear()
+            h = zlib.crc32("".join(map(chr, (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF))).encode())
+            signed[code] = h % dimension, 1.0 if h >> 16 & 1 else -1.0
+        return signed[code]
+
+    def some(texts: list[str]) -> list[list[float] | None]:
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = np.array([len(t) for t in texts])
+        begin = np.cumsum(size) - size
+        # Trigrams of all the texts side by side; those across two texts are left out.
+        codes = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+        row = np.repeat(np.arange(len(texts)), np.maximum(size - 2, 0))
+        at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(size - 2, 0)) - np.maximum(size - 2, 0), np.maximum(size - 2, 0)) + begin[row]
+        key, inverse = np.unique(codes[at], return_inverse=True)
+        place, sign = map(np.array, zip(*map(of, key.tolist())))
+        v = np.bincount(row * dimension + place[inverse], sign[inverse], len(texts) * dimension).reshape(len(texts), dimension)
+        norm = np.sqrt((v * v).sum(axis=1))
+        return [(x / n).tolist() if n else None for x, n in zip(v, norm)]
+
+    def short(t: str) -> list[float] | None:
+        h = zlib.crc32(t.encode())
+        v = [0.0] * dimension
+        v[h % dimension] = 1.0 if h >> 16 & 1 else -1.0
+        return v if t else None
+
     def run(texts: list[str]) -> list[list[float] | None]:
-        out = []
-        for t in texts:
-            v = [0.0] * dimension
-            t = (t or "").strip()
-            for i in range(max(1, len(t) - 2)):
-                h = zlib.crc32(t[i : i + 3].encode())
-                v[h % dimension] += 1.0 if h >> 16 & 1 else -1.0
-            norm = sum(x * x for x in v) ** 0.5
-            out.append([x / norm for x in v] if t and norm else None)
+        out: list[list[float] | None] = []
+        for start in range(0, len(texts), 250):
+            part = [(t or "").strip() for t in texts[start : start + 250]]
+            long = [t for t in part if len(t) > 2]
+            done = iter(some(long) if long else ())
+            out += [next(done) if len(t) > 2 else short(t) for t in part]
         return out
 
     return run

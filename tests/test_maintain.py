@@ -98,3 +98,22 @@ def test_best_vectors_in_bounded_memory():
         rows = got.slice(i * 50, 50)
         assert [(-s, c) for s, c in zip(rows["score"].to_pylist(), rows["chunk_id"].to_pylist())] == want
     assert got.num_rows == 1024 * 50 and vector._best_of(None)(left.slice(0, 60), right).num_rows == 60 * 1024
+
+
+def test_hashed_encoder_hashes_a_trigram_once(monkeypatch):
+    import zlib
+
+    from lorevane.plans import importing
+
+    def plain(t, d=64):
+        v, t = [0.0] * d, (t or "").strip()
+        for i in range(max(1, len(t) - 2)):
+            h = zlib.crc32(t[i : i + 3].encode())
+            v[h % d] += 1.0 if h >> 16 & 1 else -1.0
+        norm = sum(x * x for x in v) ** 0.5
+        return [x / norm for x in v] if t and norm else None
+
+    texts = ["", None, "  ", "a", "ab", " abc ", "iron gate " * 50, "你好，世界", "😀😀😀😀", "\0\0\0\0", "été à la mer"] * 40
+    want, n, real = [plain(t) for t in texts], [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda x: (n.append(1), real(x))[1])
+    assert importing.hashed_encoder()(texts) == want and len(n) < 400
