@@ -123,6 +123,17 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     return odds, float(bias[1] - bias[0])
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+#: What a byte does to a crc32.
+_CRC = _crc_table()
+
+
 class Scorer(dict):
     """Score of a text; remembers what each word adds."""
 
@@ -144,6 +155,45 @@ class Scorer(dict):
         self[word] = i
         return i
 
+    def learn(self, words: set[bytes]) -> None:
+        """What many words add, at once; as ``__missing__``, in the same order of adding."""
+        if len(self) + len(words) > CACHE:
+            self.reset()
+        new = [w for w in words if w not in self]
+        if not new:
+            return
+        n = len(new)
+        size = np.fromiter(map(len, new), np.int64, n) + 2
+        b = np.frombuffer(b"".join([b"<" + w + b">" for w in new]), np.uint8).astype(np.uint32)
+        of = np.repeat(np.arange(n), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(b))  # bytes of the word from here on
+        codes, places = [np.fromiter((zlib.crc32(b"w" + w) for w in new), np.int64, n)], [np.arange(n)]
+        state = np.full(len(b), 0xFFFFFFFF, np.uint32)
+        for k in range(max(GRAMS)):
+            state = state[: len(b) - k]
+            state = _CRC[(state ^ b[k:]) & 255] ^ (state >> 8)
+            if k + 1 in GRAMS:
+                own = left[: len(state)] > k
+                codes.append((state ^ np.uint32(0xFFFFFFFF))[own].astype(np.int64))
+                places.append(of[: len(state)][own])
+        code, place = np.concatenate(codes), np.concatenate(places)
+        at = len(self)
+        if at + n > len(self.n):
+            more = max(at + n - len(self.n), len(self.n))
+            self.sum, self.n, self.hash = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.sum, self.n, self.hash))
+        self.sum[at : at + n] = np.bincount(place, self.odds[code % (BUCKETS - 1) + 1], n)
+        self.n[at : at + n] = np.bincount(place, minlength=n)
+        self.hash[at : at + n] = np.fromiter(map(zlib.crc32, new), np.uint64, n)
+        self.update(zip(new, range(at, at + n)))
+
+    def many(self, texts: list[bytes]) -> list[float]:
+        out: list[float] = []
+        for at in range(0, len(texts), 50):
+            part = texts[at : at + 50]
+            self.learn(set().union(*(t.split() for t in part)))
+            out += map(self, part)
+        return out
+
     def __call__(self, text: bytes) -> float:
         words = text.split()
         if len(self) > CACHE:
@@ -204,7 +254,7 @@ def _score(model):
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                yield pa.record_batch([part.column(0), pa.array(map(scorer, raw(part.column(1))), pa.float64())], schema=schema)
+                yield pa.record_batch([part.column(0), pa.array(scorer.many(raw(part.column(1))), pa.float64())], schema=schema)
 
     return run
 
@@ -227,6 +277,6 @@ def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, cut: float
         for b in batches:
             for i in range(0, b.num_rows, 1000):
                 part = b.slice(i, 1000)
-                yield part.filter(pa.array([scorer(t) >= cut for t in raw(part.column(at))], pa.bool_()))
+                yield part.filter(pa.array([x >= cut for x in scorer.many(raw(part.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

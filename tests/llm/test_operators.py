@@ -645,3 +645,18 @@ def test_blocks_of_clustered_rows_are_skipped():
     every = v[own] @ v.T
     every[np.arange(len(own)), own] = -(2.0**60)
     assert (np.sort(-every, axis=1)[:, :10] == -top).all() and scored < 0.5 * every.size
+
+
+def test_quality_words_at_once():
+    """Many words learned at once add what each adds on its own, and no word is looked at by itself."""
+    import random
+
+    from lorevane.llm import quality
+
+    rng = random.Random(3)
+    model = np.random.default_rng(3).standard_normal(quality.BUCKETS).astype(np.float32), 0.2
+    texts = [b" ".join(bytes(rng.choices(b"abc<>\xc3\xa9\xff", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    one, many = quality.Scorer(*model), quality.Scorer(*model)
+    want = [one(t) for t in texts]
+    many.__class__ = type("Told", (quality.Scorer,), {"__missing__": lambda self, w: 1 / 0})
+    assert many.many(texts) == want and many.many([]) == []
