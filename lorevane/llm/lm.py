@@ -13,12 +13,14 @@ the failure arc and add its weight; then take the arc. ``Automaton`` does that i
 For a corpus the automaton is dealt out, and grows with the corpus; nothing is broadcast, no word or n-gram left out:
 
 1. Documents become chunks of about ``CHUNK`` tokens: the chunk's word hashes and its tokens as places among them, packed. Texts are
-   split once.
+   split once, many at a time.
 2. Each chunk asks for its distinct n-grams: sorted 64-bit keys with their counts in its training documents, dealt to buckets by
    range, one packed row a bucket. A bucket adds up and answers each chunk with the totals in the order asked, and names one
    chunk as owner of each arc. An n-gram comes once from a chunk however often it stands there, so no key is hot.
+   From order 3 on it asks only for those whose first and last n - 1 words were both seen ``least`` times or more: each time the
+   n-gram stands in the training documents, both of these do too, so no other can be an arc.
 3. Owners send what their arcs take of each context, added up within the chunk; chunks ask for their contexts in the same way
-   and are answered with the sums, which give the failure arcs' weights.
+   and are answered with the sums, which give the failure arcs' weights. The n-grams of the next order are asked for in the same pass.
 4. A chunk then holds all arcs and failure arcs that its documents can meet, and reads them: the state before a token is the longest
    state among its last words, so all tokens take their failure arcs in step, longest context first.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -39,58 +42,61 @@ from pyspark.sql import functions as F
 from lorevane.scratch import Scratch
 
 from .common import fold
-from .words import CACHE, mix, raw, split
+from .words import mix
 
 LEAST = 2
 ORDER = 3
 DISCOUNT = 0.75
 END = b"\n"  # no word can be this
-#: Tokens of a chunk, about, and of texts that are split at once.
-CHUNK, PIECE = 1 << 19, 100_000
+#: Tokens of a chunk, about, and bytes of texts that are split at once.
+CHUNK, PIECE = 1 << 19, 1 << 22
 #: Tokens for which there is a bucket of keys.
 BUCKET = 1 << 19
-#: Jobs in which the buckets of contexts of two and more words are worked on, so that less lies on disk at once.
-TURNS = 2
 
 
-class Index(dict):
-    """Slot of each word; ``hash`` holds the slot's hash."""
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.hash = np.zeros(1024, np.uint64)
-
-    def learn(self, words: list[bytes]) -> None:
-        """Gives slots to the words that have none, all at once."""
-        new = [w for w in set(words) if w not in self]
-        if not new:
-            return
-        if len(self) > CACHE:
-            self.reset()
-            new = list(set(words))
-        i, n = len(self), len(self) + len(new)
-        while n > len(self.hash):
-            self.hash = np.concatenate([self.hash, np.zeros_like(self.hash)])
-        self.hash[i:n] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-        self.update(zip(new, range(i, n)))
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        self.learn(words)
-        return self.hash[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words and the end; each token as a place among them, with an end after each text; tokens of each text.
+    Arrow parts texts at the same bytes as bytes.split(), but leaves empty words before the first space and after the last."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = found.flatten().dictionary_encode()
+    words = flat.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    token, text = flat.indices.to_numpy(), np.repeat(np.arange(len(texts)), np.diff(found.offsets.to_numpy()))
+    some = np.fromiter(map(bool, words), bool, len(words))[token]
+    token, size = token[some], np.bincount(text[some], minlength=len(texts)) + 1
+    inner = np.ones(size.sum(), bool)
+    inner[np.cumsum(size) - 1] = False
+    out = np.full(len(inner), len(words), np.int32)
+    out[inner] = token
+    return np.fromiter(map(xxhash.xxh64_intdigest, [*words, END]), np.uint64, len(words) + 1), out, size
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys; some place at which each stands; each key's place among the distinct ones. Unlike np.unique it needs no
+    stable sort."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], order[new], place
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers as bytes, by planes of equal rank, squeezed."""
-    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    """Whole numbers from 0 as bytes, by planes of equal rank, squeezed. Planes that are 0 in all of them are left out; the first byte says how
+    many there are."""
+    k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype(np.uint8) if k == 1 else x.view(np.uint8).reshape(-1, x.itemsize)[:, :k].T
+    return bytes([k]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(b)[1:]), np.uint8).reshape(b[0], -1)
+    if b[0] == 1:
+        return planes[0].astype(dtype)
+    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.view(dtype).ravel()
 
 
 def pack_keys(x: np.ndarray) -> bytes:
@@ -112,68 +118,78 @@ _CHUNKS = pa.schema([
     ("tokens", pa.binary()), ("n", pa.int64())])
 
 
-def _chunks(batches, most: int = CHUNK):
+def _chunks(batches, most: int = CHUNK, piece: int = PIECE):
     """(row, doc_id, held, text) to chunks. A chunk's number is that of its first row."""
-    index, parts, words, rows = Index(), [], [], []
-
-    def split_now():
-        if words:
-            parts.append(index.hashes(words))
-            words.clear()
+    parts, rows = [], []
 
     def out():
-        split_now()
-        h = np.concatenate(parts)
-        vocabulary, place = np.unique(h, return_inverse=True)
+        hashes, tokens, n = [], [], 0
+        for h, token in parts:
+            used = np.flatnonzero(np.bincount(token, minlength=len(h)))
+            place = np.empty(len(h), np.int64)
+            place[used] = np.arange(n, n + len(used))
+            hashes.append(h[used])
+            tokens.append(place[token])
+            n += len(used)
+        vocabulary, _, place = distinct(np.concatenate(hashes))
+        token = place[np.concatenate(tokens)]
         first, ids, held, sizes = rows[0][0], *zip(*(r[1:] for r in rows))
         parts.clear()
         rows.clear()
-        return pa.record_batch([pa.array([x], t) for x, t in zip((first, ids, held, sizes, pack_keys(vocabulary), pack(place.astype(np.uint32)), len(h)), _CHUNKS.types)], schema=_CHUNKS)
+        return pa.record_batch([pa.array([x], t) for x, t in zip((first, ids, held, sizes, pack_keys(vocabulary), pack(token.astype(np.uint32)), len(token)), _CHUNKS.types)], schema=_CHUNKS)
 
     n = 0
     for b in batches:
-        for i in range(b.num_rows):
-            w = split(raw(b.column(3).slice(i, 1))[0])
-            w.append(END)
-            if n and n + len(w) > most:
-                yield out()
-                n = 0
-            words += w
-            n += len(w)
-            rows.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py(), len(w)))
-            if len(words) > PIECE:
-                split_now()
+        length = np.cumsum(pc.fill_null(pc.binary_length(b.column(3)), 0).to_numpy(zero_copy_only=False))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(length, piece + (length[i - 1] if i else 0), "right")))
+            h, token, size = words_of(b.column(3).slice(i, j - i))
+            s = e = 0  # of the piece's tokens, those that no chunk has yet
+            for *row, k in zip(*(b.column(c).slice(i, j - i).to_pylist() for c in range(3)), size.tolist()):
+                if n and n + k > most:
+                    if e > s:
+                        parts.append((h, token[s:e]))
+                    yield out()
+                    n, s = 0, e
+                rows.append((*row, k))
+                n, e = n + k, e + k
+            parts.append((h, token[s:e]))
+            i = j
     if rows:
         yield out()
 
 
 class Chunk:
-    """A chunk's documents and its distinct n-grams of each order, in the order of their keys."""
+    """A chunk's documents and its distinct n-grams, in the order of their keys."""
 
-    def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held: list[bool], order: int):
+    def __init__(self, words: bytes, tokens: bytes, sizes: list[int], held: list[bool]):
         self.sizes, self.held = np.array(sizes, np.int64), np.array(held, bool)
         vocabulary, token = unpack_keys(words), unpack(tokens, np.uint32).view(np.int32)
         self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        train = ~self.held[self.doc]
-        edge = np.zeros(len(token), bool)
-        edge[np.cumsum(self.sizes) - 1] = True  # the end closes a document
-        #: By order: keys; counts in training documents; first tokens of all occurrences and their places in keys; each key's context, as
-        #: a place in the keys of the order below.
-        self.keys, self.count, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[train], minlength=len(vocabulary))}, {1: np.arange(len(token), dtype=np.int32)}, {1: token}, {}
-        g, ok, below = vocabulary[token], np.ones(len(token), bool), token
-        for n in range(2, order + 1):
-            if len(g) < 2:
-                g, ok, below = g[:0], ok[:0], below[:0]
-            else:
-                ok = ok[:-1] & ~edge[n - 2 : -1]
-                g = join(g[:-1], g[1:], n)
-            self.start[n] = at = np.flatnonzero(ok).astype(np.int32)
-            self.keys[n], first, place = np.unique(g[at], return_index=True, return_inverse=True)
-            self.place[n], self.context[n] = place.astype(np.int32), below[at[first]]
-            del place
-            self.count[n] = np.bincount(self.place[n][train[at]], minlength=len(self.keys[n]))
-            below = np.full(len(g), -1, np.int32)
-            below[at] = self.place[n]
+        self.train = ~self.held[self.doc]
+        self.edge = np.zeros(len(token), bool)
+        self.edge[np.cumsum(self.sizes) - 1] = True  # the end closes a document
+        every = np.arange(len(token), dtype=np.int32)
+        #: By order: keys; counts in training documents; first tokens of all n-grams, and of those that are in keys; each token's n-gram, as
+        #: a place in keys or -1; each key's context, as a place in the keys of the order below.
+        self.keys, self.count, self.all, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[self.train], minlength=len(vocabulary))}, {1: every}, {1: every}, {1: token}, {}
+
+    def grow(self, n: int, often: np.ndarray | None = None) -> None:
+        """Adds the n-grams of an order; ``often``: only those whose first and last n - 1 words are among these keys."""
+        below, every = self.place[n - 1], self.all[n - 1]
+        every = every[~self.edge[every + n - 2]]
+        self.all[n] = at = every
+        if often is not None:
+            keep = np.append(often, False)[below]
+            at = every[keep[every] & keep[every + 1]]
+        g = self.keys[n - 1]
+        self.start[n] = at
+        self.keys[n], some, place = distinct(join(g[below[at]], g[below[at + 1]], n))
+        self.context[n] = below[at[some]]
+        self.count[n] = np.bincount(place[self.train[at]], minlength=len(some))
+        self.place[n] = np.full(len(below), -1, np.int32)
+        self.place[n][at] = place
 
 
 def _slices(keys: np.ndarray, bits: int):
@@ -193,16 +209,21 @@ def _spelled(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def _ask(orders: tuple[int, ...], bits: int):
-    """Chunks to what they ask about n-grams of some orders."""
+def _asked(chunk: int, c: Chunk, o: int, bits: int) -> list[tuple]:
+    return [(k, o, chunk, pack_keys(c.keys[o][s:e]), pack(c.count[o][s:e]), None) for k, s, e in _slices(c.keys[o], bits)]
+
+
+def _ask(order: int, bits: int):
+    """Chunks to what they ask about words and, if there are longer n-grams, pairs."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                r = b.slice(i, 1).to_pylist()[0]
-                c = Chunk(r["words"], r["tokens"], r["size"], r["held"], max(orders))
-                for o in orders:
-                    rows = [(k, o, r["chunk"], pack_keys(c.keys[o][s:e]), pack(c.count[o][s:e]), None) for k, s, e in _slices(c.keys[o], bits)]
+                r, c = _of(b.slice(i, 1))
+                for o in range(1, min(2, order) + 1):
+                    if o > 1:
+                        c.grow(o)
+                    rows = _asked(r["chunk"], c, o, bits)
                     if rows:
                         yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), _ASKS.types)], schema=_ASKS)
 
@@ -219,11 +240,13 @@ def _add(least: int):
         ends = np.cumsum([len(x) for x in keys])
         every = np.concatenate(keys)
         own = np.concatenate([unpack(x, np.int64) for x in t["count"].to_pylist()])
-        distinct, place = np.unique(every, return_inverse=True)
-        total = np.bincount(place, own, len(distinct)).astype(np.int64)
+        _, at, place = distinct(every)
+        total = np.bincount(place, own, len(at)).astype(np.int64)
         mine = np.flatnonzero((own > 0) & (total[place] >= least))
+        last = np.full(len(at), -1)
+        last[place[mine]] = mine
         owner = np.zeros(len(every), bool)
-        owner[mine[np.unique(place[mine], return_index=True)[1]]] = True
+        owner[last[last >= 0]] = True
         sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * len(keys)
         rows = [(c, 1, o, bucket, pack(total[place[e - len(k) : e]]), pack(np.packbits(owner[e - len(k) : e])), *s) for c, k, e, s in zip(t["chunk"].to_pylist(), keys, ends, sums)]
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _REPLIES.types)], schema=_REPLIES)
@@ -250,27 +273,37 @@ class Replies:
         return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
 
 
-def _of(t: pa.Table, order: int) -> tuple[dict, Chunk]:
+def _of(t: pa.Table | pa.RecordBatch) -> tuple[dict, Chunk]:
     r = t.to_pylist()[0]
-    return r, Chunk(r["words"], r["tokens"], r["size"], r["held"], order)
+    return r, Chunk(r["words"], r["tokens"], r["size"], r["held"])
+
 
+def _grown(c: Chunk, found: Replies, order: int, least: int) -> None:
+    """A chunk's n-grams up to an order, as they were asked for."""
+    for o in range(2, order + 1):
+        c.grow(o, found.numbers(1, o - 1, "first", len(c.keys[o - 1])) >= least if o > 2 else None)
 
-def _contexts(o: int, least: int, bits: int, turn: int, turns: int):
-    """A chunk with its totals to what its own arcs of one order take of their contexts, and to the contexts that it asks about;
-    of one turn's buckets."""
+
+def _contexts(o: int, order: int, least: int, bits: int):
+    """A chunk with its totals to what its own arcs of one order take of their contexts, and to the contexts that it asks about; also
+    to what it asks about n-grams of the next order."""
 
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return _ASKS.empty_table()
-        (r, c), found = _of(chunk, o), Replies(replies)
+        (r, c), found = _of(chunk), Replies(replies)
+        _grown(c, found, o, least)
         total, below = found.numbers(1, o, "first", len(c.keys[o])), c.keys[o - 1]
         arc = np.flatnonzero(found.bits(o))
         n = np.bincount(c.context[o][arc], minlength=len(below))
         taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
         some = np.flatnonzero(n)
-        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits) if k % turns == turn]
+        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
         ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
-        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits) if k % turns == turn]
+        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
+        if o < order:
+            c.grow(o + 1, total >= least)
+            rows += _asked(r["chunk"], c, o + 1, bits)
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _ASKS.types)], schema=_ASKS) if rows else _ASKS.empty_table()
 
     return task
@@ -281,7 +314,7 @@ def _rest(t: pa.Table) -> pa.Table:
     o, bucket, rows = t["o"][0].as_py(), t["bucket"][0].as_py(), t.to_pylist()
     have = [r for r in rows if r["chunk"] is None]
     none = [np.zeros(0, np.uint64)]
-    keys, place = np.unique(np.concatenate(none + [unpack_keys(r["keys"]) for r in have]), return_inverse=True)
+    keys, _, place = distinct(np.concatenate(none + [unpack_keys(r["keys"]) for r in have]))
     sums = [np.bincount(place, np.concatenate([unpack(r[x], np.int64) for r in have] or none), len(keys)).astype(np.int64) for x in ("count", "arcs")]
     out = []
     for r in rows:
@@ -293,6 +326,12 @@ def _rest(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(x, y) for x, y in zip(zip(*out), _REPLIES.types)], schema=_REPLIES) if out else _REPLIES.empty_table()
 
 
+def _answer(o: int, least: int):
+    """One bucket of contexts of order ``o``, or of n-grams of the next, to the replies."""
+    add = _add(least)
+    return lambda t: _rest(t) if t["o"][0].as_py() == o else add(t)
+
+
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -305,7 +344,8 @@ def _read(order: int, least: int, discount: float, n: int, v: int):
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        (r, c), found = _of(chunk, order), Replies(replies)
+        (r, c), found = _of(chunk), Replies(replies)
+        _grown(c, found, order, least)
         below = found.numbers(1, 1, "first", len(c.keys[1]))
         known = (below > 0)[c.place[1]]
         p = ((below + 0.5) / z)[c.place[1]]
@@ -316,11 +356,11 @@ def _read(order: int, least: int, discount: float, n: int, v: int):
             taken, arcs = (np.zeros(len(below)) for _ in range(2))
             taken[asked], arcs[asked] = (found.numbers(2, o, x, int(asked.sum())) for x in ("first", "second"))
             of = np.maximum(below, 1)
-            fail = 1 - (taken - discount * arcs) / of  # 1 for a context that is no state
-            context = c.context[o]
-            arc = np.where(total >= least, (total - discount) / of[context], 0.0)
-            at, key = c.start[o] + o - 1, c.place[o]
-            p[at] = arc[key] + fail[context[key]] * p[at]
+            fail = np.append(1 - (taken - discount * arcs) / of, 1.0)  # 1 for a context that is no state
+            arc = np.where(total >= least, (total - discount) / of[c.context[o]], 0.0)
+            every, at = c.all[o], c.start[o]
+            p[every + o - 1] *= fail[c.place[o - 1][every]]
+            p[at + o - 1] += arc[c.place[o][at]]
             below = total
         score = np.bincount(c.doc, np.log10(p), len(c.sizes))
         seen = np.bincount(c.doc[known], minlength=len(c.sizes))
@@ -390,18 +430,12 @@ def score(
     chunks = scratch.keep(d.mapInArrow(lambda batches: _chunks(batches, chunk), "chunk long, doc_id array<long>, held array<boolean>, size array<long>, words binary, tokens binary, n long"))
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(tokens // bucket).bit_length())
-    replies = []
-    for orders in ((1, 2), *((o,) for o in range(3, order + 1))) if order > 1 else ((1,),):
-        asks = chunks.select("chunk", "held", "size", "words", "tokens").mapInArrow(_ask(orders, bits), _spelled(_ASKS))
-        replies.append(scratch.keep(asks.groupBy("o", "bucket").applyInArrow(_add(least), _spelled(_REPLIES))))
-    n, v = replies[0].where("o = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    found = replies[0]
-    for x in replies[1:]:
-        found = found.unionByName(x)
+    asks = chunks.select("chunk", "held", "size", "words", "tokens").mapInArrow(_ask(order, bits), _spelled(_ASKS))
+    every = scratch.keep(asks.groupBy("o", "bucket").applyInArrow(_add(least), _spelled(_REPLIES)))
+    n, v = every.where("o = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     both = lambda right, task, schema: chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, schema)
-    every = found
-    for o, turn, turns in [(2, 0, 1), *((o, t, TURNS) for o in range(3, order + 1) for t in range(TURNS))] if order > 1 else ():
-        contexts = both(found.where(F.col("o").isin(o - 1, o)), _contexts(o, least, bits, turn, turns), _spelled(_ASKS))
-        every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_rest, _spelled(_REPLIES))))
+    for o in range(2, order + 1):
+        contexts = both(every.where((F.col("kind") == 1) & F.col("o").between(min(2, o - 1), o)), _contexts(o, order, least, bits), _spelled(_ASKS))
+        every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_answer(o, least), _spelled(_REPLIES))))
     read = both(every, _read(order, least, discount, int(n), int(v)), _SCORES)
     return read.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

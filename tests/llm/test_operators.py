@@ -556,6 +556,40 @@ def test_lm_keeps_ngrams_seen_twice_in_a_large_corpus(spark):
     assert abs(got[4].score - sum(map(math.log10, (p1(202), x1, end)))) < 1e-6
 
 
+def test_lm_asks_only_for_what_can_be_an_arc(spark, monkeypatch):
+    """Trigrams with a pair seen less than twice in training are left to the pair's weight, and each order takes one pass; the scores are the automaton's."""
+    kept, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    texts = [f"a b c x{i} y{i} b c d a b x{i % 7} a b {'c' * (i % 3)}" for i in range(60)] + ["", None, "a", "b c", "c d a"]
+    token = lambda t: [w.encode() for w in (t or "").split()] + [lm.END]
+    train = [token(t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    a, pairs = lm.Automaton(train), Counter(p for d in train for p in zip(d, d[1:]))
+    trigrams = {g for t in texts for g in zip(token(t), token(t)[1:], token(t)[2:])}
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], edge.SCHEMA).coalesce(1)
+    for r in lm.score(spark, d).collect():
+        assert abs(r.score - a.read(token(texts[r.doc_id]))) < 1e-9
+    asked = [r for k in kept if "kind" in k.columns for r in k.where("kind = 1 and o = 3").collect()]
+    can = sum(pairs[g[:2]] >= lm.LEAST and pairs[g[1:]] >= lm.LEAST for g in trigrams)
+    assert sum(len(lm.unpack(r.first, np.int64)) for r in asked) == can < len(trigrams) / 2
+    assert len(kept) == 1 + lm.ORDER  # chunks, and what each order's pass is answered
+
+
+@pytest.mark.parametrize("most, piece", [(1 << 19, 1 << 22), (1, 1), (9, 30), (50, 7)])
+def test_lm_chunks_hold_the_words_of_each_text(most, piece):
+    """Arrow splits at the bytes at which bytes.split() does, whatever the pieces and chunks."""
+    texts = ["".join(chr(c) + "aB" for c in range(c, c + 16)) for c in range(0, 256, 16)] + ["", None, " ", "\n\n a\t", "É\u2003x\x1cy É"] + [" b  C " * i for i in range(9)]
+    batch = pa.record_batch({"row": range(len(texts)), "doc_id": [i if i % 4 else None for i in range(len(texts))], "held": [i % 3 == 0 for i in range(len(texts))], "text": pa.array(texts, pa.string())})
+    got = []
+    for r in (r for b in lm._chunks([batch.slice(0, 5), batch.slice(5, 0), batch.slice(5)], most, piece) for r in b.to_pylist()):
+        words, tokens = lm.unpack_keys(r["words"]), lm.unpack(r["tokens"], np.uint32)
+        assert r["chunk"] == len(got) and r["n"] == len(tokens) == sum(r["size"]) and (r["n"] <= most or len(r["size"]) == 1)
+        assert (np.diff(words.astype(object)) > 0).all() and set(tokens) == set(range(len(words)))
+        got += zip(r["doc_id"], r["held"], np.split(words[tokens], np.cumsum(r["size"])[:-1]))
+    assert [x[:2] for x in got] == list(zip(batch["doc_id"].to_pylist(), batch["held"].to_pylist()))
+    for t, (*_, h) in zip(texts, got, strict=True):
+        assert h.tolist() == [lm.xxhash.xxh64_intdigest(w) for w in [*(t or "").encode().lower().split(), lm.END]]
+
+
 def test_automaton_sums_to_one():
     rng = np.random.default_rng(10)
     words = [b"a", b"b", b"c", b"d", b"e", lm.END]
