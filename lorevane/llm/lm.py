@@ -49,9 +49,12 @@ ORDER = 3
 DISCOUNT = 0.75
 END = b"\n"  # no word can be this
 #: Tokens of a chunk, about, and bytes of texts that are split at once.
-CHUNK, PIECE = 1 << 19, 1 << 22
-#: Tokens for which there is a bucket of keys.
-BUCKET = 1 << 19
+CHUNK, PIECE = 1 << 21, 1 << 22
+#: Tokens for which there is a bucket of keys. Each chunk sends a packet to each bucket, so the packets are as many as the square of the corpus by
+#: CHUNK * BUCKET: these are as large as a task's memory allows, for packets of some thousand keys at 1 GB and still hundreds at 30 GB.
+BUCKET = 1 << 22
+#: Bytes from which a packet is squeezed on its own.
+SQUEEZE = 512
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,20 +85,24 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[new], order[new], place
 
 
+_SQUEEZE, _SPREAD = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 as bytes, by planes of equal rank, squeezed. Planes that are 0 in all of them are left out; the first byte says how
-    many there are."""
+    """Whole numbers from 0 as bytes, by planes of equal rank, squeezed if they are many. Planes that are 0 in all of them are left out; the
+    first byte says how many there are, and 16 more if they are squeezed."""
     k = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = x.astype(np.uint8) if k == 1 else x.view(np.uint8).reshape(-1, x.itemsize)[:, :k].T
-    return bytes([k]) + zstandard.ZstdCompressor(1).compress(planes.tobytes())
+    planes = (x.astype(np.uint8) if k == 1 else x.view(np.uint8).reshape(-1, x.itemsize)[:, :k].T).tobytes()
+    return bytes([k]) + planes if len(planes) < SQUEEZE else bytes([k + 16]) + _SQUEEZE.compress(planes)
 
 
 def unpack(b: bytes, dtype) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(b)[1:]), np.uint8).reshape(b[0], -1)
-    if b[0] == 1:
-        return planes[0].astype(dtype)
-    out = np.zeros((planes.shape[1], np.dtype(dtype).itemsize), np.uint8)
-    out[:, : b[0]] = planes.T
+    k, rest = b[0] & 15, memoryview(b)[1:]
+    planes = np.frombuffer(_SPREAD.decompress(rest) if b[0] & 16 else rest, np.uint8)
+    if k == 1:
+        return planes.astype(dtype)
+    out = np.zeros((len(planes) // k, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :k] = planes.reshape(k, -1).T
     return out.view(dtype).ravel()
 
 
@@ -104,8 +111,10 @@ def pack_keys(x: np.ndarray) -> bytes:
     return pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def unpack_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+def unpack_keys(b: bytes, least: int = 0) -> np.ndarray:
+    x = unpack(b, np.uint64)
+    x[:1] += np.uint64(least)
+    return np.cumsum(x, out=x)
 
 
 def join(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -193,11 +202,17 @@ class Chunk:
 
 
 def _slices(keys: np.ndarray, bits: int):
-    """(bucket, from, to) of sorted keys, by their first bits."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-    for s, e in zip(cut, np.append(cut[1:], len(keys))):
-        yield int(bucket[s]), s, e
+    """(bucket, from, to, packed steps from the bucket's least key) of sorted keys, by their first bits."""
+    bucket = keys >> np.uint64(64 - bits)
+    cut = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
+    step = np.diff(keys, prepend=np.uint64(0))
+    step[cut] = keys[cut] - (bucket[cut] << np.uint64(64 - bits))
+    for k, s, e in zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(keys)]):
+        yield k, s, e, pack(step[s:e])
+
+
+def _columns(t: pa.Table, *names: str) -> list[list]:
+    return [t[x].to_numpy().tolist() for x in names]
 
 
 _ASKS = pa.schema([("bucket", pa.int64()), ("o", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("count", pa.binary()), ("arcs", pa.binary())])
@@ -210,7 +225,7 @@ def _spelled(schema: pa.Schema) -> str:
 
 
 def _asked(chunk: int, c: Chunk, o: int, bits: int) -> list[tuple]:
-    return [(k, o, chunk, pack_keys(c.keys[o][s:e]), pack(c.count[o][s:e]), None) for k, s, e in _slices(c.keys[o], bits)]
+    return [(k, o, chunk, keys, pack(c.count[o][s:e]), None) for k, s, e, keys in _slices(c.keys[o], bits)]
 
 
 def _ask(order: int, bits: int):
@@ -230,25 +245,25 @@ def _ask(order: int, bits: int):
     return run
 
 
-def _add(least: int):
-    """All that is asked of one bucket to the replies: totals, and whether the chunk owns the arc."""
+def _add(least: int, bits: int):
+    """All that is asked of one bucket to the replies: totals, doubled, and 1 more if the chunk owns the arc."""
 
     def task(t: pa.Table) -> pa.Table:
         o, bucket = t["o"][0].as_py(), t["bucket"][0].as_py()
-        t = t.sort_by("chunk")
-        keys = [unpack_keys(x) for x in t["keys"].to_pylist()]
-        ends = np.cumsum([len(x) for x in keys])
-        every = np.concatenate(keys)
-        own = np.concatenate([unpack(x, np.int64) for x in t["count"].to_pylist()])
-        _, at, place = distinct(every)
+        chunks, keys, counts = _columns(t.sort_by("chunk"), "chunk", "keys", "count")
+        keys = [unpack_keys(x, bucket << 64 - bits) for x in keys]
+        ends = np.cumsum([len(x) for x in keys]).tolist()
+        own = np.concatenate([unpack(x, np.int64) for x in counts])
+        _, at, place = distinct(np.concatenate(keys))
+        del keys
         total = np.bincount(place, own, len(at)).astype(np.int64)
-        mine = np.flatnonzero((own > 0) & (total[place] >= least))
+        mine = np.flatnonzero((own > 0) & (total >= least)[place])
         last = np.full(len(at), -1)
         last[place[mine]] = mine
-        owner = np.zeros(len(every), bool)
-        owner[last[last >= 0]] = True
-        sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * len(keys)
-        rows = [(c, 1, o, bucket, pack(total[place[e - len(k) : e]]), pack(np.packbits(owner[e - len(k) : e])), *s) for c, k, e, s in zip(t["chunk"].to_pylist(), keys, ends, sums)]
+        reply = 2 * total[place]
+        reply[last[last >= 0]] += 1
+        sums = [(int(total.sum()), int((total > 0).sum()))] + [(0, 0)] * len(chunks)
+        rows = [(c, 1, o, bucket, pack(reply[s:e]), None, *n) for c, s, e, n in zip(chunks, [0, *ends], ends, sums)]
         return pa.table([pa.array(x, y) for x, y in zip(zip(*rows), _REPLIES.types)], schema=_REPLIES)
 
     return task
@@ -258,19 +273,23 @@ class Replies:
     """What a chunk was answered, by kind and order, put together in the order asked."""
 
     def __init__(self, t: pa.Table):
-        rows = sorted(t.select(["kind", "o", "bucket", "first", "second"]).to_pylist(), key=lambda r: (r["kind"], r["o"], r["bucket"]))
-        self.rows = {k: [r for r in rows if (r["kind"], r["o"]) == k] for k in {(r["kind"], r["o"]) for r in rows}}
+        kind, o, bucket, first, second = _columns(t, "kind", "o", "bucket", "first", "second")
+        self.rows: dict[tuple[int, int], list[int]] = {}
+        for i in np.lexsort((bucket, o, kind)).tolist():
+            self.rows.setdefault((kind[i], o[i]), []).append(i)
+        self.columns = {"first": first, "second": second}
 
     def numbers(self, kind: int, o: int, column: str, n: int) -> np.ndarray:
-        found = [unpack(r[column], np.int64) for r in self.rows.get((kind, o), ())]
+        found = [unpack(self.columns[column][i], np.int64) for i in self.rows.get((kind, o), ())]
         out = np.concatenate(found) if found else np.zeros(0, np.int64)
         if len(out) != n:
             raise ValueError(f"{len(out)} replies to {n} keys of order {o}")
         return out
 
-    def bits(self, o: int) -> np.ndarray:
-        found = [np.unpackbits(unpack(r["second"], np.uint8), count=len(unpack(r["first"], np.int64))) for r in self.rows.get((1, o), ())]
-        return np.concatenate(found).astype(bool) if found else np.zeros(0, bool)
+    def totals(self, o: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of all n-grams asked about: their totals, and whether the chunk owns the arc."""
+        found = self.numbers(1, o, "first", n)
+        return found >> 1, (found & 1).astype(bool)
 
 
 def _of(t: pa.Table | pa.RecordBatch) -> tuple[dict, Chunk]:
@@ -278,10 +297,14 @@ def _of(t: pa.Table | pa.RecordBatch) -> tuple[dict, Chunk]:
     return r, Chunk(r["words"], r["tokens"], r["size"], r["held"])
 
 
-def _grown(c: Chunk, found: Replies, order: int, least: int) -> None:
-    """A chunk's n-grams up to an order, as they were asked for."""
-    for o in range(2, order + 1):
-        c.grow(o, found.numbers(1, o - 1, "first", len(c.keys[o - 1])) >= least if o > 2 else None)
+def _grown(c: Chunk, found: Replies, order: int, least: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The replies about a chunk's n-grams, which grow up to an order as they were asked for, by order: totals, and owned arcs."""
+    got = {}
+    for o in range(1, order + 1):
+        if o > 1:
+            c.grow(o, got[o - 1][0] >= least if o > 2 else None)
+        got[o] = found.totals(o, len(c.keys[o]))
+    return got
 
 
 def _contexts(o: int, order: int, least: int, bits: int):
@@ -291,16 +314,16 @@ def _contexts(o: int, order: int, least: int, bits: int):
     def task(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return _ASKS.empty_table()
-        (r, c), found = _of(chunk), Replies(replies)
-        _grown(c, found, o, least)
-        total, below = found.numbers(1, o, "first", len(c.keys[o])), c.keys[o - 1]
-        arc = np.flatnonzero(found.bits(o))
+        r, c = _of(chunk)
+        got = _grown(c, Replies(replies), o, least)
+        (total, own), below = got[o], c.keys[o - 1]
+        arc = np.flatnonzero(own)
         n = np.bincount(c.context[o][arc], minlength=len(below))
         taken = np.bincount(c.context[o][arc], total[arc], len(below)).astype(np.int64)
         some = np.flatnonzero(n)
-        rows = [(k, o, None, pack_keys(below[some[s:e]]), pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e in _slices(below[some], bits)]
-        ask = below[found.numbers(1, o - 1, "first", len(below)) >= least]
-        rows += [(k, o, r["chunk"], pack_keys(ask[s:e]), None, None) for k, s, e in _slices(ask, bits)]
+        rows = [(k, o, -1, keys, pack(taken[some[s:e]]), pack(n[some[s:e]])) for k, s, e, keys in _slices(below[some], bits)]
+        ask = below[got[o - 1][0] >= least]
+        rows += [(k, o, r["chunk"], keys, None, None) for k, _, _, keys in _slices(ask, bits)]
         if o < order:
             c.grow(o + 1, total >= least)
             rows += _asked(r["chunk"], c, o + 1, bits)
@@ -309,27 +332,31 @@ def _contexts(o: int, order: int, least: int, bits: int):
     return task
 
 
-def _rest(t: pa.Table) -> pa.Table:
-    """What is known of one bucket of contexts to the replies: counts that arcs take, and how many arcs."""
-    o, bucket, rows = t["o"][0].as_py(), t["bucket"][0].as_py(), t.to_pylist()
-    have = [r for r in rows if r["chunk"] is None]
-    none = [np.zeros(0, np.uint64)]
-    keys, _, place = distinct(np.concatenate(none + [unpack_keys(r["keys"]) for r in have]))
-    sums = [np.bincount(place, np.concatenate([unpack(r[x], np.int64) for r in have] or none), len(keys)).astype(np.int64) for x in ("count", "arcs")]
-    out = []
-    for r in rows:
-        if r["chunk"] is not None:
-            ask = unpack_keys(r["keys"])
-            at = np.minimum(np.searchsorted(keys, ask), max(0, len(keys) - 1))
-            hit = keys[at] == ask if len(keys) else np.zeros(len(ask), bool)
-            out.append((r["chunk"], 2, o, bucket, *(pack(np.where(hit, s[at], 0) if len(keys) else np.zeros(len(ask), np.int64)) for s in sums), 0, 0))
-    return pa.table([pa.array(x, y) for x, y in zip(zip(*out), _REPLIES.types)], schema=_REPLIES) if out else _REPLIES.empty_table()
-
-
-def _answer(o: int, least: int):
+def _rest(bits: int):
+    """What is known of one bucket of contexts to the replies: counts that arcs take, and how many arcs. Owners' rows have no chunk."""
+
+    def task(t: pa.Table) -> pa.Table:
+        o, bucket = t["o"][0].as_py(), t["bucket"][0].as_py()
+        chunks, asked, *known = _columns(t, "chunk", "keys", "count", "arcs")
+        have = [i for i, c in enumerate(chunks) if c < 0]
+        keys, _, place = distinct(np.concatenate([np.zeros(0, np.uint64), *(unpack_keys(asked[i], bucket << 64 - bits) for i in have)]))
+        sums = [np.append(np.bincount(place, np.concatenate([np.zeros(0, np.int64), *(unpack(x[i], np.int64) for i in have)]), len(keys)).astype(np.int64), 0) for x in known]
+        out = []
+        for c, x in zip(chunks, asked):
+            if c >= 0:
+                ask = unpack_keys(x, bucket << 64 - bits)
+                at = np.searchsorted(keys, ask)
+                at[np.append(keys, np.uint64(0))[at] != ask] = len(keys)
+                out.append((c, 2, o, bucket, *(pack(s[at]) for s in sums), 0, 0))
+        return pa.table([pa.array(x, y) for x, y in zip(zip(*out), _REPLIES.types)], schema=_REPLIES) if out else _REPLIES.empty_table()
+
+    return task
+
+
+def _answer(o: int, least: int, bits: int):
     """One bucket of contexts of order ``o``, or of n-grams of the next, to the replies."""
-    add = _add(least)
-    return lambda t: _rest(t) if t["o"][0].as_py() == o else add(t)
+    rest, add = _rest(bits), _add(least, bits)
+    return lambda t: (rest if t["o"][0].as_py() == o else add)(t)
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -345,13 +372,13 @@ def _read(order: int, least: int, discount: float, n: int, v: int):
         if not chunk.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         (r, c), found = _of(chunk), Replies(replies)
-        _grown(c, found, order, least)
-        below = found.numbers(1, 1, "first", len(c.keys[1]))
+        got = _grown(c, found, order, least)
+        below = got[1][0]
         known = (below > 0)[c.place[1]]
         p = ((below + 0.5) / z)[c.place[1]]
         base = np.bincount(c.doc, np.log10(p), len(c.sizes))
         for o in range(2, order + 1):
-            total = found.numbers(1, o, "first", len(c.keys[o]))
+            total = got[o][0]
             asked = below >= least
             taken, arcs = (np.zeros(len(below)) for _ in range(2))
             taken[asked], arcs[asked] = (found.numbers(2, o, x, int(asked.sum())) for x in ("first", "second"))
@@ -431,11 +458,11 @@ def score(
     tokens = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(tokens // bucket).bit_length())
     asks = chunks.select("chunk", "held", "size", "words", "tokens").mapInArrow(_ask(order, bits), _spelled(_ASKS))
-    every = scratch.keep(asks.groupBy("o", "bucket").applyInArrow(_add(least), _spelled(_REPLIES)))
+    every = scratch.keep(asks.groupBy("o", "bucket").applyInArrow(_add(least, bits), _spelled(_REPLIES)))
     n, v = every.where("o = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     both = lambda right, task, schema: chunks.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(task, schema)
     for o in range(2, order + 1):
-        contexts = both(every.where((F.col("kind") == 1) & F.col("o").between(min(2, o - 1), o)), _contexts(o, order, least, bits), _spelled(_ASKS))
-        every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_answer(o, least), _spelled(_REPLIES))))
+        contexts = both(every.where((F.col("kind") == 1) & (F.col("o") <= o)), _contexts(o, order, least, bits), _spelled(_ASKS))
+        every = every.unionByName(scratch.keep(contexts.groupBy("o", "bucket").applyInArrow(_answer(o, least, bits), _spelled(_REPLIES))))
     read = both(every, _read(order, least, discount, int(n), int(v)), _SCORES)
     return read.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
