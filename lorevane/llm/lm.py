@@ -53,6 +53,8 @@ CHUNK, PIECE = 1 << 21, 1 << 22
 #: Tokens for which there is a bucket of keys. Each chunk sends a packet to each bucket, so the packets are as many as the square of the corpus by
 #: CHUNK * BUCKET: these are as large as a task's memory allows, for packets of some thousand keys at 1 GB and still hundreds at 30 GB.
 BUCKET = 1 << 22
+#: N-grams of a chunk that are read at once.
+STEP = 1 << 18
 #: Bytes from which a packet is squeezed on its own.
 SQUEEZE = 512
 
@@ -182,7 +184,7 @@ class Chunk:
         every = np.arange(len(token), dtype=np.int32)
         #: By order: keys; counts in training documents; first tokens of all n-grams, and of those that are in keys; each token's n-gram, as
         #: a place in keys or -1; each key's context, as a place in the keys of the order below.
-        self.keys, self.count, self.all, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[self.train], minlength=len(vocabulary))}, {1: every}, {1: every}, {1: token}, {}
+        self.keys, self.count, self.all, self.start, self.place, self.context = {1: vocabulary}, {1: np.bincount(token[self.train], minlength=len(vocabulary)).astype(np.int32)}, {1: every}, {1: every}, {1: token}, {}
 
     def grow(self, n: int, often: np.ndarray | None = None) -> None:
         """Adds the n-grams of an order; ``often``: only those whose first and last n - 1 words are among these keys."""
@@ -196,7 +198,7 @@ class Chunk:
         self.start[n] = at
         self.keys[n], some, place = distinct(join(g[below[at]], g[below[at + 1]], n))
         self.context[n] = below[at[some]]
-        self.count[n] = np.bincount(place[self.train[at]], minlength=len(some))
+        self.count[n] = np.bincount(place[self.train[at]], minlength=len(some)).astype(np.int32)
         self.place[n] = np.full(len(below), -1, np.int32)
         self.place[n][at] = place
 
@@ -373,6 +375,7 @@ def _read(order: int, least: int, discount: float, n: int, v: int):
             return pa.table([pa.array([], t) for t in types], names=names)
         (r, c), found = _of(chunk), Replies(replies)
         got = _grown(c, found, order, least)
+        c.keys, c.count = {}, {}  # only asked with
         below = got[1][0]
         known = (below > 0)[c.place[1]]
         p = ((below + 0.5) / z)[c.place[1]]
@@ -385,11 +388,14 @@ def _read(order: int, least: int, discount: float, n: int, v: int):
             of = np.maximum(below, 1)
             fail = np.append(1 - (taken - discount * arcs) / of, 1.0)  # 1 for a context that is no state
             arc = np.where(total >= least, (total - discount) / of[c.context[o]], 0.0)
-            every, at = c.all[o], c.start[o]
-            p[every + o - 1] *= fail[c.place[o - 1][every]]
-            p[at + o - 1] += arc[c.place[o][at]]
+            for i in range(0, len(c.all[o]), STEP):
+                at = c.all[o][i : i + STEP]
+                p[at + o - 1] *= fail[c.place[o - 1][at]]
+            for i in range(0, len(c.start[o]), STEP):
+                at = c.start[o][i : i + STEP]
+                p[at + o - 1] += arc[c.place[o][at]]
             below = total
-        score = np.bincount(c.doc, np.log10(p), len(c.sizes))
+        score = np.bincount(c.doc, np.log10(p, out=p), len(c.sizes))
         seen = np.bincount(c.doc[known], minlength=len(c.sizes))
         columns = (r["doc_id"], r["held"], c.sizes, seen, base, score)
         return pa.table([pa.array(x, t) for x, t in zip(columns, types)], names=names)

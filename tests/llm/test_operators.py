@@ -590,6 +590,18 @@ def test_lm_chunks_hold_the_words_of_each_text(most, piece):
         assert h.tolist() == [lm.xxhash.xxh64_intdigest(w) for w in [*(t or "").encode().lower().split(), lm.END]]
 
 
+def test_lm_packets():
+    """They hold any whole numbers, and at 30 GB (8,200,000,000 tokens) still over a hundred keys each."""
+    for kind in (np.uint8, np.uint32, np.int64, np.uint64):
+        for x in ([], [0], [1, 255], [255] * 600, [256, 3], [2**31 - 1, 0], list(range(900)), [2**63 - 1, 5], [2**64 - 1, 1]):
+            if max(x, default=0) <= np.iinfo(kind).max:
+                got = lm.unpack(lm.pack(np.array(x, kind)), kind)
+                assert got.dtype == kind and got.tolist() == x
+    tokens = 8_200_000_000
+    packets = -(-tokens // lm.CHUNK) * 2 ** int(tokens // lm.BUCKET).bit_length()
+    assert 0.75 * tokens / packets > 100
+
+
 def test_automaton_sums_to_one():
     rng = np.random.default_rng(10)
     words = [b"a", b"b", b"c", b"d", b"e", lm.END]
